@@ -8,12 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from refracta.constants import BRANCH_SYMBOLS, BRANCH_WORDS, MEDIUM_MAX_CC, SIMPLE_MAX_CC
-from refracta.functions.text import WORD, WS, WS_NOT_NL, strip
+from refracta.functions.text import WORD, WS, WS_NOT_NL, let, strip
 
 _WORDS = "|".join(sorted(BRANCH_WORDS, key=len, reverse=True))
 _SYMBOLS = "|".join(re.escape(s) for s in BRANCH_SYMBOLS)
 # Keywords stand alone; operators count only when squeezed between word characters.
-_BRANCH = rf"(?<!{WORD})(?:{_WORDS})(?!{WORD})|(?<={WORD})(?:{_SYMBOLS})(?={WORD})"
+# The look-ahead on first characters rejects most positions before anything else runs.
+_FIRST = "".join(sorted({re.escape(w[0]) for w in (*BRANCH_WORDS, *BRANCH_SYMBOLS)}))
+_BRANCH = (
+    rf"(?=[{_FIRST}])(?:(?<!{WORD})(?:{_WORDS})(?!{WORD})|(?<={WORD})(?:{_SYMBOLS})(?={WORD}))"
+)
 
 
 def normalize_code(code: Column) -> Column:
@@ -48,7 +52,7 @@ def line_count(normalized: Column) -> Column:
 
 
 def lines_of_code(code: Column) -> Column:
-    return line_count(normalize_code(code))
+    return let(normalize_code(code), line_count)
 
 
 def keyword_complexity(code: Column) -> Column:
@@ -62,8 +66,11 @@ def token_count(code: Column) -> Column:
 
 def halstead_volume(code: Column) -> Column:
     """n * log2(n) over word tokens, rounded to two places."""
-    n = token_count(code).cast("double")
-    return F.when(n == 0, 0.0).otherwise(F.round(n * F.log2(n), 2))
+
+    def volume(n: Column) -> Column:
+        return F.when(n == 0, 0.0).otherwise(F.round(n * F.log2(n), 2))
+
+    return let(token_count(code).cast("double"), volume)
 
 
 def complexity_tier(cc: Column) -> Column:
@@ -97,10 +104,12 @@ def with_metrics(df, code: str = "code", cc: Column | None = None):
 
 def sorted_import_hash(code: Column) -> Column:
     """Hash of the stripped lines with the import lines sorted to the front."""
-    lines = F.split(normalize_code(code), "\n")
-    imports = F.array_sort(F.filter(lines, _is_import))
-    rest = F.filter(lines, lambda x: ~_is_import(x))
-    return F.sha2(F.array_join(F.concat(imports, rest), "\n"), 256)
+
+    def imports_first(lines: Column) -> Column:
+        imports = F.array_sort(F.filter(lines, _is_import))
+        return F.array_join(F.concat(imports, F.filter(lines, lambda x: ~_is_import(x))), "\n")
+
+    return F.sha2(let(F.split(normalize_code(code), "\n"), imports_first), 256)
 
 
 def _is_import(line: Column) -> Column:

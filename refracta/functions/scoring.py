@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from refracta.constants import STRUCTURE_CHARS
-from refracta.functions.text import without_whitespace
+from refracta.functions.text import edit_distance, let, without_whitespace
 
 _STRUCTURE = "[" + re.escape(STRUCTURE_CHARS) + "]"
 
@@ -17,22 +17,20 @@ def delta_cc(cc_before: Column, cc_after: Column) -> Column:
     return F.abs(cc_after - cc_before)
 
 
-def text_diversity(
-    before: Column, after: Column, bare_before: Column | None = None, bare_after: Column | None = None
-) -> Column:
-    """Edit distance over longer length, up-weighted when the structure moved, in 0..1.
-
-    The bare forms (no whitespace) may be passed in where they already are columns,
-    which spares evaluating them once per use.
-    """
-    a = without_whitespace(before) if bare_before is None else bare_before
-    b = without_whitespace(after) if bare_after is None else bare_after
-    longest = F.greatest(F.length(a), F.length(b)).cast("double")
+def text_diversity(before: Column, after: Column) -> Column:
+    """Edit distance over longer length, up-weighted when the structure moved, in 0..1."""
     s1, s2 = F.regexp_count(before, F.lit(_STRUCTURE)), F.regexp_count(after, F.lit(_STRUCTURE))
-    moved = F.abs(s1 - s2) > F.greatest(s1, s2) * F.lit(0.2)
-    share = F.levenshtein(a, b) / F.nullif(longest, F.lit(0.0))
-    score = F.least(F.lit(1.0), share * F.when(moved, 1.2).otherwise(1.0))
-    return F.when(a == b, 0.0).otherwise(score)
+    weight = F.when(F.abs(s1 - s2) > F.greatest(s1, s2) * F.lit(0.2), 1.2).otherwise(1.0)
+
+    def score(t: Column) -> Column:
+        longest = F.greatest(F.length(t["a"]), F.length(t["b"])).cast("double")
+        share = edit_distance(t["a"], t["b"]) / F.nullif(longest, F.lit(0.0))
+        return F.when(t["a"] == t["b"], 0.0).otherwise(F.least(F.lit(1.0), share * t["w"]))
+
+    bare = F.struct(
+        without_whitespace(before).alias("a"), without_whitespace(after).alias("b"), weight.alias("w")
+    )
+    return F.when(before.isNotNull() & after.isNotNull(), let(bare, score))
 
 
 def effort(volume: Column) -> Column:

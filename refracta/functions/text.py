@@ -8,15 +8,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Whitespace as Unicode-aware string stripping understands it; the JVM's own ``\s``
-# and ``trim`` know only a part of it.
-WS_NOT_NL = r"\t\x0B-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# and ``trim`` know only a part of it. Single Latin-1 characters and one guarded range
+# keep the class cheap for the usual ASCII input.
+_WIDE_SPACES = (
+    r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
+)
+WS_NOT_NL = r"\t\x0B\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0" + _WIDE_SPACES
 WS = rf"[\n{WS_NOT_NL}]"
 WORD = r"[\p{L}\p{N}_]"
 
 
 def strip(text: Column) -> Column:
     """Remove whitespace at both ends. The look-behind keeps long inner runs linear."""
-    return F.regexp_replace(text, rf"\A{WS}++|(?<!{WS}){WS}++\z", "")
+    return F.regexp_replace(text, rf"\A{WS}++|{WS}(?<!{WS}{{2}}){WS}*+\z", "")
 
 
 def without_whitespace(text: Column) -> Column:
@@ -47,3 +51,52 @@ def longest(items: Column) -> Column:
         F.lit(""),
         lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best),
     )
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def common_prefix_length(a: Column, b: Column) -> Column:
+    """Length of the common prefix, by halving steps; found up to two million characters.
+
+    A longer common prefix is reported as shorter, which its callers tolerate.
+    """
+    strides = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
+
+    def search(limit: Column) -> Column:
+        def extend(p: Column, stride: Column) -> Column:
+            # The part up to p is known to be equal, so only the next stretch is compared.
+            fits = (p + stride <= limit) & (
+                F.substring(a, p + 1, stride) == F.substring(b, p + 1, stride)
+            )
+            return F.when(fits, p + stride).otherwise(p)
+
+        return F.aggregate(F.filter(strides, lambda s: s <= limit), F.lit(0), extend)
+
+    return let(F.least(F.length(a), F.length(b)), search)
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance. Shared ends are cut off first: they never change the
+    distance and the rest costs quadratic time."""
+
+    def without_prefix(p: Column) -> Column:
+        rest = F.struct(
+            F.substring(p["a"], p["n"] + 1, F.length(p["a"])).alias("a"),
+            F.substring(p["b"], p["n"] + 1, F.length(p["b"])).alias("b"),
+        )
+        return let(rest, without_suffix)
+
+    def without_suffix(r: Column) -> Column:
+        shared = common_prefix_length(F.reverse(r["a"]), F.reverse(r["b"]))
+        return let(
+            shared,
+            lambda n: F.levenshtein(
+                F.left(r["a"], F.length(r["a"]) - n), F.left(r["b"], F.length(r["b"]) - n)
+            ),
+        )
+
+    pair = F.struct(a.alias("a"), b.alias("b"), common_prefix_length(a, b).alias("n"))
+    return let(pair, without_prefix)

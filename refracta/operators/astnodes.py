@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 from refracta.constants import FUNCTION_CHARS
 from refracta.functions.metrics import keyword_complexity
+from refracta.functions.text import let
+from refracta.session import spread
 
 _TEXTS, _NUMBERS = T.ArrayType(T.StringType()), T.ArrayType(T.IntegerType())
 TREE_TYPE = T.StructType(
@@ -96,7 +98,7 @@ def _trees(codes: pd.Series) -> pd.DataFrame:
 def with_tree(df: DataFrame, code: str = "code", out: str = "tree", only: Column | None = None) -> DataFrame:
     """Add the syntax tree of ``code``; rows outside ``only`` are not parsed and get no flags."""
     text = F.col(code) if only is None else F.when(only, F.col(code))
-    return df.withColumn(out, _trees(text))
+    return spread(df).withColumn(out, _trees(text))
 
 
 def ast_nodes(df: DataFrame, tree: str = "tree") -> DataFrame:
@@ -114,18 +116,22 @@ def tree_complexity(tree: Column) -> Column:
 
     An approximation of the usual per-function complexity: class totals are left out.
     """
+    # Only branching nodes matter; few are left of a whole tree.
     pairs = F.filter(
         F.arrays_zip(tree["block"].alias("block"), tree["decisions"].alias("decisions")),
-        lambda p: p["block"] != "",
+        lambda p: (p["decisions"] > 0) & (p["block"] != ""),
     )
-    blocks = F.array_distinct(F.transform(pairs, lambda p: p["block"]))
-    totals = F.transform(
-        blocks,
-        lambda b: F.aggregate(
-            pairs, F.lit(1), lambda s, p: s + F.when(p["block"] == b, p["decisions"]).otherwise(0)
-        ),
-    )
-    return F.when(tree["parse_ok"], F.coalesce(F.array_max(totals), F.lit(1)))
+
+    def most_complex(branching: Column) -> Column:
+        totals = F.transform(
+            F.array_distinct(F.transform(branching, lambda p: p["block"])),
+            lambda b: F.aggregate(
+                branching, F.lit(1), lambda s, p: s + F.when(p["block"] == b, p["decisions"]).otherwise(0)
+            ),
+        )
+        return F.coalesce(F.array_max(totals), F.lit(1))
+
+    return F.when(tree["parse_ok"], let(pairs, most_complex))
 
 
 def with_complexity(df: DataFrame, code: str = "code", out: str = "cyclomatic_complexity") -> DataFrame:
@@ -170,14 +176,16 @@ def tree_distance_bound(before: Column, after: Column) -> Column:
     a, b = before["label"], after["label"]
 
     def occurrences(labels: Column, label: Column) -> Column:
-        return F.size(F.filter(labels, lambda x: x == label))
+        return F.size(labels) - F.size(F.array_remove(labels, label))
 
-    surplus = F.transform(F.array_union(a, b), lambda x: occurrences(a, x) - occurrences(b, x))
+    def edits(surplus: Column) -> Column:
+        def total(sign: int) -> Column:
+            return F.aggregate(surplus, F.lit(0), lambda s, d: s + F.greatest(d * sign, F.lit(0)))
 
-    def total(sign: int) -> Column:
-        return F.aggregate(surplus, F.lit(0), lambda s, d: s + F.greatest(d * sign, F.lit(0)))
+        return F.greatest(total(1), total(-1))
 
+    bags = F.transform(F.array_union(a, b), lambda x: occurrences(a, x) - occurrences(b, x))
     return F.when(
         before["parse_ok"] & after["parse_ok"],
-        F.greatest(total(1), total(-1)) / F.greatest(F.size(a), F.size(b)).cast("double"),
+        let(bags, edits) / F.greatest(F.size(a), F.size(b)).cast("double"),
     )

@@ -18,7 +18,7 @@ from refracta.constants import (
 from refracta.functions.metrics import complexity_tier
 from refracta.operators.ordered import row_numbers
 from refracta.operators.sampling import take_per_group
-from refracta.session import cut_lineage
+from refracta.session import cut_lineage, literal_rows
 
 
 def length_between(df: DataFrame, code: str = "code", limits=FUNCTION_CHARS) -> DataFrame:
@@ -173,7 +173,7 @@ def counts_by_language_and_tier(df: DataFrame) -> DataFrame:
 def distribution_check(df: DataFrame, required: dict[str, int] | None = None) -> DataFrame:
     """Actual against required count per language, with percentage and verdict."""
     required = REQUIRED_PER_LANGUAGE if required is None else required
-    targets = df.sparkSession.createDataFrame(list(required.items()), "language string, required bigint")
+    targets = literal_rows(df.sparkSession, list(required.items()), "language string, required bigint")
     actual = df.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
     return (
         # the actual side has one row per language after the aggregation

@@ -11,6 +11,7 @@ from refracta.constants import BUDGET_EXHAUSTED_AT, BUDGET_TIER_PCT, BUDGET_TOTA
 from refracta.functions.attributes import ratio_or_zero
 from refracta.functions.responses import estimated_cost
 from refracta.sources.catalogue import models_of_tier
+from refracta.session import literal_rows
 
 ROLLUP_AGGREGATES = {
     "total_calls": lambda: F.count(F.lit(1)),
@@ -81,7 +82,8 @@ def budget_report(
     spend keeps its whole budget.
     """
     pct = BUDGET_TIER_PCT if tier_pct is None else tier_pct
-    budgets = rollup.sparkSession.createDataFrame(
+    budgets = literal_rows(
+        rollup.sparkSession,
         [(tier, total * p / 100.0) for tier, p in pct.items()] + [("total", float(total))],
         "tier string, budget_usd double",
     )
@@ -109,12 +111,10 @@ def budget_report(
 
 def with_estimated_cost(responses: DataFrame, models: DataFrame) -> DataFrame:
     """Token cost of each reply at its model's rate."""
-    rates = F.broadcast(  # the catalogue is a literal list
-        models.select(
-            F.col("id").alias("model"),
-            F.col("cost_per_1k_tokens").alias("__rate"),
-            F.lit(True).alias("__known"),
-        )
+    rates = models.select(
+        F.col("id").alias("model"),
+        F.col("cost_per_1k_tokens").alias("__rate"),
+        F.lit(True).alias("__known"),
     )
     return (
         responses.join(rates, "model", "left")

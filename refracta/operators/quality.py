@@ -23,6 +23,7 @@ from refracta.constants import (
     TASKS,
 )
 from refracta.functions.text import all_of, any_of, by_language
+from refracta.session import literal_rows
 
 # --- row rules -----------------------------------------------------------------------
 
@@ -88,7 +89,7 @@ def schema_gaps(tables: dict[str, DataFrame], expected: dict[str, T.StructType])
 
     gaps = sorted(rows(expected) - rows({t: d.schema for t, d in tables.items()}))
     spark = next(iter(tables.values())).sparkSession
-    return spark.createDataFrame(gaps, "table string, column string, type string")
+    return literal_rows(spark, gaps, "table string, column string, type string")
 
 
 # --- anomalies ---------------------------------------------------------------------------
@@ -212,11 +213,10 @@ def intensity_conformance(pairs: DataFrame) -> DataFrame:
 
     Needs task, intensity, loc_before/after, cc_before/after.
     """
-    rules = F.broadcast(  # a literal list of nine rows
-        pairs.sparkSession.createDataFrame(
-            list(INTENSITY_RULES),
-            "task string, intensity string, loc_lo double, loc_hi double, cc_lo double, cc_hi double",
-        )
+    rules = literal_rows(
+        pairs.sparkSession,
+        list(INTENSITY_RULES),
+        "task string, intensity string, loc_lo double, loc_hi double, cc_lo double, cc_hi double",
     )
 
     def within(kind: str) -> Column:

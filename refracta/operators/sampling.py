@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from refracta.constants import SAMPLE_LANGUAGE_QUOTA, SAMPLE_TIER_SHARE
 from refracta.functions.metrics import complexity_tier
 from refracta.operators.ordered import row_numbers
+from refracta.session import literal_rows
 
 # Spark turns "rank <= k" into a per-task limit only up to this k by default.
 GROUP_LIMIT = 1000
@@ -83,7 +84,8 @@ def stratified_sample(
 def sample_report(sample: DataFrame, quotas: dict[tuple, int] | None = None) -> DataFrame:
     """Sampled rows per stratum against the quota, with the shortfall."""
     quotas = stratum_quotas() if quotas is None else quotas
-    targets = sample.sparkSession.createDataFrame(
+    targets = literal_rows(
+        sample.sparkSession,
         [(*k, v) for k, v in quotas.items()], "language string, tier string, quota bigint"
     )
     actual = sample.groupBy("language", "tier").agg(F.count(F.lit(1)).alias("n"))

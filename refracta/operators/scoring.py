@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from refracta.constants import NATURAL_KEY
 from refracta.functions.metrics import halstead_volume, keyword_complexity
 from refracta.functions.scoring import delta_cc, effort, se_score, text_diversity
-from refracta.functions.text import without_whitespace
 from refracta.operators.astnodes import tree_complexity, tree_distance_bound, with_tree
+from refracta.session import spread
 
 
 def with_preservation(df: DataFrame, results: DataFrame, key=NATURAL_KEY) -> DataFrame:
@@ -48,15 +48,9 @@ def score(
         staged = joined.withColumn("preservation", F.lit(1))
     else:
         staged = with_preservation(joined, results)
-    staged = staged.withColumns(
-        {
-            "__bare_a": without_whitespace(F.col("code")),
-            "__bare_b": without_whitespace(F.col("transformed_code")),
-        }
-    )
-    text_score = text_diversity(
-        F.col("code"), F.col("transformed_code"), F.col("__bare_a"), F.col("__bare_b")
-    )
+    # Edit distances dominate from here on.
+    staged = spread(staged)
+    text_score = text_diversity(F.col("code"), F.col("transformed_code"))
     if use_trees:
         python = F.col("language") == "python"
         staged = with_tree(with_tree(staged, "code", "__tree_a", python), "transformed_code", "__tree_b", python)

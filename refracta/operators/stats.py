@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from refracta.constants import STRATEGIES
 from refracta.operators.ordered import quantiles, running_total
+from refracta.session import literal_rows
 
 
 def distribution(facts: DataFrame, by: Sequence[str], value: str = "se_score", **options) -> DataFrame:
@@ -255,7 +256,7 @@ def multiple_fit(df: DataFrame, predictors: Sequence[str], y: str) -> DataFrame:
     fit = LinearRegression(labelCol=y, solver="normal", standardization=True).fit(features)
     out = [(p, float(c)) for p, c in zip(predictors, fit.coefficients, strict=True)]
     out += [("intercept", float(fit.intercept)), ("r2", float(fit.summary.r2))]
-    return df.sparkSession.createDataFrame(out, "term string, coefficient double")
+    return literal_rows(df.sparkSession, out, "term string, coefficient double")
 
 
 def quadratic_fit(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -284,7 +285,8 @@ def logistic_fit(df: DataFrame, label: str, numeric: Sequence[str], category: st
     # The encoder drops the last index, which is the alphabetically first value.
     terms = [*numeric, *[f"{category}={v}" for v in indexer.labels[:-1]]]
     out = [(t, float(c)) for t, c in zip(terms, fit.coefficients, strict=True)]
-    return df.sparkSession.createDataFrame(
+    return literal_rows(
+        df.sparkSession,
         [*out, ("intercept", float(fit.intercept))], "term string, coefficient double"
     )
 
@@ -334,7 +336,8 @@ def piecewise_fit(df: DataFrame, x: str, y: str, min_rows: int = 3) -> DataFrame
 def chi_square(counts: DataFrame, group: str, targets: dict[str, float]) -> DataFrame:
     """Goodness of fit of the counts per group against target shares."""
     total = sum(targets.values())
-    shares = counts.sparkSession.createDataFrame(
+    shares = literal_rows(
+        counts.sparkSession,
         [(k, v / total) for k, v in targets.items()], f"{group} string, share double"
     )
     observed = counts.groupBy(group).agg(F.count(F.lit(1)).alias("o"))

@@ -1 +1,257 @@
-""""""
+"""Leaderboards, monitors, progress and ordered reports."""
+
+from pyspark.sql import functions as F
+
+from refracta.operators import cost as O
+from refracta.operators import leaderboard as B
+from refracta.operators import monitor as N
+from refracta.operators.sampling import random_order
+from refracta.plans import fixtures as X
+from refracta.plans.fixtures import ARRIVAL, CORPUS, RUN_LOG, rounded
+from refracta.plans.registry import query
+
+BOARD_SQL = f"""SELECT model, task, strategy, CAST(count(*) AS BIGINT) AS total_transformations,
+  CAST(sum(CASE WHEN preservation = 1 THEN 1 ELSE 0 END) AS BIGINT) AS successful,
+  round(avg(CASE WHEN preservation = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100, 2) AS success_rate_pct,
+  round(avg(se_score), 3) AS mean_se, round(quantile_cont(se_score, 0.5), 3) AS median_se,
+  round(stddev_samp(se_score), 3) AS std_se, round(sum(cost_usd), 6) AS total_cost_usd,
+  round(avg(latency_ms), 0) AS avg_latency_ms FROM {RUN_LOG} WHERE se_score IS NOT NULL GROUP BY model, task, strategy"""
+
+
+def _board(df):
+    return df.withColumn("total_cost_usd", F.round("total_cost_usd", 6))
+
+
+@query("a1_leaderboard", BOARD_SQL)
+def _(spark, sf):
+    return _board(B.leaderboard(X.run_log(spark, sf)))
+
+
+@query("a1_leaderboard_by_range", BOARD_SQL)
+def _(spark, sf):
+    # The plan for groups of any size, forced here by a size limit of zero.
+    return _board(B.leaderboard(X.run_log(spark, sf), single_pass_bytes=0))
+
+
+@query(
+    "a2_leaderboard_query",
+    f"SELECT * FROM ({BOARD_SQL}) WHERE task = 'refactor' AND strategy = 'zero_shot' "
+    "ORDER BY mean_se DESC NULLS FIRST, model, task, strategy LIMIT 5",
+)
+def _(spark, sf):
+    return _board(B.top_leaderboard(X.run_log(spark, sf), "refactor", "zero_shot", 5))
+
+
+@query(
+    "o1_leaderboard_order",
+    f"SELECT model, task, strategy, mean_se FROM ({BOARD_SQL}) ORDER BY mean_se DESC NULLS FIRST, model, task, strategy LIMIT 20",
+)
+def _(spark, sf):
+    return B.top_leaderboard(X.run_log(spark, sf), limit=20).select("model", "task", "strategy", "mean_se")
+
+
+@query(
+    "a10_dataset_stats",
+    f"""SELECT f.n AS total_functions, f.v AS validated_functions, t.n AS total_transformations,
+    t.s AS successful_transformations, round(t.s * 100.0::DOUBLE / t.n, 6) AS success_rate, round(t.c, 6) AS total_cost_usd,
+    round(2000.0::DOUBLE - t.c, 6) AS remaining_budget_usd
+    FROM (SELECT count(*) AS n, count(*) FILTER (validated) AS v FROM {CORPUS}) f,
+    (SELECT count(*) AS n, count(*) FILTER (preservation = 1) AS s, sum(cost_usd) AS c FROM {RUN_LOG}) t""",
+)
+def _(spark, sf):
+    log = X.run_log(spark, sf)
+    return rounded(N.dataset_stats(X.corpus(spark, sf), log, O.daily_rollup(log)))
+
+
+@query(
+    "a11_count_by_language",
+    f"SELECT language, CAST(count(*) AS BIGINT) AS functions FROM {CORPUS} GROUP BY language",
+)
+def _(spark, sf):
+    return N.count_by_language(X.corpus(spark, sf))
+
+
+_TOTALS_SQL = (
+    "SELECT CAST(count(*) AS BIGINT) AS total_transformations, CAST(count(*) FILTER (se_score IS NULL) AS BIGINT) AS pending_se_calc, "
+    "CAST(count(DISTINCT function_id) AS BIGINT) AS unique_functions, CAST(count(DISTINCT model) AS BIGINT) AS unique_models, "
+    "round(sum(cost_usd), {0}) AS total_cost_usd, round(avg(latency_ms), 0) AS avg_latency_ms FROM " + RUN_LOG
+)
+
+
+@query("a14_monitor_totals", _TOTALS_SQL.format(2))
+def _(spark, sf):
+    return N.run_totals(X.run_log(spark, sf))
+
+
+@query("a17_pipeline_totals", _TOTALS_SQL.format(4))
+def _(spark, sf):
+    return N.run_totals(X.run_log(spark, sf), cost_places=4)
+
+
+_BY_MODEL_SQL = (
+    f"SELECT model, CAST(count(*) AS BIGINT) AS count, round(sum(cost_usd), 2) AS cost_usd, "
+    f"round(avg(latency_ms), 0) AS avg_latency_ms FROM {RUN_LOG} GROUP BY model"
+)
+_DETAIL_SQL = (
+    f"SELECT model, CAST(count(*) AS BIGINT) AS count, round(sum(cost_usd), 4) AS cost, "
+    f"round(avg(delta_cc), 2) AS avg_delta_cc FROM {RUN_LOG} GROUP BY model"
+)
+
+
+@query("a15_by_model", _BY_MODEL_SQL)
+def _(spark, sf):
+    return N.by_model(X.run_log(spark, sf))
+
+
+@query("o2_models_by_cost", f"{_BY_MODEL_SQL} ORDER BY cost_usd DESC, model LIMIT 3")
+def _(spark, sf):
+    return N.by_model(X.run_log(spark, sf)).limit(3)
+
+
+@query(
+    "a16_by_task_strategy",
+    f"SELECT task, strategy, CAST(count(*) AS BIGINT) AS count FROM {RUN_LOG} GROUP BY task, strategy",
+)
+def _(spark, sf):
+    return N.by_task_strategy(X.run_log(spark, sf))
+
+
+@query("a18_by_model_detail", _DETAIL_SQL)
+def _(spark, sf):
+    return N.by_model_detail(X.run_log(spark, sf))
+
+
+@query("o3_models_by_count", f"{_DETAIL_SQL} ORDER BY count DESC, model LIMIT 3")
+def _(spark, sf):
+    return N.by_model_detail(X.run_log(spark, sf)).limit(3)
+
+
+_TASK_SQL = (
+    f"SELECT task, strategy, CAST(count(*) AS BIGINT) AS count, round(avg(delta_cc), 2) AS avg_delta_cc "
+    f"FROM {RUN_LOG} GROUP BY task, strategy"
+)
+
+
+@query("a19_by_task_strategy_delta", _TASK_SQL)
+def _(spark, sf):
+    return N.by_task_strategy(X.run_log(spark, sf), with_delta=True)
+
+
+@query("o4_task_strategy_order", f"{_TASK_SQL} ORDER BY task, strategy LIMIT 10")
+def _(spark, sf):
+    return N.by_task_strategy(X.run_log(spark, sf), with_delta=True).limit(10)
+
+
+@query(
+    "o5_latest_results",
+    f"SELECT function_id, model, task, strategy, delta_cc, round(cost_usd, 6) AS cost, timestamp FROM {RUN_LOG} "
+    "ORDER BY timestamp DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice LIMIT 5",
+)
+def _(spark, sf):
+    return N.latest(X.run_log(spark, sf), 5, ARRIVAL[1:])
+
+
+@query(
+    "o6_random_order",
+    f"SELECT id, CAST(row_number() OVER (ORDER BY md5(id || '7'), id) AS BIGINT) AS place FROM {CORPUS}",
+)
+def _(spark, sf):
+    from refracta.operators.ordered import row_numbers
+
+    shuffled = X.corpus(spark, sf).select("id", random_order(F.col("id"), "7").alias("k"))
+    return row_numbers(shuffled, ["k", "id"], "place").select("id", "place")
+
+
+_PROGRESS_SQL = f"""WITH p AS (SELECT model, count(*) AS completed, count(*) FILTER (preservation = 1) AS successful,
+    coalesce(avg(se_score) FILTER (preservation = 1), 0.0::DOUBLE) AS avg_se,
+    CASE WHEN count(se_score) FILTER (preservation = 1) < 2 THEN 0.0::DOUBLE ELSE stddev_pop(se_score) FILTER (preservation = 1) END AS std_se,
+    sum(cost_usd) AS cost, date_diff('second', min(timestamp), max(timestamp)) AS s FROM {RUN_LOG} GROUP BY model)"""
+
+
+@query(
+    "a21_experiment_progress",
+    f"""{_PROGRESS_SQL} SELECT model, completed, successful, completed - successful AS failed,
+    round(completed / 20000.0::DOUBLE * 100, 6) AS progress_pct, round(successful * 100.0::DOUBLE / completed, 6) AS success_rate,
+    round(avg_se, 6) AS avg_se, round(std_se, 6) AS std_se, round(cost, 6) AS total_cost_usd FROM p""",
+)
+def _(spark, sf):
+    p = N.experiment_progress(X.run_log(spark, sf), planned=20000)
+    return rounded(p.drop("per_minute", "eta_s", "eta"))
+
+
+@query(
+    "a22_throughput_and_eta",
+    f"""{_PROGRESS_SQL} SELECT model, round(completed * 60.0::DOUBLE / s, 6) AS per_minute,
+    CAST(floor(s::DOUBLE / completed * (200000 - completed)) AS BIGINT) AS eta_s FROM p""",
+)
+def _(spark, sf):
+    p = N.experiment_progress(X.run_log(spark, sf), planned=200000)
+    return rounded(p.select("model", "per_minute", "eta_s"))
+
+
+@query(
+    "a29_leaderboard_by_language",
+    f"""SELECT r.model, r.task, c.language, CAST(count(*) AS BIGINT) AS transformations,
+    round(count(*) FILTER (r.preservation = 1) * 100.0::DOUBLE / count(*), 6) AS success_rate_pct, round(avg(r.se_score), 6) AS mean_se
+    FROM {RUN_LOG} r JOIN {CORPUS} c ON c.id = r.function_id WHERE r.se_score IS NOT NULL GROUP BY 1, 2, 3""",
+)
+def _(spark, sf):
+    return rounded(B.by_language(X.run_log(spark, sf), X.corpus(spark, sf)))
+
+
+@query(
+    "a29_language_pivot",
+    f"""SELECT model, task, {", ".join(f"round(avg(se_score) FILTER (language = '{x}'), 6) AS {x}" for x in X.LANGS)}
+    FROM {RUN_LOG} r JOIN {CORPUS} c ON c.id = r.function_id WHERE se_score IS NOT NULL GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    cells = B.by_language(X.run_log(spark, sf), X.corpus(spark, sf))
+    return rounded(B.language_pivot(cells, X.LANGS))
+
+
+@query(
+    "a33_efficiency",
+    f"""WITH m AS (SELECT model, avg(se_score) AS se, avg(cost_usd) AS c FROM {RUN_LOG} WHERE se_score IS NOT NULL GROUP BY model),
+    b AS (SELECT se AS se0, c AS c0 FROM m WHERE model = 'm0')
+    SELECT model, round(se, 6) AS mean_se, round(c, 6) AS mean_cost, round(se / c * 1000, 2) AS se_per_1000usd,
+    round(CASE WHEN c - c0 <> 0 THEN (se - se0) / (c - c0) END, 1) AS roi FROM m, b""",
+)
+def _(spark, sf):
+    e = B.efficiency(X.run_log(spark, sf), "m0")
+    return e.select(
+        "model", F.round("mean_se", 6).alias("mean_se"), F.round("mean_cost", 6).alias("mean_cost"),
+        F.round("se_per_1000usd", 2).alias("se_per_1000usd"), F.round("roi", 1).alias("roi"),
+    )
+
+
+_MODEL_MEANS = (
+    f"(SELECT function_id AS model, avg(se_score) AS se, avg(cost_usd) AS c FROM {RUN_LOG} "
+    "WHERE se_score IS NOT NULL GROUP BY 1)"
+)
+
+
+@query(
+    "j12_pareto_front",
+    f"""WITH m AS (SELECT model, round(se, 3) AS mean_se, round(c, 5) AS mean_cost FROM {_MODEL_MEANS})
+    SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.model <> m.model AND o.mean_se >= m.mean_se AND o.mean_cost <= m.mean_cost)""",
+)
+def _(spark, sf):
+    # Functions stand in for models: there are enough of them for ties and dominance.
+    per = (
+        X.run_log(spark, sf)
+        .filter(F.col("se_score").isNotNull())
+        .groupBy(F.col("function_id").alias("model"))
+        .agg(F.round(F.avg("se_score"), 3).alias("mean_se"), F.round(F.avg("cost_usd"), 5).alias("mean_cost"))
+    )
+    return B.pareto_front(per).select("model", "mean_se", "mean_cost")
+
+
+@query(
+    "o8_tier_counts_sorted",
+    f"SELECT tier, CAST(count(*) AS BIGINT) AS functions FROM (SELECT {X.sql_tier(X.sql_cc('code'))} AS tier FROM {CORPUS}) GROUP BY tier ORDER BY tier",
+)
+def _(spark, sf):
+    from refracta.operators.corpus import counts_by_language_and_tier
+
+    both = counts_by_language_and_tier(X.functions(spark, sf))
+    return both.filter("dimension = 'tier'").select(F.col("value").alias("tier"), "functions").orderBy("tier")

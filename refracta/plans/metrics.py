@@ -12,6 +12,7 @@ from refracta.operators.corpus import keep_first
 from refracta.plans import fixtures as X
 from refracta.plans.fixtures import ATTEMPTS, CORPUS, FUNCTIONS, TEST_RESULTS
 from refracta.plans.registry import query
+from refracta.session import spread
 
 NORM = X.sql_norm("code")
 
@@ -170,7 +171,7 @@ def _(spark, sf):
 
 def _pairs(spark, sf):
     c = X.corpus(spark, sf).select(F.col("id").alias("function_id"), "code", "language", "p_size")
-    return X.attempts(spark, sf).join(c, "function_id")
+    return spread(X.attempts(spark, sf).join(c, "function_id"))
 
 
 def _diversity_sql(a: str, b: str) -> str:

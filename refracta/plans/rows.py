@@ -198,7 +198,7 @@ def _(spark, sf):
     )
 
 
-_KEY4 = "function_id = 'fn_7' AND model = 'm3' AND task = 'refactor' AND strategy = 'zero_shot'"
+_KEY4 = "function_id = 'fn_7' AND model = 'm4' AND task = 'refactor' AND strategy = 'zero_shot'"
 
 
 @query(
@@ -207,7 +207,7 @@ _KEY4 = "function_id = 'fn_7' AND model = 'm3' AND task = 'refactor' AND strateg
 )
 def _(spark, sf):
     return L.transformation_by_key(
-        X.run_log(spark, sf), "fn_7", "m3", "refactor", "zero_shot"
+        X.run_log(spark, sf), "fn_7", "m4", "refactor", "zero_shot"
     ).select("l_orderkey", "se_score", "cost_usd")
 
 

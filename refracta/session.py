@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "refracta", master: str | None = None, **conf: str) -> SparkSession:
@@ -62,6 +65,46 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of ``df``, or None when the session cannot give one."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except AttributeError:  # remote (Connect) sessions expose no plan object
         return None
+
+
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of all inputs of the plan; unlike the estimate above, joins do not multiply it."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(
+            int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())
+        )
+    except AttributeError:
+        return None
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give heavy per-row work enough partitions when the input is too small to have them.
+
+    A small file arrives as one split and would keep one core busy. An input that fills
+    the cores by itself is left where it is: moving it would cost a shuffle for nothing.
+    """
+    sc = df.sparkSession.sparkContext
+    size = input_bytes(df)
+    split = 16 * 1024 * 1024
+    if size is None or size >= split * sc.defaultParallelism:
+        return df
+    return df.repartition(sc.defaultParallelism)
+
+
+def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few constant rows as a plan of literals.
+
+    Catalyst knows its size, so joins with it are broadcast on the optimizer's own check.
+    """
+    fields = [c.split() for c in schema.split(", ")]
+    items = [
+        F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, fields, strict=True)])
+        for row in rows
+    ]
+    empty = ", ".join(f"{name}:{kind}" for name, kind in fields)
+    table = F.array(*items).cast(f"array<struct<{empty}>>")
+    return spark.range(1).select(F.inline(table))

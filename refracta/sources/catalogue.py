@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refracta.constants import BUDGET_TIER_PCT, MODELS
+from refracta.session import literal_rows
 
 SCHEMA = "tier string, id string, name string, cost_per_1k_tokens double"
 
 
 def models(spark: SparkSession, rows: Sequence[tuple] = MODELS) -> DataFrame:
-    return spark.createDataFrame(list(rows), SCHEMA)
+    return literal_rows(spark, list(rows), SCHEMA)
 
 
 def models_of_tier(catalogue: DataFrame, tier: str) -> DataFrame:
@@ -38,7 +39,7 @@ def with_model_attributes(df: DataFrame, catalogue: DataFrame, strict: bool = Fa
     first = catalogue.groupBy(F.col("id").alias("model")).agg(
         F.min_by(F.struct("tier", "cost_per_1k_tokens"), "tier").alias("m")
     )
-    out = df.join(F.broadcast(first), "model", "left")
+    out = df.join(first, "model", "left")
     if strict:
         missing = out.filter(F.col("m").isNull()).select("model").limit(1).collect()
         if missing:

@@ -29,6 +29,9 @@ def connect(sf: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+TIMES: dict[str, float] = {}
+
+
 def _plain(v):
     if isinstance(v, decimal.Decimal):
         return float(v)
@@ -55,8 +58,10 @@ def _canonical(names, rows):
 
 def compare(spark, con, name: str, fn, sql: str, sf: str) -> str | None:
     """None when equal, else what differs."""
+    t = time.time()
     df = fn(spark, sf)
     got_names, got = _canonical(df.columns, [tuple(r) for r in df.collect()])
+    TIMES[name] = time.time() - t
     cur = con.execute(sql)
     want_names, want = _canonical([d[0] for d in cur.description], cur.fetchall())
     if got_names != want_names:
@@ -100,7 +105,7 @@ def main() -> int:
             problem = f"{type(e).__name__}: {str(e)[:900]}"
         if problem:
             bad += 1
-        print(f"{'FAIL' if problem else 'ok  '} {time.time() - t:6.2f}s {name} {'' if name in oracles else '(rows only)'} {problem or ''}"[:1500], flush=True)
+        print(f"{'FAIL' if problem else 'ok  '} {TIMES.get(name, 0):6.2f}s of {time.time() - t:6.2f}s {name} {'' if name in oracles else '(rows only)'} {problem or ''}"[:1500], flush=True)
     print("failures:", bad)
     return bad
 
