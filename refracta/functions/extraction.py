@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from refracta.constants import BLOCK_CHARS, FUNCTION_CHARS, FUNCTION_WINDOW, LANGUAGE_ALIASES
-from refracta.functions.text import WORD, WS, strip
+from refracta.functions.text import WORD, WS, let, strip
 
 # --- pages ------------------------------------------------------------------------
 
@@ -62,21 +62,72 @@ def first_block(section: Column, tags=("pre", "code"), limits=BLOCK_CHARS) -> Co
     return F.get(fitting, F.lit(0))
 
 
+_VOID = r"(?i)</?(?:br|hr|img|input|link|meta|col|wbr)\b[^>]*>"
+
+
+def first_sibling_holding(html: Column, tags=("pre", "code")) -> Column:
+    """First element at the outermost level that has one of the tags inside it, else NULL.
+
+    The element's own tag does not count. Tags are followed by depth only, so markup
+    that leaves elements open ends at the next outer close.
+    """
+    tokens = F.regexp_extract_all(html, F.lit(r"(?s)<!--.*?-->|<[^>]*>|[^<]+"), F.lit(0))
+    wanted = rf"(?i)^<(?:{'|'.join(tags)})\b"
+    start = F.struct(
+        *[F.lit(0).alias(n) for n in ("depth", "pos", "start", "from", "to")], F.lit(False).alias("holds")
+    )
+
+    def step(s: Column, t: Column) -> Column:
+        void = F.rlike(t, F.lit(_VOID)) | F.endswith(t, F.lit("/>"))
+        opens = F.rlike(t, F.lit(r"^<[A-Za-z]")) & ~void
+        closes = F.startswith(t, F.lit("</")) & ~void & (s["depth"] > 0)
+        outermost = opens & (s["depth"] == 0)
+        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        holds = F.when(outermost, False).otherwise(s["holds"] | (opens & F.rlike(t, F.lit(wanted))))
+        pos = s["pos"] + F.length(t)
+        found = closes & (depth == 0) & s["holds"] & (s["to"] == 0)
+        return F.struct(
+            depth.alias("depth"),
+            pos.alias("pos"),
+            F.when(outermost, s["pos"]).otherwise(s["start"]).alias("start"),
+            F.when(found, s["start"]).otherwise(s["from"]).alias("from"),
+            F.when(found, pos).otherwise(s["to"]).alias("to"),
+            holds.alias("holds"),
+        )
+
+    def finish(s: Column) -> Column:
+        return F.when(s["to"] > 0, F.substring(html, s["from"] + 1, s["to"] - s["from"]))
+
+    return F.aggregate(tokens, start, step, finish)
+
+
+def section_listing(section: Column, tags=("pre", "code"), limits=BLOCK_CHARS) -> Column:
+    """First fitting block of the first element below the heading that has any block."""
+    below = F.regexp_replace(section, r"(?is)\A<h([23])\b.*?</h\1>", "")
+    return let(below, lambda x: first_block(first_sibling_holding(x, tags), tags, limits))
+
+
 def language_blocks(html: Column, heading: str = HEADLINE, tags=("pre", "code")) -> Column:
     """One (alias, language, code) per known language heading, first section each."""
     parts = F.transform(
         sections(html, heading), lambda s: F.struct(headline_id(s).alias("alias"), s.alias("body"))
     )
-    found = [
-        F.struct(
-            F.lit(alias).alias("alias"),
-            F.lit(language).alias("language"),
-            first_block(F.get(F.filter(parts, lambda p: p["alias"] == alias), F.lit(0))["body"], tags)
-            .alias("code"),
-        )
-        for alias, language in LANGUAGE_ALIASES.items()
-    ]
-    return F.filter(F.array(*found), lambda b: b["code"].isNotNull())
+
+    def body_of(p: Column, alias: str) -> Column:
+        return F.get(F.filter(p, lambda x: x["alias"] == alias), F.lit(0))["body"]
+
+    def listings(p: Column) -> Column:
+        found = [
+            F.struct(
+                F.lit(alias).alias("alias"),
+                F.lit(language).alias("language"),
+                section_listing(body_of(p, alias), tags).alias("code"),
+            )
+            for alias, language in LANGUAGE_ALIASES.items()
+        ]
+        return F.filter(F.array(*found), lambda b: b["code"].isNotNull())
+
+    return let(parts, listings)
 
 
 # --- source files -------------------------------------------------------------------

@@ -21,36 +21,28 @@ def random_order(key: Column, seed: str) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(seed)))
 
 
-def _quota(group: Sequence[str], quotas: dict[tuple, int]) -> Column:
-    """The quota as a literal CASE; strata outside the table get none."""
-    expr = F
-    for values, quota in quotas.items():
-        hit = F.lit(True)
-        for column, value in zip(group, values, strict=True):
-            hit &= F.col(column) == value
-        expr = expr.when(hit, quota)
-    return expr.otherwise(0)
-
-
 def take_per_group(
     df: DataFrame, group: Sequence[str], quotas: dict[tuple, int], order: Sequence[str]
 ) -> DataFrame:
-    """First ``quota`` rows of every group in ``order``.
+    """First ``quota`` rows of every group in ``order``; groups without a quota give none.
 
     With small quotas every task keeps only the rows that can still win, so a huge
     stratum is never gathered. Larger quotas rank by range instead.
     """
-    if not quotas:
-        return df.limit(0)
-    limit = max(quotas.values())
-    # Literal filters on the group columns reach the scan.
-    wanted = df.filter(_quota(group, quotas) > 0)
+    limit = max(quotas.values(), default=0)
+    kinds = dict(df.select(*group).dtypes)
+    table = literal_rows(
+        df.sparkSession,
+        [(*values, quota) for values, quota in quotas.items() if quota > 0],
+        ", ".join([*(f"{g} {kinds[g]}" for g in group), "__quota int"]),
+    )
+    wanted = df.join(table, list(group))
     if limit <= GROUP_LIMIT:
         position = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
         ranked = wanted.withColumn("__rn", position).filter(F.col("__rn") <= limit)
     else:
         ranked = row_numbers(wanted, order, "__rn", group)
-    return ranked.filter(F.col("__rn") <= _quota(group, quotas)).drop("__rn")
+    return ranked.filter(F.col("__rn") <= F.col("__quota")).select(*df.columns)
 
 
 def stratum_quotas(

@@ -280,7 +280,9 @@ def wiki_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("<html><body><h1>"), F.col("task_name"),
         F.lit("</h1><p>intro</p><h2><span class=\"mw-headline\" id=\""),
         pick((F.col("no") % 4).cast("int"), ALIASES),
-        F.lit("\">x</span></h2><p>see <code>short</code></p><div><pre class=\"hl\">"), escaped,
+        F.lit("\">x</span></h2>"),
+        F.when(F.col("no") % 5 == 0, "<p>see <code>short</code></p>").otherwise("<p>see<br></p>"),
+        F.lit("<div><pre class=\"hl\">"), escaped,
         F.lit("</pre></div><pre>another listing that is long enough to pass the limit of fifty</pre>"),
         F.lit("<h3><span class=\"mw-headline\" id=\"Perl\">Perl</span></h3><div><pre>"), escaped,
         F.lit("</pre></div></body></html>"),

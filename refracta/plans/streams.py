@@ -1 +1,101 @@
-""""""
+"""Streaming aggregates, run to the end of the given data and read back."""
+
+from pyspark.sql import functions as F
+
+from refracta.constants import NATURAL_KEY
+from refracta.plans import fixtures as X
+from refracta.plans.costs import ROLLUP_SQL
+from refracta.plans.fixtures import RUN_LOG, rounded
+from refracta.plans.registry import query
+from refracta.session import scratch_path
+from refracta.streaming import rollups as S
+
+
+def event_stream(spark, sf):
+    """The events table as a stream of results: an ``error`` event is a failed call."""
+    path = f"{sf}/events.parquet"
+    # As a pattern, since a stream's plain path has to be a folder.
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")
+    return stream.select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("function_id"),
+        F.col("event_type").alias("model"),
+        F.lit("refactor").alias("task"),
+        F.lit("zero_shot").alias("strategy"),
+        (F.col("value") / 100).alias("cost_usd"),
+        F.when(F.col("event_id") % 3 != 0, F.floor("value").cast("int")).alias("latency_ms"),
+        F.when(F.col("event_type") == "error", "request_error").alias("error_type"),
+        F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("se_score"),
+        F.col("ts").alias("timestamp"),
+        "event_id",
+    )
+
+
+EVENTS_SQL = """(SELECT 'u' || user_id AS function_id, event_type AS model, value / 100 AS cost_usd,
+  CASE WHEN event_id % 3 <> 0 THEN CAST(floor(value) AS INTEGER) END AS latency_ms,
+  CASE WHEN event_type = 'error' THEN 'request_error' END AS error_type,
+  CASE WHEN event_id % 4 <> 0 THEN value END AS se_score, ts AS timestamp, event_id FROM events)"""
+
+
+def _table(spark, query_, label, mode="complete"):
+    name = f"{label}_{abs(hash(scratch_path(spark, label)))}"
+    S.start_table(query_, name, mode).awaitTermination()
+    return spark.table(name)
+
+
+_ROLLUP_FIELDS = """date, model, total_calls, round(total_cost_usd, 6) AS total_cost_usd, round(avg_latency_ms, 6) AS avg_latency_ms,
+  successful_calls, failed_calls"""
+_EVENT_ROLLUP = f"SELECT {_ROLLUP_FIELDS} FROM {ROLLUP_SQL.replace(RUN_LOG, EVENTS_SQL)}"
+
+
+@query("t1_daily_rollup_stream", _EVENT_ROLLUP)
+def _(spark, sf):
+    return rounded(_table(spark, S.daily_rollup_stream(event_stream(spark, sf)), "t1"))
+
+
+@query("t2_upsert_rollup", _EVENT_ROLLUP)
+def _(spark, sf):
+    target, checkpoint = scratch_path(spark, "upsert"), scratch_path(spark, "upsert-state")
+    rollup = S.daily_rollup_stream(event_stream(spark, sf))
+    S.start_upsert(rollup, target, checkpoint).awaitTermination()
+    return rounded(S.read_upserted(spark, target))
+
+
+@query(
+    "t3_append_once",
+    f"SELECT function_id, model, event_id FROM {EVENTS_SQL} QUALIFY row_number() OVER (PARTITION BY function_id, model ORDER BY timestamp, event_id) = 1",
+)
+def _(spark, sf):
+    path = scratch_path(spark, "once")
+    # Two runs with fresh checkpoints deliver everything twice; the table takes it once.
+    for _run in range(2):
+        S.start_append_once(
+            event_stream(spark, sf), path, scratch_path(spark, "once-state"), ["timestamp", "event_id"]
+        ).awaitTermination()
+    return spark.read.parquet(path).select("function_id", "model", "event_id")
+
+
+@query(
+    "t3_once_per_key",
+    f"SELECT CAST(count(DISTINCT (function_id, model)) AS BIGINT) AS n FROM {EVENTS_SQL}",
+)
+def _(spark, sf):
+    # A single batch: all copies of a key meet within the watermark.
+    once = S.once_per_key(event_stream(spark, sf), NATURAL_KEY)
+    path, state = scratch_path(spark, "dedup"), scratch_path(spark, "dedup-state")
+    (
+        once.writeStream.format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", state)
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "t4_live_monitor",
+    f"SELECT model, CAST(count(*) AS BIGINT) AS count, CAST(count(*) FILTER (se_score IS NULL) AS BIGINT) AS pending, round(sum(cost_usd), 6) AS cost_usd FROM {EVENTS_SQL} GROUP BY model",
+)
+def _(spark, sf):
+    return rounded(_table(spark, S.monitor_stream(event_stream(spark, sf)), "t4"))
