@@ -132,16 +132,21 @@ def language_blocks(html: Column, heading: str = HEADLINE, tags=("pre", "code"))
 
 # --- source files -------------------------------------------------------------------
 
-# Header patterns. Group 1 is the name. No look-behind and no word boundary, so the
-# leftmost match of a header is also its first literal occurrence. The possessive
-# whitespace run in the Java pattern bounds the JVM's regex recursion.
+# Header patterns. Group 1 is the name. A match starts where its first run (whitespace
+# or token) starts: a start inside the run could only repeat the same attempt, and long
+# runs would cost quadratic time. So the leftmost match of a header is also its first
+# literal occurrence behind the previous match. The possessive whitespace run bounds
+# the JVM's regex recursion.
 _PARAMS = rf"{WS}*\([^)]*\){WS}*"
+_MODIFIERS = "public|private|protected|static"
+_TYPE = r"\p{L}\p{N}_<>"
 JAVA_HEADER = (
-    rf"(?:{WS}++|public|private|protected|static)+[\p{{L}}\p{{N}}_<>\[\]]+{WS}+({WORD}+){_PARAMS}\{{"
+    rf"(?:(?<!{WS}){WS}++|{_MODIFIERS})(?:{WS}++|{_MODIFIERS})*"
+    rf"[{_TYPE}\[\]]+{WS}+({WORD}+){_PARAMS}\{{"
 )
 JS_FUNCTION_HEADER = rf"function{WS}+({WORD}+){_PARAMS}\{{"
 JS_ARROW_HEADER = rf"const{WS}+({WORD}+){WS}*={_PARAMS}=>{WS}*\{{"
-CPP_HEADER = rf"[\p{{L}}\p{{N}}_:<>*&]+{WS}+({WORD}+){_PARAMS}\{{"
+CPP_HEADER = rf"(?<![{_TYPE}:*&])[{_TYPE}:*&]+{WS}+({WORD}+){_PARAMS}\{{"
 HEADERS = {
     "java": (JAVA_HEADER,),
     "javascript": (JS_FUNCTION_HEADER, JS_ARROW_HEADER),
