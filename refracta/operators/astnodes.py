@@ -21,37 +21,40 @@ from refracta.functions.text import let
 from refracta.session import spread
 
 _TEXTS, _NUMBERS = T.ArrayType(T.StringType()), T.ArrayType(T.IntegerType())
+# One entry per node, breadth first; ``def_name`` has one per plain function instead.
+# ``parent`` is the position of the parent node. ``block`` is the position of the function
+# whose complexity a node counts towards, -1 inside nested functions, which are no part of
+# the outer one and no block of their own, and NULL outside of functions.
 TREE_TYPE = T.StructType(
-    [T.StructField(n, _TEXTS) for n in ("label", "parent", "block", "name")]
-    + [T.StructField(n, _NUMBERS) for n in ("lineno", "end_lineno", "decisions")]
+    [T.StructField("label", _TEXTS)]
+    + [T.StructField(n, _NUMBERS) for n in ("parent", "block", "decisions", "lineno", "end_lineno")]
+    + [T.StructField("def_name", _TEXTS)]
     + [T.StructField(n, T.BooleanType()) for n in ("parse_ok", "compile_ok")]
 )
-_NAMES = TREE_TYPE.names
-_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+_NODE_FIELDS = TREE_TYPE.names[:6]
 _REJECTED = (SyntaxError, ValueError, RecursionError, MemoryError)
 
 
-def _decisions(node: ast.AST) -> int:
-    """Branch points one node adds."""
-    if isinstance(node, (ast.If, ast.IfExp, ast.Assert)):
-        return 1
-    if isinstance(node, ast.BoolOp):
-        return len(node.values) - 1
-    if isinstance(node, (ast.For, ast.AsyncFor, ast.While)):
-        return 1 + bool(node.orelse)
-    if isinstance(node, ast.comprehension):
-        return 1 + len(node.ifs)
-    if isinstance(node, ast.Try):
-        return len(node.handlers) + bool(node.orelse)
-    if isinstance(node, ast.Match):
-        return sum(not _catch_all(case) for case in node.cases)
-    return 0
-
-
 def _catch_all(case: ast.match_case) -> bool:
     return isinstance(case.pattern, ast.MatchAs) and case.pattern.pattern is None
 
 
+# Branch points one node adds, by node type; every other type adds none.
+_DECISIONS = {
+    ast.If: lambda n: 1,
+    ast.IfExp: lambda n: 1,
+    ast.Assert: lambda n: 1,
+    ast.BoolOp: lambda n: len(n.values) - 1,
+    ast.For: lambda n: 1 + bool(n.orelse),
+    ast.AsyncFor: lambda n: 1 + bool(n.orelse),
+    ast.While: lambda n: 1 + bool(n.orelse),
+    ast.comprehension: lambda n: 1 + len(n.ifs),
+    ast.Try: lambda n: len(n.handlers) + bool(n.orelse),
+    ast.TryStar: lambda n: len(n.handlers) + bool(n.orelse),
+    ast.Match: lambda n: sum(not _catch_all(case) for case in n.cases),
+}
+
+
 def _compiles(code: str) -> bool:
     try:
         compile(code, "<string>", "exec")
@@ -61,30 +64,30 @@ def _compiles(code: str) -> bool:
 
 
 def _walk(code: str | None) -> tuple:
-    """Nodes of one text, breadth first, as one list per attribute.
-
-    ``block`` names the function whose complexity a node counts towards. Nested
-    functions are no part of the outer one and no block of their own ('').
-    """
-    columns: list[list] = [[] for _ in range(7)]
+    """The tree of one text in the layout of ``TREE_TYPE``."""
+    labels, parents, blocks, decisions, starts, ends, names = ([] for _ in range(7))
+    columns = (labels, parents, blocks, decisions, starts, ends, names)
     if code is None:
         return (*columns, None, None)
     try:
         tree = ast.parse(code)
     except _REJECTED:
         return (*columns, False, False)
-    queue = [(tree, None, None, False)]
-    for node, parent, block, inside in queue:
-        label = type(node).__name__
-        if isinstance(node, _FUNCTIONS):
-            block, inside = ("" if inside else f"{node.name}@{node.lineno}"), True
-        row = (
-            label, parent, block, getattr(node, "name", None),
-            getattr(node, "lineno", None), getattr(node, "end_lineno", None), _decisions(node),
-        )
-        for column, value in zip(columns, row, strict=True):
-            column.append(value)
-        queue.extend((child, label, block, inside) for child in ast.iter_child_nodes(node))
+    queue = [(tree, None, None)]
+    for position, (node, parent, block) in enumerate(queue):
+        kind = type(node)
+        if kind is ast.FunctionDef or kind is ast.AsyncFunctionDef:
+            block = position if block is None else -1
+            if kind is ast.FunctionDef:
+                names.append(node.name)
+        labels.append(kind.__name__)
+        parents.append(parent)
+        blocks.append(block)
+        count = _DECISIONS.get(kind)
+        decisions.append(count(node) if count else 0)
+        starts.append(getattr(node, "lineno", None))
+        ends.append(getattr(node, "end_lineno", None))
+        queue.extend((child, position, block) for child in ast.iter_child_nodes(node))
     return (*columns, True, _compiles(code))
 
 
@@ -92,7 +95,7 @@ def _walk(code: str | None) -> tuple:
 def _trees(codes: pd.Series) -> pd.DataFrame:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        return pd.DataFrame([_walk(c) for c in codes], columns=_NAMES, dtype=object)
+        return pd.DataFrame([_walk(c) for c in codes], columns=TREE_TYPE.names, dtype=object)
 
 
 def with_tree(df: DataFrame, code: str = "code", out: str = "tree", only: Column | None = None) -> DataFrame:
@@ -105,10 +108,13 @@ def ast_nodes(df: DataFrame, tree: str = "tree") -> DataFrame:
     """One row per node next to the row's other columns."""
     t = F.col(tree)
     rest = [c for c in df.columns if c != tree]
-    fields = [n for n in _NAMES if n not in ("parse_ok", "compile_ok")]
-    return df.select(
-        *rest, F.posexplode(F.arrays_zip(*[t[f].alias(f) for f in fields])).alias("node", "n")
-    ).select(*rest, "node", *[F.col("n")[f].alias(f if f != "name" else "node_name") for f in fields])
+    zipped = F.arrays_zip(*[t[f].alias(f) for f in _NODE_FIELDS])
+    labelled = F.transform(
+        zipped, lambda n: n.withField("parent_label", F.get(t["label"], n["parent"]))
+    )
+    return df.select(*rest, F.posexplode(labelled).alias("node", "n")).select(
+        *rest, "node", *[F.col("n")[f].alias(f) for f in (*_NODE_FIELDS, "parent_label")]
+    )
 
 
 def tree_complexity(tree: Column) -> Column:
@@ -119,7 +125,7 @@ def tree_complexity(tree: Column) -> Column:
     # Only branching nodes matter; few are left of a whole tree.
     pairs = F.filter(
         F.arrays_zip(tree["block"].alias("block"), tree["decisions"].alias("decisions")),
-        lambda p: (p["decisions"] > 0) & (p["block"] != ""),
+        lambda p: (p["decisions"] > 0) & (p["block"] >= 0),
     )
 
     def most_complex(branching: Column) -> Column:
@@ -143,26 +149,23 @@ def with_complexity(df: DataFrame, code: str = "code", out: str = "cyclomatic_co
     )
 
 
-def python_functions(df: DataFrame, code: str = "code") -> DataFrame:
-    """Every plain ``def`` as whole source lines, nested ones included: seq, name, code."""
-    rest = [c for c in df.columns if c != code]
-    tree = F.col("__tree")
-    spans = F.arrays_zip(
-        *[tree[f].alias(f) for f in ("label", "name", "lineno", "end_lineno")]
-    )
-    exploded = (
-        with_tree(df, code, "__tree")
-        .select(
-            *rest,
-            F.split(code, "\n").alias("__lines"),
-            F.posexplode(F.filter(spans, lambda s: s["label"] == "FunctionDef")).alias("seq", "s"),
-        )
-    )
-    text = F.array_join(
-        F.slice("__lines", F.col("s.lineno"), F.col("s.end_lineno") - F.col("s.lineno") + 1), "\n"
+def python_function_array(code: Column, tree: Column) -> Column:
+    """Array of (name, code) for every plain ``def``, nested ones included, as whole lines."""
+    spans = F.filter(
+        F.arrays_zip(*[tree[f].alias(f) for f in ("label", "lineno", "end_lineno")]),
+        lambda s: s["label"] == "FunctionDef",
     )
-    return exploded.select(*rest, "seq", F.col("s.name").alias("name"), text.alias("code")).filter(
-        F.length("code").between(*FUNCTION_CHARS)
+    named = F.arrays_zip(spans.alias("span"), tree["def_name"].alias("name"))
+
+    def cut(lines: Column) -> Column:
+        def text(d: Column) -> Column:
+            first, last = d["span"]["lineno"], d["span"]["end_lineno"]
+            return F.array_join(F.slice(lines, first, last - first + 1), "\n")
+
+        return F.transform(named, lambda d: F.struct(d["name"].alias("name"), text(d).alias("code")))
+
+    return F.filter(
+        let(F.split(code, "\n"), cut), lambda f: F.length(f["code"]).between(*FUNCTION_CHARS)
     )
 
 

@@ -14,7 +14,8 @@ from refracta.functions.domains import (
 )
 from refracta.functions.extraction import HEADERS, HEADLINE, language_blocks, language_functions
 from refracta.functions.metrics import with_metrics
-from refracta.operators.astnodes import python_functions, tree_complexity, with_tree
+from refracta.functions.text import by_language
+from refracta.operators.astnodes import python_function_array, tree_complexity, with_tree
 
 
 def page_blocks(pages: DataFrame, heading: str = HEADLINE, tags=("pre", "code")) -> DataFrame:
@@ -25,19 +26,19 @@ def page_blocks(pages: DataFrame, heading: str = HEADLINE, tags=("pre", "code"))
 
 
 def file_functions(files: DataFrame) -> DataFrame:
-    """Functions of source files: (path, relative_path, language, seq, name, code)."""
-    keep = ["path", "relative_path", "language"]
-    parts = [
-        files.filter(F.col("language") == language)
-        .select(*keep, F.posexplode(language_functions(F.col("code"), language)).alias("seq", "f"))
-        .select(*keep, "seq", "f.name", "f.code")
-        for language in HEADERS
-    ]
-    python = files.filter(F.col("language") == "python").select(*keep, "code")
-    out = python_functions(python).select(*keep, "seq", "name", "code")
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+    """Functions of source files: (path, relative_path, language, seq, name, code).
+
+    One pass: each row takes the branch of its language, only Python rows are parsed.
+    """
+    code, language = F.col("code"), F.col("language")
+    branches = {name: language_functions(code, name) for name in HEADERS}
+    branches["python"] = python_function_array(code, F.col("__tree"))
+    found = by_language(language, branches, F.lit(None))
+    return (
+        with_tree(files.select("path", "relative_path", "language", "code"), "code", "__tree", language == "python")
+        .select("path", "relative_path", "language", F.posexplode(found).alias("seq", "f"))
+        .select("path", "relative_path", "language", "seq", "f.name", "f.code")
+    )
 
 
 def _measured(df: DataFrame) -> DataFrame:

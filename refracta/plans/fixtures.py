@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from refracta.constants import STRATEGIES, TASKS
 from refracta.functions.metrics import with_metrics
 from refracta.functions.domains import domain_from_task
+from refracta.session import spread
 from refracta.sources.catalogue import models
 
 NL = "\n"
@@ -90,7 +91,7 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 def functions(spark: SparkSession, sf: str) -> DataFrame:
     """The corpus with its metrics: the ``functions`` table."""
-    return with_metrics(corpus(spark, sf)).withColumn("domain", domain_from_task(F.col("task_name")))
+    return with_metrics(spread(corpus(spark, sf))).withColumn("domain", domain_from_task(F.col("task_name")))
 
 
 def run_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -244,7 +245,7 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
 
 def source_files(spark: SparkSession, sf: str) -> DataFrame:
     """Source files with two functions each, one file per part; some in excluded places."""
-    c = corpus(spark, sf)
+    c = spread(corpus(spark, sf))
     n = (F.col("no") % 4).cast("int")
     second = F.concat(
         pick(n, ("def g", "public int g", "function g", "int g")), F.lit("7"),
@@ -271,7 +272,7 @@ ALIASES = ("Python", "Java", "JavaScript", "C++")
 
 def wiki_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Pages with a listing per language heading, one page per part."""
-    c = corpus(spark, sf)
+    c = spread(corpus(spark, sf))
     escaped = F.replace(
         F.replace(F.replace("code", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
         F.lit(">"), F.lit("&gt;"),

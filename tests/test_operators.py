@@ -331,7 +331,7 @@ def test_trees(spark):
         "a": (3, True, True), "b": (1, True, True), "c": (None, False, False), "d": (1, True, False),
         "e": (None, None, None),
     }
-    found = astnodes.python_functions(df.select("id", "code")).collect()
+    found = df.select(F.inline(astnodes.python_function_array(F.col("code"), F.col("tree")))).collect()
     names = sorted((r["name"], r["code"].split("\n")[0].strip()) for r in found)
     assert names == [
         ("factorial", "def factorial(n):"), ("fibonacci", "def fibonacci(n):"), ("inner", "def inner(x):")
