@@ -32,6 +32,19 @@ def daily_rollup(facts: DataFrame) -> DataFrame:
     return facts.groupBy(F.to_date("timestamp").alias("date"), "model").agg(*rollup_columns())
 
 
+def merge_rollups(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Roll-up of both inputs from their roll-ups alone: sums add up, means weigh by calls."""
+    both = old.unionByName(new.select(*old.columns))
+    calls = F.sum("total_calls")
+    return both.groupBy("date", "model").agg(
+        calls.alias("total_calls"),
+        F.sum("total_cost_usd").alias("total_cost_usd"),
+        (F.sum(F.col("avg_latency_ms") * F.col("total_calls")) / calls).alias("avg_latency_ms"),
+        F.sum("successful_calls").alias("successful_calls"),
+        F.sum("failed_calls").alias("failed_calls"),
+    )
+
+
 def with_rates(rollup: DataFrame) -> DataFrame:
     """Success rate in percent and cost per call of each roll-up row."""
     return rollup.withColumns(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from refracta.operators.ordered import SINGLE_PASS_BYTES, quantiles
+from refracta.operators.ordered import SINGLE_PASS_BYTES, quantiles, running_max
 from refracta.session import estimated_bytes
 
 GROUP = ("model", "task", "strategy")
@@ -131,20 +131,15 @@ def pareto_front(per_model: DataFrame, score: str = "mean_se", cost: str = "mean
     """Models for which no other one has score >= and cost <= at once.
 
     Input is one row per model. Of rows with equal cost only a single best one can
-    stay, and it must beat everything cheaper; both are running maxima, not pairs.
+    stay, and it must beat everything cheaper: a maximum per cost and a running maximum
+    over the costs, no pairs.
     """
-    same_cost = Window.partitionBy(cost)
-    cheaper = Window.orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
-    best = (
-        per_model.withColumn("__best", F.max(score).over(same_cost))
-        .filter(F.col(score) == F.col("__best"))
-        .withColumn("__ties", F.count(F.lit(1)).over(same_cost))
-    )
-    steps = best.groupBy(cost).agg(F.max("__best").alias("__step"))
-    below = steps.withColumn("__below", F.max("__step").over(cheaper)).select(cost, "__below")
+    steps = per_model.groupBy(cost).agg(F.max(score).alias("__best"))
+    below = running_max(steps, "__best", cost, "__below")
+    best = per_model.join(below, cost).filter(F.col(score) == F.col("__best"))
+    single = best.groupBy(cost).agg(F.count(F.lit(1)).alias("__ties")).filter("__ties = 1")
     return (
-        best.filter("__ties = 1")
-        .join(below, cost)
-        .filter(F.col("__below").isNull() | (F.col(score) > F.col("__below")))
-        .drop("__best", "__ties", "__below")
+        best.filter(F.col("__below").isNull() | (F.col(score) > F.col("__below")))
+        .join(single, cost, "left_semi")
+        .drop("__best", "__below")
     )

@@ -59,7 +59,10 @@ def _join_offsets(parts: DataFrame, offsets: DataFrame, group: Sequence[str]) ->
 def running_total(
     df: DataFrame, value: str, order: Sequence[str], out: str, group: Sequence[str] = ()
 ) -> DataFrame:
-    """Sum of ``value`` over the rows before this one in ``order`` (within ``group``)."""
+    """Sum of ``value`` over the rows before this one in ``order`` (within ``group``).
+
+    All columns of ``df`` are written once on the way: select what is needed first.
+    """
     parts = ranged(df, [*group, *order])
     offsets = _offsets(parts, group, {"v": F.sum(F.coalesce(F.col(value), F.lit(0)))})
     inside = (
@@ -73,6 +76,23 @@ def running_total(
     )
 
 
+def running_max(df: DataFrame, value: str, order: str, out: str) -> DataFrame:
+    """Largest ``value`` over the rows before this one in ``order``, NULL for the first."""
+    parts = ranged(df, [order])
+    before = Window.orderBy("__key_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        parts.groupBy(F.col(PART).alias("__key_part"))
+        .agg(F.max(value).alias("__m"))
+        .select("__key_part", F.max("__m").over(before).alias("__before_m"))
+    )
+    inside = Window.partitionBy(PART).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        _join_offsets(parts, offsets, ())
+        .withColumn(out, F.greatest(F.max(value).over(inside), F.col("__before_m")))
+        .drop(PART, "__before_m")
+    )
+
+
 def row_numbers(df: DataFrame, order: Sequence[str], out: str, group: Sequence[str] = ()) -> DataFrame:
     """1-based position in ``order`` within ``group``; the order must be total."""
     parts = ranged(df, [*group, *order])
@@ -116,6 +136,8 @@ def quantiles(
     keyed = ranks.select(
         *[F.col(g).alias(f"__key_{g}") for g in group], F.col(value).alias("__value"), "n", "below"
     )
+    # Group sizes are one row per group: broadcast when small, and where they are not,
+    # AQE splits the values of a crowded group.
     joined = sizes.join(keyed, _same_group(group), "left")
     picked = []
     for name, p in probabilities.items():

@@ -138,12 +138,13 @@ def cohens_d(facts: DataFrame, baseline: str = "zero_shot") -> DataFrame:
             F.var_samp("se_score").alias("var"),
         )
     )
-    base = m.filter(F.col("strategy") == baseline).select(
-        F.col("n").alias("n0"), F.col("mean").alias("m0"), F.col("var").alias("v0"),
-        F.lit(1).alias("one"),
-    )
-    # Both sides are aggregated: one row per strategy and a single row.
-    both = m.filter(F.col("strategy") != baseline).withColumn("one", F.lit(1)).join(base, "one")
+    # One row per strategy from here on; the baseline's numbers ride along.
+    is_base = F.col("strategy") == baseline
+
+    def base(column: str) -> Column:
+        return F.max(F.when(is_base, F.col(column))).over(Window.partitionBy())
+
+    both = m.withColumns({"n0": base("n"), "m0": base("mean"), "v0": base("var")}).filter(~is_base)
     pooled = F.sqrt(
         ((F.col("n") - 1) * F.col("var") + (F.col("n0") - 1) * F.col("v0"))
         / (F.col("n") + F.col("n0") - 2)
@@ -154,31 +155,30 @@ def cohens_d(facts: DataFrame, baseline: str = "zero_shot") -> DataFrame:
 
 
 def _ranked_groups(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, n, rank sum, rows, tie term) from counts per distinct value.
+    """(group, n, rank_sum) rows plus one row without a group that carries the tie term.
 
-    Ranks are average ranks over the whole table; one row per group comes out.
+    Ranks are average ranks over the whole table. Rows are counted per (value, group)
+    first and ranked per distinct value.
     """
     counts = (
         df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
         .groupBy(value, group)
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    # Ranking runs on (value, group) rows; a value's ties are its groups, a short list.
-    per_value = counts.groupBy(value).agg(
-        F.sum("c").alias("n"), F.collect_list(F.struct(F.col(group).alias("g"), "c")).alias("members")
+    per_value = counts.groupBy(value).agg(F.sum("c").alias("n"))
+    ranked = running_total(per_value, "n", [value], "below").select(
+        value,
+        (F.col("below") + (F.col("n") + 1) / 2).alias("rank"),
+        (F.pow(F.col("n"), F.lit(3)) - F.col("n")).alias("t"),
     )
-    ranked = running_total(per_value, "n", [value], "below")
-    rank = F.col("below") + (F.col("n") + 1) / 2
-    ties = F.pow(F.col("n"), F.lit(3)) - F.col("n")
-    # The tie term belongs to a value, so it goes to the first member only.
-    exploded = ranked.select(
-        rank.alias("rank"), ties.alias("ties"), F.posexplode("members").alias("pos", "m")
-    )
-    return exploded.groupBy(F.col("m.g").alias(group)).agg(
-        F.sum("m.c").alias("n"),
-        F.sum(F.col("rank") * F.col("m.c")).alias("rank_sum"),
-        F.sum(F.when(F.col("pos") == 0, F.col("ties")).otherwise(0.0)).alias("ties"),
+    sums = (
+        counts.join(ranked, value)
+        .groupBy(group)
+        .agg(F.sum("c").alias("n"), F.sum(F.col("rank") * F.col("c")).alias("rank_sum"))
+        .withColumn("ties", F.lit(0.0))
     )
+    ties = ranked.agg(F.sum("t").alias("ties"))
+    return sums.unionByName(ties, allowMissingColumns=True)
 
 
 def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -187,7 +187,7 @@ def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
         F.sum("n").alias("rows"),
         F.sum(F.pow("rank_sum", F.lit(2)) / F.col("n")).alias("q"),
         F.sum("ties").alias("ties"),
-        (F.count(F.lit(1)) - 1).alias("df"),
+        (F.count(group) - 1).alias("df"),
     )
     n = F.col("rows").cast("double")
     h = F.lit(12.0) / (n * (n + 1)) * F.col("q") - 3 * (n + 1)

@@ -371,17 +371,20 @@ def _(spark, sf):
 
 @query(
     "u3_schema_gaps",
-    f"""SELECT g.*, CAST((SELECT count(*) FROM {CORPUS}) AS BIGINT) AS rows FROM (VALUES ('functions', 'created_at', 'timestamp_ntz'),
+    f"""SELECT g.*, CASE g."table" WHEN 'functions' THEN CAST((SELECT count(*) FROM {CORPUS}) AS BIGINT)
+    ELSE CAST((SELECT count(*) FROM {X.RUN_LOG}) AS BIGINT) END AS rows FROM (VALUES ('functions', 'created_at', 'timestamp_ntz'),
     ('transformations', 'transformed_code', 'string')) g("table", "column", "type")""",
 )
 def _(spark, sf):
-    f, log = X.functions(spark, sf), X.run_log(spark, sf)
+    tables = {"functions": X.functions(spark, sf), "transformations": X.run_log(spark, sf)}
     gaps = Q.schema_gaps(
-        {"functions": f, "transformations": log},
-        {"functions": schemas.FUNCTIONS, "transformations": schemas.TRANSFORMATIONS},
+        tables, {"functions": schemas.FUNCTIONS, "transformations": schemas.TRANSFORMATIONS}
     )
-    size = f.agg(F.count(F.lit(1)).alias("rows")).withColumn("one", F.lit(1))
-    return gaps.withColumn("one", F.lit(1)).join(size, "one").drop("one")
+    sizes = [
+        df.groupBy(F.lit(name).alias("table")).agg(F.count(F.lit(1)).alias("rows"))
+        for name, df in tables.items()
+    ]
+    return gaps.join(sizes[0].union(sizes[1]), "table")
 
 
 @query(

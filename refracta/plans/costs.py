@@ -29,6 +29,17 @@ def _(spark, sf):
     return rounded(_rollup(spark, sf))
 
 
+@query(
+    "x1_incremental_rollup",
+    f"SELECT * REPLACE (round(total_cost_usd, 6) AS total_cost_usd, round(avg_latency_ms, 6) AS avg_latency_ms) FROM {ROLLUP_SQL}",
+)
+def _(spark, sf):
+    log = X.run_log(spark, sf)
+    stored = O.daily_rollup(log.filter(F.col("l_orderkey") % 3 != 0))
+    arriving = O.daily_rollup(log.filter(F.col("l_orderkey") % 3 == 0))
+    return rounded(O.merge_rollups(stored, arriving))
+
+
 @query(
     "a3_event_rollup",
     """SELECT CAST(ts AS DATE) AS date, event_type AS model, CAST(count(*) AS BIGINT) AS total_calls,

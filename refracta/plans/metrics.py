@@ -404,3 +404,21 @@ def _(spark, sf):
     return nodes.groupBy("id").agg(
         F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("label") == "If").alias("ifs")
     )
+
+
+@query(
+    "x3_sql_functions",
+    f"""SELECT {X.sql_tier("CAST(delta_cc * 4 AS INTEGER)")} AS tier, round(sum(delta_cc * preservation * preservation * diversity
+    / (1.0 / (1.0 + l_extendedprice / 1000.0))), 4) AS se, CAST(sum(abs(l_linenumber - CAST(delta_cc AS INTEGER))) AS BIGINT) AS moved FROM {X.RUN_LOG} GROUP BY 1""",
+)
+def _(spark, sf):
+    from refracta.functions import sql
+
+    sql.register(spark)
+    log = X.run_log(spark, sf)
+    tier = F.expr("complexity_tier(int(delta_cc * 4))").alias("tier")
+    se = F.expr("se_score(delta_cc, preservation, diversity, effort(l_extendedprice))")
+    return log.groupBy(tier).agg(
+        F.round(F.sum(se), 4).alias("se"),
+        F.sum(F.expr("delta_cc(int(delta_cc), l_linenumber)")).alias("moved"),
+    )

@@ -49,7 +49,10 @@ _EVENT_ROLLUP = f"SELECT {_ROLLUP_FIELDS} FROM {ROLLUP_SQL.replace(RUN_LOG, EVEN
 
 @query("t1_daily_rollup_stream", _EVENT_ROLLUP)
 def _(spark, sf):
-    return rounded(_table(spark, S.daily_rollup_stream(event_stream(spark, sf)), "t1"))
+    target, checkpoint = scratch_path(spark, "rollup"), scratch_path(spark, "rollup-state")
+    rollup = S.daily_rollup_stream(event_stream(spark, sf))
+    S.start_upsert(rollup, target, checkpoint, mode="complete").awaitTermination()
+    return rounded(S.read_upserted(spark, target))
 
 
 @query("t2_upsert_rollup", _EVENT_ROLLUP)

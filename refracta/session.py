@@ -33,20 +33,24 @@ def get_session(app: str = "refracta", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+_own_dir: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
     Only a local session may fall back to a folder of its own; a cluster without the
     setting is an error, since a machine-local folder is lost with its machine.
     """
+    global _own_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    own = tempfile.mkdtemp(prefix="refracta-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if _own_dir is None:
+        _own_dir = tempfile.mkdtemp(prefix="refracta-")
+    return _own_dir
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -56,9 +56,9 @@ def once_per_key(stream: DataFrame, key: Sequence[str] = NATURAL_KEY, delay: str
 
 
 def start_upsert(
-    rollup: DataFrame, target: str, checkpoint: str, key: Sequence[str] = ("date", "model"), **trigger
+    rollup: DataFrame, target: str, checkpoint: str, mode: str = "update", **trigger
 ) -> StreamingQuery:
-    """Write each batch's changed groups as a new version of those groups.
+    """Write each batch's changed groups (or all of them) as a new version of those groups.
 
     Every batch goes to its own folder, overwritten on replay, so a restarted batch
     leaves no trace of its first try. ``read_upserted`` picks the latest version.
@@ -70,7 +70,7 @@ def start_upsert(
         )
 
     return (
-        rollup.writeStream.outputMode("update")
+        rollup.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .foreachBatch(write)
         .trigger(**(trigger or {"availableNow": True}))
