@@ -17,3 +17,8 @@ def ratio_or_zero(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator == 0, 0.0).otherwise(
         numerator.cast("double") / F.nullif(denominator, F.lit(0))
     )
+
+
+def numeric_round(value: Column, places: int) -> Column:
+    """Round half up as a decimal, so that float noise cannot tip a tie."""
+    return F.round(value.cast("decimal(38,12)"), places).cast("double")

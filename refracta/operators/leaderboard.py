@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from refracta.functions.attributes import numeric_round
 from refracta.operators.ordered import SINGLE_PASS_BYTES, quantiles, running_max
 from refracta.session import estimated_bytes
 
@@ -25,11 +26,11 @@ def leaderboard(
     aggregates = [
         F.count(F.lit(1)).alias("total_transformations"),
         F.sum(hit).alias("successful"),
-        F.round(F.avg(hit.cast("double")) * 100, 2).alias("success_rate_pct"),
-        F.round(F.avg("se_score"), 3).alias("mean_se"),
-        F.round(F.stddev_samp("se_score"), 3).alias("std_se"),
+        numeric_round(F.avg(hit.cast("double")) * 100, 2).alias("success_rate_pct"),
+        numeric_round(F.avg("se_score"), 3).alias("mean_se"),
+        numeric_round(F.stddev_samp("se_score"), 3).alias("std_se"),
         F.sum("cost_usd").alias("total_cost_usd"),
-        F.round(F.avg("latency_ms"), 0).alias("avg_latency_ms"),
+        numeric_round(F.avg("latency_ms"), 0).alias("avg_latency_ms"),
     ]
     if approx_median:
         median = F.percentile_approx("se_score", 0.5)
@@ -44,14 +45,14 @@ def leaderboard(
     )
     if median is not None:
         return scored.groupBy(*GROUP).agg(
-            *aggregates, F.round(median, 3).alias("median_se")
+            *aggregates, numeric_round(median, 3).alias("median_se")
         ).select(*columns)
     # single_pass_bytes=0: the size check has been made above and must not pass here
     medians = quantiles(scored, GROUP, "se_score", {"median_se": 0.5}, single_pass_bytes=0)
     return (
         scored.groupBy(*GROUP)
         .agg(*aggregates)
-        .join(medians.withColumn("median_se", F.round("median_se", 3)), list(GROUP))
+        .join(medians.withColumn("median_se", numeric_round(F.col("median_se"), 3)), list(GROUP))
         .select(*columns)
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refracta.constants import BUDGET_TOTAL_USD
+from refracta.functions.attributes import numeric_round
 
 
 def dataset_stats(
@@ -60,8 +61,8 @@ def run_totals(facts: DataFrame, cost_places: int = 2) -> DataFrame:
         F.coalesce(F.sum("pending"), F.lit(0)).alias("pending_se_calc"),
         F.count_distinct("function_id").alias("unique_functions"),
         F.count_distinct("model").alias("unique_models"),
-        F.round(F.sum("cost"), cost_places).alias("total_cost_usd"),
-        F.round(F.try_divide(F.sum("lat"), F.sum("lat_n")), 0).alias("avg_latency_ms"),
+        numeric_round(F.sum("cost"), cost_places).alias("total_cost_usd"),
+        numeric_round(F.try_divide(F.sum("lat"), F.sum("lat_n")), 0).alias("avg_latency_ms"),
     )
 
 
@@ -71,8 +72,8 @@ def by_model(facts: DataFrame) -> DataFrame:
         facts.groupBy("model")
         .agg(
             F.count(F.lit(1)).alias("count"),
-            F.round(F.sum("cost_usd"), 2).alias("cost_usd"),
-            F.round(F.avg("latency_ms"), 0).alias("avg_latency_ms"),
+            numeric_round(F.sum("cost_usd"), 2).alias("cost_usd"),
+            numeric_round(F.avg("latency_ms"), 0).alias("avg_latency_ms"),
         )
         .orderBy(F.desc_nulls_first("cost_usd"), "model")
     )
@@ -84,8 +85,8 @@ def by_model_detail(facts: DataFrame) -> DataFrame:
         facts.groupBy("model")
         .agg(
             F.count(F.lit(1)).alias("count"),
-            F.round(F.sum("cost_usd"), 4).alias("cost"),
-            F.round(F.avg("delta_cc"), 2).alias("avg_delta_cc"),
+            numeric_round(F.sum("cost_usd"), 4).alias("cost"),
+            numeric_round(F.avg("delta_cc"), 2).alias("avg_delta_cc"),
         )
         .orderBy(F.desc("count"), "model")
     )
@@ -94,7 +95,7 @@ def by_model_detail(facts: DataFrame) -> DataFrame:
 def by_task_strategy(facts: DataFrame, with_delta: bool = False) -> DataFrame:
     measures = [F.count(F.lit(1)).alias("count")]
     if with_delta:
-        measures.append(F.round(F.avg("delta_cc"), 2).alias("avg_delta_cc"))
+        measures.append(numeric_round(F.avg("delta_cc"), 2).alias("avg_delta_cc"))
     return facts.groupBy("task", "strategy").agg(*measures).orderBy("task", "strategy")
 
 
@@ -104,7 +105,7 @@ def latest(facts: DataFrame, n: int = 5, tie_breakers=()) -> DataFrame:
         facts.orderBy(F.desc("timestamp"), *tie_breakers)
         .select(
             "function_id", "model", "task", "strategy", "delta_cc",
-            F.round("cost_usd", 6).alias("cost"), "timestamp",
+            numeric_round(F.col("cost_usd"), 6).alias("cost"), "timestamp",
         )
         .limit(n)
     )

@@ -111,9 +111,9 @@ def _(spark, sf):
     return rounded(O.budget_report(_rollup(spark, sf), X.catalogue(spark)).drop("exhausted"))
 
 
-@query("a9_budget_exhausted", _budget_sql("tier, spent / budget >= 0.95::DOUBLE AS exhausted", 40))
+@query("a9_budget_exhausted", _budget_sql("tier, spent / budget >= 0.95::DOUBLE AS exhausted", 400))
 def _(spark, sf):
-    report = O.budget_report(_rollup(spark, sf), X.catalogue(spark), total=40.0)
+    report = O.budget_report(_rollup(spark, sf), X.catalogue(spark), total=400.0)
     return report.select("tier", "exhausted")
 
 

@@ -95,7 +95,11 @@ def functions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_log(spark: SparkSession, sf: str) -> DataFrame:
-    """Experiment results, one per line item. Natural keys repeat."""
+    """Experiment results, one per line item. Natural keys repeat.
+
+    Scores and costs are binary fractions: their sums are exact in any order, so rounding
+    a mean or a total gives the same digits everywhere.
+    """
     li = table(spark, sf, "lineitem")
     q = F.col("l_quantity").cast("int")
     return li.select(
@@ -112,9 +116,9 @@ def run_log(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("l_discount") * 10).alias("diversity"),
         (1.0 / (1.0 + F.col("l_extendedprice") / 1000.0)).alias("effort"),
         F.when(F.col("l_tax") == 0.08, None)
-        .otherwise(F.floor(F.col("l_extendedprice") / 100).cast("double") / 10)
+        .otherwise(F.floor(F.col("l_extendedprice") / 100).cast("double") / 8)
         .alias("se_score"),
-        (F.col("l_discount") / 100).alias("cost_usd"),
+        (F.round(F.col("l_discount") * 100).cast("int") / F.lit(1024.0)).alias("cost_usd"),
         F.when(F.col("l_linenumber") != 5, q * 20).alias("latency_ms"),
         (q * 10).alias("tokens_input"),
         (F.col("l_partkey") % 1000).cast("int").alias("tokens_output"),
@@ -383,8 +387,8 @@ RUN_LOG = f"""(SELECT 'fn_' || l_partkey AS function_id, 'm' || (l_suppkey % 7)
   CAST(CAST(l_quantity AS INTEGER) % 13 AS DOUBLE) AS delta_cc,
   CASE WHEN l_returnflag = 'R' THEN 0 WHEN l_returnflag = 'N' AND l_linenumber = 7 THEN NULL ELSE 1 END AS preservation,
   l_discount * 10 AS diversity, 1.0 / (1.0 + l_extendedprice / 1000.0) AS effort,
-  CASE WHEN l_tax = CAST(0.08 AS DOUBLE) THEN NULL ELSE CAST(floor(l_extendedprice / 100) AS DOUBLE) / 10 END AS se_score,
-  l_discount / 100 AS cost_usd,
+  CASE WHEN l_tax = CAST(0.08 AS DOUBLE) THEN NULL ELSE CAST(floor(l_extendedprice / 100) AS DOUBLE) / 8 END AS se_score,
+  CAST(round(l_discount * 100) AS INTEGER) / 1024.0::DOUBLE AS cost_usd,
   CASE WHEN l_linenumber <> 5 THEN CAST(l_quantity AS INTEGER) * 20 END AS latency_ms,
   CAST(l_quantity AS INTEGER) * 10 AS tokens_input, CAST(l_partkey % 1000 AS INTEGER) AS tokens_output,
   CASE WHEN l_returnflag = 'R' THEN {sql_pick("l_suppkey % 3", ("timeout", "rate_limit", "parse_error"))} END AS error_type,

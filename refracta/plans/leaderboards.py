@@ -10,12 +10,17 @@ from refracta.plans import fixtures as X
 from refracta.plans.fixtures import ARRIVAL, CORPUS, RUN_LOG, rounded
 from refracta.plans.registry import query
 
+def _numeric(x: str, places) -> str:
+    """Rounding as a decimal, the definition of these reports."""
+    return f"CAST(round(CAST({x} AS DECIMAL(38, 12)), {places}) AS DOUBLE)"
+
+
 BOARD_SQL = f"""SELECT model, task, strategy, CAST(count(*) AS BIGINT) AS total_transformations,
   CAST(sum(CASE WHEN preservation = 1 THEN 1 ELSE 0 END) AS BIGINT) AS successful,
-  round(avg(CASE WHEN preservation = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100, 2) AS success_rate_pct,
-  round(avg(se_score), 3) AS mean_se, round(quantile_cont(se_score, 0.5), 3) AS median_se,
-  round(stddev_samp(se_score), 3) AS std_se, round(sum(cost_usd), 6) AS total_cost_usd,
-  round(avg(latency_ms), 0) AS avg_latency_ms FROM {RUN_LOG} WHERE se_score IS NOT NULL GROUP BY model, task, strategy"""
+  {_numeric("avg(CASE WHEN preservation = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100", 2)} AS success_rate_pct,
+  {_numeric("avg(se_score)", 3)} AS mean_se, {_numeric("quantile_cont(se_score, 0.5)", 3)} AS median_se,
+  {_numeric("stddev_samp(se_score)", 3)} AS std_se, round(sum(cost_usd), 6) AS total_cost_usd,
+  {_numeric("avg(latency_ms)", 0)} AS avg_latency_ms FROM {RUN_LOG} WHERE se_score IS NOT NULL GROUP BY model, task, strategy"""
 
 
 def _board(df):
@@ -74,7 +79,8 @@ def _(spark, sf):
 _TOTALS_SQL = (
     "SELECT CAST(count(*) AS BIGINT) AS total_transformations, CAST(count(*) FILTER (se_score IS NULL) AS BIGINT) AS pending_se_calc, "
     "CAST(count(DISTINCT function_id) AS BIGINT) AS unique_functions, CAST(count(DISTINCT model) AS BIGINT) AS unique_models, "
-    "round(sum(cost_usd), {0}) AS total_cost_usd, round(avg(latency_ms), 0) AS avg_latency_ms FROM " + RUN_LOG
+    "CAST(round(CAST(sum(cost_usd) AS DECIMAL(38, 12)), {0}) AS DOUBLE) AS total_cost_usd, "
+    "CAST(round(CAST(avg(latency_ms) AS DECIMAL(38, 12)), 0) AS DOUBLE) AS avg_latency_ms FROM " + RUN_LOG
 )
 
 
@@ -89,12 +95,12 @@ def _(spark, sf):
 
 
 _BY_MODEL_SQL = (
-    f"SELECT model, CAST(count(*) AS BIGINT) AS count, round(sum(cost_usd), 2) AS cost_usd, "
-    f"round(avg(latency_ms), 0) AS avg_latency_ms FROM {RUN_LOG} GROUP BY model"
+    f"SELECT model, CAST(count(*) AS BIGINT) AS count, {_numeric('sum(cost_usd)', 2)} AS cost_usd, "
+    f"{_numeric('avg(latency_ms)', 0)} AS avg_latency_ms FROM {RUN_LOG} GROUP BY model"
 )
 _DETAIL_SQL = (
-    f"SELECT model, CAST(count(*) AS BIGINT) AS count, round(sum(cost_usd), 4) AS cost, "
-    f"round(avg(delta_cc), 2) AS avg_delta_cc FROM {RUN_LOG} GROUP BY model"
+    f"SELECT model, CAST(count(*) AS BIGINT) AS count, {_numeric('sum(cost_usd)', 4)} AS cost, "
+    f"{_numeric('avg(delta_cc)', 2)} AS avg_delta_cc FROM {RUN_LOG} GROUP BY model"
 )
 
 
@@ -127,7 +133,7 @@ def _(spark, sf):
 
 
 _TASK_SQL = (
-    f"SELECT task, strategy, CAST(count(*) AS BIGINT) AS count, round(avg(delta_cc), 2) AS avg_delta_cc "
+    f"SELECT task, strategy, CAST(count(*) AS BIGINT) AS count, {_numeric('avg(delta_cc)', 2)} AS avg_delta_cc "
     f"FROM {RUN_LOG} GROUP BY task, strategy"
 )
 
@@ -144,7 +150,7 @@ def _(spark, sf):
 
 @query(
     "o5_latest_results",
-    f"SELECT function_id, model, task, strategy, delta_cc, round(cost_usd, 6) AS cost, timestamp FROM {RUN_LOG} "
+    f"SELECT function_id, model, task, strategy, delta_cc, {_numeric('cost_usd', 6)} AS cost, timestamp FROM {RUN_LOG} "
     "ORDER BY timestamp DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice LIMIT 5",
 )
 def _(spark, sf):

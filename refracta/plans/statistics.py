@@ -259,12 +259,12 @@ def _(spark, sf):
     f"""WITH c AS (SELECT function_id, model, task, strategy, count(preservation) AS k, count(*) FILTER (preservation = 1) AS ok, sum(cost_usd) AS cost FROM {RUN_LOG} GROUP BY 1, 2, 3, 4),
     t AS (SELECT model, count(*) AS cells, sum(ok) * 100.0::DOUBLE / sum(k) AS p, sum(cost) AS spent FROM c GROUP BY model)
     SELECT model, CAST(cells AS BIGINT) AS cells, round(cells / 48000.0::DOUBLE * 100, 6) AS coverage_pct, round(p, 6) AS preservation_pct, p BETWEEN 60 AND 80 AS preservation_ok,
-    round(spent, 6) AS spent_usd, spent BETWEEN 4.0 * 0.9 AND 4.0 * 1.1 AS cost_ok FROM t""",
+    round(spent, 6) AS spent_usd, spent BETWEEN 42.0 * 0.9 AND 42.0 * 1.1 AS cost_ok FROM t""",
 )
 def _(spark, sf):
     return rounded(
         Q.acceptance(
-            X.run_log(spark, sf), 48000, 4.0, ["function_id", "model", "task", "strategy"], ["model"]
+            X.run_log(spark, sf), 48000, 42.0, ["function_id", "model", "task", "strategy"], ["model"]
         )
     )
 
