@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from refracta.constants import NATURAL_KEY
-from refracta.plans import fixtures as X
 from refracta.plans.costs import ROLLUP_SQL
 from refracta.plans.fixtures import RUN_LOG, rounded
 from refracta.plans.registry import query
