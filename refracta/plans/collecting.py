@@ -13,7 +13,6 @@ from refracta.operators.sampling import random_order
 from refracta.plans import fixtures as X
 from refracta.plans.fixtures import CORPUS, FUNCTIONS, sql_pick, sql_strip
 from refracta.plans.registry import query
-from refracta.session import spread
 from refracta.sources import files as R
 
 # --- source files -----------------------------------------------------------------------------
@@ -64,7 +63,7 @@ def _extracted_sql(language: str, second_prefix: str, first_prefix: str = "") ->
 
 def _functions_of(spark, sf, language):
     files = X.source_files(spark, sf).filter((F.col("language") == language) & (F.col("no") % 11 != 0))
-    return N.file_functions(spread(files)).select("relative_path", "seq", "name", "code")
+    return N.file_functions(files).select("relative_path", "seq", "name", "code")
 
 
 @query("e32_python_functions", _extracted_sql("python", ""))
@@ -106,7 +105,7 @@ def _(spark, sf):
     f"FROM {FILES} WHERE {_KEPT}) WHERE n > 0 GROUP BY language",
 )
 def _(spark, sf):
-    found = N.file_functions(spread(R.source_file_filter(X.source_files(spark, sf))))
+    found = N.file_functions(R.source_file_filter(X.source_files(spark, sf)))
     per_file = found.groupBy("language", "path").agg(F.count(F.lit(1)).alias("n"))
     return per_file.groupBy("language").agg(
         F.sum("n").alias("functions"), F.count(F.lit(1)).alias("files")
@@ -212,7 +211,7 @@ def _(spark, sf):
 @query("x2_function_rows_from_files")
 def _(spark, sf):
     files = R.source_file_filter(X.source_files(spark, sf))
-    rows = N.from_files(N.file_functions(spread(files)))
+    rows = N.from_files(N.file_functions(files))
     return C.complex_enough(rows).select(
         "relative_path", "seq", "language", "task_name", "code_hash", "cyclomatic_complexity", "domain"
     )
