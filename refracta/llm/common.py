@@ -40,6 +40,17 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= rows else kept
 
 
+#: Rows of texts that are turned into Python objects at a time.
+PIECE_ROWS = 500
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, so that a worker's memory does not grow with their size."""
+    for batch in batches:
+        for start in range(0, max(batch.num_rows, 1), PIECE_ROWS):
+            yield batch.slice(start, PIECE_ROWS)
+
+
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Consecutive rows with one value of ``key``, for input that is sorted by it."""
     held: pa.Table | None = None

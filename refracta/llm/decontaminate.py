@@ -7,7 +7,7 @@ window, its last words are hit; an item shorter than the window is hit only as a
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from refracta.llm.common import pieces
 from refracta.llm.wordhash import FOLD, as_bytes
 from refracta.session import cut_lineage
 
@@ -161,7 +162,7 @@ def _scan(automaton, again: bool):
     """Add the marks of one automaton to every row; ``again``: to the marks it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             counts, spans, items = [], [], []
             for i, text in enumerate(as_bytes(batch.column("text"))):
                 words = text.translate(FOLD).split()
@@ -191,8 +192,16 @@ def _schema(docs: DataFrame) -> str:
     return ", ".join([*[f"`{n}` {kind}" for n, kind in docs.dtypes], MARKS])
 
 
-def marked(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with ``__words``, ``__spans`` (hit words [first, last)) and ``__items``."""
+Pass = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def marked(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, then: Pass | None = None, then_schema: str = ""
+) -> DataFrame:
+    """``docs`` with ``__words``, ``__spans`` (hit words [first, last)) and ``__items``.
+
+    ``then`` works on the marked batches in the same Python worker and gives ``then_schema``.
+    """
     sc = docs.sparkSession.sparkContext
     named = items.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"),
@@ -205,7 +214,12 @@ def marked(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
     for k in range(slices):
         rows = named.filter(part == k).collect()
         automaton = sc.broadcast(Automaton(((r["name"], bytes(r["text"])) for r in rows), window))
-        out = (cut_lineage(out) if k else out).mapInArrow(_scan(automaton, k > 0), schema)
+        scan, last = _scan(automaton, k > 0), k == slices - 1
+        before = cut_lineage(out) if k else out
+        if last and then is not None:
+            out = before.mapInArrow(lambda batches, scan=scan: then(scan(batches)), then_schema)
+        else:
+            out = before.mapInArrow(scan, schema)
     return out
 
 
@@ -284,4 +298,4 @@ def decontaminate(
     the text. Documents without a hit are returned as they are, NULL texts too.
     """
     schema = ", ".join(f"`{n}` {kind}" for n, kind in docs.dtypes)
-    return marked(docs, items, window).mapInArrow(_cut(max_span + 1, max_coverage), schema)
+    return marked(docs, items, window, _cut(max_span + 1, max_coverage), schema)

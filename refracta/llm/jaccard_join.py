@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refracta.llm import wordhash
-from refracta.llm.common import groups, small_side, text_key
+from refracta.llm.common import groups, pieces, small_side, text_key
 from refracta.llm.components import components
 from refracta.session import cut_lineage
 
@@ -84,7 +84,7 @@ def _sketch(width: int, hashes: int):
     family = wordhash.minhash_family(hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             nodes, signs, bands = [], [], []
             for text in wordhash.as_bytes(batch.column("text")):
                 items = wordhash.shingles(wordhash.word_hashes(text), width)
@@ -119,7 +119,7 @@ def _band_keys(sign: np.ndarray) -> np.ndarray:
 
 def _shingled(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             sets = [
                 wordhash.shingles(wordhash.word_hashes(t), width).tobytes()
                 for t in wordhash.as_bytes(batch.column("text"))

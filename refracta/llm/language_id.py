@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refracta.llm.common import fold
+from refracta.llm.common import fold, pieces
 from refracta.llm.wordhash import FOLD
 
 BUCKETS = 1 << 13
@@ -102,7 +102,7 @@ def decoded(model: Model, counts: np.ndarray) -> tuple[int, float, float]:
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in pieces(batches):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             total.setdefault(lang, np.zeros(BUCKETS, np.int64))
             total[lang] += grams(text or "")
@@ -135,7 +135,7 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
 def _predict(broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = broadcast.value
-        for batch in batches:
+        for batch in pieces(batches):
             found = []
             for text in batch.column("text").to_pylist():
                 if not text or not any(map(str.isalpha, text)):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refracta.llm.common import fold
+from refracta.llm.common import fold, pieces
 
 # Words of the grammar in English, German, French and Spanish.
 THREATS = """kill hurt destroy beat punch stab shoot burn hang attack crush
@@ -170,7 +170,7 @@ def _part_counts(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
         chosen = wanted.value if wanted else None
-        for batch in batches:
+        for batch in pieces(batches):
             for text in batch.column("text").to_pylist():
                 parts = _parts(text or "")
                 counts.update(parts if chosen is None else parts & chosen)
@@ -189,7 +189,7 @@ def _counted(texts: DataFrame, wanted=None) -> DataFrame:
 def _features(broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(broadcast.value.lexicon)
-        for batch in batches:
+        for batch in pieces(batches):
             rows = np.array([scorer.features(t or "") for t in batch.column("text").to_pylist()]).reshape(-1, 3)
             yield pa.record_batch([batch.column("toxic"), *map(pa.array, rows.T)], names=["toxic", "a", "b", "c"])
 
@@ -260,7 +260,7 @@ def _score(broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = broadcast.value
         scorer = Scorer(model.lexicon)
-        for batch in batches:
+        for batch in pieces(batches):
             found = [scorer.features(t or "") for t in batch.column("text").to_pylist()]
             yield pa.record_batch(
                 [
