@@ -6,24 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refracta.functions.attributes import numeric_round
-from refracta.operators.ordered import SINGLE_PASS_BYTES, quantiles, running_max
-from refracta.session import estimated_bytes
+from refracta.operators.ordered import join_groups, quantiles, running_max
 
 GROUP = ("model", "task", "strategy")
 
 
-def leaderboard(
-    facts: DataFrame, approx_median: bool = False, single_pass_bytes: int = SINGLE_PASS_BYTES
-) -> DataFrame:
-    """Scored rows aggregated per (model, task, strategy).
+def leaderboard(facts: DataFrame) -> DataFrame:
+    """Scored rows aggregated per (model, task, strategy); a NULL is a group like any other.
 
-    A missing preservation counts as a failure. The median is exact; beyond
-    ``single_pass_bytes`` it is found by range instead of inside one aggregation, and
-    ``approx_median`` trades it for a fixed-size sketch.
+    A missing preservation counts as a failure. The median is exact, found by range.
     """
     scored = facts.filter(F.col("se_score").isNotNull())
     hit = F.when(F.col("preservation") == 1, 1).otherwise(0)
-    aggregates = [
+    aggregates = scored.groupBy(*GROUP).agg(
         F.count(F.lit(1)).alias("total_transformations"),
         F.sum(hit).alias("successful"),
         numeric_round(F.avg(hit.cast("double")) * 100, 2).alias("success_rate_pct"),
@@ -31,30 +26,14 @@ def leaderboard(
         numeric_round(F.stddev_samp("se_score"), 3).alias("std_se"),
         F.sum("cost_usd").alias("total_cost_usd"),
         numeric_round(F.avg("latency_ms"), 0).alias("avg_latency_ms"),
-    ]
-    if approx_median:
-        median = F.percentile_approx("se_score", 0.5)
-    else:
-        size = estimated_bytes(scored.select(*GROUP, "se_score"))
-        median = (
-            F.percentile("se_score", F.lit(0.5)) if size is not None and size <= single_pass_bytes else None
-        )
-    columns = (
+    )
+    medians = quantiles(scored, GROUP, "se_score", {"median_se": 0.5})
+    return join_groups(
+        aggregates, medians.withColumn("median_se", numeric_round(F.col("median_se"), 3)), GROUP
+    ).select(
         *GROUP, "total_transformations", "successful", "success_rate_pct", "mean_se", "median_se",
         "std_se", "total_cost_usd", "avg_latency_ms",
     )
-    if median is not None:
-        return scored.groupBy(*GROUP).agg(
-            *aggregates, numeric_round(median, 3).alias("median_se")
-        ).select(*columns)
-    # single_pass_bytes=0: the size check has been made above and must not pass here
-    medians = quantiles(scored, GROUP, "se_score", {"median_se": 0.5}, single_pass_bytes=0)
-    return (
-        scored.groupBy(*GROUP)
-        .agg(*aggregates)
-        .join(medians.withColumn("median_se", numeric_round(F.col("median_se"), 3)), list(GROUP))
-        .select(*columns)
-    )
 
 
 def top_leaderboard(
@@ -62,7 +41,6 @@ def top_leaderboard(
     task: str | None = None,
     strategy: str | None = None,
     limit: int = 100,
-    **options,
 ) -> DataFrame:
     """Leaderboard rows by mean score, best first; the filters act before aggregation."""
     if task:
@@ -70,7 +48,7 @@ def top_leaderboard(
     if strategy:
         facts = facts.filter(F.col("strategy") == strategy)
     return (
-        leaderboard(facts, **options)
+        leaderboard(facts)
         .orderBy(F.desc_nulls_first("mean_se"), *GROUP)
         .limit(limit)
     )

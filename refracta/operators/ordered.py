@@ -14,12 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from refracta.session import cut_lineage, estimated_bytes
+from refracta.session import cut_lineage
 
 PART = "__part"
-# Below this plan size the distinct values of all groups together fit one task with
-# room to spare, and the single-pass built-in is the better plan.
-SINGLE_PASS_BYTES = 64 * 1024 * 1024
 
 
 def ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -118,43 +115,50 @@ def value_ranks(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFra
 
 
 def quantiles(
-    df: DataFrame, group: Sequence[str], value: str, probabilities: dict[str, float],
-    single_pass_bytes: int = SINGLE_PASS_BYTES,
+    df: DataFrame, group: Sequence[str], value: str, probabilities: dict[str, float]
 ) -> DataFrame:
     """Exact interpolated quantiles per group, one column per entry of ``probabilities``.
 
-    Small inputs use the built-in in one aggregation. Otherwise the two neighbours of
-    each quantile position are looked up among the ranked distinct values.
+    One plan for inputs of any size: rows are counted per (group, value), the counts are
+    range-partitioned, and each range knows how many rows of its group come before it and how
+    many there are in all. A group is never gathered. A NULL group is a group; a group without
+    values gets NULLs; NaN is the largest value; infinities stay as the built-in has them.
     """
-    size = estimated_bytes(df.select(*group, value))
-    if size is not None and size <= single_pass_bytes:
-        return df.groupBy(*group).agg(
-            *[F.percentile(value, F.lit(p)).alias(name) for name, p in probabilities.items()]
-        )
-    ranks = value_ranks(df, value, group)
-    sizes = df.groupBy(*group).agg(F.count(value).alias("__rows"))
-    keyed = ranks.select(
-        *[F.col(g).alias(f"__key_{g}") for g in group], F.col(value).alias("__value"), "n", "below"
+    counts = df.groupBy(*group, value).agg(F.count(value).alias("n"))
+    parts = ranged(counts, [*group, value])
+    per_part = parts.groupBy(*group, PART).agg(F.sum("n").alias("__in_part"))
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.select(
+        *[F.col(g).alias(f"__key_{g}") for g in group],
+        F.col(PART).alias("__key_part"),
+        F.coalesce(F.sum("__in_part").over(before), F.lit(0)).alias("__before_n"),
+        F.sum("__in_part").over(whole).alias("__rows"),
     )
-    # Group sizes are one row per group: broadcast when small, and where they are not,
-    # AQE splits the values of a crowded group.
-    joined = sizes.join(keyed, _same_group(group), "left")
+    inside = Window.partitionBy(*group, PART).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = _join_offsets(
+        parts.withColumn("__local", F.coalesce(F.sum("n").over(inside), F.lit(0))), offsets, group
+    ).withColumn("__below", F.col("__local") + F.col("__before_n"))
     picked = []
     for name, p in probabilities.items():
         position = (F.col("__rows") - 1) * F.lit(float(p))
         lower = F.floor(position)
-        weight = position - lower
         for suffix, at in (("lo", lower), ("hi", F.ceil(position))):
-            hit = (F.col("below") <= at) & (at < F.col("below") + F.col("n"))
-            picked.append(F.max(F.when(hit, F.col("__value"))).alias(f"__{name}_{suffix}"))
-        picked.append(F.max(weight).alias(f"__{name}_w"))
-    found = joined.groupBy(*group).agg(*picked)
-    return found.select(
-        *group,
-        *[
-            (
-                F.col(f"__{n}_lo") * (1 - F.col(f"__{n}_w")) + F.col(f"__{n}_hi") * F.col(f"__{n}_w")
-            ).alias(n)
-            for n in probabilities
-        ],
+            hit = (F.col("__below") <= at) & (at < F.col("__below") + F.col("n"))
+            picked.append(F.max(F.when(hit, F.col(value).cast("double"))).alias(f"__{name}_{suffix}"))
+        picked.append(F.max(position - lower).alias(f"__{name}_w"))
+    found = ranked.groupBy(*group).agg(*picked)
+
+    def between(name: str) -> Column:
+        lo, hi, weight = (F.col(f"__{name}_{x}") for x in ("lo", "hi", "w"))
+        return F.when(lo == hi, lo).otherwise(lo * (1 - weight) + hi * weight).alias(name)
+
+    return found.select(*group, *[between(n) for n in probabilities])
+
+
+def join_groups(left: DataFrame, right: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Inner join of two tables with one row per group, in which NULL groups meet too."""
+    keyed = right.select(
+        *[F.col(g).alias(f"__key_{g}") for g in group], *[c for c in right.columns if c not in group]
     )
+    return left.join(keyed, _same_group(group)).drop(*[f"__key_{g}" for g in group])

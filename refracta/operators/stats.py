@@ -8,24 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refracta.constants import STRATEGIES
-from refracta.operators.ordered import quantiles, running_total
+from refracta.operators.ordered import join_groups, quantiles, running_total
 from refracta.session import literal_rows
 
 
-def distribution(facts: DataFrame, by: Sequence[str], value: str = "se_score", **options) -> DataFrame:
+def distribution(facts: DataFrame, by: Sequence[str], value: str = "se_score") -> DataFrame:
     """n, mean, sample deviation, quartiles and interquartile range per group."""
     rows = facts.filter(F.col(value).isNotNull())
     moments = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std")
     )
-    cuts = quantiles(rows, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, **options)
-    return moments.join(cuts, list(by)).withColumn("iqr", F.col("q3") - F.col("q1"))
+    cuts = quantiles(rows, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return join_groups(moments, cuts, by).withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
-def latency_percentiles(facts: DataFrame, by: Sequence[str], **options) -> DataFrame:
+def latency_percentiles(facts: DataFrame, by: Sequence[str]) -> DataFrame:
     return quantiles(
         facts.filter(F.col("latency_ms").isNotNull()), by, "latency_ms",
-        {"p50": 0.5, "p95": 0.95, "p99": 0.99}, **options,
+        {"p50": 0.5, "p95": 0.95, "p99": 0.99},
     )
 
 
@@ -217,10 +217,10 @@ def mann_whitney(df: DataFrame, group: str, value: str, first: str, second: str)
     )
 
 
-def levene(df: DataFrame, group: str, value: str, **options) -> DataFrame:
+def levene(df: DataFrame, group: str, value: str) -> DataFrame:
     """Homogeneity of variance: analysis of variance over distances from the group median."""
     rows = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).select(group, value)
-    medians = quantiles(rows, [group], value, {"__median": 0.5}, **options)
+    medians = quantiles(rows, [group], value, {"__median": 0.5})
     # One row per group; Spark broadcasts it when it is small, which it is for labels.
     spread = rows.join(medians, group).withColumn("__dist", F.abs(F.col(value) - F.col("__median")))
     return anova(spread, group, "__dist").select(

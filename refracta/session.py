@@ -66,16 +66,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df``, or None when the session cannot give one."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:  # remote (Connect) sessions expose no plan object
-        return None
-
-
 def input_bytes(df: DataFrame) -> int | None:
-    """Bytes of all inputs of the plan; unlike the estimate above, joins do not multiply it."""
+    """Bytes of all inputs of the plan, or None when the session cannot tell."""
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
         return sum(
