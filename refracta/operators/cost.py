@@ -23,7 +23,7 @@ ROLLUP_AGGREGATES = {
 
 
 def rollup_columns() -> list[Column]:
-    """The daily aggregate's measures, shared by the batch and the streaming form."""
+    """The daily aggregate's measures."""
     return [make().alias(name) for name, make in ROLLUP_AGGREGATES.items()]
 
 
@@ -33,10 +33,14 @@ def daily_rollup(facts: DataFrame) -> DataFrame:
 
 
 def merge_rollups(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Roll-up of both inputs from their roll-ups alone: sums add up, means weigh by calls."""
-    both = old.unionByName(new.select(*old.columns))
+    """Roll-up of both inputs from their roll-ups alone."""
+    return total_of_rollups(old.unionByName(new.select(*old.columns)))
+
+
+def total_of_rollups(parts: DataFrame) -> DataFrame:
+    """One roll-up of several over disjoint rows: sums add up, means weigh by calls."""
     calls = F.sum("total_calls")
-    return both.groupBy("date", "model").agg(
+    return parts.groupBy("date", "model").agg(
         calls.alias("total_calls"),
         F.sum("total_cost_usd").alias("total_cost_usd"),
         (F.sum(F.col("avg_latency_ms") * F.col("total_calls")) / calls).alias("avg_latency_ms"),

@@ -1,5 +1,6 @@
 """Streaming aggregates, run to the end of the given data and read back."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from refracta.constants import NATURAL_KEY
@@ -12,10 +13,17 @@ from refracta.streaming import rollups as S
 
 def event_stream(spark, sf):
     """The events table as a stream of results: an ``error`` event is a failed call."""
-    path = f"{sf}/events.parquet"
     # As a pattern, since a stream's plain path has to be a folder.
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")
-    return stream.select(
+    return _as_results(_stream(spark, sf, f"{sf}/events.parque[t]"))
+
+
+def _stream(spark, sf, path, files_per_batch=1000):
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
+def _as_results(events):
+    return events.select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("function_id"),
         F.col("event_type").alias("model"),
         F.lit("refactor").alias("task"),
@@ -46,20 +54,36 @@ _ROLLUP_FIELDS = """date, model, total_calls, round(total_cost_usd, 6) AS total_
 _EVENT_ROLLUP = f"SELECT {_ROLLUP_FIELDS} FROM {ROLLUP_SQL.replace(RUN_LOG, EVENTS_SQL)}"
 
 
+def _in_three_files(spark, sf, folder, files=range(3)):
+    """The events in files of their own, the newest first, so that later batches are late."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    third = F.ntile(3).over(Window.partitionBy(F.col("event_id") % 64).orderBy(F.desc("ts"), "event_id"))
+    dealt = events.withColumn("third", third - 1)
+    for k in files:
+        dealt.filter(F.col("third") == k).drop("third").coalesce(1).write.mode("append").parquet(folder)
+
+
 @query("t1_daily_rollup_stream", _EVENT_ROLLUP)
 def _(spark, sf):
-    target, checkpoint = scratch_path(spark, "rollup"), scratch_path(spark, "rollup-state")
-    rollup = S.daily_rollup_stream(event_stream(spark, sf))
-    S.start_upsert(rollup, target, checkpoint, mode="complete").awaitTermination()
-    return rounded(S.read_upserted(spark, target))
+    # Three batches; the last rows are years behind the first.
+    source, target = scratch_path(spark, "events"), scratch_path(spark, "rollup")
+    _in_three_files(spark, sf, source)
+    S.start_rollup(_as_results(_stream(spark, sf, source, 1)), target, scratch_path(spark, "rollup-state")).awaitTermination()
+    return rounded(S.read_rollup(spark, target))
 
 
 @query("t2_upsert_rollup", _EVENT_ROLLUP)
 def _(spark, sf):
-    target, checkpoint = scratch_path(spark, "upsert"), scratch_path(spark, "upsert-state")
-    rollup = S.daily_rollup_stream(event_stream(spark, sf))
-    S.start_upsert(rollup, target, checkpoint).awaitTermination()
-    return rounded(S.read_upserted(spark, target))
+    # A run, a compaction, a resumed run with late rows, and a batch that is replayed.
+    source, target, state = (scratch_path(spark, n) for n in ("events", "upsert", "upsert-state"))
+    for files in ((0, 1), (2,)):
+        _in_three_files(spark, sf, source, files)
+        S.start_rollup(_as_results(_stream(spark, sf, source, 1)), target, state).awaitTermination()
+        if files == (0, 1):
+            S.compact_rollup(spark, target)
+    once_more = _as_results(spark.read.parquet(f"{sf}/events.parquet"))
+    S.write_rollup_part(once_more, 0, target)  # in the base already
+    return rounded(S.read_rollup(spark, target))
 
 
 @query(

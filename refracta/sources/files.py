@@ -21,15 +21,25 @@ def read_function_jsonl(spark: SparkSession, paths: str | Sequence[str]) -> Data
     return spark.read.schema(FUNCTION_JSONL).option("mode", "FAILFAST").json(paths)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Files and folders that match a path or pattern, in whatever store it names."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return len(fs.globStatus(hadoop_path) or []) > 0
+    return [status.getPath().toString() for status in fs.globStatus(hadoop_path) or []]
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    return bool(matching_paths(spark, path))
 
 
 def read_function_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Several JSONL inputs as one table; a missing one is skipped, none at all is an error."""
-    present = [p for p in paths if _exists(spark, p)]
+    present = [p for p in paths if exists(spark, p)]
     for path in set(paths) - set(present):
         log.warning("no function file at %s", path)
     if not present:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from refracta.constants import NATURAL_KEY
 from refracta.functions.domains import suite_file_name
 from refracta.operators.corpus import keep_first
+from refracta.sources.files import exists
 
 
 def write_function_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -33,12 +34,9 @@ def append_results(
     Running it twice with the same input appends nothing the second time.
     """
     spark = new.sparkSession
-    try:
-        facts = spark.read.parquet(path)
-        fresh = new_results(new, facts, arrival, key)
-    except Exception as error:  # noqa: BLE001 - only a missing table is a first write
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    if exists(spark, path):
+        fresh = new_results(new, spark.read.parquet(path), arrival, key)
+    else:
         fresh = keep_first(new, key, arrival)
     fresh.write.mode("append").partitionBy(*partition_by).parquet(path)
 

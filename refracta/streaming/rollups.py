@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from refracta.constants import NATURAL_KEY
-from refracta.operators.cost import rollup_columns
+from refracta.operators.cost import daily_rollup, total_of_rollups
+from refracta.sources.files import delete_path, matching_paths
 from refracta.sources.writers import append_results
 
 
@@ -23,24 +24,6 @@ def with_event_time(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     )
 
 
-def daily_rollup_stream(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Calls, spend, latency and outcomes per (date, model), kept up to date per batch."""
-    return (
-        with_event_time(stream, delay)
-        .groupBy(F.window("event_time", "1 day"), "model")
-        .agg(*rollup_columns())
-        .select(
-            F.to_date("window.start").alias("date"),
-            "model",
-            "total_calls",
-            "total_cost_usd",
-            "avg_latency_ms",
-            "successful_calls",
-            "failed_calls",
-        )
-    )
-
-
 def monitor_stream(stream: DataFrame) -> DataFrame:
     """Rows, pending scores and spend per model."""
     return stream.groupBy("model").agg(
@@ -55,38 +38,55 @@ def once_per_key(stream: DataFrame, key: Sequence[str] = NATURAL_KEY, delay: str
     return with_event_time(stream, delay).dropDuplicatesWithinWatermark(list(key)).drop("event_time")
 
 
-def start_upsert(
-    rollup: DataFrame, target: str, checkpoint: str, mode: str = "update", **trigger
-) -> StreamingQuery:
-    """Write each batch's changed groups (or all of them) as a new version of those groups.
+def write_rollup_part(batch: DataFrame, epoch: int, target: str) -> None:
+    """The roll-up of one batch alone, in a folder of its own that a replay overwrites."""
+    daily_rollup(batch).write.mode("overwrite").parquet(f"{target}/part={epoch}")
 
-    Every batch goes to its own folder, overwritten on replay, so a restarted batch
-    leaves no trace of its first try. ``read_upserted`` picks the latest version.
-    """
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("__epoch", F.lit(epoch)).write.mode("overwrite").parquet(
-            f"{target}/epoch={epoch}"
-        )
+def start_rollup(stream: DataFrame, target: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Calls, spend, latency and outcomes per (date, model), as one part per batch.
 
+    There is no state and no watermark: a row of any age is counted in the part of its
+    batch, and ``read_rollup`` adds the parts up. One target belongs to one checkpoint.
+    """
     return (
-        rollup.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(write)
+        stream.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(lambda batch, epoch: write_rollup_part(batch, epoch, target))
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def read_upserted(spark: SparkSession, target: str, key: Sequence[str] = ("date", "model")) -> DataFrame:
-    """Latest version of every group."""
-    versions = spark.read.parquet(f"{target}/epoch=*")
-    values = [c for c in versions.columns if c not in (*key, "__epoch")]
-    return (
-        versions.groupBy(*key)
-        .agg(F.max_by(F.struct(*values), "__epoch").alias("v"))
-        .select(*key, *[F.col("v")[c].alias(c) for c in values])
-    )
+def _rollup_folders(spark: SparkSession, target: str) -> tuple[dict[int, str], dict[int, str]]:
+    """Complete folders of a roll-up by number: bases, and the parts after the last base."""
+    found: dict[str, dict[int, str]] = {"base": {}, "part": {}}
+    for kind, folders in found.items():
+        for path in matching_paths(spark, f"{target}/{kind}=*/_SUCCESS"):
+            folder = path.rsplit("/", 1)[0]
+            folders[int(folder.rsplit("=", 1)[1])] = folder
+    last = max(found["base"], default=-1)
+    return found["base"], {k: v for k, v in found["part"].items() if k > last}
+
+
+def read_rollup(spark: SparkSession, target: str) -> DataFrame:
+    """Every group over all batches so far."""
+    bases, parts = _rollup_folders(spark, target)
+    last = [bases[max(bases)]] if bases else []
+    return total_of_rollups(spark.read.parquet(*last, *parts.values()))
+
+
+def compact_rollup(spark: SparkSession, target: str) -> None:
+    """Fold all parts so far into one base, so that the folders stay few.
+
+    The base holds every part up to its number; a part that is replayed later is not counted
+    again. What the base replaces is deleted after it is complete.
+    """
+    bases, parts = _rollup_folders(spark, target)
+    if not parts:
+        return
+    read_rollup(spark, target).write.mode("overwrite").parquet(f"{target}/base={max(parts)}")
+    for path in [*bases.values(), *parts.values()]:
+        delete_path(spark, path)
 
 
 def start_append_once(

@@ -106,21 +106,42 @@ def test_streams_survive_restarts(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(STREAM).parquet(source)
-        rollups.start_upsert(
-            rollups.daily_rollup_stream(stream), target, str(tmp_path / "c1")
-        ).awaitTermination()
+        rollups.start_rollup(stream, target, str(tmp_path / "c1")).awaitTermination()
         stream = spark.readStream.schema(STREAM).parquet(source)
         rollups.start_append_once(stream, table, str(tmp_path / "c2"), ["timestamp"]).awaitTermination()
 
     run()
-    (r,) = rollups.read_upserted(spark, target).collect()
+    (r,) = rollups.read_rollup(spark, target).collect()
     assert (r["total_calls"], r["total_cost_usd"], r["avg_latency_ms"]) == (2, 3.0, 50.0)
     assert (r["successful_calls"], r["failed_calls"]) == (1, 1)
     # a second run sees a repeated key and a new one
     _write_batch(spark, source, [("f1", "m", 9.0, 1, None, day), ("f3", "m", 1.0, 10, None, day)])
     run()
     run()
-    (r,) = rollups.read_upserted(spark, target).collect()
+    (r,) = rollups.read_rollup(spark, target).collect()
     assert (r["total_calls"], r["total_cost_usd"], r["failed_calls"]) == (4, 13.0, 1)
     keys = sorted((x["function_id"], x["cost_usd"]) for x in spark.read.parquet(table).collect())
     assert keys == [("f1", 1.0), ("f2", 2.0), ("f3", 1.0)]
+
+
+def test_rollup_counts_rows_of_any_age(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "rollup")
+
+    def run(day):
+        _write_batch(spark, source, [("f1", "m", 1.0, 100, None, day)])
+        stream = spark.readStream.schema(STREAM).parquet(source)
+        rollups.start_rollup(stream, target, str(tmp_path / "c")).awaitTermination()
+
+    for day in ("2025-03-10 10:00:00", "2025-03-01 10:00:00", "2025-03-10 23:59:59"):
+        run(day)
+    want = [("2025-03-01", 1), ("2025-03-10", 2)]
+
+    def got():
+        return sorted((str(r["date"]), r["total_calls"]) for r in rollups.read_rollup(spark, target).collect())
+
+    assert got() == want
+    rollups.compact_rollup(spark, target)
+    rollups.compact_rollup(spark, target)
+    assert got() == want and not list((tmp_path / "rollup").glob("part=*"))
+    run("2025-02-01 00:00:00")
+    assert got() == [("2025-02-01", 1), *want]
