@@ -28,7 +28,7 @@ _PATH = (
     f"CASE WHEN no % 13 = 0 THEN 'test_unit' ELSE 'Unit' END || no || {sql_pick(_N, X.EXTS)})"
 )
 FILES = (
-    f"(SELECT {_PATH} AS relative_path, CASE WHEN no % 11 = 0 THEN repeat({_TEXT}, 40) ELSE {_TEXT} END AS text, "
+    f"(SELECT {_PATH} AS relative_path, CASE WHEN no % 11 = 0 THEN repeat({_TEXT} || chr(10), 40) ELSE {_TEXT} END AS text, "
     f"code AS first_code, {_SECOND} AS second_code, language, no, p_size FROM {CORPUS})"
 )
 _KEPT = (
@@ -47,7 +47,9 @@ def _(spark, sf):
 
 
 def _extracted_sql(language: str, second_prefix: str, first_prefix: str = "") -> str:
-    """Both functions of every file, stated from the template instead of by matching.
+    """All functions of every file, stated from the template instead of by matching.
+
+    A large file repeats the template 40 times.
 
     A Java header takes the whitespace before it along; Python keeps whole lines.
     """
@@ -55,14 +57,14 @@ def _extracted_sql(language: str, second_prefix: str, first_prefix: str = "") ->
     first = f"{first_prefix}{cut.format('first_code')}"
     second = f"{second_prefix}{cut.format('second_code')}"
     return (
-        f"SELECT relative_path, seq, name, code FROM (SELECT relative_path, CAST(0 AS INTEGER) AS seq, 'f' || p_size AS name, {first} AS code FROM {FILES} "
-        f"WHERE language = '{language}' AND no % 11 <> 0 UNION ALL SELECT relative_path, 1, 'g7', {second} FROM {FILES} "
-        f"WHERE language = '{language}' AND no % 11 <> 0) WHERE length(code) BETWEEN 50 AND 3000"
+        f"SELECT relative_path, CAST(2 * k + seq AS INTEGER) AS seq, name, code FROM (SELECT relative_path, no, 0 AS seq, 'f' || p_size AS name, {first} AS code FROM {FILES} "
+        f"WHERE language = '{language}' UNION ALL SELECT relative_path, no, 1, 'g7', {second} FROM {FILES} "
+        f"WHERE language = '{language}'), range(40) r(k) WHERE (k = 0 OR no % 11 = 0) AND length(code) BETWEEN 50 AND 3000"
     )
 
 
 def _functions_of(spark, sf, language):
-    files = X.source_files(spark, sf).filter((F.col("language") == language) & (F.col("no") % 11 != 0))
+    files = X.source_files(spark, sf).filter(F.col("language") == language)
     return N.file_functions(files).select("relative_path", "seq", "name", "code")
 
 
@@ -343,13 +345,13 @@ def _(spark, sf):
 
 
 _CHECK_SQL = f"""(SELECT l AS language, CAST(r AS BIGINT) AS required, CAST(coalesce(n, 0) AS BIGINT) AS actual,
-  coalesce(n, 0) * 100.0::DOUBLE / r AS pct, coalesce(n, 0) >= r * 0.9 AS ok FROM (VALUES ('python', 150), ('java', 150), ('javascript', 100), ('cpp', 100)) t(l, r)
-  LEFT JOIN (SELECT language, count(*) AS n FROM {CORPUS} WHERE p_size <= 13 OR language = 'java' GROUP BY 1) c ON c.language = t.l)"""
+  coalesce(n, 0) * 100.0::DOUBLE / r AS pct, coalesce(n, 0) >= r * 0.9 AS ok FROM (VALUES ('python', 150), ('java', 900), ('javascript', 40), ('cpp', 20000)) t(l, r)
+  LEFT JOIN (SELECT language, count(*) AS n FROM {CORPUS} GROUP BY 1) c ON c.language = t.l)"""
 
 
 def _check(spark, sf):
-    c = X.corpus(spark, sf)
-    return C.distribution_check(c.filter((F.col("p_size") <= 13) | (F.col("language") == "java")))
+    required = {"python": 150, "java": 900, "javascript": 40, "cpp": 20000}
+    return C.distribution_check(X.corpus(spark, sf), required)
 
 
 @query(

@@ -157,14 +157,13 @@ def _structured(spark, sf):
 
 @query(
     "e14_suite_structure",
-    f"""SELECT function_id, syntax_valid, syntax_valid AS functional_valid,
-    CASE WHEN syntax_valid THEN '' WHEN language = 'java' THEN 'Missing JUnit test structure'
+    f"""SELECT function_id, syntax_valid, syntax_valid AND language <> 'python' AS functional_valid,
+    CASE WHEN syntax_valid THEN '' WHEN language = 'python' THEN 'Syntax error' WHEN language = 'java' THEN 'Missing JUnit test structure'
     WHEN language = 'javascript' THEN 'Missing Jest test structure' ELSE 'Missing GTest structure' END AS errors
-    FROM {_STRUCT_SQL} WHERE language <> 'python'""",
+    FROM {_STRUCT_SQL}""",
 )
 def _(spark, sf):
-    rows = Q.suite_structure(X.suites(spark, sf).filter(F.col("language") != "python"))
-    return rows.select(
+    return _structured(spark, sf).select(
         "function_id", "syntax_valid", "functional_valid", F.array_join("errors", ",").alias("errors")
     )
 

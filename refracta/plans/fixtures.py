@@ -256,7 +256,7 @@ def source_files(spark: SparkSession, sf: str) -> DataFrame:
         F.substring("code", F.position(F.lit("("), F.col("code")), F.length("code")),
     )
     text = F.concat(pick(n, ("import os", "package x;", "'use strict';", "#pragma once")), F.lit("\n"), F.col("code"), F.lit("\n"), second)
-    big = F.when(F.col("no") % 11 == 0, F.repeat(text, 40)).otherwise(text)
+    big = F.when(F.col("no") % 11 == 0, F.repeat(F.concat(text, F.lit("\n")), 40)).otherwise(text)
     folder = pick((F.col("no") % 6).cast("int"), ("sorts", "tests", "lists", "strings", "math", "misc"))
     name = F.when(F.col("no") % 13 == 0, "test_unit").otherwise("Unit")
     path = F.concat(folder, F.lit("/"), name, F.col("no").cast("string"), pick(n, EXTS))
