@@ -17,7 +17,7 @@ from refracta.constants import (
 )
 from refracta.functions.metrics import complexity_tier
 from refracta.operators.ordered import row_numbers
-from refracta.operators.sampling import take_per_group
+from refracta.operators.sampling import chosen_per_group, rows_of, take_per_group
 from refracta.session import cut_lineage, literal_rows
 
 
@@ -53,36 +53,83 @@ def _row_is_bad() -> Column:
     return bad
 
 
+def _firsts(rows: DataFrame, arrival: str) -> DataFrame:
+    """Open rows with the earliest open arrival of their id and of their hash."""
+    by_id = rows.groupBy("id").agg(F.min(arrival).alias("__by_id"))
+    by_hash = rows.groupBy("code_hash").agg(F.min(arrival).alias("__by_hash"))
+    return cut_lineage(rows.join(by_id, "id").join(by_hash, "code_hash"))
+
+
+def _chained(firsts: DataFrame, arrival: str) -> DataFrame:
+    """Rows (``arrival``, ``admitted``) whose fate hangs on a chain of single rows.
+
+    A row with exactly one earlier rival gets in when that rival does not. Following such
+    rivals by pointer doubling settles a chain of n rows in log2(n) steps, down to a row
+    that certainly gets in; chains that end elsewhere stay open. At most two rows point at
+    one, so no key of these joins is crowded.
+    """
+    place = F.col(arrival)
+    first_id, first_hash = place == F.col("__by_id"), place == F.col("__by_hash")
+    next_id = firsts.filter(~first_id).groupBy("id").agg(F.min(arrival).alias("__next_id"))
+    next_hash = firsts.filter(~first_hash).groupBy("code_hash").agg(F.min(arrival).alias("__next_hash"))
+    rival = F.when(first_id & (place == F.col("__next_hash")), F.col("__by_hash")).when(
+        first_hash & (place == F.col("__next_id")), F.col("__by_id")
+    )
+    pointers = cut_lineage(
+        firsts.join(next_id, "id", "left")
+        .join(next_hash, "code_hash", "left")
+        .select(arrival, rival.alias("__rival"), F.lit(True).alias("__odd"))
+        .filter("__rival IS NOT NULL")
+    )
+    moved = True
+    while moved:
+        ahead = pointers.select(
+            F.col(arrival).alias("__rival"), F.col("__rival").alias("__further"), F.col("__odd").alias("__more")
+        )
+        stepped = cut_lineage(
+            pointers.join(ahead, "__rival", "left").select(
+                arrival,
+                F.coalesce("__further", "__rival").alias("__rival"),
+                (F.col("__odd") != F.coalesce("__more", F.lit(False))).alias("__odd"),
+                F.col("__further").isNotNull().alias("__moved"),
+            )
+        )
+        moved = not stepped.filter("__moved").isEmpty()
+        pointers = stepped.drop("__moved")
+    certain = firsts.filter(first_id & first_hash).select(F.col(arrival).alias("__rival"))
+    return pointers.join(certain, "__rival", "left_semi").select(arrival, (~F.col("__odd")).alias("admitted"))
+
+
 def _admit(rows: DataFrame, arrival: str) -> DataFrame:
     """Arrivals that get in when each id and each hash may be used once, earliest first.
 
     A row that is turned away reserves nothing, so this is a greedy matching of ids and
     hashes. Every round admits the rows that are the earliest open ones for both their
-    id and their hash and drops the rows these exclude. Each round works on the narrow
-    key columns and reduces before it joins.
+    id and their hash and drops the rows these exclude; from the second round on, chains of
+    conflicts are settled as a whole. The input is evaluated once, of rows equal in id and
+    hash only the first is kept, and every round works on the narrow key columns.
     """
+    still_open = cut_lineage(rows.groupBy("id", "code_hash").agg(F.min(arrival).alias(arrival)))
     admitted = []
-    still_open = rows
     while True:
-        by_id = still_open.groupBy("id").agg(F.min(arrival).alias("__by_id"))
-        by_hash = still_open.groupBy("code_hash").agg(F.min(arrival).alias("__by_hash"))
-        marked = cut_lineage(
-            still_open.join(by_id, "id")
-            .join(by_hash, "code_hash")
-            .withColumn("__in", (F.col(arrival) == F.col("__by_id")) & (F.col(arrival) == F.col("__by_hash")))
-            .select("id", "code_hash", arrival, "__in")
-        )
-        winners = marked.filter("__in")
+        firsts = _firsts(still_open, arrival)
+        winners = firsts.filter((F.col(arrival) == F.col("__by_id")) & (F.col(arrival) == F.col("__by_hash")))
+        winners = winners.select("id", "code_hash", arrival)
+        waiting = still_open
+        if admitted:
+            chained = cut_lineage(_chained(firsts, arrival))
+            waiting = waiting.join(chained.select(arrival), arrival, "left_anti")
+            winners = winners.unionByName(
+                still_open.join(chained.filter("admitted").select(arrival), arrival, "left_semi")
+            )
         admitted.append(winners.select(arrival))
-        still_open = (
-            marked.filter("NOT __in")
-            .select("id", "code_hash", arrival)
-            .join(winners.select("id"), "id", "left_anti")
-            .join(winners.select("code_hash"), "code_hash", "left_anti")
+        still_open = cut_lineage(
+            waiting.join(winners.select("id"), "id", "left_anti").join(
+                winners.select("code_hash"), "code_hash", "left_anti"
+            )
         )
         if still_open.isEmpty():
-            break
-    return reduce(DataFrame.union, admitted)
+            return reduce(DataFrame.union, admitted)
 
 
 def flag_insert(new: DataFrame, existing: DataFrame, arrival: str) -> DataFrame:
@@ -149,11 +196,16 @@ def with_sequence_id(df: DataFrame, tag: str, order: Sequence[str], out: str = "
 def collect_functions(
     df: DataFrame, targets: dict[str, int], tag: str, order: Sequence[str], known: DataFrame | None = None
 ) -> DataFrame:
-    """Known hashes out, first copy of each hash, quota per language, ids."""
+    """Known hashes out, first copy of each hash, quota per language, ids.
+
+    ``order`` must be total. Ranks are found on the narrow columns; texts are only read for
+    the rows that are taken.
+    """
     fresh = df if known is None else not_in(df, known)
-    return with_sequence_id(
-        take_quota(keep_first(fresh, ["code_hash"], order), targets, order), tag, order
-    )
+    keys = ["language", "code_hash", *order]
+    first = keep_first(fresh.select(*keys), ["code_hash"], order)
+    chosen = chosen_per_group(first, ["language"], {(k,): v for k, v in targets.items()}, order)
+    return with_sequence_id(rows_of(fresh, chosen, keys), tag, order)
 
 
 def counts_by_language_and_tier(df: DataFrame) -> DataFrame:

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refracta.constants import SAMPLE_LANGUAGE_QUOTA, SAMPLE_TIER_SHARE
 from refracta.functions.metrics import complexity_tier
-from refracta.operators.ordered import row_numbers
 from refracta.session import literal_rows
 
-# Spark turns "rank <= k" into a per-task limit only up to this k by default.
-GROUP_LIMIT = 1000
+#: Parts in which the rows of a group are ranked before its final ranking.
+SALTS = 32
 
 
 def random_order(key: Column, seed: str) -> Column:
@@ -21,13 +22,14 @@ def random_order(key: Column, seed: str) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(seed)))
 
 
-def take_per_group(
+def chosen_per_group(
     df: DataFrame, group: Sequence[str], quotas: dict[tuple, int], order: Sequence[str]
 ) -> DataFrame:
-    """First ``quota`` rows of every group in ``order``; groups without a quota give none.
+    """First ``quota`` rows of every group in ``order``, all columns of ``df``.
 
-    With small quotas every task keeps only the rows that can still win, so a huge
-    stratum is never gathered. Larger quotas rank by range instead.
+    Two stages: the rows of a group are ranked in SALTS parts, and what is left of the parts,
+    at most SALTS quotas, is ranked as a whole. Spark cuts small quotas in every task
+    already, before the shuffle.
     """
     limit = max(quotas.values(), default=0)
     kinds = dict(df.select(*group).dtypes)
@@ -36,13 +38,36 @@ def take_per_group(
         [(*values, quota) for values, quota in quotas.items() if quota > 0],
         ", ".join([*(f"{g} {kinds[g]}" for g in group), "__quota int"]),
     )
-    wanted = df.join(table, list(group))
-    if limit <= GROUP_LIMIT:
-        position = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-        ranked = wanted.withColumn("__rn", position).filter(F.col("__rn") <= limit)
-    else:
-        ranked = row_numbers(wanted, order, "__rn", group)
-    return ranked.filter(F.col("__rn") <= F.col("__quota")).select(*df.columns)
+    salt = F.pmod(F.xxhash64(*order), F.lit(SALTS))
+    in_part = F.row_number().over(Window.partitionBy(*group, salt).orderBy(*order))
+    in_group = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return (
+        df.join(table, list(group))
+        .withColumn("__rn", in_part)
+        .filter(F.col("__rn") <= limit)
+        .withColumn("__rn", in_group)
+        .filter(F.col("__rn") <= F.col("__quota"))
+        .select(*df.columns)
+    )
+
+
+def rows_of(df: DataFrame, chosen: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` whose ``keys`` are among those of ``chosen``; NULLs are equal."""
+    renamed = chosen.select(*[F.col(k).alias(f"__chosen_{k}") for k in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__chosen_{k}")) for k in keys])
+    return df.join(renamed, same, "left_semi")
+
+
+def take_per_group(
+    df: DataFrame, group: Sequence[str], quotas: dict[tuple, int], order: Sequence[str]
+) -> DataFrame:
+    """First ``quota`` rows of every group in ``order``; groups without a quota give none.
+
+    ``order`` must be total within a group. Only ``group`` and ``order`` are ranked; the
+    other columns, texts among them, are read for the chosen rows alone.
+    """
+    keys = list(dict.fromkeys([*group, *order]))
+    return rows_of(df, chosen_per_group(df.select(*keys), group, quotas, order), keys)
 
 
 def stratum_quotas(

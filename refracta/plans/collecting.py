@@ -296,15 +296,16 @@ def _(spark, sf):
 
 # --- loads -----------------------------------------------------------------------------------------
 
-_STATUS_SQL = f"""(SELECT *, CASE WHEN no % 50 = 49 THEN 'error' WHEN code_hash IN (SELECT code_hash FROM {FUNCTIONS} WHERE no < 40 AND p_size < 10) THEN 'duplicate'
+_STATUS_SQL = f"""(SELECT *, CASE WHEN no % 50 = 49 THEN 'error' WHEN code_hash IN (SELECT code_hash FROM {FUNCTIONS} WHERE no % 3 = 0 AND p_size < 10) THEN 'duplicate'
   WHEN row_number() OVER (PARTITION BY code_hash, no % 50 = 49 ORDER BY no) > 1 THEN 'duplicate' ELSE 'inserted' END AS status
-  FROM {FUNCTIONS} WHERE no >= 40)"""
+  FROM {FUNCTIONS} WHERE no % 3 <> 0 OR p_size >= 10)"""
 
 
 def _flagged(spark, sf):
     f = X.functions(spark, sf)
-    existing = f.filter((F.col("no") < 40) & (F.col("p_size") < 10))
-    new = f.filter(F.col("no") >= 40).withColumn(
+    stored = (F.col("no") % 3 == 0) & (F.col("p_size") < 10)
+    existing = f.filter(stored)
+    new = f.filter(~stored).withColumn(
         "lines_of_code", F.when(F.col("no") % 50 == 49, 0).otherwise(F.col("lines_of_code"))
     )
     return C.flag_insert(new, existing, "no")

@@ -66,6 +66,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of at most some 100 bytes: a broadcast of this many stays below 64 MiB.
+BROADCAST_ROWS = 500_000
+
+
+def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, written out, and hinted for broadcast only when its counted rows are few.
+
+    For narrow tables. Beyond the bound the join is left to a shuffle; the rows are the same.
+    """
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def input_bytes(df: DataFrame) -> int | None:
     """Bytes of all inputs of the plan, or None when the session cannot tell."""
     try:

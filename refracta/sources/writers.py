@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from refracta.constants import NATURAL_KEY
 from refracta.functions.domains import suite_file_name
 from refracta.operators.corpus import keep_first
+from refracta.operators.sampling import rows_of
+from refracta.session import bounded_broadcast
 from refracta.sources.files import exists
 
 
@@ -20,9 +24,16 @@ def write_function_jsonl(df: DataFrame, path: str, mode: str = "errorifexists")
 def new_results(
     new: DataFrame, facts: DataFrame, arrival: Sequence[str], key: Sequence[str] = NATURAL_KEY
 ) -> DataFrame:
-    """Results whose key is new, first copy of each."""
-    first = keep_first(new, key, arrival)
-    return first.join(facts.select(*key).distinct(), list(key), "left_anti")
+    """Results whose key is new, first copy of each. NULLs in a key are equal.
+
+    The stored keys are reduced to those of ``new`` where they are read; with few new keys
+    nothing of ``facts`` is shuffled.
+    """
+    arriving = bounded_broadcast(new.select(*key).distinct())
+    known = rows_of(facts.select(*key), arriving, key).distinct()
+    renamed = known.select(*[F.col(k).alias(f"__known_{k}") for k in key])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__known_{k}")) for k in key])
+    return keep_first(new, key, arrival).join(renamed, same, "left_anti")
 
 
 def append_results(

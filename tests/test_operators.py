@@ -150,6 +150,18 @@ def test_greedy_load(spark):
         assert tuple(report) == (60, counts["inserted"], counts["duplicate"], counts["error"])
 
 
+def test_load_of_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    # Every row shares its id with the row before and its hash with the row after it.
+    n = 400
+    rows = [(i, f"i{(i + 1) // 2}", f"h{i // 2}") for i in range(n)]
+    rounds = []
+    firsts = corpus._firsts
+    monkeypatch.setattr(corpus, "_firsts", lambda *a: rounds.append(1) or firsts(*a))
+    got = corpus._admit(spark.createDataFrame(rows, "n int, id string, code_hash string"), "n")
+    assert {r["n"] for r in got.collect()} == set(range(0, n, 2))
+    assert len(rounds) <= 3
+
+
 def test_collection_counters(spark):
     languages, tiers = ["python", "java", "javascript", "cpp"], [5, 20, 40]
     rows = [("inserted", languages[i % 4], tiers[i % 3]) for i in range(50)]

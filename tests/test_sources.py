@@ -76,6 +76,14 @@ def test_append_is_idempotent(spark, tmp_path):
     assert sorted(r["n"] for r in spark.read.parquet(path).collect()) == [1, 3]
 
 
+def test_append_takes_null_keys_as_equal(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    batch = spark.createDataFrame([("f", None, "refactor", None, 1), (None, "m", "refactor", "a", 2)], FACTS)
+    for _ in range(2):
+        writers.append_results(batch, path, ["n"])
+    assert sorted(r["n"] for r in spark.read.parquet(path).collect()) == [1, 2]
+
+
 def test_suite_writer(spark, tmp_path):
     suites = spark.createDataFrame(
         [("f1", "java", "code"), ("f2", "python", None)], "function_id string, language string, test_code string"
