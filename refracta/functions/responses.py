@@ -49,12 +49,14 @@ def fenced_code(reply: Column, language: Column) -> Column:
     )
 
 
-def _without_lead_in(reply: Column) -> Column:
+def without_lead_in(reply: Column) -> Column:
+    """The reply without an opening such as ``Here is the code:``; NULL if nothing is left."""
     cleaned = F.regexp_replace(strip(reply), rf"(?i)\A{LEAD_IN_PATTERN}[^\n]*?:{WS}*", "")
     return F.nullif(cleaned, F.lit(""))
 
 
-def _if_any(reply: Column, language: Column, markers: dict, value: Column) -> Column:
+def when_marked(reply: Column, language: Column, markers: dict, value: Column) -> Column:
+    """``value`` for replies that hold a marker of their language, else NULL."""
     hit = by_language(language, {k: any_of(reply, v) for k, v in markers.items()}, F.lit(False))
     return F.when(hit, value)
 
@@ -63,7 +65,7 @@ def extract_code(reply: Column, language: Column) -> Column:
     """Code of a transformation reply: fenced block, else the whole text if it looks like code."""
     return F.coalesce(
         fenced_code(reply, language),
-        _if_any(reply, language, CODE_INDICATORS, _without_lead_in(reply)),
+        when_marked(reply, language, CODE_INDICATORS, without_lead_in(reply)),
     )
 
 
@@ -81,8 +83,8 @@ def extract_test_code(reply: Column, language: Column) -> Column:
     )
     return F.coalesce(
         fenced_code(reply, language),
-        _if_any(reply, language, TEST_TRIGGERS, tails),
-        _if_any(reply, language, TEST_INDICATORS, _without_lead_in(reply)),
+        when_marked(reply, language, TEST_TRIGGERS, tails),
+        when_marked(reply, language, TEST_INDICATORS, without_lead_in(reply)),
     )
 
 

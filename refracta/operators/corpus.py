@@ -180,6 +180,18 @@ def with_load_defaults(df: DataFrame) -> DataFrame:
     )
 
 
+def next_version(existing: DataFrame, loaded: DataFrame, arrival: str) -> DataFrame:
+    """``existing`` with the rows of a load that get in, defaults filled.
+
+    ``arrival`` is a unique column of ``loaded`` giving the load order. Columns that
+    ``loaded`` lacks are NULL in its rows.
+    """
+    flagged = flag_insert(with_load_defaults(loaded), existing, arrival)
+    fresh = flagged.filter("status = 'inserted'")
+    shared = [c for c in existing.columns if c in fresh.columns]
+    return existing.unionByName(fresh.select(*shared), allowMissingColumns=True)
+
+
 def take_quota(df: DataFrame, targets: dict[str, int], order: Sequence[str]) -> DataFrame:
     """First ``targets[language]`` rows per language in ``order``."""
     return take_per_group(df, ["language"], {(k,): v for k, v in targets.items()}, order)

@@ -13,7 +13,9 @@ from refracta.operators.sampling import random_order
 from refracta.plans import fixtures as X
 from refracta.plans.fixtures import CORPUS, FUNCTIONS, sql_pick, sql_strip
 from refracta.plans.registry import query
+from refracta.session import scratch_path
 from refracta.sources import files as R
+from refracta.sources import writers as W
 
 # --- source files -----------------------------------------------------------------------------
 
@@ -336,6 +338,38 @@ def _(spark, sf):
     return C.collection_counters(_flagged(spark, sf))
 
 
+_STORED = "(no % 3 = 0 AND p_size < 10)"
+
+
+@query(
+    "s11_next_version",
+    f"""SELECT id, language, code_hash, domain, task_name, validated FROM {FUNCTIONS} WHERE {_STORED} UNION ALL
+    (SELECT id, language, code_hash, CASE WHEN no % 4 = 0 THEN 'other' ELSE domain END, CASE WHEN no % 7 = 0 THEN '' ELSE task_name END, false
+    FROM {FUNCTIONS} WHERE NOT {_STORED} AND code_hash NOT IN (SELECT code_hash FROM {FUNCTIONS} WHERE {_STORED})
+    QUALIFY row_number() OVER (PARTITION BY code_hash ORDER BY no) = 1)""",
+)
+def _(spark, sf):
+    # A load of the whole corpus from JSONL into a table that holds a part of it.
+    f, base = X.functions(spark, sf), scratch_path(spark, "load")
+    f.filter(_STORED).select(
+        "id", "language", "code", "code_hash", "cyclomatic_complexity", "lines_of_code", "domain", "source",
+        "task_name", "validated",
+    ).write.parquet(f"{base}/v1")
+    exported = f.withColumns(
+        {
+            "domain": F.when(F.col("no") % 4 != 0, F.col("domain")),
+            "task_name": F.when(F.col("no") % 7 != 0, F.col("task_name")),
+        }
+    ).select(
+        "id", "language", "code", "code_hash", "cyclomatic_complexity", "halstead_volume", "lines_of_code",
+        "domain", "source", "task_name",
+    )
+    W.write_function_jsonl(exported, f"{base}/jsonl")
+    loaded = R.read_function_jsonl(spark, f"{base}/jsonl").withColumn("no", F.substring("id", 4, 20).cast("bigint"))
+    C.next_version(spark.read.parquet(f"{base}/v1"), loaded, "no").write.parquet(f"{base}/v2")
+    return spark.read.parquet(f"{base}/v2").select("id", "language", "code_hash", "domain", "task_name", "validated")
+
+
 @query(
     "a12_counts_by_language_and_tier",
     f"""SELECT 'language' AS dimension, language AS value, CAST(count(*) AS BIGINT) AS functions FROM {FUNCTIONS} GROUP BY language

@@ -2,13 +2,17 @@
 
 from pyspark.sql import functions as F
 
+from refracta.constants import TASKS
 from refracta.functions import responses as P
 from refracta.functions.text import longest
 from refracta.operators import cost as O
 from refracta.operators import grid as G
+from refracta.operators.results import result_rows
 from refracta.plans import fixtures as X
-from refracta.plans.fixtures import CORPUS, FENCE, RESPONSES, RUN_LOG, SUITES, rounded, sql_strip
+from refracta.plans.fixtures import CORPUS, FENCE, MODELS_SQL, RESPONSES, RUN_LOG, SUITES, rounded, sql_strip
 from refracta.plans.registry import query
+from refracta.session import scratch_path
+from refracta.sources import writers as W
 
 
 # --- prompts ---------------------------------------------------------------------------------
@@ -186,8 +190,8 @@ def _(spark, sf):
         F.concat(F.lit("Here is: "), "text").alias("content"),
         F.when(F.col("doc_id") % 2 == 0, "cpp").otherwise("java").alias("language"),
     )
-    code = P._if_any(
-        F.col("content"), F.col("language"), P.TEST_INDICATORS, P._without_lead_in(F.col("content"))
+    code = P.when_marked(
+        F.col("content"), F.col("language"), P.TEST_INDICATORS, P.without_lead_in(F.col("content"))
     )
     return docs.select("doc_id", F.md5(code).alias("code_md5"))
 
@@ -269,3 +273,41 @@ def _(spark, sf):
         "total", "generated", "failed", F.round("total_cost_usd", 6).alias("total_cost_usd"),
         F.round("avg_cost_usd", 9).alias("avg_cost_usd"),
     )
+
+
+# --- results ---------------------------------------------------------------------------------
+
+_TASK_OF_REPLY = X.sql_pick("conv_id % 3", TASKS)
+_RESULTS_SQL = f"""WITH e AS (SELECT *, 'fn_' || conv_id AS function_id, {_TASK_OF_REPLY} AS task, {_EXTRACTED_SQL} AS new_code FROM {RESPONSES}),
+    u AS (SELECT e.*, c.code FROM e JOIN {CORPUS} c ON c.id = e.function_id WHERE attempt <= 3
+    QUALIFY row_number() OVER (PARTITION BY function_id, model, task ORDER BY new_code IS NULL, CASE WHEN new_code IS NULL THEN -attempt ELSE attempt END, turn) = 1)
+    SELECT function_id, model, task, 'zero_shot' AS strategy, md5(new_code) AS code_md5,
+    CAST(abs({X.sql_cc("new_code")} - {X.sql_cc("code")}) AS DOUBLE) AS delta_cc,
+    round((tokens_input + tokens_output) / 1000.0::DOUBLE * CASE WHEN m.id IS NULL THEN 0.002 ELSE coalesce(cost_per_1k_tokens, 0.001) END, 9) AS cost_usd,
+    turn * 10 AS latency_ms, CASE WHEN new_code IS NOT NULL AND error IS NULL THEN NULL WHEN error IS NULL THEN 'parse_error'
+    WHEN error LIKE '%402%' THEN 'insufficient_funds' WHEN error LIKE '%429%' THEN 'rate_limit' WHEN error LIKE '%503%' THEN 'server_error'
+    WHEN lower(error) LIKE '%timeout%' THEN 'timeout' ELSE 'request_error' END AS error_type
+    FROM u LEFT JOIN {MODELS_SQL} m ON m.id = u.model"""
+
+
+@query("x3_result_rows", _RESULTS_SQL)
+def _(spark, sf):
+    # The replies as answers to a grid, appended to the fact table twice.
+    functions, path = X.functions(spark, sf), scratch_path(spark, "results")
+    cells = G.grid(functions, [f"m{i}" for i in range(7)], TASKS, ["zero_shot"])
+    replies = X.responses(spark, sf).drop("language").withColumns(
+        {
+            "function_id": F.concat(F.lit("fn_"), F.col("conv_id").cast("string")),
+            "task": X.pick((F.col("conv_id") % 3).cast("int"), TASKS),
+            "strategy": F.lit("zero_shot"),
+            "latency_ms": F.col("turn") * 10,
+            "timestamp": F.timestamp_seconds("turn").cast("timestamp_ntz"),
+        }
+    )
+    rows = result_rows(cells, replies, functions, X.catalogue(spark))
+    for _attempt in range(2):
+        W.append_results(rows, path, ["timestamp"])
+    return spark.read.parquet(path).select(
+        "function_id", "model", "task", "strategy", F.md5("transformed_code").alias("code_md5"), "delta_cc",
+        F.round("cost_usd", 9).alias("cost_usd"), "latency_ms", "error_type",
+    )

@@ -194,15 +194,51 @@ def _(spark, sf):
     )
 
 
-@query("z7_quadratic_fit")
+_PREDICTORS = ("cyclomatic_complexity", "halstead_volume", "lines_of_code")
+
+
+def _determinant(m: list[list[str]]) -> str:
+    """The expression for a determinant, expanded along the first row."""
+    if len(m) == 1:
+        return m[0][0]
+    minors = [_determinant([row[:j] + row[j + 1 :] for row in m[1:]]) for j in range(len(m))]
+    return "(" + "".join(f" {'-' if j % 2 else '+'} {m[0][j]} * {minors[j]}" for j in range(len(m))) + ")"
+
+
+def _fit_sql(predictors: dict[str, str], source: str) -> str:
+    """Least squares on ``predictors`` (name: expression): normal equations by Cramer's rule."""
+    n = len(predictors)
+    moments = [f"covar_pop(x{i}, x{j}) AS s{i}{j}" for i in range(n) for j in range(i, n)]
+    moments += [f"covar_pop(x{i}, y) AS t{i}, avg(x{i}) AS m{i}" for i in range(n)]
+
+    def system(replaced: int | None) -> str:
+        return _determinant(
+            [[f"t{i}" if j == replaced else f"s{min(i, j)}{max(i, j)}" for j in range(n)] for i in range(n)]
+        )
+
+    columns = ", ".join(f"({p})::DOUBLE AS x{i}" for i, p in enumerate(predictors.values()))
+    solved = ", ".join(f"{system(i)} / {system(None)} AS b{i}" for i in range(n))
+    rows = " UNION ALL ".join(f"SELECT '{p}' AS term, round(b{i}, 6) AS coefficient FROM b" for i, p in enumerate(predictors))
+    intercept = " ".join(f"- b{i} * m{i}" for i in range(n))
+    explained = " + ".join(f"b{i} * t{i}" for i in range(n))
+    return f"""WITH d AS (SELECT {columns}, se_score::DOUBLE AS y FROM {source} WHERE se_score IS NOT NULL),
+    m AS (SELECT {", ".join(moments)}, avg(y) AS my, var_pop(y) AS vy FROM d), b AS (SELECT *, {solved} FROM m)
+    {rows} UNION ALL SELECT 'intercept', round(my {intercept}, 6) FROM b
+    UNION ALL SELECT 'r2', round(({explained}) / vy, 6) FROM b"""
+
+
+_X = "cyclomatic_complexity"
+
+
+@query("z7_quadratic_fit", _fit_sql({_X: _X, f"{_X}_squared": f"{_X} * {_X}"}, _JOINED))
 def _(spark, sf):
-    return rounded(T.quadratic_fit(_with_functions(spark, sf), "cyclomatic_complexity", "se_score"))
+    return rounded(T.quadratic_fit(_with_functions(spark, sf), _X, "se_score"))
 
 
-@query("z7_multiple_fit")
+@query("z7_multiple_fit", _fit_sql({p: p for p in _PREDICTORS}, _JOINED))
 def _(spark, sf):
     rows = _with_functions(spark, sf)
-    fit = T.multiple_fit(rows, ["cyclomatic_complexity", "halstead_volume", "lines_of_code"], "se_score")
+    fit = T.multiple_fit(rows, list(_PREDICTORS), "se_score")
     return rounded(fit)
 
 

@@ -3,7 +3,6 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from refracta.constants import NATURAL_KEY
 from refracta.plans.costs import ROLLUP_SQL
 from refracta.plans.fixtures import RUN_LOG, rounded
 from refracta.plans.registry import query
@@ -105,17 +104,12 @@ def _(spark, sf):
     f"SELECT CAST(count(DISTINCT (function_id, model)) AS BIGINT) AS n FROM {EVENTS_SQL}",
 )
 def _(spark, sf):
-    # A single batch: all copies of a key meet within the watermark.
-    once = S.once_per_key(event_stream(spark, sf), NATURAL_KEY)
-    path, state = scratch_path(spark, "dedup"), scratch_path(spark, "dedup-state")
-    (
-        once.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", state)
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
+    # Three batches, the newest rows first; repeats of a key are days apart.
+    source, path = scratch_path(spark, "events"), scratch_path(spark, "once")
+    _in_three_files(spark, sf, source)
+    S.start_append_once(
+        _as_results(_stream(spark, sf, source, 1)), path, scratch_path(spark, "once-state"), ["timestamp", "event_id"]
+    ).awaitTermination()
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
 
 

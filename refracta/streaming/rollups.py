@@ -1,7 +1,6 @@
 """Streaming forms of the daily roll-up, the monitors and the idempotent append.
 
-Event time decides the day. Watermarks need TIMESTAMP, so zone-less timestamps are cast
-with the session zone (UTC).
+Event time decides the day. Nothing here drops late rows: there is no watermark.
 """
 
 from __future__ import annotations
@@ -18,12 +17,6 @@ from refracta.sources.files import delete_path, matching_paths
 from refracta.sources.writers import append_results
 
 
-def with_event_time(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    return stream.withColumn("event_time", F.col("timestamp").cast("timestamp")).withWatermark(
-        "event_time", delay
-    )
-
-
 def monitor_stream(stream: DataFrame) -> DataFrame:
     """Rows, pending scores and spend per model."""
     return stream.groupBy("model").agg(
@@ -33,11 +26,6 @@ def monitor_stream(stream: DataFrame) -> DataFrame:
     )
 
 
-def once_per_key(stream: DataFrame, key: Sequence[str] = NATURAL_KEY, delay: str = "1 day") -> DataFrame:
-    """First arrival of each key within the watermark; state is dropped behind it."""
-    return with_event_time(stream, delay).dropDuplicatesWithinWatermark(list(key)).drop("event_time")
-
-
 def write_rollup_part(batch: DataFrame, epoch: int, target: str) -> None:
     """The roll-up of one batch alone, in a folder of its own that a replay overwrites."""
     daily_rollup(batch).write.mode("overwrite").parquet(f"{target}/part={epoch}")

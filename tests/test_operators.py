@@ -162,6 +162,43 @@ def test_load_of_a_long_chain_takes_few_rounds(spark, monkeypatch):
     assert len(rounds) <= 3
 
 
+def test_next_version_fills_defaults_of_what_gets_in(spark):
+    columns = "id string, language string, code string, code_hash string, cyclomatic_complexity int, lines_of_code int, domain string, source string"
+    existing = spark.createDataFrame([("a", "java", "c", "h1", 1, 1, "io", "s")], columns)
+    rows = [("b", "java", "c", "h1", 1, 1, None, "s", "t", 1), ("c", "java", "c", "h2", 1, 1, None, "s", None, 2), ("d", None, "c", "h3", 1, 1, "io", "s", None, 3)]
+    loaded = spark.createDataFrame(rows, f"{columns}, task_name string, n int")
+    got = corpus.next_version(existing, loaded, "n")
+    assert got.columns == existing.columns
+    assert {(r["id"], r["domain"]) for r in got.collect()} == {("a", "io"), ("c", "other")}
+
+
+def test_result_rows_keep_the_first_usable_attempt_or_the_last_failure(spark):
+    from refracta.operators.results import result_rows
+    from refracta.schemas import TRANSFORMATIONS
+
+    key = "function_id string, model string, task string, strategy string"
+    cells = spark.createDataFrame([(f, "m1", "refactor", "s") for f in ("f1", "f2", "f3")], key)
+    good = "```java\nint f() { if (a) {} }\n```"
+    replies = [
+        ("f1", "m1", 1, None, "API error 429: slow"), ("f1", "m1", 2, good, None), ("f1", "m1", 3, good + "x", None),
+        ("f2", "m1", 1, None, "timeout"), ("f2", "m1", 3, "no", None), ("f2", "m1", 4, good, None),
+        ("f1", "other", 1, good, None),
+    ]
+    responses = spark.createDataFrame(
+        [(f, m, "refactor", "s", a, c, e, 100, 50, a, None) for f, m, a, c, e in replies],
+        f"{key}, attempt int, content string, error string, tokens_input int, tokens_output int, latency_ms int, timestamp timestamp_ntz",
+    )
+    functions = spark.createDataFrame([(f, "java", 5) for f in ("f1", "f2")], "id string, language string, cyclomatic_complexity int")
+    catalogue = spark.createDataFrame([("tier1", "m1", 0.01)], "tier string, id string, cost_per_1k_tokens double")
+    rows = result_rows(cells, responses, functions, catalogue)
+    assert rows.columns == TRANSFORMATIONS.names
+    got = {r["function_id"]: r for r in rows.collect()}
+    assert set(got) == {"f1", "f2"}
+    assert (got["f1"]["latency_ms"], got["f1"]["error_type"], got["f1"]["delta_cc"]) == (2, None, 3.0)
+    assert (got["f2"]["latency_ms"], got["f2"]["error_type"], got["f2"]["transformed_code"]) == (3, "parse_error", None)
+    assert got["f1"]["cost_usd"] == pytest.approx(0.0015) and got["f1"]["se_score"] is None
+
+
 def test_collection_counters(spark):
     languages, tiers = ["python", "java", "javascript", "cpp"], [5, 20, 40]
     rows = [("inserted", languages[i % 4], tiers[i % 3]) for i in range(50)]
