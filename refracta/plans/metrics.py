@@ -339,10 +339,22 @@ def _results_by_key(spark, sf):
     return keys.join(X.test_results(spark, sf).select("function_id", "passed"), "function_id")
 
 
-@query("j1_score_with_trees")
+_TREES_SQL = f"""WITH p AS (SELECT a.*, c.language, c.code, c.language = 'python' AS py, c.p_size % 17 AS r FROM {_FIRST} a JOIN {CORPUS} c ON c.id = a.function_id),
+    s AS (SELECT o_orderkey, language, CAST(abs(CASE WHEN py THEN 1 + 2 * reps ELSE {X.sql_cc('transformed_code')} END - {X.sql_cc('code')}) AS DOUBLE) AS delta_cc,
+    CASE WHEN py THEN CAST(22 * abs(reps - r) AS DOUBLE) / (8 + 22 * greatest(reps, r)) ELSE {_diversity_sql('code', 'transformed_code')} END AS diversity,
+    {X.sql_volume('transformed_code')} AS v FROM p),
+    e AS (SELECT *, CASE WHEN v <= 0 THEN 1.0 ELSE 1.0 / (1.0 + v / 1000.0) END AS effort FROM s)
+    SELECT o_orderkey, language, delta_cc, round(diversity, 9) AS diversity, round(effort, 9) AS effort,
+    round(delta_cc * diversity / effort, 6) AS se_score FROM e"""
+
+
+@query("j1_score_with_trees", _TREES_SQL)
 def _(spark, sf):
     scored = SC.score(_pending(spark, sf), X.functions(spark, sf), None, use_trees=True)
-    return scored.select("o_orderkey", "language", "delta_cc", "diversity", "effort", "se_score")
+    return scored.select(
+        "o_orderkey", "language", "delta_cc", F.round("diversity", 9).alias("diversity"),
+        F.round("effort", 9).alias("effort"), F.round("se_score", 6).alias("se_score"),
+    )
 
 
 @query(
