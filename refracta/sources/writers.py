@@ -30,7 +30,7 @@ def new_results(
     nothing of ``facts`` is shuffled.
     """
     arriving = bounded_broadcast(new.select(*key).distinct())
-    known = rows_of(facts.select(*key), arriving, key).distinct()
+    known = rows_of(facts.select(*key), arriving, key)
     renamed = known.select(*[F.col(k).alias(f"__known_{k}") for k in key])
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__known_{k}")) for k in key])
     return keep_first(new, key, arrival).join(renamed, same, "left_anti")
