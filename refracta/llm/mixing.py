@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refracta.llm.common import small_side, text_or_empty
+from refracta.llm.common import hash_number, small_side, text_or_empty
 from refracta.operators.ordered import row_numbers, running_total
 from refracta.session import cut_lineage
 
@@ -28,7 +28,7 @@ def words(text: str = "text") -> Column:
 
 
 def _key(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), "doc_id", "text")
+    return hash_number(F.lit(seed), F.col("doc_id"), F.col("text"))
 
 
 def budgets(

@@ -38,7 +38,38 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@_query("op1_jaccard_join")
+OP1_SQL = """
+WITH RECURSIVE doc AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), shingled AS (
+    SELECT doc_id, list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 4, 1) + 1)])) AS s
+    FROM doc WHERE len(w) > 0
+), keyed AS (
+    SELECT doc_id, md5(array_to_string(s, chr(10))) AS node, s FROM shingled
+), node AS (
+    SELECT node, any_value(s) AS s, count(*) AS documents, min(doc_id) AS least_id FROM keyed GROUP BY node
+), item AS (
+    SELECT node, len(s) AS n, unnest(s) AS x FROM node
+), link AS (
+    SELECT a.node AS a, b.node AS b FROM item a JOIN item b ON a.x = b.x AND a.node <> b.node
+    GROUP BY a.node, b.node, a.n, b.n HAVING count(*) >= 0.8::DOUBLE * (a.n + b.n - count(*)) - 1e-9::DOUBLE
+), reached AS (
+    SELECT node AS a, node AS b FROM node
+    UNION
+    SELECT r.a, l.b FROM reached r JOIN link l ON l.a = r.b
+), class AS (
+    SELECT r.a AS node, min(n.least_id) AS class_id FROM reached r JOIN node n ON n.node = r.b GROUP BY r.a
+), counted AS (
+    SELECT l.a AS node, sum(n.documents) AS links, count(*) AS linked_texts FROM link l JOIN node n ON n.node = l.b GROUP BY l.a
+)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, (coalesce(links, 0) + coalesce(documents, 1) - 1)::BIGINT AS links,
+    coalesce(linked_texts, 0)::BIGINT AS linked_texts, coalesce(documents, 1)::BIGINT AS copies
+FROM doc LEFT JOIN keyed USING (doc_id) LEFT JOIN node USING (node) LEFT JOIN class USING (node) LEFT JOIN counted USING (node)
+"""
+
+
+@_query("op1_jaccard_join", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document, five words, similarity 0.8 or more."""
     return jaccard_join.jaccard_classes(_table(spark, sf_dir, "documents")).drop("text_key")
@@ -154,7 +185,43 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), token_counts.vocabulary())
 
 
-@_query("op5_mixing")
+OP5_SQL = """
+WITH sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+        ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS key
+    FROM documents
+), totals AS (
+    SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS place
+    FROM sized GROUP BY source
+), weighed AS (
+    SELECT *, source_size * 3::DOUBLE AS bound, [5::DOUBLE, 2, 1][1 + (place - 1) % 3] AS weight FROM totals
+), filled AS (
+    SELECT *, bound / weight AS ratio,
+        (sum(source_size) OVER ()::DOUBLE - coalesce(sum(bound) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS share
+    FROM weighed WINDOW before AS (ORDER BY bound / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+    SELECT source, source_size, CASE WHEN ratio <= share THEN bound
+        ELSE weight * (SELECT share FROM filled WHERE ratio > share ORDER BY ratio, place LIMIT 1) END AS target
+    FROM filled
+), facts AS (
+    SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS rounds FROM targets
+), placed AS (
+    SELECT d.*, source_size, target, rounds, target - rounds * source_size AS rest,
+        sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) - size AS before
+    FROM sized d JOIN facts f ON d.source IS NOT DISTINCT FROM f.source
+), cut AS (
+    SELECT source, min({'key': key, 'doc_id': doc_id}) AS cut FROM placed WHERE before + size > rest GROUP BY source
+), parts AS (
+    SELECT p.source, cut, floor((max(rest) - min(before)) / count(*)) AS part
+    FROM placed p JOIN cut c ON p.source IS NOT DISTINCT FROM c.source AND {'key': key, 'doc_id': doc_id} = cut GROUP BY p.source, cut
+)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (size * rounds + CASE
+    WHEN {'key': key, 'doc_id': doc_id} < cut THEN size WHEN {'key': key, 'doc_id': doc_id} = cut THEN part ELSE 0 END)::BIGINT AS taken
+FROM placed p LEFT JOIN parts c ON p.source IS NOT DISTINCT FROM c.source
+"""
+
+
+@_query("op5_mixing", OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix of all sources takes."""
     return mixing.mix_plan(_table(spark, sf_dir, "documents"))
