@@ -10,9 +10,6 @@ machine share its mapped pages.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -22,10 +19,11 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refracta.session import cut_lineage
+from refracta.session import cut_lineage, scratch_path
 
 #: Bytes of rule keys that one index takes; more rules go over ``judged_by_join``.
 MOST_BYTES = 1 << 30
+PIECE = 1 << 20  # bytes of an index that are written at a time
 DEFAULT = "allow"  # the verdict where no rule fits
 
 
@@ -60,14 +58,20 @@ class Index:
             }
         )
 
-    def save(self, path: str) -> None:
-        """One file of 8-byte aligned arrays behind a table of contents."""
+    def packed(self) -> Iterator[bytes]:
+        """8-byte aligned arrays behind a table of contents, in pieces of at most PIECE bytes."""
         arrays = [np.ascontiguousarray(getattr(self, p)) for p in self.PARTS]
-        head = np.array([[a.nbytes, ord(a.dtype.char)] for a in arrays], np.int64)
+        yield np.array([[a.nbytes, ord(a.dtype.char)] for a in arrays], np.int64).tobytes()
+        for a in arrays:
+            raw = a.view(np.uint8)
+            for at in range(0, len(raw), PIECE):
+                yield raw[at : at + PIECE].tobytes()
+            yield b"\0" * (-a.nbytes % 8)
+
+    def save(self, path: str) -> None:
+        """The packed arrays as one file."""
         with open(path, "wb") as out:
-            out.write(head.tobytes())
-            for a in arrays:
-                out.write(a.tobytes() + b"\0" * (-a.nbytes % 8))
+            out.writelines(self.packed())
 
     @classmethod
     def mapped(cls, path: str) -> Index:
@@ -83,9 +87,12 @@ class Index:
     def found(self, keys: list[bytes], hosts: np.ndarray) -> np.ndarray:
         """The rule of each key whose host part has the given length, or -1."""
         wanted = np.fromiter(map(digest, keys), np.uint64, len(keys))
-        at = np.searchsorted(self.digests, wanted)
         out = np.full(len(keys), -1, np.int64)
-        for i in np.flatnonzero(at < len(self.digests)):
+        if not len(self.digests):
+            return out
+        at = np.searchsorted(self.digests, wanted)
+        equal = self.digests[np.minimum(at, len(self.digests) - 1)] == wanted
+        for i in np.flatnonzero(equal):
             k = at[i]
             while k < len(self.digests) and self.digests[k] == wanted[i]:
                 stored = self.keys[self.offsets[k] : self.offsets[k + 1]].tobytes()
@@ -155,12 +162,16 @@ def _probe(name: str):
 
 
 def _shipped(spark: SparkSession, index: Index) -> str:
-    """Send the index to every executor; the name it has there."""
-    name = f"url-rules-{uuid.uuid4().hex}.bin"
-    folder = os.path.realpath(tempfile.mkdtemp(prefix="refracta-rules-"))
-    index.save(os.path.join(folder, name))
-    spark.sparkContext.addFile(os.path.join(folder, name))
-    return name
+    """Write the index to the shared folder, from where every executor gets it; its name there."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(f"{scratch_path(spark, 'url-rules')}.bin")
+    files = target.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = files.create(target)
+    for piece in index.packed():
+        out.write(bytearray(piece))
+    out.close()
+    sc.addFile(files.makeQualified(target).toString())
+    return target.getName()
 
 
 def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
