@@ -9,7 +9,7 @@ inside each range. A group holding a third of all rows is spread like any other.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,26 +53,36 @@ def _join_offsets(parts: DataFrame, offsets: DataFrame, group: Sequence[str]) ->
     return parts.join(offsets, cond, "left").drop("__key_part", *[f"__key_{g}" for g in group])
 
 
-def running_total(
-    df: DataFrame, value: str, order: Sequence[str], out: str, group: Sequence[str] = ()
+def running_totals(
+    df: DataFrame, outs: Mapping[str, str], order: Sequence[str], group: Sequence[str] = ()
 ) -> DataFrame:
-    """Sum of ``value`` over the rows before this one in ``order`` (within ``group``).
+    """Sums over the rows before this one in ``order`` (within ``group``).
 
-    All columns of ``df`` are written once on the way: select what is needed first.
+    ``outs`` names the sum of each value. All columns of ``df`` are written once on the way:
+    select what is needed first.
     """
     parts = ranged(df, [*group, *order])
-    offsets = _offsets(parts, group, {"v": F.sum(F.coalesce(F.col(value), F.lit(0)))})
+    offsets = _offsets(parts, group, {v: F.sum(F.coalesce(F.col(v), F.lit(0))) for v in outs})
     inside = (
         Window.partitionBy(*group, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    local = F.coalesce(F.sum(value).over(inside), F.lit(0))
+    sums = {
+        out: F.coalesce(F.sum(v).over(inside), F.lit(0)) + F.col(f"__before_{v}") for v, out in outs.items()
+    }
     return (
         _join_offsets(parts, offsets, group)
-        .withColumn(out, local + F.col("__before_v"))
-        .drop(PART, "__before_v")
+        .withColumns(sums)
+        .drop(PART, *[f"__before_{v}" for v in outs])
     )
 
 
+def running_total(
+    df: DataFrame, value: str, order: Sequence[str], out: str, group: Sequence[str] = ()
+) -> DataFrame:
+    """Sum of ``value`` over the rows before this one in ``order`` (within ``group``)."""
+    return running_totals(df, {value: out}, order, group)
+
+
 def running_max(df: DataFrame, value: str, order: str, out: str) -> DataFrame:
     """Largest ``value`` over the rows before this one in ``order``, NULL for the first."""
     parts = ranged(df, [order])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refracta.constants import STRATEGIES
-from refracta.operators.ordered import join_groups, quantiles, running_total
+from refracta.operators.ordered import join_groups, quantiles, running_total, running_totals
 from refracta.session import literal_rows
 
 
@@ -294,8 +294,8 @@ def logistic_fit(df: DataFrame, label: str, numeric: Sequence[str], category: st
 def piecewise_fit(df: DataFrame, x: str, y: str, min_rows: int = 3) -> DataFrame:
     """Breakpoint that minimises the squared error of two separate lines.
 
-    Rows are reduced to moments per distinct ``x`` first (``x`` is a count bounded by
-    the text length), so a candidate split is a prefix of moments, not a pass over data.
+    Rows are reduced to moments per distinct ``x`` first, so a candidate split is a prefix of
+    moments, summed by range; of the totals there is one row.
     """
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     moments = {
@@ -305,12 +305,12 @@ def piecewise_fit(df: DataFrame, x: str, y: str, min_rows: int = 3) -> DataFrame
     per_x = df.filter(a.isNotNull() & b.isNotNull()).groupBy(a.alias("breakpoint")).agg(
         *[m.alias(k) for k, m in moments.items()]
     )
-    upto = Window.orderBy("breakpoint").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    sides = per_x.select(
-        "breakpoint",
-        *[F.sum(k).over(upto).alias(f"l_{k}") for k in moments],
-        *[(F.sum(k).over(whole) - F.sum(k).over(upto)).alias(f"r_{k}") for k in moments],
+    upto = running_totals(per_x, {k: f"b_{k}" for k in moments}, ["breakpoint"])
+    left = upto.select("breakpoint", *[(F.col(f"b_{k}") + F.col(k)).alias(f"l_{k}") for k in moments])
+    # The sums up to the largest ``x`` are those of all rows.
+    total = left.agg(*[F.max_by(f"l_{k}", "breakpoint").alias(k) for k in moments]).first()
+    sides = left.select(
+        "*", *[(F.lit(total[k]).cast("double") - F.col(f"l_{k}")).alias(f"r_{k}") for k in moments]
     )
 
     def sse(side: str) -> Column:

@@ -42,10 +42,10 @@ EVENTS_SQL = """(SELECT 'u' || user_id AS function_id, event_type AS model, valu
   CASE WHEN event_id % 4 <> 0 THEN value END AS se_score, ts AS timestamp, event_id FROM events)"""
 
 
-def _table(spark, query_, label, mode="complete"):
-    name = f"{label}_{abs(hash(scratch_path(spark, label)))}"
-    S.start_table(query_, name, mode).awaitTermination()
-    return spark.table(name)
+def _table(spark, query_, label):
+    target = scratch_path(spark, label)
+    S.start_table(query_, target, scratch_path(spark, f"{label}-state")).awaitTermination()
+    return S.read_table(spark, target)
 
 
 _ROLLUP_FIELDS = """date, model, total_calls, round(total_cost_usd, 6) AS total_cost_usd, round(avg_latency_ms, 6) AS avg_latency_ms,

@@ -97,12 +97,35 @@ def start_append_once(
     )
 
 
-def start_table(query: DataFrame, name: str, mode: str = "complete", **trigger) -> StreamingQuery:
-    """Keep a small aggregate in an in-memory table for a live monitor."""
+def start_table(query: DataFrame, target: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keep an aggregate as a table for a live monitor.
+
+    Every batch writes all groups as a version of its own, which a replay overwrites; the
+    version before it stays for readers that have begun, older ones go.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/version={epoch}")
+        for version, folder in _versions(batch.sparkSession, target).items():
+            if version < epoch - 1:
+                delete_path(batch.sparkSession, folder)
+
     return (
-        query.writeStream.outputMode(mode)
-        .format("memory")
-        .queryName(name)
+        query.writeStream.outputMode("complete")
+        .option("checkpointLocation", checkpoint)
+        .foreachBatch(write)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def _versions(spark: SparkSession, target: str) -> dict[int, str]:
+    """Complete versions of a live table by number."""
+    folders = [p.rsplit("/", 1)[0] for p in matching_paths(spark, f"{target}/version=*/_SUCCESS")]
+    return {int(f.rsplit("=", 1)[1]): f for f in folders}
+
+
+def read_table(spark: SparkSession, target: str) -> DataFrame:
+    """The newest complete version of a live table."""
+    versions = _versions(spark, target)
+    return spark.read.parquet(versions[max(versions)])

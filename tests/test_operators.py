@@ -502,6 +502,7 @@ def test_fits_recover_known_coefficients(spark):
     broken = spark.createDataFrame([(float(i), 1.0 * i if i <= 10 else 33.0 - 2 * i) for i in range(25)], "x double, y double")
     fit = stats.piecewise_fit(broken, "x", "y").collect()[0]
     assert (fit["breakpoint"], round(fit["sse"], 6)) == (10.0, 0.0)
+    assert stats.piecewise_fit(broken.limit(0), "x", "y").count() == 0
 
 
 def test_logistic_separates(spark):

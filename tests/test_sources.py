@@ -153,3 +153,17 @@ def test_rollup_counts_rows_of_any_age(spark, tmp_path):
     assert got() == want and not list((tmp_path / "rollup").glob("part=*"))
     run("2025-02-01 00:00:00")
     assert got() == [("2025-02-01", 1), *want]
+
+
+def test_live_table_keeps_the_last_two_versions(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    for k in range(4):
+        spark.range(k, k + 2).write.parquet(f"{source}/{k}")
+    stream = spark.readStream.schema("id bigint").option("maxFilesPerTrigger", 1).option(
+        "recursiveFileLookup", True
+    ).parquet(str(source))
+    counted = stream.groupBy("id").count()
+    rollups.start_table(counted, target, str(tmp_path / "state")).awaitTermination()
+    got = {r["id"]: r["count"] for r in rollups.read_table(spark, target).collect()}
+    assert got == {0: 1, 1: 2, 2: 2, 3: 2, 4: 1}
+    assert len(list((tmp_path / "out").glob("version=*"))) == 2
