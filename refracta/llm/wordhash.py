@@ -1,7 +1,7 @@
 """Words and word shingles of whole text batches as 64-bit hashes, without a loop over words.
 
 A word is a maximal run of digits, a-z (A-Z are lower-cased first) and non-ASCII characters.
-The hashes depend on the text alone, so every task and every run agrees on them.
+The hash of a word depends on its bytes alone, so every text, task and run agrees on it.
 """
 
 from __future__ import annotations
@@ -50,11 +50,13 @@ def word_hashes(text: bytes) -> np.ndarray:
     begin = np.zeros(len(folded), np.int32)
     begin[starts] = starts
     places -= np.maximum.accumulate(begin)
-    # Long words go on through the places again with the block number mixed in.
     values = _BYTE[folded] * _PLACE[places & 63]
-    if places.max() >= 64:
-        values ^= (places.astype(np.uint64) >> np.uint64(6)) * np.uint64(0x9E3779B97F4A7C15)
-        values = mixed(values)
+    # Behind 64 bytes a word goes on through the places again with the block number mixed in.
+    # Those bytes alone: no other word's hash may change with it.
+    far = np.flatnonzero(inside & (places >= 64))
+    if len(far):
+        block = (places[far] >> 6).astype(np.uint64)
+        values[far] = mixed(values[far] ^ block * np.uint64(0x9E3779B97F4A7C15))
     values *= inside
     return mixed(np.add.reduceat(values, starts))
 

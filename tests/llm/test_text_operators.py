@@ -86,6 +86,36 @@ def test_word_hashes_follow_the_words():
     assert one[0] == two[1] and one[1] == two[0] and one[2] == two[2]
 
 
+#: Stretches of over 64 bytes: words, and runs without a word.
+STRETCHES = ["x" * 65, "0f" * 50, "字" * 22, "-" * 100, " " * 64 + ".", "\n" * 200]
+
+
+@pytest.mark.parametrize("stretch", STRETCHES)
+def test_word_hashes_do_not_depend_on_the_rest_of_the_text(stretch):
+    def hashed(text):
+        return wordhash.word_hashes(text.encode()).tolist()
+
+    alone = hashed("one") + hashed("two") + hashed("y" * 130)
+    own = hashed(stretch)
+    assert len(own) == len(words(stretch))
+    for text, want in [
+        (f"{stretch} one two {'y' * 130}", own + alone),
+        (f"one {stretch} two {'y' * 130}", alone[:1] + own + alone[1:]),
+        (f"one two {'y' * 130} {stretch}", alone + own),
+    ]:
+        assert hashed(text) == want
+
+
+def test_long_words_differ_in_every_byte():
+    base = "a" * 300
+    changed = {base[:i] + "b" + base[i + 1 :] for i in range(300)} | {"a" * n for n in range(1, 301)}
+    assert len({int(wordhash.word_hashes(w.encode())[0]) for w in changed}) == len(changed)
+    # Blocks of 64 bytes that change places.
+    parts = ["p" * 64, "q" * 64, "r" * 64]
+    orders = {"".join(parts[i] for i in o) for o in [(0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)]}
+    assert len({int(wordhash.word_hashes(w.encode())[0]) for w in orders}) == 6
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(500, 640)]
@@ -153,6 +183,18 @@ def test_jaccard_join_against_brute_force(spark, documents):
     assert max(n for n, _ in want.values()) > 100
 
 
+def test_jaccard_join_of_texts_with_a_long_stretch(spark):
+    rows = []
+    for k, stretch in enumerate(STRETCHES):
+        base = [f"t{k}w{i}" for i in range(80)]
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join([*base, stretch])), (10 * k + 2, " ".join([stretch, *base]))]
+        rows.append((10 * k + 3, " ".join([*base[:40], stretch, *base[40:]])))
+    want = brute_links(rows)
+    assert all(n == 3 for n, _ in want)
+    got = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: (r["links"], r["class_id"]) for r in got.collect()} == {i: x for (i, _), x in zip(rows, want)}
+
+
 def test_jaccard_join_on_awkward_rows(awkward, spark):
     got = jaccard_join.jaccard_classes(awkward).collect()
     assert len(got) == len(AWKWARD)
