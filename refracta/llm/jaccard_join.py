@@ -258,6 +258,8 @@ def jaccard_classes(
     linked_texts  other shingle sets linked directly
     copies    documents with the same shingle set, itself included
     text_key  16-byte digest of the text
+    class_root  16 bytes that stand for the class; NULL for a text without a word. Classes may
+                share a class_id (NULL, or an id that repeats), but never the root
 
     A text of fewer than ``width`` words is one shingle. NULL and texts without a word are
     linked to nothing: their class is their own doc_id, with 0 links. Rows that repeat count
@@ -313,6 +315,7 @@ def jaccard_classes(
     facts = cut_lineage(
         described.join(named, "root", "left").select(
             "node",
+            "root",
             F.coalesce("class_id", "least_id").alias("class_id"),
             (F.coalesce("links", F.lit(0)) + F.col("documents") - 1).alias("links"),
             F.coalesce("linked_texts", F.lit(0)).alias("linked_texts"),
@@ -327,6 +330,7 @@ def jaccard_classes(
         F.coalesce("linked_texts", F.lit(0)).cast("bigint").alias("linked_texts"),
         F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"),
         "text_key",
+        F.col("root").alias("class_root"),
     )
 
 
@@ -344,11 +348,11 @@ def one_of_each_class(docs: DataFrame, threshold: float = 0.8, **options: float)
     text digest, and of rows equal in both one stays. All columns are kept.
     """
     found = cut_lineage(jaccard_classes(docs, threshold, **options).filter("links > 0"))
-    firsts = found.groupBy("class_id").agg(
+    firsts = found.groupBy("class_root").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first")
     )
-    rows = found.groupBy("doc_id", "text_key", "class_id").agg(F.count(F.lit(1)).alias("rows"))
-    judged = rows.join(firsts, _same((rows.class_id, firsts.class_id)), "inner").select(
+    rows = found.groupBy("doc_id", "text_key", "class_root").agg(F.count(F.lit(1)).alias("rows"))
+    judged = rows.join(firsts, "class_root").select(
         rows.doc_id.alias("__id"),
         rows.text_key.alias("__key"),
         _same((rows.doc_id, F.col("first.doc_id")), (rows.text_key, F.col("first.text_key"))).alias("__first"),

@@ -72,7 +72,7 @@ FROM doc LEFT JOIN keyed USING (doc_id) LEFT JOIN node USING (node) LEFT JOIN cl
 @_query("op1_jaccard_join", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document, five words, similarity 0.8 or more."""
-    return jaccard_join.jaccard_classes(_table(spark, sf_dir, "documents")).drop("text_key")
+    return jaccard_join.jaccard_classes(_table(spark, sf_dir, "documents")).drop("text_key", "class_root")
 
 
 #: The tools that the conversations are read as calls of.

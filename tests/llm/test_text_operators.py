@@ -211,6 +211,20 @@ def test_jaccard_join_on_awkward_rows(awkward, spark):
     assert jaccard_join.one_of_each_class(awkward.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tail", ["", " last"])
+def test_one_of_each_class_keeps_classes_apart_that_share_an_id(spark, tail):
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    near = b + tail  # one or two shingle sets in a class
+    for rows, want in [
+        ([(None, a), (None, a), (None, b), (None, near)], {(None, "a0"), (None, "b0")}),
+        ([(5, a), (6, a), (5, b), (7, near)], {(5, "a0"), (5, "b0")}),
+        ([(5, a), (5, a), (None, b), (None, near), (5, "alone"), (None, None)], {(5, "a0"), (None, "b0"), (5, "alone"), (None, None)}),
+    ]:
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = [(r["doc_id"], r["text"] and r["text"].split()[0]) for r in jaccard_join.one_of_each_class(df).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_pruning_bounds():
     bounds = jaccard_join.least_matches(0.8, 1e-6)
     assert bounds == sorted(bounds) and len(bounds) == 8 and 0 < bounds[0] < 16 * 0.8
