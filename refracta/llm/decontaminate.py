@@ -289,11 +289,12 @@ def _cut(least: int, most: float):
 
 
 def decontaminate(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, max_span: int = WINDOW - 1, max_coverage: float = 0.5
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, max_span: int = 0, max_coverage: float = 0.5
 ) -> DataFrame:
     """``docs`` without the passages of ``items``; all columns stay.
 
-    A hit span of more than ``max_span`` words is cut out of the text. A document of whose
+    A hit span of more than ``max_span`` words is cut out of the text: by default every one, the
+    occurrence of an item shorter than the window too. A document of whose
     words more than ``max_coverage`` are hit goes. ``n_chars``, where it is a column, follows
     the text. Documents without a hit are returned as they are, NULL texts too.
     """

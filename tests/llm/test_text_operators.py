@@ -647,3 +647,18 @@ def test_decontaminated_texts(spark, awkward):
     assert sorted(str(r) for r in same.select("doc_id", "text").collect()) == sorted(str(r) for r in awkward.select("doc_id", "text").collect())
     assert decontaminate.contamination(awkward.limit(0), b.limit(0)).count() == 0
     assert decontaminate.contamination(awkward, b.limit(0)).filter("contaminated").count() == 0
+
+
+def test_short_items_are_cut_too(spark):
+    item, other = "who wrote the old man's sea", " ".join(f"o{i}" for i in range(100))
+    assert len(words(item)) == 7
+    items = [(1, "who wrote the old red book"), (2, item), (3, "zebra")]
+    docs = [(1, f"{other} Who wrote the old red book? {other}"), (2, f"{item}, {other} a zebra"), (3, f"{other} who wrote the old red"), (4, other)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_chars", F.char_length("text").cast("bigint"))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    cleaned = decontaminate.decontaminate(d, b)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in cleaned.collect()}
+    want = {1: f"{other} ? {other}", 2: f", {other} a ", 3: docs[2][1], 4: other}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+    assert decontaminate.contamination(cleaned, b).filter("contaminated").count() == 0
+    assert {r["text"] for r in decontaminate.decontaminate(d, b, max_span=9).collect()} == {t for _, t in docs}
