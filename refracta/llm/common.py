@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,3 +75,22 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         held = table.slice(cuts[-2]).combine_chunks()
     if held is not None and held.num_rows:
         yield held
+
+
+#: Bytes of text that are turned into Python objects at a time; one larger text is a piece alone.
+PIECE_BYTES = 4_000_000
+
+
+def text_pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of the batches by the bytes of a text column, so that memory follows neither the
+    number of rows in a batch nor their length (but for a single text)."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths, dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            held = ends[start - 1] if start else 0
+            stop = int(np.searchsorted(ends, held + PIECE_BYTES, side="right"))
+            stop = min(max(stop, start + 1), start + PIECE_ROWS)
+            yield batch.slice(start, stop - start)
+            start = stop

@@ -12,12 +12,15 @@ from refracta.llm import (
     exact_dedup,
     jaccard_join,
     language_id,
+    licenses,
     mixing,
+    negatives,
     sharding,
     token_counts,
     tool_calls,
     toxicity,
     url_filter,
+    whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -318,3 +321,102 @@ FROM doc LEFT JOIN counted USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JO
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which words of every document occur in windows of the benchmark."""
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def _license_sql() -> str:
+    """The positions of all template words as a table, joined with the words of the documents."""
+    postings = ", ".join(
+        f"({k}, '{t.label}', {t.base}, {p}, '{w}', {p in t.needed})"
+        for k, t in enumerate(licenses.TEMPLATES)
+        for p, w in enumerate(t.words)
+    )
+    return f"""
+WITH posting(k, label, base, pos, word, needed) AS (
+    VALUES {postings}
+), doc AS (
+    SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), place AS (
+    SELECT r, i - 1 AS i, w[i] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM doc)
+    WHERE w[i] IN (SELECT word FROM posting)
+), seen AS (
+    SELECT word, count(DISTINCT r) AS df FROM place GROUP BY word
+), weighed AS (
+    SELECT p.*, length(bin(((SELECT count(*) FROM doc) + 1) // (coalesce(df, 0) + 1))) AS weight FROM posting p LEFT JOIN seen USING (word)
+), template AS (
+    SELECT k, sum(weight) AS total, count(*) FILTER (needed) AS n_needed FROM weighed GROUP BY k
+), aligned AS (
+    SELECT r, k, label, base, i - pos AS start, sum(weight) AS matched
+    FROM place JOIN weighed USING (word) GROUP BY r, k, label, base, i - pos
+    HAVING count(*) FILTER (needed) = (SELECT n_needed FROM template t WHERE t.k = weighed.k)
+), found AS (
+    SELECT r, label, base, start, matched::DOUBLE / total AS share FROM aligned JOIN template USING (k)
+), counted AS (
+    SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR share >= 0.5) AS labels, max(share) AS score
+    FROM found GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+    last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+    coalesce(score, 0::DOUBLE) AS score
+FROM doc LEFT JOIN counted USING (r)
+"""
+
+
+@_query("op11_license_scan", _license_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences that every document names."""
+    return licenses.licenses(_table(spark, sf_dir, "documents"))
+
+
+@_query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the first 16 principal components, whitened; a row per component."""
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return found.select(
+        "vec_id",
+        "n",
+        F.col("deviation").cast("bigint").alias("deviation"),
+        "identity_error",
+        F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "value"),
+    ).select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        "n",
+        "deviation",
+        F.col("value.whitened").alias("whitened"),
+        F.col("value.explained").alias("explained"),
+        "identity_error",
+    )
+
+
+OP13_SQL = """
+WITH clean AS (
+    SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c::DOUBLE))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, c.vec_id, c.label = a.label AS same,
+        list_inner_product(a.x, c.x)::BIGINT AS score
+    FROM clean a JOIN clean c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id AND len(a.x) = len(c.x)
+), positive AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+
+@_query("op13_hard_negatives", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding; the labels of every seventh are moved on."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
