@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refracta.constants import BUDGET_TOTAL_USD
@@ -66,6 +66,122 @@ def run_totals(facts: DataFrame, cost_places: int = 2) -> DataFrame:
     )
 
 
+def _sums() -> dict[str, Column]:
+    """What every block of a report is made from; sums of parts add up."""
+    return {
+        "count": F.count(F.lit(1)),
+        "pending": F.count_if(F.col("se_score").isNull()),
+        "cost_usd": F.sum(F.col("cost_usd").cast("double")),
+        "latency_ms": F.sum(F.col("latency_ms").cast("bigint")),
+        "latencies": F.count("latency_ms"),
+        "delta_cc": F.sum(F.col("delta_cc").cast("double")),
+        "deltas": F.count("delta_cc"),
+    }
+
+
+def monitor_parts(facts: DataFrame) -> DataFrame:
+    """The mergeable state behind all blocks of a monitor, from one read of ``facts``.
+
+    Rows of two kinds: sums per (model, task, strategy), and one row per function, which
+    keeps distinct functions exact across parts. NULL keys are keys.
+    """
+    keys = ("model", "task", "strategy", "function_id")
+    parts = facts.groupingSets([keys[:3], keys[3:]], *keys).agg(
+        F.grouping("function_id").alias("__cell"), *[v.alias(k) for k, v in _sums().items()]
+    )
+    is_cell = F.col("__cell") == 1
+    return parts.select(
+        is_cell.alias("is_cell"), *keys, *[F.when(is_cell, F.col(k)).alias(k) for k in _sums()]
+    )
+
+
+def merged_parts(parts: DataFrame) -> DataFrame:
+    """The state of all rows from the states of disjoint sets of rows."""
+    return parts.groupBy("is_cell", "model", "task", "strategy", "function_id").agg(
+        *[F.sum(k).alias(k) for k in _sums()]
+    )
+
+
+def monitor_report(parts: DataFrame) -> DataFrame:
+    """All blocks of the monitors from merged parts: ``totals``, ``model``, ``task_strategy``.
+
+    Cells give the models and the task x strategy cells; the totals then add up the few
+    models and the number of functions. Each measure is there in every block; the distinct
+    counts are those of the totals.
+    """
+    names = ("block", "model", "task", "strategy")
+    measures = [*_sums(), "functions", "models"]
+
+    def entry(block: str, *keys: str) -> Column:
+        return F.struct(
+            F.lit(block).alias("block"),
+            *[(F.col(k) if k in keys else F.lit(None).cast("string")).alias(k) for k in names[1:]],
+        )
+
+    def blocks(rows: DataFrame, targets: Column) -> DataFrame:
+        spread = rows.select(F.explode(targets).alias("__to"), *measures)
+        return spread.groupBy(*[F.col(f"__to.{n}").alias(n) for n in names]).agg(
+            *[F.sum(k).alias(k) for k in measures]
+        )
+
+    zero = F.lit(0).cast("bigint")
+    counted = parts.withColumns(
+        {"functions": F.when(F.col("function_id").isNotNull(), F.lit(1).cast("bigint")), "models": zero}
+    )
+    of_cells = F.array(entry("model", "model"), entry("task_strategy", "task", "strategy"))
+    first = blocks(counted, F.when(F.col("is_cell"), of_cells).otherwise(F.array(entry("functions"))))
+    totals = F.array(entry("totals"))
+    second = blocks(
+        first.withColumn("models", F.when(F.col("model").isNotNull(), F.lit(1).cast("bigint"))),
+        F.when(F.col("block") == "model", F.concat(F.array(entry("model", "model")), totals))
+        .when(F.col("block") == "functions", totals)
+        .otherwise(F.array(entry("task_strategy", "task", "strategy"))),
+    )
+    only_totals = F.col("block") == "totals"
+    return second.select(
+        *names,
+        F.coalesce("count", zero).alias("count"),
+        F.coalesce("pending", zero).alias("pending"),
+        "cost_usd",
+        F.try_divide("latency_ms", "latencies").alias("avg_latency_ms"),
+        F.try_divide("delta_cc", "deltas").alias("avg_delta_cc"),
+        F.when(only_totals, F.coalesce("functions", zero)).alias("functions"),
+        F.when(only_totals, F.coalesce("models", zero)).alias("models"),
+    )
+
+
+def report_totals(report: DataFrame, cost_places: int = 2) -> DataFrame:
+    """The totals block as :func:`run_totals` gives it; one row for an empty log too."""
+
+    def one(column: str) -> Column:
+        return F.max(column)
+
+    zero = F.lit(0).cast("bigint")
+    return report.filter(F.col("block") == "totals").agg(
+        F.coalesce(one("count"), zero).alias("total_transformations"),
+        F.coalesce(one("pending"), zero).alias("pending_se_calc"),
+        F.coalesce(one("functions"), zero).alias("unique_functions"),
+        F.coalesce(one("models"), zero).alias("unique_models"),
+        numeric_round(one("cost_usd"), cost_places).alias("total_cost_usd"),
+        numeric_round(one("avg_latency_ms"), 0).alias("avg_latency_ms"),
+    )
+
+
+def report_by_model(report: DataFrame) -> DataFrame:
+    """The model block as :func:`by_model` gives it."""
+    cost = numeric_round(F.col("cost_usd"), 2).alias("cost_usd")
+    latency = numeric_round(F.col("avg_latency_ms"), 0).alias("avg_latency_ms")
+    rows = report.filter(F.col("block") == "model").select("model", "count", cost, latency)
+    return rows.orderBy(F.desc_nulls_first("cost_usd"), "model")
+
+
+def report_by_task_strategy(report: DataFrame) -> DataFrame:
+    """The task x strategy block as :func:`by_task_strategy` gives it, with the mean change."""
+    delta = numeric_round(F.col("avg_delta_cc"), 2).alias("avg_delta_cc")
+    rows = report.filter(F.col("block") == "task_strategy").select("task", "strategy", "count", delta)
+    return rows.orderBy("task", "strategy")
+
+
 def by_model(facts: DataFrame) -> DataFrame:
     """Most expensive models first."""
     return (

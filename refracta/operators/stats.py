@@ -1,4 +1,4 @@
-"""Statistics over scores as aggregations; no p-values, the distribution functions are not at hand."""
+"""Statistics over scores as aggregations, with the p-values of the tests."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refracta.constants import STRATEGIES
+from refracta.functions.distributions import chi_square_tail, f_tail, normal_two_sided, t_two_sided
 from refracta.operators.ordered import join_groups, quantiles, running_total, running_totals
-from refracta.session import literal_rows
+from refracta.session import cut_lineage, literal_rows
 
 
 def distribution(facts: DataFrame, by: Sequence[str], value: str = "se_score") -> DataFrame:
@@ -45,8 +46,14 @@ def failure_taxonomy(facts: DataFrame, functions: DataFrame) -> DataFrame:
     return per.withColumn("pct", F.col("failures") / total * 100)
 
 
+def beside(rows: DataFrame, **totals: Column) -> DataFrame:
+    """``rows``, written out, with totals over all of them on each: a one-row join."""
+    kept = cut_lineage(rows)
+    return kept.join(F.broadcast(kept.agg(*[v.alias(k) for k, v in totals.items()])))
+
+
 def anova(df: DataFrame, group: str, value: str) -> DataFrame:
-    """One-way analysis of variance: F, degrees of freedom, eta squared."""
+    """One-way analysis of variance: F, degrees of freedom, eta squared, p-value."""
     cells = (
         df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
         .groupBy(group)
@@ -57,10 +64,8 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
         )
     )
     # One row per group from here on.
-    grand = F.sum(F.col("n") * F.col("m")).over(Window.partitionBy()) / F.sum("n").over(
-        Window.partitionBy()
-    )
-    parts = cells.withColumn("between", F.col("n") * F.pow(F.col("m") - grand, F.lit(2)))
+    grand = F.try_divide(F.sum(F.col("n") * F.col("m")), F.sum("n"))
+    parts = beside(cells, grand=grand).withColumn("between", F.col("n") * F.pow(F.col("m") - F.col("grand"), F.lit(2)))
     sums = parts.agg(
         F.sum("between").alias("ss_between"),
         F.sum("within").alias("ss_within"),
@@ -75,7 +80,7 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
             F.try_divide(F.col("ss_within"), F.col("df_within")),
         ).alias("f_statistic"),
         F.try_divide(F.col("ss_between"), F.col("ss_between") + F.col("ss_within")).alias("eta_squared"),
-    )
+    ).withColumn("p_value", f_tail(F.col("f_statistic"), F.col("df_between"), F.col("df_within")))
 
 
 def paired_differences(
@@ -113,17 +118,24 @@ def paired_differences(
 
 
 def paired_t(differences: DataFrame) -> DataFrame:
-    """Mean difference and paired t statistic per strategy."""
+    """Mean difference, paired t statistic and p-values per strategy; ``p_bonferroni`` is
+    corrected for the number of strategies compared."""
     d = differences.groupBy("strategy").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("diff").alias("mean_diff"),
         F.stddev_samp("diff").alias("sd"),
     )
-    return d.select(
+    tested = d.select(
         "strategy",
         "n",
         "mean_diff",
         F.try_divide(F.col("mean_diff"), F.col("sd") / F.sqrt("n")).alias("t_statistic"),
+    ).withColumn("p_value", t_two_sided(F.col("t_statistic"), F.col("n") - 1))
+    corrected = F.least(F.col("p_value") * F.col("comparisons"), F.lit(1.0))
+    return (
+        beside(tested, comparisons=F.count(F.lit(1)))
+        .withColumn("p_bonferroni", F.when(F.col("p_value").isNotNull(), corrected))
+        .drop("comparisons")
     )
 
 
@@ -140,11 +152,8 @@ def cohens_d(facts: DataFrame, baseline: str = "zero_shot") -> DataFrame:
     )
     # One row per strategy from here on; the baseline's numbers ride along.
     is_base = F.col("strategy") == baseline
-
-    def base(column: str) -> Column:
-        return F.max(F.when(is_base, F.col(column))).over(Window.partitionBy())
-
-    both = m.withColumns({"n0": base("n"), "m0": base("mean"), "v0": base("var")}).filter(~is_base)
+    base = {k: F.max(F.when(is_base, F.col(c))) for k, c in (("n0", "n"), ("m0", "mean"), ("v0", "var"))}
+    both = beside(m, **base).filter(~is_base)
     pooled = F.sqrt(
         ((F.col("n") - 1) * F.col("var") + (F.col("n0") - 1) * F.col("v0"))
         / (F.col("n") + F.col("n0") - 2)
@@ -182,7 +191,7 @@ def _ranked_groups(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
-    """H statistic, corrected for ties."""
+    """H statistic, corrected for ties, and its p-value."""
     sums = _ranked_groups(df, group, value).agg(
         F.sum("n").alias("rows"),
         F.sum(F.pow("rank_sum", F.lit(2)) / F.col("n")).alias("q"),
@@ -195,25 +204,32 @@ def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
         F.col("rows").alias("n"),
         "df",
         F.try_divide(h, 1 - F.col("ties") / (F.pow(n, F.lit(3)) - n)).alias("h_statistic"),
-    )
+    ).withColumn("p_value", chi_square_tail(F.col("h_statistic"), F.col("df")))
 
 
 def mann_whitney(df: DataFrame, group: str, value: str, first: str, second: str) -> DataFrame:
-    """U statistics of two groups."""
+    """U statistics of two groups; two-sided p-value by the normal approximation, corrected
+    for ties and continuity."""
     pair = df.filter(F.col(group).isin(first, second))
     r = _ranked_groups(pair, group, value).agg(
         *[
             F.coalesce(F.sum(F.when(F.col(group) == g, F.col(c).cast("double"))), F.lit(0.0)).alias(f"{c}{i}")
             for i, g in enumerate((first, second), 1)
             for c in ("n", "rank_sum")
-        ]
+        ],
+        F.sum("ties").alias("ties"),
     )
-    u1 = F.col("rank_sum1") - F.col("n1") * (F.col("n1") + 1) / 2
+    n1, n2 = F.col("n1"), F.col("n2")
+    n = n1 + n2
+    u1 = F.col("rank_sum1") - n1 * (n1 + 1) / 2
+    spread = F.sqrt(n1 * n2 / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))
+    away = F.greatest(F.abs(u1 - n1 * n2 / 2) - 0.5, F.lit(0.0))
     return r.select(
-        F.col("n1").cast("bigint").alias("n1"),
-        F.col("n2").cast("bigint").alias("n2"),
+        n1.cast("bigint").alias("n1"),
+        n2.cast("bigint").alias("n2"),
         u1.alias("u1"),
-        (F.col("n1") * F.col("n2") - u1).alias("u2"),
+        (n1 * n2 - u1).alias("u2"),
+        normal_two_sided(F.try_divide(away, spread)).alias("p_value"),
     )
 
 
@@ -224,13 +240,18 @@ def levene(df: DataFrame, group: str, value: str) -> DataFrame:
     # One row per group; Spark broadcasts it when it is small, which it is for labels.
     spread = rows.join(medians, group).withColumn("__dist", F.abs(F.col(value) - F.col("__median")))
     return anova(spread, group, "__dist").select(
-        "df_between", "df_within", F.col("f_statistic").alias("w_statistic")
+        "df_between", "df_within", F.col("f_statistic").alias("w_statistic"), "p_value"
     )
 
 
 def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Pearson's r and the two-sided p-value of no correlation."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    return df.filter(both).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("pearson_r"))
+    found = df.filter(both).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("pearson_r"))
+    r, free = F.col("pearson_r"), F.col("n") - 2
+    t = r * F.sqrt(F.try_divide(free.cast("double"), 1 - r * r))
+    perfect = (F.abs(r) >= 1) & (free > 0)
+    return found.withColumn("p_value", F.when(perfect, F.lit(0.0)).otherwise(t_two_sided(t, free)))
 
 
 def linear_fit(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -264,31 +285,17 @@ def quadratic_fit(df: DataFrame, x: str, y: str) -> DataFrame:
     return multiple_fit(squared.withColumn(f"{x}_squared", F.col(x) * F.col(x)), [x, f"{x}_squared"], y)
 
 
-def logistic_fit(df: DataFrame, label: str, numeric: Sequence[str], category: str) -> DataFrame:
-    """Logistic regression on numeric columns and one category (first value = reference)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+#: Moments of the rows on one side of a split.
+_MOMENTS = ("n", "sx", "sy", "sxx", "sxy", "syy")
 
-    rows = df.select(
-        F.col(label).cast("double").alias("label"),
-        F.col(category).alias("category"),
-        *[F.col(c).cast("double").alias(c) for c in numeric],
-    ).dropna()
-    indexer = StringIndexer(
-        inputCol="category", outputCol="index", stringOrderType="alphabetDesc"
-    ).fit(rows)
-    encoded = OneHotEncoder(inputCol="index", outputCol="onehot").fit(indexer.transform(rows)).transform(
-        indexer.transform(rows)
-    )
-    features = VectorAssembler(inputCols=[*numeric, "onehot"], outputCol="features").transform(encoded)
-    fit = LogisticRegression(maxIter=50, tol=1e-9).fit(features)
-    # The encoder drops the last index, which is the alphabetically first value.
-    terms = [*numeric, *[f"{category}={v}" for v in indexer.labels[:-1]]]
-    out = [(t, float(c)) for t, c in zip(terms, fit.coefficients, strict=True)]
-    return literal_rows(
-        df.sparkSession,
-        [*out, ("intercept", float(fit.intercept))], "term string, coefficient double"
-    )
+
+def split_error(side: str) -> Column:
+    """Squared error of the line through the rows of one side, from its moment columns."""
+    n, sx, sy, sxx, sxy, syy = (F.col(f"{side}_{k}") for k in _MOMENTS)
+    rows = F.nullif(n, F.lit(0.0))
+    sxx = sxx - sx * sx / rows
+    sxy = sxy - sx * sy / rows
+    return syy - sy * sy / rows - F.when(sxx > 0, sxy * sxy / F.nullif(sxx, F.lit(0.0))).otherwise(0.0)
 
 
 def piecewise_fit(df: DataFrame, x: str, y: str, min_rows: int = 3) -> DataFrame:
@@ -313,18 +320,11 @@ def piecewise_fit(df: DataFrame, x: str, y: str, min_rows: int = 3) -> DataFrame
         "*", *[(F.lit(total[k]).cast("double") - F.col(f"l_{k}")).alias(f"r_{k}") for k in moments]
     )
 
-    def sse(side: str) -> Column:
-        c = {k: F.col(f"{side}_{k}") for k in moments}
-        sxx = c["sxx"] - c["sx"] * c["sx"] / F.nullif(c["n"], F.lit(0.0))
-        sxy = c["sxy"] - c["sx"] * c["sy"] / F.nullif(c["n"], F.lit(0.0))
-        syy = c["syy"] - c["sy"] * c["sy"] / F.nullif(c["n"], F.lit(0.0))
-        return syy - F.when(sxx > 0, sxy * sxy / F.nullif(sxx, F.lit(0.0))).otherwise(0.0)
-
     return (
         sides.filter((F.col("l_n") >= min_rows) & (F.col("r_n") >= min_rows))
         .select(
             "breakpoint",
-            (sse("l") + sse("r")).alias("sse"),
+            (split_error("l") + split_error("r")).alias("sse"),
             F.col("l_n").cast("bigint").alias("rows_left"),
             F.col("r_n").cast("bigint").alias("rows_right"),
         )
@@ -342,11 +342,11 @@ def chi_square(counts: DataFrame, group: str, targets: dict[str, float]) -> Data
     )
     observed = counts.groupBy(group).agg(F.count(F.lit(1)).alias("o"))
     cells = shares.join(observed, group, "left").withColumn("o", F.coalesce("o", F.lit(0)))
-    expected = F.col("share") * F.sum("o").over(Window.partitionBy())
-    return cells.withColumn("e", expected).agg(
+    expected = beside(cells, total=F.sum("o")).withColumn("e", F.col("share") * F.col("total"))
+    return expected.agg(
         F.sum(F.pow(F.col("o") - F.col("e"), F.lit(2)) / F.nullif("e", F.lit(0.0))).alias("chi_square"),
         (F.count(F.lit(1)) - 1).alias("df"),
-    )
+    ).withColumn("p_value", chi_square_tail(F.col("chi_square"), F.col("df")))
 
 
 def cell_means(facts: DataFrame, first: str, second: str, value: str = "se_score") -> DataFrame:
@@ -357,13 +357,14 @@ def cell_means(facts: DataFrame, first: str, second: str, value: str = "se_score
         .agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
     )
 
-    def margin(*by: str) -> Column:
-        w = Window.partitionBy(*by)
+    def margin(by: str) -> Column:
+        w = Window.partitionBy(by)
         return F.sum(F.col("mean") * F.col("n")).over(w) / F.sum("n").over(w)
 
-    return cells.withColumn(
-        "interaction", F.col("mean") - margin(first) - margin(second) + margin()
-    )
+    both = beside(cells, grand=F.try_divide(F.sum(F.col("mean") * F.col("n")), F.sum("n")))
+    return both.withColumn(
+        "interaction", F.col("mean") - margin(first) - margin(second) + F.col("grand")
+    ).drop("grand")
 
 
 def model_ranks(facts: DataFrame) -> DataFrame:
@@ -382,12 +383,16 @@ def model_ranks(facts: DataFrame) -> DataFrame:
 
 def rank_agreement(ranks: DataFrame) -> DataFrame:
     """Spearman correlation of the model ranking for every pair of tasks."""
-    a = ranks.select("model", F.col("task").alias("task_a"), F.col("rank").alias("rank_a"))
-    b = ranks.select("model", F.col("task").alias("task_b"), F.col("rank").alias("rank_b"))
-    # One row per (task, model) on both sides.
+    # One row per (task, model); a model's tasks are paired inside its own row.
+    per_model = ranks.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("task", "rank"))).alias("tasks"))
+    pairs = per_model.select("model", F.posexplode("tasks").alias("at", "a"), "tasks").select(
+        F.explode(F.slice("tasks", F.col("at") + 2, F.size("tasks"))).alias("b"), "a"
+    )
     return (
-        a.join(b, "model")
-        .filter(F.col("task_a") < F.col("task_b"))
+        pairs.select(
+            F.col("a.task").alias("task_a"), F.col("a.rank").alias("rank_a"),
+            F.col("b.task").alias("task_b"), F.col("b.rank").alias("rank_b"),
+        )
         .groupBy("task_a", "task_b")
         .agg(F.count(F.lit(1)).alias("models"), F.corr("rank_a", "rank_b").alias("spearman"))
     )

@@ -4,6 +4,7 @@ from refracta.plans import (  # noqa: F401 - importing registers
     collecting,
     costs,
     experiments,
+    inference,
     leaderboards,
     metrics,
     replies,

@@ -94,7 +94,7 @@ def _(spark, sf):
     return N.count_by_language(X.corpus(spark, sf))
 
 
-_TOTALS_SQL = (
+TOTALS_SQL = (
     "SELECT CAST(count(*) AS BIGINT) AS total_transformations, CAST(count(*) FILTER (se_score IS NULL) AS BIGINT) AS pending_se_calc, "
     "CAST(count(DISTINCT function_id) AS BIGINT) AS unique_functions, CAST(count(DISTINCT model) AS BIGINT) AS unique_models, "
     "CAST(round(CAST(sum(cost_usd) AS DECIMAL(38, 12)), {0}) AS DOUBLE) AS total_cost_usd, "
@@ -102,17 +102,17 @@ _TOTALS_SQL = (
 )
 
 
-@query("a14_monitor_totals", _TOTALS_SQL.format(2))
+@query("a14_monitor_totals", TOTALS_SQL.format(2))
 def _(spark, sf):
     return N.run_totals(X.run_log(spark, sf))
 
 
-@query("a17_pipeline_totals", _TOTALS_SQL.format(4))
+@query("a17_pipeline_totals", TOTALS_SQL.format(4))
 def _(spark, sf):
     return N.run_totals(X.run_log(spark, sf), cost_places=4)
 
 
-_BY_MODEL_SQL = (
+BY_MODEL_SQL = (
     f"SELECT model, CAST(count(*) AS BIGINT) AS count, {_numeric('sum(cost_usd)', 2)} AS cost_usd, "
     f"{_numeric('avg(latency_ms)', 0)} AS avg_latency_ms FROM {RUN_LOG} GROUP BY model"
 )
@@ -122,12 +122,25 @@ _DETAIL_SQL = (
 )
 
 
-@query("a15_by_model", _BY_MODEL_SQL)
+@query(
+    "a14_a19_monitor_report",
+    f"""SELECT CASE WHEN grouping(model) = 0 THEN 'model' WHEN grouping(task) = 0 THEN 'task_strategy' ELSE 'totals' END AS block,
+    model, task, strategy, CAST(count(*) AS BIGINT) AS count, CAST(count(*) FILTER (se_score IS NULL) AS BIGINT) AS pending,
+    round(sum(cost_usd), 6) AS cost_usd, round(avg(latency_ms), 6) AS avg_latency_ms, round(avg(delta_cc), 6) AS avg_delta_cc,
+    CASE WHEN grouping(model) = 1 AND grouping(task) = 1 THEN CAST(count(DISTINCT function_id) AS BIGINT) END AS functions,
+    CASE WHEN grouping(model) = 1 AND grouping(task) = 1 THEN CAST(count(DISTINCT model) AS BIGINT) END AS models
+    FROM {RUN_LOG} GROUP BY GROUPING SETS ((model), (task, strategy), ())""",
+)
+def _(spark, sf):
+    return rounded(N.monitor_report(N.monitor_parts(X.run_log(spark, sf))))
+
+
+@query("a15_by_model", BY_MODEL_SQL)
 def _(spark, sf):
     return N.by_model(X.run_log(spark, sf))
 
 
-@query("o2_models_by_cost", f"SELECT *, row_number() OVER (ORDER BY cost_usd DESC, model) AS position FROM ({_BY_MODEL_SQL})")
+@query("o2_models_by_cost", f"SELECT *, row_number() OVER (ORDER BY cost_usd DESC, model) AS position FROM ({BY_MODEL_SQL})")
 def _(spark, sf):
     return _positioned(N.by_model(X.run_log(spark, sf)))
 
@@ -150,18 +163,18 @@ def _(spark, sf):
     return _positioned(N.by_model_detail(X.run_log(spark, sf)))
 
 
-_TASK_SQL = (
+TASK_SQL = (
     f"SELECT task, strategy, CAST(count(*) AS BIGINT) AS count, {_numeric('avg(delta_cc)', 2)} AS avg_delta_cc "
     f"FROM {RUN_LOG} GROUP BY task, strategy"
 )
 
 
-@query("a19_by_task_strategy_delta", _TASK_SQL)
+@query("a19_by_task_strategy_delta", TASK_SQL)
 def _(spark, sf):
     return N.by_task_strategy(X.run_log(spark, sf), with_delta=True)
 
 
-@query("o4_task_strategy_order", f"SELECT *, row_number() OVER (ORDER BY task, strategy) AS position FROM ({_TASK_SQL})")
+@query("o4_task_strategy_order", f"SELECT *, row_number() OVER (ORDER BY task, strategy) AS position FROM ({TASK_SQL})")
 def _(spark, sf):
     return _positioned(N.by_task_strategy(X.run_log(spark, sf), with_delta=True))
 

@@ -9,19 +9,19 @@ from refracta.plans.fixtures import CORPUS, FUNCTIONS, RUN_LOG, rounded
 from refracta.plans.registry import query
 
 CC = X.sql_cc("code")
-_SCORED = f"(SELECT * FROM {RUN_LOG} WHERE se_score IS NOT NULL)"
+SCORED = f"(SELECT * FROM {RUN_LOG} WHERE se_score IS NOT NULL)"
 
 
-def _with_functions(spark, sf):
+def with_functions(spark, sf):
     f = X.functions(spark, sf).select(
         F.col("id").alias("function_id"), "language", "cyclomatic_complexity", "halstead_volume", "lines_of_code"
     )
     return X.run_log(spark, sf).join(f, "function_id").filter(F.col("se_score").isNotNull())
 
 
-_JOINED = (
+JOINED = (
     f"(SELECT r.*, f.language, f.cyclomatic_complexity, f.halstead_volume, f.lines_of_code, f.complexity_tier AS tier "
-    f"FROM {_SCORED} r JOIN {FUNCTIONS} f ON f.id = r.function_id)"
+    f"FROM {SCORED} r JOIN {FUNCTIONS} f ON f.id = r.function_id)"
 )
 
 
@@ -32,12 +32,12 @@ def _distribution_sql(by: str, source: str) -> str:
     FROM {source} GROUP BY {by}"""
 
 
-@query("a30_distribution_by_language", _distribution_sql("language", _JOINED))
+@query("a30_distribution_by_language", _distribution_sql("language", JOINED))
 def _(spark, sf):
-    return rounded(T.distribution(_with_functions(spark, sf), ["language"]))
+    return rounded(T.distribution(with_functions(spark, sf), ["language"]))
 
 
-@query("a30_distribution_by_range", _distribution_sql("task, strategy", _SCORED))
+@query("a30_distribution_by_range", _distribution_sql("task, strategy", SCORED))
 def _(spark, sf):
     return rounded(T.distribution(X.run_log(spark, sf), ["task", "strategy"]))
 
@@ -81,14 +81,14 @@ def _(spark, sf):
     return T.tasks_in_languages(c).select("id", F.col("task_name").alias("task"))
 
 
-_PAIRED = f"""(WITH s AS (SELECT function_id, model, task, strategy, avg(se_score) AS se FROM {_SCORED} GROUP BY 1, 2, 3, 4)
+PAIRED = f"""(WITH s AS (SELECT function_id, model, task, strategy, avg(se_score) AS se FROM {SCORED} GROUP BY 1, 2, 3, 4)
   SELECT b.function_id, b.model, b.task, s.strategy, s.se - b.se AS diff FROM s b JOIN s USING (function_id, model, task)
   WHERE b.strategy = 'zero_shot' AND s.strategy <> 'zero_shot')"""
 
 
 @query(
     "j11_paired_differences",
-    f"SELECT function_id, model, task, strategy, round(diff, 6) AS diff FROM {_PAIRED}",
+    f"SELECT function_id, model, task, strategy, round(diff, 6) AS diff FROM {PAIRED}",
 )
 def _(spark, sf):
     return rounded(T.paired_differences(X.run_log(spark, sf)))
@@ -96,13 +96,13 @@ def _(spark, sf):
 
 @query(
     "z3_paired_t",
-    f"SELECT strategy, CAST(count(*) AS BIGINT) AS n, round(avg(diff), 6) AS mean_diff, round(avg(diff) / (stddev_samp(diff) / sqrt(count(*))), 6) AS t_statistic FROM {_PAIRED} GROUP BY strategy",
+    f"SELECT strategy, CAST(count(*) AS BIGINT) AS n, round(avg(diff), 6) AS mean_diff, round(avg(diff) / (stddev_samp(diff) / sqrt(count(*))), 6) AS t_statistic FROM {PAIRED} GROUP BY strategy",
 )
 def _(spark, sf):
-    return rounded(T.paired_t(T.paired_differences(X.run_log(spark, sf))))
+    return rounded(T.paired_t(T.paired_differences(X.run_log(spark, sf))).drop("p_value", "p_bonferroni"))
 
 
-def _anova_sql(group: str, value: str, source: str, columns: str) -> str:
+def anova_sql(group: str, value: str, source: str, columns: str) -> str:
     return f"""WITH d AS (SELECT {group} AS g, {value} AS x FROM {source}), m AS (SELECT g, count(*) AS n, avg(x) AS mu, var_pop(x) * count(*) AS ssw FROM d GROUP BY g),
     t AS (SELECT avg(x) AS mu FROM d), a AS (SELECT sum(m.n * (m.mu - t.mu) ^ 2) AS ssb, sum(ssw) AS ssw, count(*) - 1 AS dfb, CAST(sum(n) - count(*) AS BIGINT) AS dfw FROM m, t)
     SELECT CAST(dfb AS BIGINT) AS df_between, dfw AS df_within, {columns} FROM a"""
@@ -110,7 +110,7 @@ def _anova_sql(group: str, value: str, source: str, columns: str) -> str:
 
 @query(
     "z1_anova_by_model",
-    _anova_sql("model", "se_score", _SCORED, "round((ssb / dfb) / (ssw / dfw), 6) AS f_statistic, round(ssb / (ssb + ssw), 9) AS eta_squared"),
+    anova_sql("model", "se_score", SCORED, "round((ssb / dfb) / (ssw / dfw), 6) AS f_statistic, round(ssb / (ssb + ssw), 9) AS eta_squared"),
 )
 def _(spark, sf):
     a = T.anova(X.run_log(spark, sf), "model", "se_score")
@@ -122,7 +122,7 @@ def _(spark, sf):
 
 @query(
     "z2_cohens_d",
-    f"""WITH m AS (SELECT strategy, count(*) AS n, avg(se_score) AS mu, var_samp(se_score) AS v FROM {_SCORED} GROUP BY strategy), b AS (SELECT * FROM m WHERE strategy = 'zero_shot')
+    f"""WITH m AS (SELECT strategy, count(*) AS n, avg(se_score) AS mu, var_samp(se_score) AS v FROM {SCORED} GROUP BY strategy), b AS (SELECT * FROM m WHERE strategy = 'zero_shot')
     SELECT m.strategy, CAST(m.n AS BIGINT) AS n, round(m.mu, 6) AS mean, round((m.mu - b.mu) / sqrt(((m.n - 1) * m.v + (b.n - 1) * b.v) / (m.n + b.n - 2)), 6) AS cohens_d
     FROM m, b WHERE m.strategy <> 'zero_shot'""",
 )
@@ -130,62 +130,62 @@ def _(spark, sf):
     return rounded(T.cohens_d(X.run_log(spark, sf)))
 
 
-_RANKED = """(SELECT g, x, (count(*) OVER (ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+RANKED = """(SELECT g, x, (count(*) OVER (ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
   - count(*) OVER (PARTITION BY x)) + (count(*) OVER (PARTITION BY x) + 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY x) AS c FROM {0})"""
 
 
 @query(
     "z4_kruskal_wallis",
-    f"""WITH r AS (SELECT * FROM {_RANKED.format(f"(SELECT language AS g, se_score AS x FROM {_JOINED})")}), n AS (SELECT count(*)::DOUBLE AS n FROM r),
+    f"""WITH r AS (SELECT * FROM {RANKED.format(f"(SELECT language AS g, se_score AS x FROM {JOINED})")}), n AS (SELECT count(*)::DOUBLE AS n FROM r),
     q AS (SELECT sum(s * s / k) AS q, count(*) AS groups FROM (SELECT g, sum(r) AS s, count(*) AS k FROM r GROUP BY g)),
     t AS (SELECT sum(c::DOUBLE ^ 3 - c) AS t FROM (SELECT x, max(c) AS c FROM r GROUP BY x))
     SELECT CAST(n AS BIGINT) AS n, CAST(groups - 1 AS BIGINT) AS df, round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n ^ 3 - n)), 4) AS h_statistic FROM n, q, t""",
 )
 def _(spark, sf):
-    return rounded(T.kruskal_wallis(_with_functions(spark, sf), "language", "se_score"), 4)
+    return rounded(T.kruskal_wallis(with_functions(spark, sf), "language", "se_score").drop("p_value"), 4)
 
 
 @query(
     "z4_mann_whitney",
-    f"""WITH r AS (SELECT * FROM {_RANKED.format(f"(SELECT language AS g, se_score AS x FROM {_JOINED} WHERE language IN ('python', 'cpp'))")}),
+    f"""WITH r AS (SELECT * FROM {RANKED.format(f"(SELECT language AS g, se_score AS x FROM {JOINED} WHERE language IN ('python', 'cpp'))")}),
     s AS (SELECT count(*) FILTER (g = 'python') AS n1, count(*) FILTER (g = 'cpp') AS n2, sum(r) FILTER (g = 'python') AS r1 FROM r)
     SELECT n1, n2, r1 - n1 * (n1 + 1) / 2 AS u1, n1 * n2 - (r1 - n1 * (n1 + 1) / 2) AS u2 FROM s""",
 )
 def _(spark, sf):
-    return T.mann_whitney(_with_functions(spark, sf), "language", "se_score", "python", "cpp")
+    return T.mann_whitney(with_functions(spark, sf), "language", "se_score", "python", "cpp").drop("p_value")
 
 
 @query(
     "z5_levene",
-    _anova_sql(
+    anova_sql(
         "g", "abs(x - med)",
-        f"(SELECT language AS g, se_score AS x, quantile_cont(se_score, 0.5) OVER (PARTITION BY language) AS med FROM {_JOINED})",
+        f"(SELECT language AS g, se_score AS x, quantile_cont(se_score, 0.5) OVER (PARTITION BY language) AS med FROM {JOINED})",
         "round((ssb / dfb) / (ssw / dfw), 6) AS w_statistic",
     ),
 )
 def _(spark, sf):
-    return rounded(T.levene(_with_functions(spark, sf), "language", "se_score"))
+    return rounded(T.levene(with_functions(spark, sf), "language", "se_score").drop("p_value"))
 
 
 @query(
     "z6_correlation",
-    f"SELECT CAST(count(*) AS BIGINT) AS n, round(corr(cyclomatic_complexity, se_score), 9) AS pearson_r FROM {_JOINED}",
+    f"SELECT CAST(count(*) AS BIGINT) AS n, round(corr(cyclomatic_complexity, se_score), 9) AS pearson_r FROM {JOINED}",
 )
 def _(spark, sf):
-    return rounded(T.correlation(_with_functions(spark, sf), "cyclomatic_complexity", "se_score"), 9)
+    return rounded(T.correlation(with_functions(spark, sf), "cyclomatic_complexity", "se_score").drop("p_value"), 9)
 
 
 @query(
     "z6_correlation_volume",
-    f"SELECT CAST(count(*) AS BIGINT) AS n, round(corr(halstead_volume, se_score), 9) AS pearson_r FROM {_JOINED}",
+    f"SELECT CAST(count(*) AS BIGINT) AS n, round(corr(halstead_volume, se_score), 9) AS pearson_r FROM {JOINED}",
 )
 def _(spark, sf):
-    return rounded(T.correlation(_with_functions(spark, sf), "halstead_volume", "se_score"), 9)
+    return rounded(T.correlation(with_functions(spark, sf), "halstead_volume", "se_score").drop("p_value"), 9)
 
 
 @query(
     "z7_linear_fit",
-    f"SELECT round(regr_slope(effort, l_extendedprice), 12) AS slope, round(regr_intercept(effort, l_extendedprice), 9) AS intercept, round(regr_r2(effort, l_extendedprice), 9) AS r2 FROM {_SCORED}",
+    f"SELECT round(regr_slope(effort, l_extendedprice), 12) AS slope, round(regr_intercept(effort, l_extendedprice), 9) AS intercept, round(regr_r2(effort, l_extendedprice), 9) AS r2 FROM {SCORED}",
 )
 def _(spark, sf):
     fit = T.linear_fit(X.run_log(spark, sf).filter(F.col("se_score").isNotNull()), "l_extendedprice", "effort")
@@ -230,14 +230,14 @@ def _fit_sql(predictors: dict[str, str], source: str) -> str:
 _X = "cyclomatic_complexity"
 
 
-@query("z7_quadratic_fit", _fit_sql({_X: _X, f"{_X}_squared": f"{_X} * {_X}"}, _JOINED))
+@query("z7_quadratic_fit", _fit_sql({_X: _X, f"{_X}_squared": f"{_X} * {_X}"}, JOINED))
 def _(spark, sf):
-    return rounded(T.quadratic_fit(_with_functions(spark, sf), _X, "se_score"))
+    return rounded(T.quadratic_fit(with_functions(spark, sf), _X, "se_score"))
 
 
-@query("z7_multiple_fit", _fit_sql({p: p for p in _PREDICTORS}, _JOINED))
+@query("z7_multiple_fit", _fit_sql({p: p for p in _PREDICTORS}, JOINED))
 def _(spark, sf):
-    rows = _with_functions(spark, sf)
+    rows = with_functions(spark, sf)
     fit = T.multiple_fit(rows, list(_PREDICTORS), "se_score")
     return rounded(fit)
 
@@ -248,7 +248,7 @@ _PIECES = ("n", "sx", "sy", "sxx", "sxy", "syy")
 @query(
     "z8_piecewise_fit",
     f"""WITH m AS (SELECT delta_cc AS bp, count(*)::DOUBLE AS n, sum(delta_cc) AS sx, sum(se_score) AS sy, sum(delta_cc * delta_cc) AS sxx,
-    sum(delta_cc * se_score) AS sxy, sum(se_score * se_score) AS syy FROM {_SCORED} GROUP BY 1),
+    sum(delta_cc * se_score) AS sxy, sum(se_score * se_score) AS syy FROM {SCORED} GROUP BY 1),
     c AS (SELECT bp, {", ".join(f"sum({k}) OVER (ORDER BY bp) AS l{k}, sum({k}) OVER () - sum({k}) OVER (ORDER BY bp) AS r{k}" for k in _PIECES)} FROM m)
     SELECT bp AS breakpoint, round(
     (lsyy - lsy * lsy / ln) - CASE WHEN lsxx - lsx * lsx / ln > 0 THEN (lsxy - lsx * lsy / ln) ^ 2 / (lsxx - lsx * lsx / ln) ELSE 0 END
@@ -259,34 +259,29 @@ def _(spark, sf):
     return rounded(T.piecewise_fit(X.run_log(spark, sf), "delta_cc", "se_score"), 1)
 
 
-@query("z9_logistic_fit")
-def _(spark, sf):
-    return rounded(T.logistic_fit(_with_functions(spark, sf), "preservation", ["cyclomatic_complexity"], "language"), 4)
-
-
 @query(
     "z10_chi_square",
-    f"""WITH o AS (SELECT language, count(*)::DOUBLE AS o FROM {_JOINED} GROUP BY 1),
+    f"""WITH o AS (SELECT language, count(*)::DOUBLE AS o FROM {JOINED} GROUP BY 1),
     s AS (SELECT * FROM (VALUES ('python', 0.3::DOUBLE), ('java', 0.3::DOUBLE), ('javascript', 0.2::DOUBLE), ('cpp', 0.2::DOUBLE)) t(language, share)),
     x AS (SELECT coalesce(o, 0) AS o, share * (SELECT sum(o) FROM o) AS e FROM s LEFT JOIN o USING (language))
     SELECT round(sum((o - e) ^ 2 / e), 6) AS chi_square, CAST(count(*) - 1 AS BIGINT) AS df FROM x""",
 )
 def _(spark, sf):
-    rows = _with_functions(spark, sf)
+    rows = with_functions(spark, sf)
     targets = {"python": 150, "java": 150, "javascript": 100, "cpp": 100}
-    return rounded(T.chi_square(rows, "language", targets))
+    return rounded(T.chi_square(rows, "language", targets).drop("p_value"))
 
 
 @query(
     "z11_strategy_by_tier",
-    f"""WITH c AS (SELECT strategy, tier, count(*) AS n, avg(se_score) AS mean FROM {_JOINED} GROUP BY 1, 2)
+    f"""WITH c AS (SELECT strategy, tier, count(*) AS n, avg(se_score) AS mean FROM {JOINED} GROUP BY 1, 2)
     SELECT strategy, tier, CAST(n AS BIGINT) AS n, round(mean, 6) AS mean, round(mean - sum(mean * n) OVER (PARTITION BY strategy) / sum(n) OVER (PARTITION BY strategy)
     - sum(mean * n) OVER (PARTITION BY tier) / sum(n) OVER (PARTITION BY tier) + sum(mean * n) OVER () / sum(n) OVER (), 6) AS interaction FROM c""",
 )
 def _(spark, sf):
     from refracta.functions.metrics import complexity_tier
 
-    rows = _with_functions(spark, sf).withColumn("tier", complexity_tier(F.col("cyclomatic_complexity")))
+    rows = with_functions(spark, sf).withColumn("tier", complexity_tier(F.col("cyclomatic_complexity")))
     return rounded(T.cell_means(rows, "strategy", "tier"))
 
 
@@ -305,7 +300,7 @@ def _(spark, sf):
     )
 
 
-_RANK_SQL = f"""(WITH m AS (SELECT task, model, avg(se_score) AS se FROM {_SCORED} GROUP BY 1, 2)
+_RANK_SQL = f"""(WITH m AS (SELECT task, model, avg(se_score) AS se FROM {SCORED} GROUP BY 1, 2)
   SELECT task, model, rank() OVER (PARTITION BY task ORDER BY se DESC) + (count(*) OVER (PARTITION BY task, se) - 1) / 2.0::DOUBLE AS rank FROM m)"""
 
 

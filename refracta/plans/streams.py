@@ -1,10 +1,12 @@
 """Streaming aggregates, run to the end of the given data and read back."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from refracta.operators import monitor as N
+from refracta.plans import fixtures as X
 from refracta.plans.costs import ROLLUP_SQL
 from refracta.plans.fixtures import RUN_LOG, rounded
+from refracta.plans.leaderboards import BY_MODEL_SQL, TASK_SQL, TOTALS_SQL
 from refracta.plans.registry import query
 from refracta.session import scratch_path
 from refracta.streaming import rollups as S
@@ -32,6 +34,7 @@ def _as_results(events):
         F.when(F.col("event_type") == "error", "request_error").alias("error_type"),
         F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("se_score"),
         F.col("ts").alias("timestamp"),
+        (F.col("event_id") % 11).cast("double").alias("delta_cc"),
         "event_id",
     )
 
@@ -39,13 +42,14 @@ def _as_results(events):
 EVENTS_SQL = """(SELECT 'u' || user_id AS function_id, event_type AS model, value / 100 AS cost_usd,
   CASE WHEN event_id % 3 <> 0 THEN CAST(floor(value) AS INTEGER) END AS latency_ms,
   CASE WHEN event_type = 'error' THEN 'request_error' END AS error_type,
-  CASE WHEN event_id % 4 <> 0 THEN value END AS se_score, ts AS timestamp, event_id FROM events)"""
+  CASE WHEN event_id % 4 <> 0 THEN value END AS se_score, ts AS timestamp,
+  CAST(event_id % 11 AS DOUBLE) AS delta_cc, 'refactor' AS task, 'zero_shot' AS strategy, event_id FROM events)"""
 
 
 def _table(spark, query_, label):
     target = scratch_path(spark, label)
     S.start_table(query_, target, scratch_path(spark, f"{label}-state")).awaitTermination()
-    return S.read_table(spark, target)
+    return S.read_table(spark, target, query_.schema)
 
 
 _ROLLUP_FIELDS = """date, model, total_calls, round(total_cost_usd, 6) AS total_cost_usd, round(avg_latency_ms, 6) AS avg_latency_ms,
@@ -53,21 +57,26 @@ _ROLLUP_FIELDS = """date, model, total_calls, round(total_cost_usd, 6) AS total_
 _EVENT_ROLLUP = f"SELECT {_ROLLUP_FIELDS} FROM {ROLLUP_SQL.replace(RUN_LOG, EVENTS_SQL)}"
 
 
-def _in_three_files(spark, sf, folder, files=range(3)):
-    """The events in files of their own, the newest first, so that later batches are late."""
+def _deliver_thirds(spark, sf, folder, run, thirds=range(3)):
+    """Write the events in three ranges of time, the newest first, and call ``run`` after each:
+    later batches are late. A range is as many files as its scan has tasks."""
     events = spark.read.parquet(f"{sf}/events.parquet")
-    third = F.ntile(3).over(Window.partitionBy(F.col("event_id") % 64).orderBy(F.desc("ts"), "event_id"))
-    dealt = events.withColumn("third", third - 1)
-    for k in files:
-        dealt.filter(F.col("third") == k).drop("third").coalesce(1).write.mode("append").parquet(folder)
+    first, last = events.agg(*[F.coalesce(F.unix_micros(end("ts").cast("timestamp")), F.lit(0)) for end in (F.min, F.max)]).first()
+    age = F.lit(last) - F.unix_micros(F.col("ts").cast("timestamp"))
+    third = F.least(F.floor(age * 3 / F.lit(max(1, last - first))), F.lit(2))
+    for k in thirds:
+        events.filter(third == k).write.mode("append").parquet(folder)
+        run()
 
 
 @query("t1_daily_rollup_stream", _EVENT_ROLLUP)
 def _(spark, sf):
     # Three batches; the last rows are years behind the first.
     source, target = scratch_path(spark, "events"), scratch_path(spark, "rollup")
-    _in_three_files(spark, sf, source)
-    S.start_rollup(_as_results(_stream(spark, sf, source, 1)), target, scratch_path(spark, "rollup-state")).awaitTermination()
+    state = scratch_path(spark, "rollup-state")
+    _deliver_thirds(
+        spark, sf, source, lambda: S.start_rollup(_as_results(_stream(spark, sf, source)), target, state).awaitTermination()
+    )
     return rounded(S.read_rollup(spark, target))
 
 
@@ -75,11 +84,13 @@ def _(spark, sf):
 def _(spark, sf):
     # A run, a compaction, a resumed run with late rows, and a batch that is replayed.
     source, target, state = (scratch_path(spark, n) for n in ("events", "upsert", "upsert-state"))
-    for files in ((0, 1), (2,)):
-        _in_three_files(spark, sf, source, files)
-        S.start_rollup(_as_results(_stream(spark, sf, source, 1)), target, state).awaitTermination()
-        if files == (0, 1):
-            S.compact_rollup(spark, target)
+
+    def run():
+        S.start_rollup(_as_results(_stream(spark, sf, source)), target, state).awaitTermination()
+
+    _deliver_thirds(spark, sf, source, run, (0, 1))
+    S.compact_rollup(spark, target)
+    _deliver_thirds(spark, sf, source, run, (2,))
     once_more = _as_results(spark.read.parquet(f"{sf}/events.parquet"))
     S.write_rollup_part(once_more, 0, target)  # in the base already
     return rounded(S.read_rollup(spark, target))
@@ -105,11 +116,13 @@ def _(spark, sf):
 )
 def _(spark, sf):
     # Three batches, the newest rows first; repeats of a key are days apart.
-    source, path = scratch_path(spark, "events"), scratch_path(spark, "once")
-    _in_three_files(spark, sf, source)
-    S.start_append_once(
-        _as_results(_stream(spark, sf, source, 1)), path, scratch_path(spark, "once-state"), ["timestamp", "event_id"]
-    ).awaitTermination()
+    source, path, state = (scratch_path(spark, n) for n in ("events", "once", "once-state"))
+
+    def run():
+        stream = _as_results(_stream(spark, sf, source))
+        S.start_append_once(stream, path, state, ["timestamp", "event_id"]).awaitTermination()
+
+    _deliver_thirds(spark, sf, source, run)
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -119,3 +132,32 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return rounded(_table(spark, S.monitor_stream(event_stream(spark, sf)), "t4"))
+
+
+def _live_report(spark, sf):
+    """The log in three runs on one checkpoint, compacted after the first: the report of all."""
+    source, target, state = (scratch_path(spark, n) for n in ("log", "monitor", "monitor-state"))
+    log = X.run_log(spark, sf)
+    third = F.pmod(F.xxhash64(*X.ARRIVAL), F.lit(3))
+    for k in range(3):
+        log.filter(third == k).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(log.schema).parquet(source)
+        S.start_monitor(stream, target, state).awaitTermination()
+        if k == 0:
+            S.compact_monitor(spark, target)
+    return S.read_monitor(spark, target)
+
+
+@query("t4_live_totals", TOTALS_SQL.format(2))
+def _(spark, sf):
+    return N.report_totals(_live_report(spark, sf))
+
+
+@query("t4_live_by_model", BY_MODEL_SQL)
+def _(spark, sf):
+    return N.report_by_model(_live_report(spark, sf))
+
+
+@query("t4_live_by_task_strategy", TASK_SQL)
+def _(spark, sf):
+    return N.report_by_task_strategy(_live_report(spark, sf))

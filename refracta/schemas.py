@@ -61,3 +61,19 @@ COST_TRACKING = _struct(
     ("successful_calls", _L, False),
     ("failed_calls", _L, False),
 )
+
+# State of a live monitor: see ``operators.monitor.monitor_parts``.
+MONITOR_PARTS = _struct(
+    ("is_cell", _B, True),
+    ("model", _S, True),
+    ("task", _S, True),
+    ("strategy", _S, True),
+    ("function_id", _S, True),
+    ("count", _L, True),
+    ("pending", _L, True),
+    ("cost_usd", _D, True),
+    ("latency_ms", _L, True),
+    ("latencies", _L, True),
+    ("delta_cc", _D, True),
+    ("deltas", _L, True),
+)

@@ -15,6 +15,7 @@ from refracta.operators import (
     corpus,
     cost,
     grid,
+    inference,
     leaderboard,
     lookups,
     monitor,
@@ -508,7 +509,7 @@ def test_fits_recover_known_coefficients(spark):
 def test_logistic_separates(spark):
     rows = [(int(i % 4 != 0) if g == "b" else int(i % 4 == 0), g, float(i % 10)) for i in range(400) for g in "ab"]
     df = spark.createDataFrame(rows, "p int, g string, x double")
-    got = {r["term"]: r["coefficient"] for r in stats.logistic_fit(df, "p", ["x"], "g").collect()}
+    got = {r["term"]: r["coefficient"] for r in inference.logistic_fit(df, "p", ["x"], "g").collect()}
     assert got["g=b"] > 1.5
 
 

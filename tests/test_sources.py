@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from refracta.operators import monitor
 from refracta.sources import files, writers
 from refracta.streaming import rollups
 
@@ -164,6 +165,63 @@ def test_live_table_keeps_the_last_two_versions(spark, tmp_path):
     ).parquet(str(source))
     counted = stream.groupBy("id").count()
     rollups.start_table(counted, target, str(tmp_path / "state")).awaitTermination()
-    got = {r["id"]: r["count"] for r in rollups.read_table(spark, target).collect()}
+    got = {r["id"]: r["count"] for r in rollups.read_table(spark, target, counted.schema).collect()}
     assert got == {0: 1, 1: 2, 2: 2, 3: 2, 4: 1}
     assert len(list((tmp_path / "out").glob("version=*"))) == 2
+
+
+LOG = (
+    "function_id string, model string, task string, strategy string, cost_usd double, latency_ms int, "
+    "se_score double, delta_cc double"
+)
+
+
+def test_monitor_survives_restarts_and_compaction(spark, tmp_path):
+    source, target, state = (str(tmp_path / n) for n in ("in", "monitor", "state"))
+    rows = [
+        [("f1", "m", "t", "a", 1.0, 100, None, 2.0), ("f2", "n", "t", "b", 2.0, None, 1.0, None)],
+        [("f1", "n", "u", "a", 0.5, 300, 3.0, 4.0), (None, None, "t", "a", None, 1, None, 1.0)],
+        [("f3", "m", "t", "a", 4.0, 50, None, 0.0), ("f2", "m", "t", "a", 0.25, 7, 2.0, 1.0)],
+    ]
+
+    def run():
+        stream = spark.readStream.schema(LOG).parquet(source)
+        rollups.start_monitor(stream, target, state).awaitTermination()
+
+    def check(seen):
+        log = spark.createDataFrame(seen, LOG)
+        live = rollups.read_monitor(spark, target)
+        assert monitor.report_totals(live).collect() == monitor.run_totals(log).collect()
+        assert monitor.report_by_model(live).collect() == monitor.by_model(log).collect()
+        assert monitor.report_by_task_strategy(live).collect() == monitor.by_task_strategy(log, with_delta=True).collect()
+
+    assert rollups.read_monitor(spark, target).collect() == []
+    check([])
+    for k in range(3):
+        spark.createDataFrame(rows[k], LOG).coalesce(1).write.mode("append").parquet(source)
+        run()
+        check(sum(rows[: k + 1], []))
+        if k == 1:
+            rollups.compact_monitor(spark, target)
+            # a part that the base holds is replayed
+            rollups.write_part(spark.createDataFrame(rows[0], LOG), 0, target, monitor.monitor_parts)
+            check(sum(rows[:2], []))
+    rollups.compact_monitor(spark, target)
+    rollups.compact_monitor(spark, target)
+    check(sum(rows, []))
+    assert not list((tmp_path / "monitor").glob("part=*"))
+
+
+def test_report_reads_the_log_once(spark, tmp_path):
+    spark.createDataFrame([("f1", "m", "t", "a", 1.0, 100, None, 2.0)], LOG).write.parquet(str(tmp_path / "log"))
+    report = monitor.monitor_report(monitor.monitor_parts(spark.read.parquet(str(tmp_path / "log"))))
+    assert report._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    assert sorted(r["block"] for r in report.collect()) == ["model", "task_strategy", "totals"]
+
+
+def test_targets_without_a_batch_are_empty(spark, tmp_path):
+    target = str(tmp_path / "nothing")
+    assert rollups.read_rollup(spark, target).collect() == []
+    assert rollups.read_table(spark, target, spark.range(1).schema).collect() == []
+    rollups.compact_rollup(spark, target)
+    assert not (tmp_path / "nothing").exists()
