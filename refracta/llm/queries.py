@@ -236,7 +236,38 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(_table(spark, sf_dir, "documents"))
 
 
-@_query("op7_sharding")
+OP7_SQL = """
+WITH RECURSIVE crc_table AS MATERIALIZED (
+    SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, zero: xor(c >> 1, 3988292384 * (c & 1)))) AS t
+), summed AS MATERIALIZED (
+    SELECT text, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'),
+        lambda two: ('0x' || two)::BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS crc
+    FROM (SELECT DISTINCT coalesce(text, '') AS text FROM documents), crc_table
+), keyed AS (
+    SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS key FROM documents
+), numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY key) - 1 AS number FROM keyed
+), slotted AS (
+    SELECT *, strlen(text) + 8 AS size, ('0x' || substr(md5(key || '|' || number), 1, 15))::BIGINT % 16384 AS virtual_slot FROM numbered
+), filled AS MATERIALIZED (
+    SELECT virtual_slot, bytes, row_number() OVER (ORDER BY bytes DESC, virtual_slot) AS turn
+    FROM (SELECT virtual_slot, sum(size)::BIGINT AS bytes FROM slotted GROUP BY virtual_slot)
+), placed AS (
+    SELECT 0::BIGINT AS turn, -1::BIGINT AS virtual_slot, 0 AS shard, list_transform(range(24), lambda i: 0::BIGINT) AS loads
+    UNION ALL
+    SELECT f.turn, f.virtual_slot, list_position(loads, list_min(loads)) - 1,
+        list_transform(loads, lambda load, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN load + f.bytes ELSE load END)
+    FROM placed p JOIN filled f ON f.turn = p.turn + 1
+)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law, shard::INTEGER AS shard,
+    row_number() OVER (PARTITION BY shard ORDER BY virtual_slot, key, number) - 1 AS slot,
+    NULL::INTEGER AS grown_shard, virtual_slot::INTEGER AS virtual_slot
+FROM slotted JOIN placed USING (virtual_slot) JOIN summed USING (text)
+"""
+
+
+@_query("op7_sharding", OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document, of 24 with equal bytes."""
     return sharding.shard(_table(spark, sf_dir, "documents"))

@@ -11,11 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from refracta.llm.common import text_or_empty
+from refracta.functions.text import let
+from refracta.llm.common import hash_number, small_side, text_or_empty
 from refracta.operators.ordered import row_numbers
 from refracta.session import cut_lineage, scratch_path
 
-SLOTS = 4096
+#: So many that two of the few largest records rarely meet in one slot.
+SLOTS = 16384
+BATCH = 128
 OVERHEAD = 8  # bytes per record besides its text
 
 
@@ -27,19 +30,33 @@ def _all_slots(spark: SparkSession, slot_bytes: DataFrame, slots: int) -> DataFr
 
 
 def _placed(moving: Column, loads: Column) -> Column:
-    """Largest slot first, each to the shard with the fewest bytes so far."""
+    """Largest slot first, each to the shard with the fewest bytes so far.
+
+    Slots are placed a batch at a time, so that the growing map is copied once per batch."""
+    nothing = F.array().cast("array<struct<virtual_slot:int,shard:int>>")
 
     def put(state: Column, slot: Column) -> Column:
-        best = F.array_position(state["loads"], F.array_min(state["loads"])) - 1
-        grown = F.transform(
-            state["loads"], lambda load, at: F.when(at == best, load + slot["bytes"]).otherwise(load)
+        least = F.array_position(state["loads"], F.array_min(state["loads"])) - 1
+
+        def on(best: Column) -> Column:
+            grown = F.transform(
+                state["loads"], lambda load, at: F.when(at == best, load + slot["bytes"]).otherwise(load)
+            )
+            entry = F.struct(slot["virtual_slot"].alias("virtual_slot"), best.alias("shard"))
+            return F.struct(grown.alias("loads"), F.concat(state["map"], F.array(entry)).alias("map"))
+
+        return let(least.cast("int"), on)
+
+    def put_batch(state: Column, batch: Column) -> Column:
+        placed = F.aggregate(batch, F.struct(state["loads"].alias("loads"), nothing.alias("map")), put)
+        return let(
+            placed,
+            lambda got: F.struct(got["loads"].alias("loads"), F.concat(state["map"], got["map"]).alias("map")),
         )
-        entry = F.struct(slot["virtual_slot"].alias("virtual_slot"), best.cast("int").alias("shard"))
-        return F.struct(grown.alias("loads"), F.concat(state["map"], F.array(entry)).alias("map"))
 
-    nothing = F.array().cast("array<struct<virtual_slot:int,shard:int>>")
-    start = F.struct(loads.alias("loads"), nothing.alias("map"))
-    return F.aggregate(moving, start, put)["map"]
+    starts = F.sequence(F.lit(0), F.floor(F.size(moving) / BATCH).cast("int"))
+    batches = F.transform(starts, lambda k: F.slice(moving, k * BATCH + 1, F.lit(BATCH)))
+    return F.aggregate(batches, F.struct(loads.alias("loads"), nothing.alias("map")), put_batch)["map"]
 
 
 def rebalanced(
@@ -87,17 +104,37 @@ def read_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema("virtual_slot int, shard int").parquet(f"{path}/version={version}")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with a ``number`` that counts rows of one ``key`` from 0.
+
+    Such rows are the same but for their place, so it does not matter which gets which number.
+    Keys are counted before they move; only rows of repeated keys are sorted, by range, with
+    their place as the last part of the order, so a key of any size is spread over ranges.
+    """
+    repeated = small_side(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
+    once = rows.join(repeated, "key", "left_anti").withColumn("number", F.lit(0).cast("bigint"))
+    again = row_numbers(rows.join(repeated, "key", "left_semi"), ["place"], "number", ["key"])
+    again = again.withColumn("number", (F.col("number") - 1).cast("bigint"))
+    return once.unionByName(again.select(once.columns))
+
+
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot, order_key) per row of ``docs``."""
-    text = text_or_empty().cast("binary")
-    key = F.xxhash64("doc_id", text)
-    return docs.select(
+    """(doc_id, size, text_crc32, key, number, virtual_slot) per row of ``docs``.
+
+    ``key`` is the MD5 of doc_id and text, ``number`` counts the rows that are equal in both;
+    together they choose the slot, so that repeats of a row are spread like any other rows.
+    """
+    text = text_or_empty()
+    key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text).cast("binary"))
+    rows = docs.select(
         "doc_id",
         (F.octet_length(text) + OVERHEAD).cast("bigint").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        F.pmod(key, F.lit(slots)).cast("int").alias("virtual_slot"),
-        key.alias("order_key"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.unhex(key).alias("key"),
+        F.monotonically_increasing_id().alias("place"),
     )
+    slot = F.pmod(hash_number(F.lower(F.hex("key")), F.col("number")), F.lit(slots)).cast("int")
+    return _numbered(cut_lineage(rows)).drop("place").withColumn("virtual_slot", slot)
 
 
 def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
@@ -109,9 +146,10 @@ def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, map_path: str |
     slot          place within the shard, from 0 without gaps
     virtual_slot  the fixed slot that the map places
 
-    Shards differ by no more than the bytes of one slot. Rows equal in doc_id and text share
-    a slot; equal texts of different doc_id are spread, so a large group of copies is not in
-    one shard. A NULL doc_id is placed by its text. Other columns are ignored, whatever
+    Shards differ by no more than the bytes of one slot. Equal texts are spread, whether they
+    differ in doc_id or are the same row repeated, so no group of copies is in one shard. Rows
+    equal in doc_id and text are interchangeable; reruns place as many of them in each shard.
+    A NULL doc_id is placed by its text. Other columns are ignored, whatever
     their names. An empty table gives an empty table. The map is stored as version 1 under
     ``map_path`` (a fresh folder beside the checkpoints by default).
     """
@@ -121,7 +159,7 @@ def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, map_path: str |
     path = map_path or scratch_path(spark, "slot-map")
     save_map(rebalanced(slot_bytes, shards, slots=slots), path, 1)
     placed = rows.join(F.broadcast(read_map(spark, path, 1)), "virtual_slot")
-    order = ["virtual_slot", "order_key", "doc_id"]
+    order = ["virtual_slot", "key", "number"]
     numbered = row_numbers(placed, order, "place", ["shard"])
     return numbered.select(
         "doc_id",
