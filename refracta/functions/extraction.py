@@ -154,46 +154,66 @@ HEADERS = {
 }
 
 
-def balanced_prefix(text: Column) -> Column:
-    """Text up to the brace that first returns to depth 0; all of it if none does."""
-    chunks = F.regexp_extract_all(text, F.lit(r"[{}]|[^{}]+"), F.lit(0))
+#: Most functions end within so many characters; only the others are followed any further.
+_NEAR = 512
+#: So many headers in a row are longer than a function window, since the shortest has six characters.
+_HEADERS_IN_WINDOW = FUNCTION_WINDOW // 6 + 1
+
+
+def _closed_at(text: Column) -> Column:
+    """Length of the text up to the brace that first returns to depth 0, 0 if none does."""
+    pieces = F.split(text, r"\}")
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("pos"), F.lit(0).alias("end"))
 
-    def step(s: Column, c: Column) -> Column:
-        depth = s["depth"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
-        pos = s["pos"] + F.length(c)
-        closes = (s["end"] == 0) & (c == "}") & (depth == 0)
-        return F.struct(
-            depth.alias("depth"), pos.alias("pos"), F.when(closes, pos).otherwise(s["end"]).alias("end")
+    def step(s: Column, piece: Column) -> Column:
+        # a piece ends at a closing brace
+        opened = F.length(piece) - F.length(F.replace(piece, F.lit("{"), F.lit("")))
+        depth = s["depth"] + opened - 1
+        pos = s["pos"] + F.length(piece) + 1
+        return F.when(s["end"] > 0, s).otherwise(
+            F.struct(depth.alias("depth"), pos.alias("pos"), F.when(depth == 0, pos).otherwise(0).alias("end"))
         )
 
-    def finish(s: Column) -> Column:
-        return F.when(s["end"] > 0, F.substring(text, F.lit(1), s["end"])).otherwise(text)
+    # what follows the last closing brace is not a piece
+    return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, step, lambda s: s["end"])
+
+
+def balanced_prefix(text: Column) -> Column:
+    """Text up to the brace that first returns to depth 0; all of it if none does."""
 
-    return F.aggregate(chunks, start, step, finish)
+    def cut(end: Column, otherwise: Column) -> Column:
+        return F.when(end > 0, F.left(text, end)).otherwise(otherwise)
+
+    whole = let(_closed_at(text), lambda end: cut(end, text))
+    return let(_closed_at(F.left(text, F.lit(_NEAR))), lambda end: cut(end, whole))
 
 
 def brace_functions(code: Column, header: str) -> Column:
-    """Array of (name, code) for every header match, cut at the balancing brace."""
+    """Array of (name, code) for every header match, cut at the balancing brace.
+
+    The text is cut once at its headers. A function that ends before the next header needs its
+    own part only; for the others the parts behind are joined, up to the window.
+    """
     headers = F.regexp_extract_all(code, F.lit(header), F.lit(0))
-    start = F.struct(
-        F.lit(1).alias("pos"),
-        F.array().cast("array<struct<name:string,code:string>>").alias("found"),
-    )
+    between = F.split(code, header)
+    parts = F.zip_with(headers, F.slice(between, F.lit(2), F.size(between)), lambda h, p: F.concat(h, p))
+
+    def functions(p: Column) -> Column:
+        def one(h: Column, i: Column) -> Column:
+            own = F.left(p["parts"][i], F.lit(FUNCTION_WINDOW))
+            following = F.slice(p["parts"], i + 1, F.lit(_HEADERS_IN_WINDOW))
+            window = F.left(F.array_join(following, ""), F.lit(FUNCTION_WINDOW))
+            near = F.left(own, F.lit(_NEAR))
+            text = let(
+                _closed_at(near),
+                lambda end: F.when(end > 0, F.left(near, end)).otherwise(let(window, balanced_prefix)),
+            )
+            return F.struct(F.regexp_extract(h, header, 1).alias("name"), text.alias("code"))
 
-    def step(s: Column, h: Column) -> Column:
-        at = F.position(h, code, s["pos"])
-        window = F.substring(code, at, F.lit(FUNCTION_WINDOW))
-        item = F.struct(F.regexp_extract(h, header, 1).alias("name"), window.alias("code"))
-        return F.struct(
-            (at + F.length(h)).alias("pos"), F.concat(s["found"], F.array(item)).alias("found")
-        )
+        return F.transform(p["headers"], one)
 
-    windows = F.aggregate(headers, start, step, lambda s: s["found"])
-    cut = F.transform(
-        windows, lambda f: F.struct(f["name"].alias("name"), balanced_prefix(f["code"]).alias("code"))
-    )
-    return F.filter(cut, lambda f: F.length(f["code"]).between(*FUNCTION_CHARS))
+    found = let(F.struct(headers.alias("headers"), parts.alias("parts")), functions)
+    return F.filter(found, lambda f: F.length(f["code"]).between(*FUNCTION_CHARS))
 
 
 def language_functions(code: Column, language: str) -> Column:

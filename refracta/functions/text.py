@@ -78,9 +78,25 @@ def common_prefix_length(a: Column, b: Column) -> Column:
     return let(F.least(F.length(a), F.length(b)), search)
 
 
+#: Widths that are tried in turn, each for texts that are several times as long.
+_BANDS = (16, 128)
+
+
+def _banded(a: Column, b: Column) -> Column:
+    """Levenshtein distance by the narrowest band that holds it."""
+    shorter = F.least(F.length(a), F.length(b))
+    out = F.levenshtein(a, b)
+    for width in reversed(_BANDS):
+        within = F.nullif(F.levenshtein(a, b, width), F.lit(-1))
+        out = F.when(shorter > 4 * width, F.coalesce(within, out)).otherwise(out)
+    return out
+
+
 def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance. Shared ends are cut off first: they never change the
-    distance and the rest costs quadratic time."""
+    """Levenshtein distance. Shared ends are cut off first: they never change the distance.
+
+    The rest is measured within bands of growing width, which is linear for near texts; only
+    texts further apart than the widest band cost quadratic time."""
 
     def without_prefix(p: Column) -> Column:
         rest = F.struct(
@@ -91,12 +107,11 @@ def edit_distance(a: Column, b: Column) -> Column:
 
     def without_suffix(r: Column) -> Column:
         shared = common_prefix_length(F.reverse(r["a"]), F.reverse(r["b"]))
-        return let(
-            shared,
-            lambda n: F.levenshtein(
-                F.left(r["a"], F.length(r["a"]) - n), F.left(r["b"], F.length(r["b"]) - n)
-            ),
-        )
+        def trimmed(n: Column) -> Column:
+            sides = [F.left(r[k], F.length(r[k]) - n).alias(k) for k in ("a", "b")]
+            return let(F.struct(*sides), lambda t: _banded(t["a"], t["b"]))
+
+        return let(shared, trimmed)
 
     pair = F.struct(a.alias("a"), b.alias("b"), common_prefix_length(a, b).alias("n"))
     return let(pair, without_prefix)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refracta.functions.attributes import numeric_round
-from refracta.operators.ordered import join_groups, quantiles, running_max
+from refracta.operators.ordered import running_max, value_summary
+from refracta.operators.stats import beside
 
 GROUP = ("model", "task", "strategy")
 
@@ -14,25 +15,29 @@ GROUP = ("model", "task", "strategy")
 def leaderboard(facts: DataFrame) -> DataFrame:
     """Scored rows aggregated per (model, task, strategy); a NULL is a group like any other.
 
-    A missing preservation counts as a failure. The median is exact, found by range.
+    A missing preservation counts as a failure. The median is exact, found by range; the
+    facts are read once.
     """
     scored = facts.filter(F.col("se_score").isNotNull())
-    hit = F.when(F.col("preservation") == 1, 1).otherwise(0)
-    aggregates = scored.groupBy(*GROUP).agg(
-        F.count(F.lit(1)).alias("total_transformations"),
-        F.sum(hit).alias("successful"),
-        numeric_round(F.avg(hit.cast("double")) * 100, 2).alias("success_rate_pct"),
-        numeric_round(F.avg("se_score"), 3).alias("mean_se"),
-        numeric_round(F.stddev_samp("se_score"), 3).alias("std_se"),
-        F.sum("cost_usd").alias("total_cost_usd"),
-        numeric_round(F.avg("latency_ms"), 0).alias("avg_latency_ms"),
+    found = value_summary(
+        scored, GROUP, "se_score", {"median": 0.5},
+        {
+            "successful": F.sum(F.when(F.col("preservation") == 1, 1).otherwise(0)),
+            "total_cost_usd": F.sum("cost_usd"),
+            "latency": F.sum("latency_ms"),
+            "latencies": F.count("latency_ms"),
+        },
     )
-    medians = quantiles(scored, GROUP, "se_score", {"median_se": 0.5})
-    return join_groups(
-        aggregates, medians.withColumn("median_se", numeric_round(F.col("median_se"), 3)), GROUP
-    ).select(
-        *GROUP, "total_transformations", "successful", "success_rate_pct", "mean_se", "median_se",
-        "std_se", "total_cost_usd", "avg_latency_ms",
+    return found.select(
+        *GROUP,
+        F.col("n").alias("total_transformations"),
+        "successful",
+        numeric_round(F.col("successful") / F.col("n") * 100, 2).alias("success_rate_pct"),
+        numeric_round(F.col("mean"), 3).alias("mean_se"),
+        numeric_round(F.col("median"), 3).alias("median_se"),
+        numeric_round(F.col("std"), 3).alias("std_se"),
+        "total_cost_usd",
+        numeric_round(F.try_divide(F.col("latency"), F.col("latencies")), 0).alias("avg_latency_ms"),
     )
 
 
@@ -91,18 +96,15 @@ def efficiency(facts: DataFrame, baseline: str) -> DataFrame:
         .groupBy("model")
         .agg(F.avg("se_score").alias("mean_se"), F.avg("cost_usd").alias("mean_cost"))
     )
-    # one row per model from here on; the baseline's two numbers ride along as a window
-    everyone = Window.partitionBy()
+    # one row per model from here on; the baseline's two numbers ride along
     base = F.col("model") == baseline
-    return per_model.select(
+    numbers = {"base_se": F.max(F.when(base, F.col("mean_se"))), "base_cost": F.max(F.when(base, F.col("mean_cost")))}
+    return beside(per_model, **numbers).select(
         "model",
         "mean_se",
         "mean_cost",
         (F.col("mean_se") / F.nullif("mean_cost", F.lit(0.0)) * 1000).alias("se_per_1000usd"),
-        F.try_divide(
-            F.col("mean_se") - F.max(F.when(base, F.col("mean_se"))).over(everyone),
-            F.col("mean_cost") - F.max(F.when(base, F.col("mean_cost"))).over(everyone),
-        ).alias("roi"),
+        F.try_divide(F.col("mean_se") - F.col("base_se"), F.col("mean_cost") - F.col("base_cost")).alias("roi"),
     )
 
 

@@ -124,26 +124,40 @@ def value_ranks(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFra
     return below.withColumn("avg_rank", F.col("below") + (F.col("n") + 1) / 2)
 
 
-def quantiles(
-    df: DataFrame, group: Sequence[str], value: str, probabilities: dict[str, float]
+def value_summary(
+    df: DataFrame,
+    group: Sequence[str],
+    value: str,
+    probabilities: Mapping[str, float],
+    sums: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Exact interpolated quantiles per group, one column per entry of ``probabilities``.
+    """Per group: ``n`` values, their ``mean`` and sample deviation ``std``, exact interpolated
+    quantiles (one column per entry of ``probabilities``) and ``sums``.
 
-    One plan for inputs of any size: rows are counted per (group, value), the counts are
+    ``sums`` names aggregates that add up (sums and counts). One plan for inputs of any size,
+    which reads the input once: rows are aggregated per (group, value), these are
     range-partitioned, and each range knows how many rows of its group come before it and how
     many there are in all. A group is never gathered. A NULL group is a group; a group without
     values gets NULLs; NaN is the largest value; infinities stay as the built-in has them.
     """
-    counts = df.groupBy(*group, value).agg(F.count(value).alias("n"))
+    sums = dict(sums or {})
+    counts = df.groupBy(*group, value).agg(
+        F.count(value).alias("n"), *[v.alias(f"__sum_{k}") for k, v in sums.items()]
+    )
     parts = ranged(counts, [*group, value])
-    per_part = parts.groupBy(*group, PART).agg(F.sum("n").alias("__in_part"))
+    number = F.col(value).cast("double")
+    per_part = parts.groupBy(*group, PART).agg(
+        F.sum("n").alias("__in_part"), F.sum(F.when(F.col("n") > 0, number * F.col("n"))).alias("__of_part")
+    )
     whole = Window.partitionBy(*group)
     before = whole.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    rows = F.sum("__in_part").over(whole)
     offsets = per_part.select(
         *[F.col(g).alias(f"__key_{g}") for g in group],
         F.col(PART).alias("__key_part"),
         F.coalesce(F.sum("__in_part").over(before), F.lit(0)).alias("__before_n"),
-        F.sum("__in_part").over(whole).alias("__rows"),
+        rows.alias("__rows"),
+        F.try_divide(F.sum("__of_part").over(whole), rows).alias("__mean"),
     )
     inside = Window.partitionBy(*group, PART).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ranked = _join_offsets(
@@ -157,18 +171,32 @@ def quantiles(
             hit = (F.col("__below") <= at) & (at < F.col("__below") + F.col("n"))
             picked.append(F.max(F.when(hit, F.col(value).cast("double"))).alias(f"__{name}_{suffix}"))
         picked.append(F.max(position - lower).alias(f"__{name}_w"))
-    found = ranked.groupBy(*group).agg(*picked)
+    away = number - F.col("__mean")
+    found = ranked.groupBy(*group).agg(
+        F.sum("n").alias("__n"),
+        F.max("__mean").alias("__mean"),
+        F.sum(F.when(F.col("n") > 0, away * away * F.col("n"))).alias("__squares"),
+        *[F.sum(f"__sum_{k}").alias(f"__sum_{k}") for k in sums],
+        *picked,
+    )
 
     def between(name: str) -> Column:
         lo, hi, weight = (F.col(f"__{name}_{x}") for x in ("lo", "hi", "w"))
         return F.when(lo == hi, lo).otherwise(lo * (1 - weight) + hi * weight).alias(name)
 
-    return found.select(*group, *[between(n) for n in probabilities])
+    deviation = F.when(F.col("__n") > 1, F.sqrt(F.try_divide(F.col("__squares"), F.col("__n") - 1)))
+    return found.select(
+        *group,
+        F.col("__n").alias("n"),
+        F.col("__mean").alias("mean"),
+        deviation.alias("std"),
+        *[between(n) for n in probabilities],
+        *[F.col(f"__sum_{k}").alias(k) for k in sums],
+    )
 
 
-def join_groups(left: DataFrame, right: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Inner join of two tables with one row per group, in which NULL groups meet too."""
-    keyed = right.select(
-        *[F.col(g).alias(f"__key_{g}") for g in group], *[c for c in right.columns if c not in group]
-    )
-    return left.join(keyed, _same_group(group)).drop(*[f"__key_{g}" for g in group])
+def quantiles(
+    df: DataFrame, group: Sequence[str], value: str, probabilities: dict[str, float]
+) -> DataFrame:
+    """Exact interpolated quantiles per group, as :func:`value_summary` finds them."""
+    return value_summary(df, group, value, probabilities).select(*group, *probabilities)

@@ -9,18 +9,15 @@ from pyspark.sql import functions as F
 
 from refracta.constants import STRATEGIES
 from refracta.functions.distributions import chi_square_tail, f_tail, normal_two_sided, t_two_sided
-from refracta.operators.ordered import join_groups, quantiles, running_total, running_totals
+from refracta.operators.ordered import quantiles, running_total, running_totals, value_summary
 from refracta.session import cut_lineage, literal_rows
 
 
 def distribution(facts: DataFrame, by: Sequence[str], value: str = "se_score") -> DataFrame:
     """n, mean, sample deviation, quartiles and interquartile range per group."""
     rows = facts.filter(F.col(value).isNotNull())
-    moments = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std")
-    )
-    cuts = quantiles(rows, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    return join_groups(moments, cuts, by).withColumn("iqr", F.col("q3") - F.col("q1"))
+    cuts = value_summary(rows, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return cuts.withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def latency_percentiles(facts: DataFrame, by: Sequence[str]) -> DataFrame:

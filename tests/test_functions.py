@@ -1,6 +1,8 @@
 """Column functions against hand-computed answers."""
 
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -327,3 +329,54 @@ def test_balanced_prefix(spark):
     cases = [("a{b{c}d}e}", "a{b{c}d}"), ("}{}", "}{}"), ("{}}{", "{}"), ("{", "{"), ("", "")]
     got = batch(spark, [(t,) for t, _ in cases], "t string", extraction.balanced_prefix(F.col("t")))
     assert [g[0] for g in got] == [kept for _, kept in cases]
+
+
+def plain_functions(code, header, window=2000):
+    out = []
+    for m in re.finditer(header, code):
+        text, depth = code[m.start() : m.start() + window], 0
+        for i, c in enumerate(text):
+            depth += (c == "{") - (c == "}")
+            if c == "}" and depth == 0:
+                text = text[: i + 1]
+                break
+        if 50 <= len(text) <= 3000:
+            out.append((m.group(1), text))
+    return out
+
+
+def test_brace_functions_match_brute_force(spark):
+    rng = random.Random(3)
+    parts = ["function f(a) {", "}", "{", "} }", "x = 1; ", "y" * 90 + " ", "function g() { return {a: 1}; }", "\n", "é{ü}"]
+    codes = ["".join(rng.choices(parts, k=rng.randrange(60))) for _ in range(150)]
+    codes += ["", "function a(){" * 500, "function a(){}" * 500, "function z() {" + "w" * 5000 + "}", "function z() { " + "{}" * 400 + " }"]
+    got = batch(
+        spark, [(c,) for c in codes], "c string",
+        extraction.brace_functions(F.col("c"), extraction.JS_FUNCTION_HEADER),
+    )
+    want = [plain_functions(c, r"function\s+(\w+)\s*\([^)]*\)\s*\{") for c in codes]
+    assert [[tuple(f) for f in found] for (found,) in got] == want
+
+
+def test_edit_distance_matches_brute_force(spark):
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(7)
+    pairs = [("", ""), ("a", ""), ("kitten", "sitting")]
+    for n in (30, 80, 300, 700):
+        for edits in (0, 3, 20, 150):
+            a = [rng.choice("abcdé") for _ in range(n)]
+            b = list(a)
+            for _ in range(edits):
+                at = rng.randrange(len(b) + 1)
+                b[at : at + rng.randrange(2)] = rng.choices("abcx", k=rng.randrange(2))
+            pairs.append(("".join(a), "".join(b)))
+        pairs.append(("".join(rng.choices("ab", k=n)), "".join(rng.choices("cd", k=n + 9))))
+    got = batch(spark, pairs, "a string, b string", edit_distance(F.col("a"), F.col("b")))
+    assert [d for (d,) in got] == [plain(a, b) for a, b in pairs]
