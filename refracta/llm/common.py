@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,15 +48,29 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= rows else kept
 
 
-#: Rows of texts that are turned into Python objects at a time.
-PIECE_ROWS = 500
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches, so that a worker's memory does not grow with their size."""
-    for batch in batches:
-        for start in range(0, max(batch.num_rows, 1), PIECE_ROWS):
-            yield batch.slice(start, PIECE_ROWS)
+def packed(docs: DataFrame, *apart: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but ``apart`` in one struct, and the way back.
+
+    Columns that an operator adds on the way can then not clash with any of the caller's.
+    """
+    others = {name: f"c{i}" for i, name in enumerate(n for n in docs.columns if n not in apart)}
+    struct = F.struct(*[quoted(n).alias(c) for n, c in others.items()], F.lit(0).alias("end"))
+    rows = docs.select(struct.alias("carried"), *[quoted(n).alias(n) for n in apart])
+
+    def unpacked(out: DataFrame) -> DataFrame:
+        columns = [F.col("carried")[others[n]] if n in others else F.col(n) for n in docs.columns]
+        return out.select(*[c.alias(n) for c, n in zip(columns, docs.columns)])
+
+    return rows, unpacked
+
+
+#: Rows of texts that are turned into Python objects at a time.
+PIECE_ROWS = 500
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -81,7 +95,7 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 PIECE_BYTES = 4_000_000
 
 
-def text_pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of the batches by the bytes of a text column, so that memory follows neither the
     number of rows in a batch nor their length (but for a single text)."""
     for batch in batches:

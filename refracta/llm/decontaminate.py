@@ -14,15 +14,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from refracta.llm.common import pieces
-from refracta.llm.wordhash import FOLD, as_bytes
+from refracta.llm.common import packed, pieces
+from refracta.llm.wordhash import FOLD, as_bytes, mixed, word_hashes
 from refracta.session import cut_lineage
 
 WINDOW = 10
 #: Bytes of the items in one automaton, some 100 MB of memory in each Python worker. Larger
-#: sets of items are split over several automata that are applied one after the other.
+#: sets of items are split over several automata.
 AUTOMATON_BYTES = 1_000_000
+#: Slots (bits) of the table of word pairs, 16 MB in each Python worker.
+PAIR_SLOTS = 1 << 27
+SEGMENT = 32768  # bits of one built-in bitmap
 MARKS = "__words bigint, __spans array<struct<first:int,last:int>>, __items array<string>"
 
 
@@ -159,14 +163,17 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _scan(automaton, again: bool):
-    """Add the marks of one automaton to every row; ``again``: to the marks it has."""
+    """Add the marks of one automaton, and the ids its texts stand for, to every row; ``again``:
+    to the marks it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ids = automaton.value
         for batch in pieces(batches):
             counts, spans, items = [], [], []
             for i, text in enumerate(as_bytes(batch.column("text"))):
                 words = text.translate(FOLD).split()
-                own_spans, own_items = automaton.value.hits(words)
+                own_spans, texts = known.hits(words)
+                own_items = {x for t in texts for x in ids[t]}
                 if again:
                     before = [(s["first"], s["last"]) for s in batch.column("__spans")[i].as_py()]
                     own_spans, own_items = own_spans + before, own_items | set(batch.column("__items")[i].as_py())
@@ -188,39 +195,141 @@ def _scan(automaton, again: bool):
     return run
 
 
-def _schema(docs: DataFrame) -> str:
-    return ", ".join([*[f"`{n}` {kind}" for n, kind in docs.dtypes], MARKS])
+def _with_marks(schema: StructType) -> StructType:
+    return StructType(schema.fields + StructType.fromDDL(MARKS).fields)
+
+
+def _pair_slots(words: np.ndarray) -> np.ndarray:
+    """A slot of the pair table for every two adjacent words."""
+    return (mixed(words[:-1] * np.uint64(3) + words[1:]) % np.uint64(PAIR_SLOTS)).astype(np.int64)
+
+
+def _word_slots(words: np.ndarray) -> np.ndarray:
+    return (mixed(words ^ np.uint64(0x5BD1E995)) % np.uint64(PAIR_SLOTS)).astype(np.int64)
+
+
+def _item_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every slot of the items' pairs, or of the word of an item that is one; with the words of
+    the shortest item of the batch."""
+    for batch in pieces(batches):
+        hashes = [h for h in map(word_hashes, as_bytes(batch.column("text"))) if len(h)]
+        slots = [_pair_slots(h) if len(h) > 1 else _word_slots(h) for h in hashes]
+        flat = np.unique(np.concatenate(slots)) if slots else np.empty(0, np.int64)
+        for kind, least in (("pair", [len(h) for h in hashes if len(h) > 1]), ("word", [1 for h in hashes if len(h) == 1])):
+            if least:
+                yield pa.record_batch(
+                    [pa.array(flat), pa.array([kind] * len(flat)), pa.array([min(least)] * len(flat), pa.int64())],
+                    names=["slot", "kind", "least"],
+                )
+
+
+class PairTable:
+    """Slots of all items' adjacent words: which documents can hold a window at all."""
+
+    def __init__(self, bits: np.ndarray, least: int | None, single: bool):
+        self.bits, self.least, self.single = bits, least, single
+
+    def _set(self, slots: np.ndarray) -> np.ndarray:
+        return (self.bits[slots >> 3] >> (slots & 7)) & 1 == 1
+
+    def may_hold(self, text: bytes) -> bool:
+        """False only if no window of any item stands in the text."""
+        words = word_hashes(text)
+        if self.single and len(words) and self._set(_word_slots(words)).any():
+            return True
+        if self.least is None or len(words) < self.least:
+            return False
+        hit = self._set(_pair_slots(words))
+        edges = np.flatnonzero(np.diff(hit, prepend=False, append=False))
+        return bool(len(edges)) and int((edges[1::2] - edges[::2]).max()) >= self.least - 1
+
+
+def pair_table(items: DataFrame, window: int) -> PairTable:
+    """The table of ``items`` (text): PAIR_SLOTS bits, whatever the items weigh."""
+    found = items.mapInArrow(_item_slots, "slot bigint, kind string, least bigint")
+    segments = found.groupBy(F.expr(f"slot div {SEGMENT}").alias("segment")).agg(
+        F.bitmap_construct_agg(F.col("slot") % SEGMENT).alias("bitmap"),
+        F.min(F.when(F.col("kind") == "pair", F.col("least"))).alias("least"),
+        F.count_if(F.col("kind") == "word").alias("single"),
+    )
+    bits = np.zeros(PAIR_SLOTS // 8, np.uint8)
+    least, single = None, False
+    for r in segments.toLocalIterator():  # at most PAIR_SLOTS bits
+        at = r["segment"] * SEGMENT // 8
+        bits[at : at + SEGMENT // 8] = np.frombuffer(r["bitmap"], np.uint8)
+        single |= r["single"] > 0
+        if r["least"] is not None:
+            least = min(window, r["least"], least or window)
+    return PairTable(bits, least, single)
+
+
+def _flag(table):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            texts = as_bytes(batch.column("text"))
+            yield pa.record_batch(
+                [
+                    *batch.columns,
+                    pa.array([len(t.translate(FOLD).split()) for t in texts], pa.int64()),
+                    pa.array([table.value.may_hold(t) for t in texts], pa.bool_()),
+                ],
+                names=[*batch.schema.names, "__words", "__may"],
+            )
+
+    return run
 
 
 Pass = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def marked(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, then: Pass | None = None, then_schema: str = ""
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, then: Pass | None = None, then_schema: StructType | None = None
 ) -> DataFrame:
     """``docs`` with ``__words``, ``__spans`` (hit words [first, last)) and ``__items``.
 
     ``then`` works on the marked batches in the same Python worker and gives ``then_schema``.
+
+    Items with the same text are one text with several ids. Items that fit one automaton are
+    looked for in one scan of the documents. For more, the documents are scanned once against a
+    table of the items' word pairs and written; only those that may hold a window, as a rule
+    the few that do, are then taken through the automata in turn.
     """
     sc = docs.sparkSession.sparkContext
-    named = items.select(
-        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"),
-        F.coalesce("text", F.lit("")).cast("binary").alias("text"),
+    named = cut_lineage(
+        items.select(
+            F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"),
+            F.coalesce("text", F.lit("")).cast("binary").alias("text"),
+        )
+        .groupBy("text")
+        .agg(F.sort_array(F.collect_set("name")).alias("names"))
     )
-    size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    weight = F.octet_length("text") + F.aggregate("names", F.lit(0), lambda total, n: total + F.octet_length(n))
+    size = named.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
     slices = max(1, -(-int(size) // AUTOMATON_BYTES))
-    part = F.pmod(F.xxhash64("name", "text"), F.lit(slices))
-    schema, out = _schema(docs), docs
+    part = F.pmod(F.xxhash64("text"), F.lit(slices))
+
+    def automaton(k: int):
+        rows = named.filter(part == k).collect()  # some AUTOMATON_BYTES
+        texts = {str(i): bytes(r["text"]) for i, r in enumerate(rows)}
+        return sc.broadcast((Automaton(texts.items(), window), {str(i): r["names"] for i, r in enumerate(rows)}))
+
+    schema = _with_marks(docs.schema)
+    if slices == 1:
+        scan = _scan(automaton(0), False)
+        if then is None:
+            return docs.mapInArrow(scan, schema)
+        return docs.mapInArrow(lambda batches: then(scan(batches)), then_schema)
+    table = sc.broadcast(pair_table(named, window))
+    flags = StructType.fromDDL("__words bigint, __may boolean")
+    flagged = cut_lineage(docs.mapInArrow(_flag(table), StructType(docs.schema.fields + flags.fields)))
+    without = flagged.filter("NOT __may").select(
+        *docs.columns, "__words", *[F.array().cast(f.dataType).alias(f.name) for f in StructType.fromDDL(MARKS).fields[1:]]
+    )
+    found = flagged.filter("__may").select(*docs.columns)
     for k in range(slices):
-        rows = named.filter(part == k).collect()
-        automaton = sc.broadcast(Automaton(((r["name"], bytes(r["text"])) for r in rows), window))
-        scan, last = _scan(automaton, k > 0), k == slices - 1
-        before = cut_lineage(out) if k else out
-        if last and then is not None:
-            out = before.mapInArrow(lambda batches, scan=scan: then(scan(batches)), then_schema)
-        else:
-            out = before.mapInArrow(scan, schema)
-    return out
+        found = (cut_lineage(found) if k else found).mapInArrow(_scan(automaton(k), k > 0), schema)
+    out = without.unionByName(found)
+    return out if then is None else out.mapInArrow(then, then_schema)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -296,7 +405,9 @@ def decontaminate(
     A hit span of more than ``max_span`` words is cut out of the text: by default every one, the
     occurrence of an item shorter than the window too. A document of whose
     words more than ``max_coverage`` are hit goes. ``n_chars``, where it is a column, follows
-    the text. Documents without a hit are returned as they are, NULL texts too.
+    the text. Documents without a hit are returned as they are, NULL and empty texts too.
+    Rows that repeat are judged each. Columns may have any names; empty tables are fine on
+    either side.
     """
-    schema = ", ".join(f"`{n}` {kind}" for n, kind in docs.dtypes)
-    return marked(docs, items, window, _cut(max_span + 1, max_coverage), schema)
+    rows, unpacked = packed(docs, "text", *[n for n in docs.columns if n == "n_chars"])
+    return unpacked(marked(rows, items, window, _cut(max_span + 1, max_coverage), rows.schema))

@@ -24,12 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refracta.llm import wordhash
-from refracta.llm.common import groups, pieces, small_side, text_key
+from refracta.llm.common import groups, packed, pieces, small_side, text_key
 from refracta.llm.components import components
 from refracta.session import cut_lineage
 
 HASHES, BAND, STEP = 128, 4, 16  # MinHash values; per band; compared at a time
 BLOCK = 256  # nodes of a block
+SALTS = 256
 
 
 def least_matches(threshold: float, tolerance: float, hashes: int = HASHES, step: int = STEP) -> list[int]:
@@ -345,23 +346,29 @@ def one_of_each_class(docs: DataFrame, threshold: float = 0.8, **options: float)
     """``docs`` without all but one row of each class: the smallest doc_id stays.
 
     Texts that are linked to nothing stay, repeated or not. Ties in doc_id go to the smallest
-    text digest, and of rows equal in both one stays. All columns are kept.
+    text digest, and of rows equal in both one stays. NULL and empty texts are linked to
+    nothing. All columns are kept, whatever their names; an empty table gives an empty table.
     """
     found = cut_lineage(jaccard_classes(docs, threshold, **options).filter("links > 0"))
-    firsts = found.groupBy("class_root").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first")
-    )
-    rows = found.groupBy("doc_id", "text_key", "class_root").agg(F.count(F.lit(1)).alias("rows"))
-    judged = rows.join(firsts, "class_root").select(
-        rows.doc_id.alias("__id"),
-        rows.text_key.alias("__key"),
-        _same((rows.doc_id, F.col("first.doc_id")), (rows.text_key, F.col("first.text_key"))).alias("__first"),
+    order = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first")
+    # a class that holds a third of all rows is dealt over SALTS keys
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).cast("int"))
+    rows = salted.groupBy("class_root", "salt", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows"))
+    rows = cut_lineage(rows)
+    part = rows.groupBy("class_root", "salt").agg(order)
+    firsts = part.groupBy("class_root").agg(F.min("first").alias("first"), F.collect_list("salt").alias("salts"))
+    dealt = firsts.select("class_root", "first", F.explode("salts").alias("salt"))
+    judged = rows.join(dealt, ["class_root", "salt"]).select(
+        F.col("doc_id").alias("__id"),
+        F.col("text_key").alias("__key"),
+        _same((F.col("doc_id"), F.col("first.doc_id")), (F.col("text_key"), F.col("first.text_key"))).alias("__first"),
         F.col("rows").alias("__rows"),
     )
     special = small_side(judged.filter("NOT __first OR __rows > 1"))
-    keyed = docs.withColumn("__own_key", text_key())
+    carried, unpacked = packed(docs, "doc_id", "text")
+    keyed = carried.withColumn("__own_key", text_key())
     same = _same((F.col("doc_id"), F.col("__id"))) & (F.col("__own_key") == F.col("__key"))
     joined = keyed.join(special, same, "left").filter("__first IS NULL OR __first")
-    once = joined.filter("__first IS NULL").select(docs.columns)
-    repeated = joined.filter("__first").dropDuplicates(["doc_id", "__own_key"]).select(docs.columns)
-    return once.unionByName(repeated)
+    once = joined.filter("__first IS NULL")
+    repeated = joined.filter("__first").dropDuplicates(["doc_id", "__own_key"])
+    return unpacked(once.unionByName(repeated))

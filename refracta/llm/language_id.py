@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from refracta.llm.common import fold, pieces
+from refracta.llm.common import fold, packed, pieces
 from refracta.llm.wordhash import FOLD
 
 BUCKETS = 1 << 13
@@ -157,8 +158,8 @@ def _predict(broadcast):
 
 def _predicted(docs: DataFrame, model: Model) -> DataFrame:
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{n}` {kind}" for n, kind in docs.dtypes)
-    return docs.mapInArrow(_predict(broadcast), f"{schema}, __lang string, __score double, __unsure boolean")
+    found = StructType.fromDDL("__lang string, __score double, __unsure boolean")
+    return docs.mapInArrow(_predict(broadcast), StructType(docs.schema.fields + found.fields))
 
 
 def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -187,9 +188,12 @@ def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def identified(docs: DataFrame, model: Model | None = None, least: float = 0.0) -> DataFrame:
     """``docs`` without the rows that have no language: no letter, or a score under ``least``.
 
-    All columns stay as they are. Where nothing can be learned, texts with a letter stay.
+    All columns stay as they are, whatever their names. Where nothing can be learned, texts
+    with a letter stay. NULL and empty texts go, repeated rows are judged each, an empty
+    table gives an empty table.
     """
     fit = train(docs) if model is None else model
-    judged = _predicted(docs, fit)
+    rows, unpacked = packed(docs, "text")
+    judged = _predicted(rows, fit)
     has = F.col("__unsure") if not fit.languages else (F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)
-    return judged.filter(has).select(docs.columns)
+    return unpacked(judged.filter(has))

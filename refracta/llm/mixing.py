@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refracta.llm.common import hash_number, small_side, text_or_empty
+from refracta.llm.common import hash_number, packed, small_side, text_or_empty
 from refracta.operators.ordered import row_numbers, running_total
 from refracta.session import cut_lineage
 
@@ -100,7 +100,7 @@ def mix_plan(
 
     ``taken`` is the number of words the mix takes of the document, repeats counted. The
     document at the cut gives the words that are left of the budget, so a source misses its
-    target by less than a word. NULL text has no words; NULL is a source of its own, the
+    target by less than a word, or less than n words if n equal rows are at the cut. NULL text has no words; NULL is a source of its own, the
     last. Rows equal in doc_id and text are treated alike: at the cut each gives the same
     number of words. A source without words has target 0. Other columns are ignored, whatever their names. An empty table
     gives an empty table. The order depends on ``seed``, doc_id and text alone.
@@ -120,11 +120,15 @@ def mix(
 
     The last copy of a document at the cut holds its first words only, joined by single
     spaces; ``n_chars``, where it is a column, follows. Documents without words are taken
-    with the whole rounds alone.
+    with the whole rounds alone. NULL texts, NULL sources and repeated rows: as in
+    :func:`mix_plan`. Other columns stay, whatever their names; an empty table gives an
+    empty table.
     """
     _, facts = _cuts(docs, weights, most, seed)
+    counted = [n for n in docs.columns if n == "n_chars"]
+    rows, unpacked = packed(docs, "doc_id", "text", "source", *counted)
     side = facts.select(F.col("of_source").alias("__source"), F.struct("rounds", "cut", "part").alias("__plan"))
-    keyed = docs.join(side, F.col("source").eqNullSafe(F.col("__source")))
+    keyed = rows.join(side, F.col("source").eqNullSafe(F.col("__source")))
     own = F.struct(_key(seed).alias("key"), F.col("doc_id").alias("doc_id"))
     cut, rounds = F.col("__plan.cut"), F.col("__plan.rounds")
     at_cut = F.coalesce((own == cut) & (F.col("__plan.part") > 0), F.lit(False))
@@ -134,6 +138,6 @@ def mix(
     partial = F.col("__at_cut") & (F.col("__copy") > rounds)
     begun = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("__plan.part").cast("int")))
     out = taken.withColumn("text", F.when(partial, begun).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
+    if counted:
         out = out.withColumn("n_chars", F.when(partial, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    return unpacked(out)

@@ -124,7 +124,7 @@ def test_pieces_follow_bytes_and_rows():
 
     texts = ["a" * 3_000_000, None, "b" * 3_000_000, "c" * 9_000_000, "", "d"] + ["e"] * 1200
     batch = pa.record_batch([pa.array(texts)], names=["text"])
-    got = list(common.text_pieces(iter([batch, batch.slice(2, 3), batch.slice(0, 0)])))
+    got = list(common.pieces(iter([batch, batch.slice(2, 3), batch.slice(0, 0)])))
     assert [t for p in got for t in p.column("text").to_pylist()] == texts + texts[2:5]
     assert [p.num_rows for p in got][:3] == [2, 1, 1]
     assert max(p.num_rows for p in got) <= common.PIECE_ROWS
