@@ -52,51 +52,85 @@ def headline_id(section: Column) -> Column:
     return F.regexp_extract(span, r'\bid="([^"]*)"', 1)
 
 
-def first_block(section: Column, tags=("pre", "code"), limits=BLOCK_CHARS) -> Column:
-    """Text of the first block whose length lies within the limits, else NULL."""
+def first_block(section: Column, tags=("pre", "code"), limits=BLOCK_CHARS, closed: bool = True) -> Column:
+    """Text of the first block whose length lies within the limits, else NULL.
+
+    Unless only ``closed`` blocks count, one without end tag ends with the section. A ``<`` in
+    front of anything but a letter, ``/`` or ``!`` is text.
+    """
+    end = "" if closed else r"|\z"
     inner = F.regexp_extract_all(
-        section, F.lit(rf"(?is)<({'|'.join(tags)})\b[^>]*>(.*?)</\1>"), F.lit(2)
+        section, F.lit(rf"(?is)<({'|'.join(tags)})\b[^>]*>(.*?)(?:</\1>{end})"), F.lit(2)
     )
-    texts = F.transform(inner, lambda b: strip(unescape(F.regexp_replace(b, r"<[^>]*>", ""))))
+    texts = F.transform(inner, lambda b: strip(unescape(F.regexp_replace(b, r"</?[A-Za-z!][^>]*>", ""))))
     fitting = F.filter(texts, lambda t: F.length(t).between(*limits))
     return F.get(fitting, F.lit(0))
 
 
-_VOID = r"(?i)</?(?:br|hr|img|input|link|meta|col|wbr)\b[^>]*>"
+# Elements without an end tag, and what ends an open element of the same place.
+_VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+_BLOCKS = (
+    "address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3",
+    "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul",
+)
+_ENDED_BY = {
+    "p": _BLOCKS, "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",),
+    "td": ("td", "th", "tr"), "th": ("td", "th", "tr"), "tr": ("tr",),
+}
+# A comment, a script or style with its raw content, a tag, a lone "<", or text.
+_TOKEN = r"(?is)<!--.*?-->|<(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>|</?[a-z][^>]*>|<|[^<]+"
 
 
 def first_sibling_holding(html: Column, tags=("pre", "code")) -> Column:
     """First element at the outermost level that has one of the tags inside it, else NULL.
 
-    The element's own tag does not count. Tags are followed by depth only, so markup
-    that leaves elements open ends at the next outer close.
+    The element's own tag does not count. Open elements are kept by name, innermost first. An
+    end tag closes everything up to the last open element of its name, and nothing when there
+    is none; so crossed tags end with the outer one. Paragraphs, list items, cells and rows
+    end where the next one begins, other elements that are never closed at the end of the text.
     """
-    tokens = F.regexp_extract_all(html, F.lit(r"(?s)<!--.*?-->|<[^>]*>|[^<]+"), F.lit(0))
-    wanted = rf"(?i)^<(?:{'|'.join(tags)})\b"
+    tokens = F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0))
     start = F.struct(
-        *[F.lit(0).alias(n) for n in ("depth", "pos", "start", "from", "to")], F.lit(False).alias("holds")
+        F.array().cast("array<string>").alias("open"),
+        *[F.lit(0).alias(n) for n in ("pos", "start", "from", "to")],
+        F.lit(False).alias("holds"),
     )
+    ended = F.create_map(*[x for name, by in _ENDED_BY.items() for x in (F.lit(name), F.array(*[F.lit(b) for b in by]))])
 
     def step(s: Column, t: Column) -> Column:
-        void = F.rlike(t, F.lit(_VOID)) | F.endswith(t, F.lit("/>"))
-        opens = F.rlike(t, F.lit(r"^<[A-Za-z]")) & ~void
-        closes = F.startswith(t, F.lit("</")) & ~void & (s["depth"] > 0)
-        outermost = opens & (s["depth"] == 0)
-        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
-        holds = F.when(outermost, False).otherwise(s["holds"] | (opens & F.rlike(t, F.lit(wanted))))
+        raw = F.rlike(t, F.lit(r"(?i)^<(?:!--|script|style)"))
+        name = F.when(~raw, F.lower(F.regexp_extract(t, r"^</?([A-Za-z][A-Za-z0-9:-]*)", 1)))
+        return let(name, lambda n: followed(s, t, n))
+
+    def followed(s: Column, t: Column, name: Column) -> Column:
+        tag = F.coalesce(name != "", F.lit(False))
+        closes = tag & F.startswith(t, F.lit("</"))
+        alone = name.isin(*_VOID) | F.endswith(t, F.lit("/>"))
+        opens = tag & ~closes
+        depth = F.size(s["open"])
+        # An open element that this start tag ends, or the one that this end tag names.
+        implied = opens & F.coalesce(F.array_contains(ended[F.get(s["open"], F.lit(0))], name), F.lit(False))
+        level = F.when(closes, F.array_position(s["open"], name).cast("int")).when(implied, 1).otherwise(0)
+        left = F.slice(s["open"], level + 1, F.greatest(depth - level, F.lit(0)))
+        after = F.when(opens & ~alone, F.concat(F.array(name), left)).otherwise(left)
+        begins = opens & ~alone & (F.size(left) == 0)
         pos = s["pos"] + F.length(t)
-        found = closes & (depth == 0) & s["holds"] & (s["to"] == 0)
+        ends = (level > 0) & (F.size(left) == 0) & s["holds"] & (s["to"] == 0)
+        inside = s["holds"] | (opens & (F.size(left) > 0) & name.isin(*tags))
         return F.struct(
-            depth.alias("depth"),
+            after.alias("open"),
             pos.alias("pos"),
-            F.when(outermost, s["pos"]).otherwise(s["start"]).alias("start"),
-            F.when(found, s["start"]).otherwise(s["from"]).alias("from"),
-            F.when(found, pos).otherwise(s["to"]).alias("to"),
-            holds.alias("holds"),
+            F.when(begins, s["pos"]).otherwise(s["start"]).alias("start"),
+            F.when(ends, s["start"]).otherwise(s["from"]).alias("from"),
+            F.when(ends, F.when(closes, pos).otherwise(s["pos"])).otherwise(s["to"]).alias("to"),
+            F.when(begins, False).otherwise(inside).alias("holds"),
         )
 
     def finish(s: Column) -> Column:
-        return F.when(s["to"] > 0, F.substring(html, s["from"] + 1, s["to"] - s["from"]))
+        unclosed = (F.size(s["open"]) > 0) & s["holds"]
+        return F.when(s["to"] > 0, F.substring(html, s["from"] + 1, s["to"] - s["from"])).when(
+            unclosed, F.substring(html, s["start"] + 1, s["pos"] - s["start"])
+        )
 
     return F.aggregate(tokens, start, step, finish)
 
@@ -104,7 +138,7 @@ def first_sibling_holding(html: Column, tags=("pre", "code")) -> Column:
 def section_listing(section: Column, tags=("pre", "code"), limits=BLOCK_CHARS) -> Column:
     """First fitting block of the first element below the heading that has any block."""
     below = F.regexp_replace(section, r"(?is)\A<h([23])\b.*?</h\1>", "")
-    return let(below, lambda x: first_block(first_sibling_holding(x, tags), tags, limits))
+    return let(below, lambda x: first_block(first_sibling_holding(x, tags), tags, limits, closed=False))
 
 
 def language_blocks(html: Column, heading: str = HEADLINE, tags=("pre", "code")) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import warnings
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,15 +25,21 @@ _TEXTS, _NUMBERS = T.ArrayType(T.StringType()), T.ArrayType(T.IntegerType())
 # One entry per node, breadth first; ``def_name`` has one per plain function instead.
 # ``parent`` is the position of the parent node. ``block`` is the position of the function
 # whose complexity a node counts towards, -1 inside nested functions, which are no part of
-# the outer one and no block of their own, and NULL outside of functions.
+# the outer one and no block of their own, and NULL outside of functions; a class inside of a
+# function or of a class is such a nested part too. ``class_at`` is the position of the
+# outermost class around a node, itself included. ``branch`` numbers the node's label with
+# those of its first child and next sibling, and how often they stood before; equal numbers
+# of two trees are equal branches.
 TREE_TYPE = T.StructType(
     [T.StructField("label", _TEXTS)]
     + [T.StructField(n, _NUMBERS) for n in ("parent", "block", "decisions", "lineno", "end_lineno")]
-    + [T.StructField("def_name", _TEXTS)]
+    + [T.StructField("def_name", _TEXTS), T.StructField("class_at", _NUMBERS), T.StructField("branch", T.ArrayType(T.LongType()))]
     + [T.StructField(n, T.BooleanType()) for n in ("parse_ok", "compile_ok")]
 )
 _NODE_FIELDS = TREE_TYPE.names[:6]
 _REJECTED = (SyntaxError, ValueError, RecursionError, MemoryError)
+# Number of every node type, from 1; 0 stands for no node.
+_TYPES = {t: i for i, t in enumerate(sorted(n for n, v in vars(ast).items() if isinstance(v, type) and issubclass(v, ast.AST)), 1)}
 
 
 def _catch_all(case: ast.match_case) -> bool:
@@ -63,19 +70,39 @@ def _compiles(code: str) -> bool:
     return True
 
 
+def _branches(labels: list[str], parents: list[int | None]) -> list[int]:
+    """Numbers of the nodes' branches; siblings stand side by side in breadth-first order."""
+    kinds = [_TYPES[x] for x in labels]
+    first = [0] * len(kinds)
+    for at in range(len(kinds) - 1, 0, -1):
+        first[parents[at]] = kinds[at]
+    seen: Counter[int] = Counter()
+    numbers = []
+    for at, kind in enumerate(kinds):
+        last = at + 1 == len(kinds) or parents[at + 1] != parents[at]
+        branch = (kind << 20) | (first[at] << 10) | (0 if last else kinds[at + 1])
+        numbers.append((seen[branch] << 30) | branch)
+        seen[branch] += 1
+    return numbers
+
+
 def _walk(code: str | None) -> tuple:
     """The tree of one text in the layout of ``TREE_TYPE``."""
-    labels, parents, blocks, decisions, starts, ends, names = ([] for _ in range(7))
-    columns = (labels, parents, blocks, decisions, starts, ends, names)
+    labels, parents, blocks, decisions, starts, ends, names, classes, branches = ([] for _ in range(9))
+    columns = (labels, parents, blocks, decisions, starts, ends, names, classes, branches)
     if code is None:
         return (*columns, None, None)
     try:
         tree = ast.parse(code)
     except _REJECTED:
         return (*columns, False, False)
-    queue = [(tree, None, None)]
-    for position, (node, parent, block) in enumerate(queue):
+    queue = [(tree, None, None, None)]
+    for position, (node, parent, block, owner) in enumerate(queue):
         kind = type(node)
+        if kind is ast.ClassDef:
+            if block is not None or owner is not None:
+                block = -1
+            owner = position if owner is None else owner
         if kind is ast.FunctionDef or kind is ast.AsyncFunctionDef:
             block = position if block is None else -1
             if kind is ast.FunctionDef:
@@ -83,11 +110,13 @@ def _walk(code: str | None) -> tuple:
         labels.append(kind.__name__)
         parents.append(parent)
         blocks.append(block)
+        classes.append(owner)
         count = _DECISIONS.get(kind)
         decisions.append(count(node) if count else 0)
         starts.append(getattr(node, "lineno", None))
         ends.append(getattr(node, "end_lineno", None))
-        queue.extend((child, position, block) for child in ast.iter_child_nodes(node))
+        queue.extend((child, position, block, owner) for child in ast.iter_child_nodes(node))
+    branches.extend(_branches(labels, parents))
     return (*columns, True, _compiles(code))
 
 
@@ -118,26 +147,51 @@ def ast_nodes(df: DataFrame, tree: str = "tree") -> DataFrame:
 
 
 def tree_complexity(tree: Column) -> Column:
-    """1 + decision points of the most complex function; 1 without functions, NULL without a tree.
+    """Complexity of the most complex block; 1 without blocks, NULL without a tree.
 
-    An approximation of the usual per-function complexity: class totals are left out.
+    Blocks are functions, methods and classes outside of other functions and classes. A
+    function has 1 + its decision points. The total of a class is 1 + the decision points of
+    its body + its methods' complexities; it counts with its total when it has no methods,
+    else with the total per method, rounded down, and one more if there are several.
     """
-    # Only branching nodes matter; few are left of a whole tree.
-    pairs = F.filter(
-        F.arrays_zip(tree["block"].alias("block"), tree["decisions"].alias("decisions")),
-        lambda p: (p["decisions"] > 0) & (p["block"] >= 0),
+    # Only branching nodes, functions and classes matter; few are left of a whole tree.
+    nodes = F.transform(
+        F.arrays_zip(*[tree[f].alias(f) for f in ("label", "block", "decisions", "class_at")]),
+        lambda n, at: F.struct(
+            n["block"].alias("block"),
+            n["decisions"].alias("decisions"),
+            n["class_at"].alias("class_at"),
+            F.coalesce(n["block"] == at, F.lit(False)).alias("heads"),
+            ((n["label"] == "ClassDef") & n["block"].isNull() & (n["class_at"] == at)).alias("opens"),
+        ),
+    )
+    kept = F.filter(
+        nodes,
+        lambda n: (F.coalesce(n["block"], F.lit(0)) >= 0) & ((n["decisions"] > 0) | n["heads"] | n["opens"]),
     )
 
-    def most_complex(branching: Column) -> Column:
-        totals = F.transform(
-            F.array_distinct(F.transform(branching, lambda p: p["block"])),
-            lambda b: F.aggregate(
-                branching, F.lit(1), lambda s, p: s + F.when(p["block"] == b, p["decisions"]).otherwise(0)
-            ),
+    def total(entries: Column, value) -> Column:
+        return F.aggregate(entries, F.lit(0), lambda s, n: s + value(n))
+
+    def most_complex(found: Column) -> Column:
+        functions = F.transform(
+            F.array_distinct(F.transform(F.filter(found, lambda n: n["block"].isNotNull()), lambda n: n["block"])),
+            lambda b: 1 + total(F.filter(found, lambda n: n["block"] == b), lambda n: n["decisions"]),
         )
-        return F.coalesce(F.array_max(totals), F.lit(1))
 
-    return F.when(tree["parse_ok"], let(pairs, most_complex))
+        def of_class(inside: Column) -> Column:
+            methods = total(inside, lambda n: n["heads"].cast("int"))
+            whole = 1 + total(inside, lambda n: n["decisions"] + n["heads"].cast("int"))
+            shared = F.floor(whole / F.greatest(methods, F.lit(1))).cast("int") + (methods > 1).cast("int")
+            return F.when(methods == 0, whole).otherwise(shared)
+
+        classes = F.transform(
+            F.filter(found, lambda n: n["opens"]),
+            lambda c: of_class(F.filter(found, lambda n: n["class_at"] == c["class_at"])),
+        )
+        return F.coalesce(F.array_max(F.concat(functions, classes)), F.lit(1))
+
+    return F.when(tree["parse_ok"], let(kept, most_complex))
 
 
 def with_complexity(df: DataFrame, code: str = "code", out: str = "cyclomatic_complexity") -> DataFrame:
@@ -169,12 +223,20 @@ def python_function_array(code: Column, tree: Column) -> Column:
     )
 
 
+def branch_distance(before: Column, after: Column) -> Column:
+    """Binary branches of two trees that the other one lacks, repeats counted."""
+    a, b = before["branch"], after["branch"]
+    return F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
+
+
 def tree_distance_bound(before: Column, after: Column) -> Column:
     """Lower bound of the normalised edit distance between two syntax trees, in 0..1.
 
     One edit changes the multiset of node labels by at most one label on either side,
-    so the larger one-sided multiset difference never exceeds the number of edits.
-    NULL when either text has no tree.
+    so the larger one-sided multiset difference never exceeds the number of edits. It changes
+    at most five binary branches (a node with its first child and next sibling), so neither
+    does a fifth of the branches that one tree has and the other lacks. The larger of the two
+    counts. NULL when either text has no tree.
     """
     a, b = before["label"], after["label"]
 
@@ -190,5 +252,5 @@ def tree_distance_bound(before: Column, after: Column) -> Column:
     bags = F.transform(F.array_union(a, b), lambda x: occurrences(a, x) - occurrences(b, x))
     return F.when(
         before["parse_ok"] & after["parse_ok"],
-        let(bags, edits) / F.greatest(F.size(a), F.size(b)).cast("double"),
+        F.greatest(let(bags, edits), F.ceil(branch_distance(before, after) / 5)) / F.greatest(F.size(a), F.size(b)).cast("double"),
     )

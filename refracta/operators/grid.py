@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from refracta.constants import NATURAL_KEY
 from refracta.operators.corpus import keep_first
-from refracta.operators.ordered import running_total
+from refracta.operators.ordered import running_total, running_totals
 
 
 def _cells(models: Sequence[str], tasks: Sequence[str], strategies: Sequence[str]) -> Column:
@@ -126,6 +126,50 @@ def within_budget(
     )
 
 
+def admitted_in_flight(
+    calls: DataFrame,
+    order: Sequence[str],
+    limit: float,
+    started: str = "started",
+    finished: str = "finished",
+    cost: str = "cost_usd",
+    group: Sequence[str] = (),
+) -> DataFrame:
+    """Calls admitted when several run at a time: what runs has not been paid for yet.
+
+    A call is admitted when the calls that finished by its start cost less than ``limit``, so
+    the spend may end above it by the calls in flight. Columns added: ``spent_before`` and
+    ``in_flight``, the calls begun before this one and not finished by then. Calls that start
+    together follow ``order``, which must tell all calls apart; one that also finishes at that
+    time is paid for after them. Costs are not negative; NULL is 0. A call without a start is
+    not admitted; one without a finish stays in flight and is never paid for. A finish before
+    the start counts as one at the start.
+
+    Spend only grows, so calls that are turned away all start later than the admitted ones and
+    change nothing for them: one pass over starts and finishes in their order decides.
+    """
+    known = calls.filter(F.col(started).isNotNull())
+    end = F.when(F.col(finished).isNotNull(), F.greatest(finished, started))
+    price = F.coalesce(F.col(cost), F.lit(0.0)).cast("decimal(38,12)")
+    free, begun = F.lit(0).cast("decimal(38,12)"), F.col(started)
+    start_of = F.struct(begun.alias("__at"), F.lit(1).alias("__kind"), free.alias("__cost"), F.lit(1).alias("__runs"))
+    end_of = F.struct(
+        end.alias("__at"), F.when(end > begun, 0).otherwise(2).alias("__kind"), price.alias("__cost"), F.lit(-1).alias("__runs")
+    )
+    # One read: each call gives both events, and its columns travel with the start alone.
+    keys = list(dict.fromkeys([*group, *order]))
+    both = F.filter(F.array(start_of, end_of), lambda e: e["__at"].isNotNull())
+    events = known.select(*keys, F.struct(*calls.columns).alias("__call"), F.inline(both)).withColumn(
+        "__call", F.when(F.col("__kind") == 1, F.col("__call"))
+    )
+    placed = running_totals(
+        events, {"__cost": "__spent", "__runs": "__running"}, ["__at", "__kind", *order], group
+    )
+    return placed.filter((F.col("__kind") == 1) & (F.col("__spent") < F.lit(limit))).select(
+        "__call.*", F.col("__spent").cast("double").alias("spent_before"), F.col("__running").cast("bigint").alias("in_flight")
+    )
+
+
 def first_usable_attempt(
     attempts: DataFrame, key: Sequence[str], usable: Column, max_attempts: int = 3
 ) -> DataFrame:

@@ -174,6 +174,54 @@ def _(spark, sf):
     )
 
 
+# Calls that last minutes instead of milliseconds, so that several run at a time.
+_CALLS = f"(SELECT *, timestamp AS s, timestamp + to_minutes(CAST(latency_ms AS BIGINT)) AS f FROM {RUN_LOG})"
+
+
+def _in_flight_sql(group: str, limit: int) -> str:
+    """Spend and number of finished calls by an ASOF join; starts before by their row number."""
+    per = f"PARTITION BY {group} " if group else ""
+    key = f"{group}, " if group else ""
+    same = f"c.{group} = d.{group} AND " if group else ""
+    return f"""(WITH c AS {_CALLS}, d AS (SELECT {key}f, sum(sum(CAST(cost_usd AS DECIMAL(38,12)))) OVER ({per}ORDER BY f) AS spent,
+    sum(count(*)) OVER ({per}ORDER BY f) AS done FROM c WHERE f IS NOT NULL GROUP BY {key}f)
+    SELECT c.*, coalesce(spent, 0) AS spent, n - 1 - coalesce(done, 0) AS running
+    FROM (SELECT *, row_number() OVER ({per}ORDER BY s, {ARRIVAL_SQL}) AS n FROM c) c ASOF LEFT JOIN d ON {same}c.s >= d.f
+    WHERE coalesce(spent, 0) < {limit})"""
+
+
+def _calls(spark, sf):
+    log = X.run_log(spark, sf).select("model", *ARRIVAL, "cost_usd", "latency_ms")
+    minutes = F.make_dt_interval(F.lit(0), F.lit(0), F.col("latency_ms"))
+    return log.withColumn("finished", F.col("timestamp") + minutes).withColumn("started", F.col("timestamp"))
+
+
+@query(
+    "w5_budget_in_flight",
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, round(spent, 6)::DOUBLE AS spent_before, CAST(running AS BIGINT) AS in_flight
+    FROM {_in_flight_sql("", 5)}""",
+)
+def _(spark, sf):
+    admitted = G.admitted_in_flight(_calls(spark, sf), ARRIVAL, 5.0)
+    return admitted.select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.round("spent_before", 6).alias("spent_before"), "in_flight"
+    )
+
+
+@query(
+    "w5_overshoot_per_model",
+    f"""SELECT model, CAST(count(*) AS BIGINT) AS admitted, CAST(max(running) AS BIGINT) AS most_in_flight,
+    round(sum(CAST(cost_usd AS DECIMAL(38,12))) - 1, 6)::DOUBLE AS over_budget FROM {_in_flight_sql("model", 1)} GROUP BY model""",
+)
+def _(spark, sf):
+    admitted = G.admitted_in_flight(_calls(spark, sf), ARRIVAL, 1.0, group=["model"])
+    return admitted.groupBy("model").agg(
+        F.count(F.lit(1)).alias("admitted"),
+        F.max("in_flight").alias("most_in_flight"),
+        F.round((F.sum(F.col("cost_usd").cast("decimal(38,12)")) - 1).cast("double"), 6).alias("over_budget"),
+    )
+
+
 @query(
     "w7_running_mean",
     f"SELECT CAST(timestamp AS DATE) AS date, model, round(avg(coalesce(latency_ms, 0)), 6) AS avg_latency_ms FROM {RUN_LOG} GROUP BY 1, 2",

@@ -64,6 +64,32 @@ def _(spark, sf):
     return A.with_complexity(X.corpus(spark, sf), out="cc").select("id", "cc")
 
 
+# A class per part: up to two conditions in its body, up to three methods of up to four each.
+_CLASS_PARTS = "SELECT p_partkey, p_size % 3 AS own, p_partkey % 4 AS methods, (p_size // 3) % 5 AS inside FROM part"
+
+
+@query(
+    "e5_class_complexity",
+    f"""SELECT p_partkey, CAST(greatest(CASE WHEN methods > 0 THEN 1 + inside ELSE 1 END, CASE WHEN methods = 0 THEN 1 + own
+    ELSE (1 + own + methods * (1 + inside)) // methods + CAST(methods > 1 AS INTEGER) END) AS INTEGER) AS cc FROM ({_CLASS_PARTS})""",
+)
+def _(spark, sf):
+    size, key = F.col("p_size"), F.col("p_partkey")
+    method = F.concat(
+        F.lit("    def f(self, x):\n"),
+        F.repeat(F.lit("        if x:\n            x += 1\n"), (F.floor(size / 3) % 5).cast("int")),
+        F.lit("        def nested(y):\n            return y or x\n        return nested(x)\n"),
+    )
+    code = F.concat(
+        F.lit("class C:\n    a = 1\n"),
+        F.repeat(F.lit("    if a:\n        a = 2\n"), (size % 3).cast("int")),
+        F.repeat(method, (key % 4).cast("int")),
+        F.lit("    class Inner:\n        b = 1 if a else 2\n"),
+    )
+    classes = spread(X.table(spark, sf, "part").select("p_partkey", code.alias("code")))
+    return A.with_tree(classes).select("p_partkey", A.tree_complexity(F.col("tree")).alias("cc"))
+
+
 @query(
     "e6_halstead_volume",
     f"SELECT id, {X.sql_volume('code')} AS volume FROM {CORPUS}",

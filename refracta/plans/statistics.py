@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from refracta.operators import cost as C
 from refracta.operators import quality as Q
 from refracta.operators import stats as T
+from refracta.operators.ordered import value_ranks
 from refracta.plans import fixtures as X
 from refracta.plans.fixtures import CORPUS, FUNCTIONS, RUN_LOG, rounded
 from refracta.plans.registry import query
@@ -62,6 +64,32 @@ def _(spark, sf):
     return rounded(T.latency_percentiles(X.run_log(spark, sf).withColumn("model", F.expr(_UNNAMED)), ["model"]))
 
 
+@query(
+    "a31_sketched_percentiles",
+    f"""SELECT model, CAST(count(latency_ms) AS BIGINT) AS n, true AS p50_near, true AS p95_near, true AS p99_near,
+    CAST(count(DISTINCT CAST(timestamp AS DATE)) AS BIGINT) AS days FROM {RUN_LOG} WHERE latency_ms IS NOT NULL GROUP BY model""",
+)
+def _(spark, sf):
+    # Sketches per day, merged per model; their percentiles are held against the exact ranks.
+    log = X.run_log(spark, sf)
+    at = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    days = C.latency_sketches(log)
+    found = C.sketched_percentiles(C.merged_sketches(days, ["model"]), at).join(
+        days.groupBy("model").agg(F.count(F.lit(1)).alias("days")), "model"
+    )
+    ranks = value_ranks(log, "latency_ms", ["model"]).join(found.withColumnRenamed("n", "of"), "model")
+    off = C.sketch_rank_error()
+    near = {
+        f"{name}_near": (F.col("below") <= (p + off) * F.col("of")) & (F.col("below") + F.col("n") >= (p - off) * F.col("of"))
+        for name, p in at.items()
+    }
+    return ranks.groupBy("model").agg(
+        F.max("of").alias("n"),
+        *[F.bool_or((F.col("latency_ms") == F.col(name)) & near[f"{name}_near"]).alias(f"{name}_near") for name in at],
+        F.max("days").alias("days"),
+    )
+
+
 @query(
     "a32_failure_taxonomy",
     f"""SELECT language, error_type, CAST(n AS BIGINT) AS failures, round(n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY language), 6) AS pct FROM

@@ -62,6 +62,9 @@ COST_TRACKING = _struct(
     ("failed_calls", _L, False),
 )
 
+# Latency sketches of a roll-up: see ``operators.cost.latency_sketches``.
+LATENCY_SKETCHES = _struct(("date", T.DateType(), True), ("model", _S, True), ("latencies", T.BinaryType(), True))
+
 # State of a live monitor: see ``operators.monitor.monitor_parts``.
 MONITOR_PARTS = _struct(
     ("is_cell", _B, True),

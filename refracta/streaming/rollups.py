@@ -13,9 +13,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from refracta.constants import NATURAL_KEY
-from refracta.operators.cost import daily_rollup, total_of_rollups
+from refracta.operators.cost import daily_rollup, latency_sketches, merged_sketches, total_of_rollups
 from refracta.operators.monitor import merged_parts, monitor_parts, monitor_report
-from refracta.schemas import COST_TRACKING, MONITOR_PARTS
+from refracta.schemas import COST_TRACKING, LATENCY_SKETCHES, MONITOR_PARTS
 from refracta.sources.files import delete_path, matching_paths
 from refracta.sources.writers import append_results
 
@@ -113,6 +113,21 @@ def compact_rollup(spark: SparkSession, target: str) -> None:
     compact_parts(spark, target, COST_TRACKING, total_of_rollups)
 
 
+def start_latencies(stream: DataFrame, target: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Latency sketches per (date, model), as one part per batch."""
+    return start_parts(stream, latency_sketches, target, checkpoint, **trigger)
+
+
+def read_latencies(spark: SparkSession, target: str, group: Sequence[str] = ("date", "model")) -> DataFrame:
+    """One sketch per group over all batches so far; ``operators.cost.sketched_percentiles`` reads it."""
+    return merged_sketches(read_parts(spark, target, LATENCY_SKETCHES), group)
+
+
+def compact_latencies(spark: SparkSession, target: str) -> None:
+    """Fold the parts of a latency roll-up."""
+    compact_parts(spark, target, LATENCY_SKETCHES, merged_sketches)
+
+
 def start_monitor(stream: DataFrame, target: str, checkpoint: str, **trigger) -> StreamingQuery:
     """The whole monitor live: totals with distinct functions and models, the models, and the
     task x strategy cells, as one part per batch."""

@@ -287,6 +287,18 @@ PAGE_CASES = [
         _page(("C++", f"<div><pre>{LONG}</pre></div>"), ("Python", f"<div><pre>a{LONG}</pre></div>")),
         {"C++": PLAIN, "Python": "a" + PLAIN},
     ),
+    # never closed: the listing, what is around it, paragraphs and list items before it
+    (_page(("Java", f"<div><pre>{LONG}</div><div><pre>b{LONG}</pre></div>")), {"Java": PLAIN}),
+    (_page(("Java", f"<div><b><pre>{LONG}</pre>")), {"Java": PLAIN}),
+    (_page(("Java", f"<p>one<p>two<ul><li>x<li><br>y</ul><div><pre>{LONG}</pre></div>")), {"Java": PLAIN}),
+    (_page(("Java", f"<p>one<div><pre>{LONG}</pre></div><div><pre>b{LONG}</pre></div>")), {"Java": PLAIN}),
+    # crossed tags, and end tags of nothing
+    (_page(("Java", f"<div><b><i>t</b></i></div><div><pre>{LONG}</pre></div>")), {"Java": PLAIN}),
+    (_page(("Java", f"</span></pre><div></b><pre>{LONG}</pre></i></div><div><pre>b{LONG}</pre></div>")), {"Java": PLAIN}),
+    # signs that are no tags, comments and scripts
+    (_page(("Java", f"<div>if a < b<pre>{LONG}</pre></div>")), {"Java": PLAIN}),
+    (_page(("Java", f"<!-- <div><pre>no</pre> --><script>'<div><pre>'</script><div><pre>{LONG}</pre></div>")), {"Java": PLAIN}),
+    (_page(("Java", f"<div><pre>i < n; j > m; {LONG}</pre></div>")), {"Java": "i < n; j > m; " + PLAIN}),
 ]
 
 

@@ -1,6 +1,9 @@
 """Operators against brute force on small inputs."""
 
+import ast
+import bisect
 import collections
+import functools
 import random
 import statistics
 
@@ -26,6 +29,7 @@ from refracta.operators import (
     stats,
 )
 from refracta.sources import catalogue
+from refracta.streaming import rollups
 
 SMALL = "function_id string, model string, task string, strategy string"
 
@@ -393,7 +397,7 @@ def test_trees(spark):
         ).collect()
     }
     assert got == {
-        "a": (3, True, True), "b": (1, True, True), "c": (None, False, False), "d": (1, True, False),
+        "a": (4, True, True), "b": (1, True, True), "c": (None, False, False), "d": (1, True, False),
         "e": (None, None, None),
     }
     found = df.select(F.inline(astnodes.python_function_array(F.col("code"), F.col("tree")))).collect()
@@ -542,3 +546,154 @@ def test_metrics_evaluate_the_normal_form_once(spark):
     df = with_metrics(spark.createDataFrame([("x",)], "code string"))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("'''") <= 2  # the pattern is printed once per evaluation
+
+
+def _finished_spend(calls, limit):
+    """Admitted calls by following the events one after the other."""
+    found = {}
+    for n, at, _end, _cost in calls:
+        if at is None:
+            continue
+        spent = sum(
+            c or 0.0 for m, s, e, c in calls
+            if s is not None and e is not None and ((max(e, s) <= at and s < at) or max(e, s) < at)
+        )
+        begun = sum(s is not None and (s, m) < (at, n) for m, s, _e, _c in calls)
+        done = sum(s is not None and e is not None and ((max(e, s) <= at and s < at) or max(e, s) < at) for _m, s, e, _c in calls)
+        if spent < limit:
+            found[n] = (spent, begun - done)
+    return found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_budget_with_calls_in_flight(spark, seed):
+    rng = random.Random(seed)
+    calls = []
+    for n in range(120):
+        at = rng.choice([None, *[rng.randrange(60) for _ in range(20)]])
+        end = None if at is None or rng.random() < 0.1 else at + rng.choice([-2, 0, 1, 5, 20])
+        calls.append((n, at, end, rng.choice([None, 0.0, 0.25, 0.5])))
+    df = spark.createDataFrame(calls, "n int, started int, finished int, cost_usd double").withColumn("__spent_x", F.lit("own"))
+    got = grid.admitted_in_flight(df, ["n"], 3.0)
+    assert got.columns == [*df.columns, "spent_before", "in_flight"]
+    rows = {r["n"]: (r["spent_before"], r["in_flight"]) for r in got.collect()}
+    assert rows == _finished_spend(calls, 3.0) and 0 < len(rows) < 120
+    assert grid.admitted_in_flight(df, ["n"], 0.0).count() == 0
+    assert grid.admitted_in_flight(df.limit(0), ["n"], 3.0).count() == 0
+
+
+def test_overshoot_is_bounded_by_the_calls_in_flight(spark):
+    # Four slots, each call takes a second: the limit is reached with four calls under way.
+    calls = [(n, n // 4, n // 4 + 1, 1.0) for n in range(40)]
+    df = spark.createDataFrame(calls, "n int, started int, finished int, cost_usd double")
+    got = grid.admitted_in_flight(df, ["n"], 10.0)
+    assert got.count() == 12 and got.agg(F.max("in_flight")).first()[0] == 3
+
+
+CLASSES = {
+    "class A:\n    pass\n": 1,
+    "class A:\n    x = 1 if y else 2\n": 2,
+    "class A:\n    def f(self):\n        return 1 if self else 2\n": 3,
+    # totals 1 + (1 + 1) + ... per method, and one more for several methods
+    "class A:\n    def f(self): pass\n    def g(self): pass\n": 2,
+    "class A:\n    if y:\n        z = 1\n    def f(self):\n        if a and b: pass\n    def g(self): pass\n": 4,
+    # functions in functions and classes in classes or functions are no blocks
+    "class A:\n    class B:\n        def f(self):\n            return a or b or c or d or e\n": 1,
+    "def f():\n    class B:\n        def g(self):\n            return a or b or c\n    return a or b\n": 2,
+    "class A:\n    async def f(self):\n        def g():\n            return a or b or c or d\n        return a or b\n": 3,
+}
+
+
+def test_class_totals(spark):
+    rows = list(CLASSES.items())
+    df = astnodes.with_tree(spark.createDataFrame(rows, "code string, want int"))
+    got = df.select("code", "want", astnodes.tree_complexity(F.col("tree")).alias("cc")).collect()
+    assert [(r["code"], r["cc"]) for r in got] == [(r["code"], r["want"]) for r in got]
+
+
+def _edits(a, b):
+    """Edit distance of two ordered trees, given as (label, children), by plain recursion on forests."""
+
+    @functools.cache
+    def size(forest):
+        return sum(1 + size(kids) for _label, kids in forest)
+
+    @functools.cache
+    def distance(left, right):
+        if not left or not right:
+            return size(left) + size(right)
+        (la, ka), (lb, kb) = left[-1], right[-1]
+        return min(
+            distance(left[:-1] + ka, right) + 1,
+            distance(left, right[:-1] + kb) + 1,
+            distance(left[:-1], right[:-1]) + distance(ka, kb) + (la != lb),
+        )
+
+    return distance((a,), (b,))
+
+
+def _as_tree(node):
+    return (type(node).__name__, tuple(_as_tree(c) for c in ast.iter_child_nodes(node)))
+
+
+def test_tree_bound_against_the_distance(spark):
+    rng = random.Random(5)
+
+    def expression(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["a", "1", "b"])
+        kind = rng.randrange(5)
+        x, y = expression(depth - 1), expression(depth - 1)
+        return (f"({x} + {y})", f"f({x}, {y})", f"[{x}, {y}]", f"(not {x})", f"({x} if {y} else a)")[kind]
+
+    pairs = [(expression(3), expression(3)) for _ in range(60)] + [("f(g(a), b)", "g(f(a), b)"), ("[[a], 1]", "[a, [1]]")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    both = astnodes.with_tree(astnodes.with_tree(df, "a", "ta"), "b", "tb")
+    got = both.select(
+        "a", "b", astnodes.tree_distance_bound(F.col("ta"), F.col("tb")).alias("bound"),
+        astnodes.branch_distance(F.col("ta"), F.col("tb")).alias("branches"), F.col("ta.label").alias("la"), F.col("tb.label").alias("lb"),
+    ).collect()
+    tighter = 0
+    for r in got:
+        labels = collections.Counter(r["la"]), collections.Counter(r["lb"])
+        by_labels = max((labels[0] - labels[1]).total(), (labels[1] - labels[0]).total())
+        most = max(len(r["la"]), len(r["lb"]))
+        exact = _edits(_as_tree(ast.parse(r["a"])), _as_tree(ast.parse(r["b"])))
+        assert r["branches"] <= 5 * exact
+        assert by_labels - 1e-9 <= r["bound"] * most <= exact + 1e-9
+        tighter += r["bound"] * most > by_labels + 1e-9
+    assert tighter > 0
+
+
+def test_latency_sketches_merge(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(f"m{i % 2}", f"2024-01-0{1 + i % 5}", None if i % 11 == 0 else rng.randrange(10_000)) for i in range(20_000)]
+    log = spark.createDataFrame(rows, "model string, day string, latency_ms int").withColumn("timestamp", F.to_timestamp_ntz("day"))
+    days = cost.latency_sketches(log)
+    assert days.count() == 10
+    at = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    for r in cost.sketched_percentiles(cost.merged_sketches(days, ["model"]), at).collect():
+        values = sorted(v for m, _d, v in rows if m == r["model"] and v is not None)
+        assert r["n"] == len(values)
+        for name, p in at.items():
+            low, high = bisect.bisect_left(values, r[name]), bisect.bisect_right(values, r[name])
+            off = 2 * cost.sketch_rank_error() * len(values)
+            assert low - off <= p * len(values) <= high + off
+    empty = cost.latency_sketches(log.filter("latency_ms IS NULL"))
+    assert empty.count() == 0 and cost.sketched_percentiles(cost.merged_sketches(empty), at).count() == 0
+
+
+def test_live_latencies(spark, tmp_path):
+    target, state, source = (str(tmp_path / n) for n in ("target", "state", "source"))
+    assert rollups.read_latencies(spark, target).count() == 0
+    schema = "model string, latency_ms int, timestamp timestamp_ntz"
+    for batch in range(3):
+        rows = [("m", 100 * batch + i) for i in range(100)]
+        day = F.to_timestamp_ntz(F.lit("2024-01-01"))
+        spark.createDataFrame(rows, "model string, latency_ms int").withColumn("timestamp", day).write.mode("append").parquet(source)
+        rollups.start_latencies(spark.readStream.schema(schema).parquet(source), target, state).awaitTermination()
+        if batch == 1:
+            rollups.compact_latencies(spark, target)
+    # Fewer values than a sketch holds: it is exact.
+    got = cost.sketched_percentiles(rollups.read_latencies(spark, target, ["model"]), {"p50": 0.5, "last": 1.0}).first()
+    assert (got["n"], got["last"]) == (300, 299.0) and abs(got["p50"] - 149.5) <= 0.5
