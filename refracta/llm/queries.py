@@ -90,46 +90,59 @@ WITH turns AS (
     SELECT conv_id, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations
 ), raw AS (
     SELECT conv_id, turn, 'c' || conv_id || '-' || turn AS call_id,
-        ['search', 'quote', 'send'][1 + (n % 3)] AS name, n, text,
-        CASE WHEN turn >= 2 THEN 'c' || conv_id || '-' || (turn - 2) END AS after
+        CASE WHEN n % 11 = 0 THEN 'lookup' ELSE ['search', 'quote', 'send'][1 + (n % 3)] END AS name, n, text,
+        CASE WHEN turn >= 2 THEN 'c' || conv_id || '-' || (turn - 2) END AS after,
+        CASE WHEN n % 23 = 0 THEN [turn + 2] WHEN n % 29 = 0 THEN [turn - 2, turn - 4] ELSE [turn - 2] END AS needs
     FROM turns WHERE role = 'assistant'
 ), calls AS (
     SELECT *, json_object(
         'after', after, 'limit', CASE WHEN n % 7 = 0 THEN to_json('all') ELSE to_json(n % 50) END, 'query', text
     )::VARCHAR AS full_args FROM raw
 ), args AS (
-    SELECT *, CASE WHEN n % 13 = 0 THEN NULL
+    SELECT *, CASE WHEN n % 13 = 0 THEN NULL WHEN n % 19 = 0 THEN json_array(text)::VARCHAR
         WHEN after IS NULL THEN regexp_replace(full_args, '^\\{"after":null,', '{')
         ELSE full_args END AS args FROM calls
 ), answers AS (
     SELECT conv_id, 'c' || conv_id || '-' || (turn - 1) AS call_id, min(turn) AS turn, min(text) AS content, count(*) AS k
     FROM turns WHERE role = 'user' GROUP BY ALL
+), needed AS (
+    SELECT DISTINCT a.conv_id, a.call_id, p.call_id AS needs
+    FROM (SELECT conv_id, call_id, unnest(needs) AS turn FROM args) a JOIN args p ON p.conv_id = a.conv_id AND p.turn = a.turn
+), many AS (
+    SELECT conv_id, count(*) AS calls FROM args GROUP BY conv_id
 ), chain AS (
+    -- A way as long as the conversation has calls meets one of them twice.
     WITH RECURSIVE up AS (
-        SELECT conv_id, call_id, turn, after, 0 AS depth FROM args
-        UNION ALL
-        SELECT u.conv_id, u.call_id, u.turn, p.after, u.depth + 1 FROM up u JOIN args p ON p.conv_id = u.conv_id AND p.call_id = u.after
-    ) SELECT conv_id, call_id, max(depth) AS depth FROM up GROUP BY ALL
+        SELECT conv_id, call_id, call_id AS at, 0 AS depth FROM args
+        UNION
+        SELECT u.conv_id, u.call_id, e.needs, u.depth + 1 FROM up u JOIN needed e ON e.conv_id = u.conv_id AND e.call_id = u.at
+            JOIN many m ON m.conv_id = u.conv_id WHERE u.depth < m.calls
+    ) SELECT conv_id, call_id, CASE WHEN max(depth) < any_value(calls) THEN max(depth) END AS depth
+    FROM up JOIN many USING (conv_id) GROUP BY conv_id, call_id
 ), judged AS (
     SELECT a.*, c.depth, r.content, coalesce(r.k, 0) AS k,
-        CASE WHEN n % 13 = 0 THEN ['malformed'] ELSE list_sort(list_concat(
+        CASE WHEN name = 'lookup' THEN ['tool'] WHEN n % 13 = 0 THEN ['malformed'] WHEN n % 19 = 0 THEN ['not_object'] ELSE list_sort(list_concat(
             CASE WHEN name = 'send' AND after IS NULL THEN ['missing:after'] ELSE [] END, list_concat(
             CASE WHEN name <> 'send' AND n % 7 = 0 THEN ['type:limit'] ELSE [] END,
             CASE WHEN name = 'send' THEN ['unknown:limit'] ELSE [] END))) END AS errs
     FROM args a JOIN chain c USING (conv_id, call_id) LEFT JOIN answers r USING (conv_id, call_id)
 ), rows AS (
     SELECT conv_id, turn, call_id,
-        CASE WHEN len(errs) > 0 THEN 'invalid' WHEN content IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
+        CASE WHEN depth IS NULL THEN 'cycle' WHEN len(errs) > 0 THEN 'invalid' WHEN content IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
         depth, array_to_string(errs, ',') AS errors, k AS n_results,
         '{"arguments":' || coalesce(args, 'null') || ',"errors":' || to_json(errs)::VARCHAR || ',"id":' ||
         to_json(call_id)::VARCHAR || ',"name":' || to_json(name)::VARCHAR || ',"result":' ||
-        coalesce(to_json(content)::VARCHAR, 'null') || '}' AS json, 0 AS last
+        coalesce(to_json(content)::VARCHAR, 'null') || '}' AS json, CASE WHEN depth IS NULL THEN 1 ELSE 0 END AS last
     FROM judged
     UNION ALL
     SELECT conv_id, turn, call_id, 'orphan', NULL, '', k,
         '{"arguments":null,"errors":[],"id":' || to_json(call_id)::VARCHAR || ',"name":null,"result":' ||
         to_json(content)::VARCHAR || '}', 2
     FROM answers r WHERE NOT EXISTS (SELECT 1 FROM args a WHERE a.conv_id = r.conv_id AND a.call_id = r.call_id)
+    UNION ALL
+    SELECT conv_id, turn, NULL, 'message', NULL, '', 0,
+        '{"content":' || to_json(text)::VARCHAR || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}', 3
+    FROM turns WHERE coalesce(role, '') NOT IN ('assistant', 'user')
 )
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY last, depth NULLS FIRST, turn, call_id, json) AS position,
     turn, call_id, status, depth::BIGINT AS depth, errors, n_results, json FROM rows
@@ -138,10 +151,13 @@ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY last, depth NUL
 
 @_query("op2_tool_calls", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every assistant turn read as a tool call, every user turn as the result of the one before.
+    """Every assistant turn read as a tool call, every user turn as the result of the one before,
+    any other turn as a message.
 
-    The arguments are the whole turn and a number; by its length some are malformed or break
-    their schema. A call comes after the assistant's call two turns before, where there is one.
+    The arguments are the whole turn and a number; by its length some are malformed, no object,
+    break their schema or call an unknown tool. A call comes after the assistant's call two turns
+    before, where there is one; by its length, some also after the one four turns before, and some
+    after the one two turns later instead, which may close a cycle.
     """
     turns = _table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")
@@ -154,19 +170,24 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = F.when(F.col("turn") >= 2, call_id(F.col("turn") - 2))
     texts = F.to_json(F.struct(F.col("text").alias("query"), F.lit("all").alias("limit"), after.alias("after")))
     numbers = F.to_json(F.struct(F.col("text").alias("query"), (n % 50).alias("limit"), after.alias("after")))
-    arguments = F.when(n % 7 == 0, texts).otherwise(numbers)
+    arguments = F.when(n % 19 == 0, F.to_json(F.array("text"))).when(n % 7 == 0, texts).otherwise(numbers)
+    near = F.when(n % 23 == 0, F.array(call_id(F.col("turn") + 2))).when(
+        n % 29 == 0, F.array(call_id(F.col("turn") - 2), call_id(F.col("turn") - 4))
+    )
+    tool = F.element_at(F.array(*[F.lit(t) for t in ("search", "quote", "send")]), n % 3 + 1)
     calls = turns.filter("role = 'assistant'").select(
         "conv_id",
         "turn",
         call_id(F.col("turn")).alias("call_id"),
-        F.element_at(F.array(*[F.lit(t) for t in ("search", "quote", "send")]), n % 3 + 1).alias("name"),
+        F.when(n % 11 == 0, "lookup").otherwise(tool).alias("name"),
         F.when(n % 13 == 0, F.substring(arguments, F.lit(1), F.char_length(arguments) - 1)).otherwise(arguments).alias("arguments"),
-        after.alias("after"),
+        near.otherwise(F.array(call_id(F.col("turn") - 2))).alias("after"),
     )
     results = turns.filter("role = 'user'").select(
         "conv_id", "turn", call_id(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content")
     )
-    return tool_calls.linked(calls, results, TOOLS)
+    other = turns.filter("coalesce(role, '') NOT IN ('assistant', 'user')")
+    return tool_calls.linked(calls, results, TOOLS, other.withColumnRenamed("text", "content"))
 
 
 OP3_SQL = """

@@ -1,9 +1,10 @@
 """Link tool calls with their results, order and validate them, and write canonical JSON.
 
-Calls and results meet in a hash join on their identifier. A call may name one earlier call
-whose result it uses (``after``); following these pointers, twice as far per round, gives the
-depth of every call, and depth orders a conversation topologically. Arguments are checked
-against the schema of their tool. Canonical JSON has sorted keys and no white space.
+Calls and results meet in a hash join on their identifier. A call may name calls whose results
+it uses (``after``). Chains of calls with one prerequisite are followed by pointers, twice as
+far per round; calls with several are peeled, those first whose prerequisites are settled. Both
+give the depth of every call, and depth orders a conversation topologically. Arguments are
+checked against the schema of their tool. Canonical JSON has sorted keys and no white space.
 """
 
 from __future__ import annotations
@@ -74,43 +75,97 @@ def argument_errors(schemas: Schemas) -> Column:
     )
 
 
-def _depths(nodes: DataFrame) -> DataFrame:
-    """(key, depth) over the pointers ``parent``: 0 without one, NULL on and behind a cycle.
+def _chains(nodes: DataFrame) -> DataFrame:
+    """(key, at, depth, endless) over the pointers ``to``: the last node that pointers lead to
+    and its distance; ``endless`` on and behind a cycle of pointers.
 
     Each round doubles how far a pointer reaches, so the rounds are the logarithm of the
     longest chain. What still points on when every chain must have ended is cyclic.
     """
-    keys = nodes.select(F.col("key").alias("parent"), F.lit(True).alias("there"))
     state = cut_lineage(
-        nodes.join(keys, "parent", "left").select(
-            "key", F.when(F.col("there"), F.col("parent")).alias("to"), F.coalesce("there", F.lit(False)).cast("int").alias("depth")
-        )
+        nodes.select("key", "to", F.coalesce("to", "key").alias("at"), F.col("to").isNotNull().cast("int").alias("depth"))
     )
     reach, rows = 1, state.count()
     while reach <= rows and state.filter("to IS NOT NULL").limit(1).count():
-        ahead = state.select(F.col("key").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"))
+        ahead = state.select(
+            F.col("key").alias("to"), F.col("to").alias("next"), F.col("at").alias("end"), F.col("depth").alias("more")
+        )
         state = cut_lineage(
             state.join(ahead, "to", "left").select(
-                "key", F.col("next").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")
+                "key", F.col("next").alias("to"), F.coalesce("end", "at").alias("at"),
+                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
             )
         )
         reach *= 2
-    return state.select("key", F.when(F.col("to").isNull(), F.col("depth")).alias("depth"))
+    return state.select("key", "at", "depth", F.col("to").isNotNull().alias("endless"))
 
 
-def linked(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """One row per call, and one per result identifier without a call.
+def _peeled(edges: DataFrame) -> DataFrame:
+    """(key, depth) of the nodes with several prerequisites, without those on or behind a cycle.
 
-    calls    conv_id, turn, call_id, name, arguments (JSON text), after (a call_id or NULL)
-    results  conv_id, turn, call_id, content
+    ``edges`` says per prerequisite at which node it ends (``at``, NULL when that needs
+    nothing), after how many steps, and whether it is ``endless``. A round settles the nodes
+    all of whose ends are settled, so there are as many rounds as such nodes in a row.
+    """
+    settled, known = None, 0
+    while True:
+        if settled is None:
+            seen = edges.withColumn("below", F.lit(0))
+        else:
+            seen = edges.join(settled.select(F.col("key").alias("at"), F.col("depth").alias("below")), "at", "left")
+        open_end = F.col("endless") | (F.col("at").isNotNull() & (F.col("below").isNull() if settled is not None else F.lit(True)))
+        ready = seen.groupBy("key").agg(
+            F.max(F.col("steps") + F.coalesce("below", F.lit(0))).alias("depth"), F.bool_or(open_end).alias("open")
+        )
+        settled = cut_lineage(ready.filter("NOT open").select("key", "depth"))
+        count = settled.count()
+        if count == known:
+            return settled
+        known = count
+
+
+def _depths(nodes: DataFrame) -> DataFrame:
+    """(key, depth) from the keys of each node's prerequisites, ``parents``: the longest way to a
+    node that needs none, NULL on and behind a cycle. Prerequisites that are no node are ignored.
+    """
+    keys = nodes.select(F.col("key").alias("parent"))
+    edges = cut_lineage(nodes.select("key", F.explode("parents").alias("parent")).join(keys, "parent", "left_semi"))
+    counts = edges.groupBy("key").agg(F.count(F.lit(1)).alias("needs"), F.min("parent").alias("one"))
+    needs = cut_lineage(nodes.select("key").join(counts, "key", "left"))
+    chains = _chains(needs.select("key", F.when(F.col("needs") == 1, F.col("one")).alias("to")))
+    several = needs.filter("needs > 1").select("key")
+    if not several.limit(1).count():
+        return chains.select("key", F.when(~F.col("endless"), F.col("depth")).alias("depth"))
+    ends = cut_lineage(
+        chains.join(several.select(F.col("key").alias("at"), F.lit(True).alias("joins")), "at", "left").select(
+            "key", F.when(F.col("joins"), F.col("at")).alias("at"), "depth", "endless"
+        )
+    )
+    of_parent = ends.select(F.col("key").alias("parent"), "at", (F.col("depth") + 1).alias("steps"), "endless")
+    settled = _peeled(cut_lineage(edges.join(several, "key", "left_semi").join(of_parent, "parent").drop("parent")))
+    below = settled.select(F.col("key").alias("at"), F.col("depth").alias("below"))
+    reached = F.col("at").isNull() | F.col("below").isNotNull()
+    return ends.join(below, "at", "left").select(
+        "key", F.when(~F.col("endless") & reached, F.col("depth") + F.coalesce("below", F.lit(0))).alias("depth")
+    )
+
+
+def linked(calls: DataFrame, results: DataFrame, schemas: Schemas, messages: DataFrame | None = None) -> DataFrame:
+    """One row per call, one per result identifier without a call, and one per message.
+
+    calls     conv_id, turn, call_id, name, arguments (JSON text), after (a call_id, or an array
+              of them; NULL for none)
+    results   conv_id, turn, call_id, content
+    messages  conv_id, turn, role, content: turns that are neither
 
     position   place in the conversation, from 1: by depth, then turn, then identifier;
-               cyclic calls and then orphans come last
-    status     ok, invalid (see ``errors``), unanswered, cycle, duplicate or orphan
-    depth      calls that must come before; NULL for cycles, duplicates and orphans
+               cyclic calls, then orphans and then messages come last
+    status     ok, invalid (see ``errors``), unanswered, cycle, duplicate, orphan or message
+    depth      the longest chain of calls that must come before; NULL for any other status
+               than ok, invalid and unanswered, and on and behind a cycle
     errors     comma-joined: malformed, not_object, tool, missing:f, type:f, unknown:f
     n_results  results with the identifier; the first by turn, then content is the one linked
-    json       canonical JSON of the call and its result
+    json       canonical JSON of the call and its result, or of the message
 
     Of calls that share conversation and identifier the first by turn is linked, the others
     are duplicates. NULL identifiers link to nothing; a NULL conversation is one of its own.
@@ -119,17 +174,19 @@ def linked(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     identifier may hold any share of the rows: results and first calls are reduced before the
     join, and positions are numbered by range.
     """
+    after = F.col("after") if dict(calls.dtypes)["after"].startswith("array") else F.array("after")
+    parents = F.transform(F.array_distinct(F.array_compact(after)), _key)
     told = cut_lineage(
         calls.select(
             "conv_id", F.col("turn").cast("bigint").alias("turn"), "call_id", "name", "arguments",
-            _key(F.col("call_id")).alias("key"), _key(F.col("after")).alias("parent"),
+            _key(F.col("call_id")).alias("key"), parents.alias("parents"),
             F.monotonically_increasing_id().alias("row"),
         )
     )
     firsts = cut_lineage(told.groupBy("key").agg(F.min(F.struct("turn", "row")).alias("first")))
     named = told.join(firsts.withColumnRenamed("key", "of"), F.col("key") == F.col("of"), "left").drop("of")
     named = named.withColumn("linkable", F.coalesce(F.col("row") == F.col("first.row"), F.lit(True)))
-    nodes = named.filter("linkable AND key IS NOT NULL").select("key", "parent")
+    nodes = named.filter("linkable AND key IS NOT NULL").select("key", "parents")
     depths = _depths(nodes)
     answers = cut_lineage(
         results.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "call_id", "content", _key(F.col("call_id")).alias("key"))
@@ -179,7 +236,18 @@ def linked(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
             {"ignoreNullFields": "false"},
         ).alias("json"),
     )
-    rows = of_calls.unionByName(orphans).withColumn("last", F.when(F.col("status") == "orphan", 2).otherwise(F.col("depth").isNull().cast("int")))
+    rows = of_calls.unionByName(orphans)
+    if messages is not None:
+        said = F.to_json(F.struct("content", "role"), {"ignoreNullFields": "false"})
+        rows = rows.unionByName(
+            messages.select(
+                "conv_id", F.col("turn").cast("bigint").alias("turn"), F.lit(None).cast("string").alias("call_id"),
+                F.lit("message").alias("status"), F.lit(None).cast("bigint").alias("depth"), F.lit("").alias("errors"),
+                F.lit(0).cast("bigint").alias("n_results"), said.alias("json"),
+            )
+        )
+    lasts = F.when(F.col("status") == "message", 3).when(F.col("status") == "orphan", 2)
+    rows = rows.withColumn("last", lasts.otherwise(F.col("depth").isNull().cast("int")))
     order = ["last", "depth", "turn", "call_id", "json"]
     placed = row_numbers(rows, order, "position", ["conv_id"])
     return placed.select(

@@ -290,6 +290,49 @@ def test_long_chains_need_few_rounds(spark):
     assert [x["call_id"] for x in got] == [f"c{i}" for i in range(n)]
 
 
+def _longest_ways(needs):
+    """Depth of every call by plain recursion; None on and behind a cycle."""
+    found = {}
+
+    def depth(key, above):
+        if key in above:
+            return None
+        if key not in found:
+            below = [depth(p, above | {key}) for p in needs[key] if p in needs]
+            if None in below:
+                return None  # not kept: it may depend on where the walk began
+            found[key] = max((d + 1 for d in below), default=0)
+        return found[key]
+
+    return {key: depth(key, frozenset()) for key in needs}
+
+
+@pytest.mark.parametrize("cyclic", [False, True])
+def test_several_prerequisites_are_peeled(spark, cyclic):
+    rng = random.Random(4)
+    needs = {}
+    for i in range(60):
+        wanted = {f"c{rng.randrange(i)}" for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))} if i else set()
+        if cyclic and i in (20, 31):
+            wanted.add(f"c{51 - i}")
+        needs[f"c{i}"] = sorted(wanted) + (["nothing"] if i % 9 == 0 else [])
+    rows = [(conv, i, key, "f", '{"x":1}', [*wanted, None]) for conv in ("a", "b") for i, (key, wanted) in enumerate(needs.items())]
+    rng.shuffle(rows)
+    c = spark.createDataFrame(rows, "conv_id string, turn long, call_id string, name string, arguments string, after array<string>")
+    r = spark.createDataFrame([], "conv_id string, turn long, call_id string, content string")
+    m = spark.createDataFrame([("a", None, None, None), ("c", 0, "system", "be brief")], "conv_id string, turn long, role string, content string")
+    got = tool_calls.linked(c, r, SCHEMAS, m).collect()
+    want = _longest_ways(needs)
+    assert {(x["conv_id"], x["call_id"]): x["depth"] for x in got if x["call_id"]} == {(v, k): d for v in "ab" for k, d in want.items()}
+    assert {x["call_id"] for x in got if x["status"] == "cycle"} == {k for k, d in want.items() if d is None}
+    assert (None in want.values()) == cyclic
+    place = {(x["conv_id"], x["call_id"]): x["position"] for x in got}
+    assert all(place[v, p] < place[v, k] for v in "ab" for k in needs for p in needs[k] if want[k] is not None and p in needs)
+    assert sorted((x["conv_id"], x["position"], x["json"]) for x in got if x["status"] == "message") == [
+        ("a", 61, '{"content":null,"role":null}'), ("c", 1, '{"content":"be brief","role":"system"}'),
+    ]
+
+
 # --- 3: exact dedup --------------------------------------------------------------------
 
 
