@@ -44,6 +44,12 @@ def not_in(df: DataFrame, known: DataFrame, key: str = "code_hash") -> DataFrame
     return df.join(known.select(key).distinct(), key, "left_anti")
 
 
+def repeated_keys(df: DataFrame, key: str = "code_hash") -> DataFrame:
+    """Keys that more than one row has, with their ``copies``; NULL is no key."""
+    counted = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("copies"))
+    return counted.filter("copies > 1")
+
+
 def _row_is_bad() -> Column:
     """A required column is missing or a number is out of range."""
     bad = F.coalesce(F.col("cyclomatic_complexity") < 1, F.lit(True))

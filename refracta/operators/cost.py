@@ -82,6 +82,16 @@ def sketched_percentiles(sketches: DataFrame, probabilities: Mapping[str, float]
     return sketches.withColumns(found).drop("latencies")
 
 
+def mean_parts(df: DataFrame, group: Sequence[str], value: Column) -> DataFrame:
+    """Sum and count of ``value`` per group: what a running mean has to remember."""
+    return df.groupBy(*group).agg(F.sum(value).alias("sum"), F.count(value).alias("n"))
+
+
+def merged_means(parts: DataFrame, group: Sequence[str], out: str = "mean") -> DataFrame:
+    """The mean over all parts, in whatever order and pieces the rows came; NULL without values."""
+    return parts.groupBy(*group).agg(F.try_divide(F.sum("sum"), F.sum("n")).alias(out))
+
+
 def with_rates(rollup: DataFrame) -> DataFrame:
     """Success rate in percent and cost per call of each roll-up row."""
     return rollup.withColumns(

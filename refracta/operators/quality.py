@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,6 +93,33 @@ def schema_gaps(tables: dict[str, DataFrame], expected: dict[str, T.StructType])
     return literal_rows(spark, gaps, "table string, column string, type string")
 
 
+def contract_report(tables: dict[str, DataFrame], expected: dict[str, T.StructType]) -> DataFrame:
+    """Per column of the contract: whether its table has it, with the right type, and its NULLs.
+
+    ``rows`` counts the table's rows, ``nulls`` those without a value (all of them for a column
+    that is not there) and ``broken`` says that the contract is not met: the column is missing,
+    has another type, or holds NULLs where it must not. One aggregate per table, which reads
+    the columns of the contract alone. A table that is not given lacks all of its columns.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    parts = []
+    for name, wanted in expected.items():
+        held = {f.name: f.dataType for f in tables[name].schema.fields} if name in tables else {}
+        source = tables.get(name, spark.createDataFrame([], "none int"))
+        entries = [
+            F.struct(
+                F.lit(name).alias("table"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"),
+                F.lit(f.name in held).alias("present"), F.lit(held.get(f.name) == f.dataType).alias("right_type"),
+                F.lit(f.nullable).alias("nullable"), F.count(F.lit(1)).alias("rows"),
+                (F.count(F.lit(1)) - (F.count(F.col(f.name)) if f.name in held else F.lit(0))).alias("nulls"),
+            )
+            for f in wanted.fields
+        ]
+        parts.append(source.agg(F.array(*entries).alias("found")).select(F.inline("found")))
+    broken = ~F.col("present") | ~F.col("right_type") | (~F.col("nullable") & (F.col("nulls") > 0))
+    return reduce(DataFrame.unionByName, parts).withColumn("broken", broken).drop("nullable")
+
+
 # --- anomalies ---------------------------------------------------------------------------
 
 

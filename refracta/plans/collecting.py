@@ -327,8 +327,7 @@ def _(spark, sf):
 
 @query("u4_seen_hashes", f"SELECT code_hash, CAST(count(*) AS BIGINT) AS copies FROM {FUNCTIONS} GROUP BY 1 HAVING count(*) > 1")
 def _(spark, sf):
-    copies = X.functions(spark, sf).groupBy("code_hash").agg(F.count(F.lit(1)).alias("copies"))
-    return copies.filter("copies > 1")
+    return C.repeated_keys(X.functions(spark, sf))
 
 
 # --- loads -----------------------------------------------------------------------------------------
@@ -458,6 +457,31 @@ def _(spark, sf):
     return gaps.join(sizes[0].union(sizes[1]), "table")
 
 
+_CONTRACT = {
+    "functions": (FUNCTIONS, schemas.FUNCTIONS, "created_at"),
+    "transformations": (X.RUN_LOG, schemas.TRANSFORMATIONS, "transformed_code"),
+}
+
+
+def _contract_sql(name, rows, schema, missing):
+    """Counts of one table, its columns as rows. All columns but ``missing`` are there."""
+    counts = ", ".join(f"count({f.name}) AS {f.name}" for f in schema.fields if f.name != missing)
+    cells = ", ".join(
+        f"('{f.name}', '{f.dataType.simpleString()}', {f.nullable}, {'NULL' if f.name == missing else f.name})" for f in schema.fields
+    )
+    return (
+        f"""SELECT '{name}' AS "table", c."column", c."type", c.found IS NOT NULL AS present, c.found IS NOT NULL AS right_type, n AS rows,
+        n - coalesce(c.found, 0) AS nulls, c.found IS NULL OR (NOT c.nullable AND c.found < n) AS broken
+        FROM (SELECT count(*) AS n, {counts} FROM {rows}) t, LATERAL (VALUES {cells}) c("column", "type", nullable, found)"""
+    )
+
+
+@query("u3_contract_report", " UNION ALL ".join(_contract_sql(name, *parts) for name, parts in _CONTRACT.items()))
+def _(spark, sf):
+    tables = {"functions": X.functions(spark, sf), "transformations": X.run_log(spark, sf)}
+    return Q.contract_report(tables, {name: schema for name, (_rows, schema, _missing) in _CONTRACT.items()})
+
+
 @query(
     "o6_shuffled_numbers",
     "SELECT doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || 'z'), doc_id) AS BIGINT) AS place FROM documents",

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from refracta.constants import NATURAL_KEY, TASKS
+from refracta.operators import cost as Q
 from refracta.operators import grid as G
 from refracta.operators import sampling as M
 from refracta.plans import fixtures as X
@@ -228,14 +229,12 @@ def _(spark, sf):
 )
 def _(spark, sf):
     # The row-by-row mean update is the mean: kept as (sum, count), merged over two halves.
-    log = X.run_log(spark, sf).select(
-        F.to_date("timestamp").alias("date"), "model", F.coalesce("latency_ms", F.lit(0)).alias("x"),
-        (F.col("l_orderkey") % 2).alias("half"),
-    )
-    halves = log.groupBy("half", "date", "model").agg(F.sum("x").alias("s"), F.count("x").alias("n"))
-    return halves.groupBy("date", "model").agg(
-        F.round(F.sum("s") / F.sum("n"), 6).alias("avg_latency_ms")
-    )
+    by = ["date", "model"]
+    log = X.run_log(spark, sf).withColumn("date", F.to_date("timestamp"))
+    latency = F.coalesce("latency_ms", F.lit(0))
+    halves = [Q.mean_parts(log.filter(F.col("l_orderkey") % 2 == k), by, latency) for k in (0, 1)]
+    means = Q.merged_means(halves[0].unionByName(halves[1]), by, "avg_latency_ms")
+    return means.withColumn("avg_latency_ms", F.round("avg_latency_ms", 6))
 
 
 _NEW = f"(SELECT * FROM {RUN_LOG} WHERE l_suppkey % 2 = 1)"

@@ -9,6 +9,7 @@ import statistics
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from refracta import schemas
 from refracta.functions.metrics import with_metrics
@@ -697,3 +698,32 @@ def test_live_latencies(spark, tmp_path):
     # Fewer values than a sketch holds: it is exact.
     got = cost.sketched_percentiles(rollups.read_latencies(spark, target, ["model"]), {"p50": 0.5, "last": 1.0}).first()
     assert (got["n"], got["last"]) == (300, 299.0) and abs(got["p50"] - 149.5) <= 0.5
+
+
+def test_contract_report(spark):
+    t = spark.createDataFrame([("a", 1, None), (None, 2, 0.5)], "id string, n long, x double")
+    want = schemas._struct(("id", T.StringType(), False), ("n", T.IntegerType(), True), ("x", T.DoubleType(), True), ("y", T.DateType(), True))
+    got = {r["column"]: r for r in quality.contract_report({"t": t}, {"t": want}).collect()}
+    assert {c: (r["present"], r["right_type"], r["nulls"], r["broken"]) for c, r in got.items()} == {
+        "id": (True, True, 1, True), "n": (True, False, 0, True), "x": (True, True, 1, False), "y": (False, False, 2, True),
+    }
+    empty = quality.contract_report({"t": t.limit(0)}, {"t": t.schema, "lost": want}).collect()
+    assert [r["broken"] for r in empty if r["table"] == "t"] == [False] * 3
+    assert [(r["present"], r["rows"]) for r in empty if r["table"] == "lost"] == [(False, 0)] * 4
+
+
+def test_means_from_parts(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice("abc"), rng.choice([None, *range(9)]), rng.randrange(5)) for _ in range(200)] + [("none", None, 0)]
+    df = spark.createDataFrame(rows, "g string, x int, part int")
+    parts = [cost.mean_parts(df.filter(F.col("part") == k), ["g"], F.col("x")) for k in range(5)]
+    got = {r["g"]: r["mean"] for r in cost.merged_means(functools.reduce(lambda a, b: a.unionByName(b), parts), ["g"]).collect()}
+    for g in "abc":
+        values = [x for h, x, _ in rows if h == g and x is not None]
+        assert got[g] == pytest.approx(sum(values) / len(values))
+    assert got["none"] is None
+
+
+def test_repeated_keys(spark):
+    df = spark.createDataFrame([("a",), ("a",), ("b",), (None,), (None,)], "code_hash string")
+    assert [tuple(r) for r in corpus.repeated_keys(df).collect()] == [("a", 2)]
