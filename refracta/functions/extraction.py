@@ -191,7 +191,7 @@ HEADERS = {
 #: Most functions end within so many characters; only the others are followed any further.
 _NEAR = 512
 #: So many headers in a row are longer than a function window, since the shortest has six characters.
-_HEADERS_IN_WINDOW = FUNCTION_WINDOW // 6 + 1
+HEADERS_IN_WINDOW = FUNCTION_WINDOW // 6 + 1
 
 
 def _closed_at(text: Column) -> Column:
@@ -235,7 +235,7 @@ def brace_functions(code: Column, header: str) -> Column:
     def functions(p: Column) -> Column:
         def one(h: Column, i: Column) -> Column:
             own = F.left(p["parts"][i], F.lit(FUNCTION_WINDOW))
-            following = F.slice(p["parts"], i + 1, F.lit(_HEADERS_IN_WINDOW))
+            following = F.slice(p["parts"], i + 1, F.lit(HEADERS_IN_WINDOW))
             window = F.left(F.array_join(following, ""), F.lit(FUNCTION_WINDOW))
             near = F.left(own, F.lit(_NEAR))
             text = let(

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from refracta import schemas
+from refracta.functions import sql
 from refracta.functions.domains import plausible_code, task_name_from_url
 from refracta.functions.extraction import first_block, page_links, sections, unescape
 from refracta.operators import collection as N
@@ -13,7 +14,7 @@ from refracta.operators.sampling import random_order
 from refracta.plans import fixtures as X
 from refracta.plans.fixtures import CORPUS, FUNCTIONS, sql_pick, sql_strip
 from refracta.plans.registry import query
-from refracta.session import scratch_path
+from refracta.session import scratch_path, spread
 from refracta.sources import files as R
 from refracta.sources import writers as W
 
@@ -116,6 +117,22 @@ def _(spark, sf):
     )
 
 
+@query(
+    "x2_functions_lateral",
+    f"SELECT language, CAST(sum(n) AS BIGINT) AS functions, CAST(count(*) AS BIGINT) AS files FROM (SELECT language, "
+    f"CAST(length({_SHOWN.format('first_code')}) BETWEEN 50 AND 3000 AS INTEGER) + CAST(length({_SHOWN.format('second_code')}) BETWEEN 50 AND 3000 AS INTEGER) AS n "
+    f"FROM {FILES} WHERE {_KEPT}) WHERE n > 0 AND language <> 'python' GROUP BY language",
+)
+def _(spark, sf):
+    sql.register(spark)
+    files = R.source_file_filter(X.source_files(spark, sf))
+    per_file = spark.sql(
+        "SELECT language, path, count(*) AS n FROM {files}, LATERAL file_functions(code, language) f GROUP BY language, path",
+        files=spread(files.select("language", "path", "code")),
+    )
+    return per_file.groupBy("language").agg(F.sum("n").alias("functions"), F.count(F.lit(1)).alias("files"))
+
+
 # --- pages -----------------------------------------------------------------------------------------
 
 _ALIAS = sql_pick(_N, X.ALIASES)
@@ -157,6 +174,20 @@ def _(spark, sf):
     return X.wiki_pages(spark, sf).select("page_id", task_name_from_url(F.col("url")).alias("task_name"))
 
 
+@query(
+    "x3_page_links_lateral",
+    "SELECT page_id, CAST(list_position(l, h) AS INTEGER) AS position, 'https://x' || h AS link FROM (SELECT page_id, l, unnest(l) AS h FROM "
+    "(SELECT page_id, list_filter(a, lambda h, i: starts_with(h, '/') AND NOT contains(h, ':') AND h <> '/' AND list_position(a, h) = i) AS l FROM "
+    "(SELECT page_id, regexp_extract_all(html, '<a [^>]*?href=\"([^\"]*)\"', 1) AS a FROM pages)))",
+)
+def _(spark, sf):
+    sql.register(spark)
+    return spark.sql(
+        "SELECT page_id, position, link FROM {pages}, LATERAL page_links(html, '/', 'https://x')",
+        pages=X.table(spark, sf, "pages").select("page_id", "html"),
+    )
+
+
 @query(
     "e31_language_blocks",
     f"SELECT no AS page_id, {_ALIAS} AS alias, language, {sql_strip('code')} AS code FROM {CORPUS} "

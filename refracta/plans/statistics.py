@@ -71,23 +71,23 @@ def _(spark, sf):
 )
 def _(spark, sf):
     # Sketches per day, merged per model; their percentiles are held against the exact ranks.
-    log = X.run_log(spark, sf)
+    days = C.latency_sketches(X.run_log(spark, sf))
+    counted = days.groupBy("model").agg(F.count(F.lit(1)).alias("days"))
+    return near_ranks(X.run_log(spark, sf), C.merged_sketches(days, ["model"])).join(counted, "model")
+
+
+def near_ranks(log, sketches):
+    """Per model: rows in the sketch, and whether its percentiles lie at the ranks they claim."""
     at = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
-    days = C.latency_sketches(log)
-    found = C.sketched_percentiles(C.merged_sketches(days, ["model"]), at).join(
-        days.groupBy("model").agg(F.count(F.lit(1)).alias("days")), "model"
-    )
-    ranks = value_ranks(log, "latency_ms", ["model"]).join(found.withColumnRenamed("n", "of"), "model")
+    found = C.sketched_percentiles(sketches, at).withColumnRenamed("n", "of")
+    ranks = value_ranks(log, "latency_ms", ["model"]).join(found, "model")
     off = C.sketch_rank_error()
-    near = {
-        f"{name}_near": (F.col("below") <= (p + off) * F.col("of")) & (F.col("below") + F.col("n") >= (p - off) * F.col("of"))
-        for name, p in at.items()
-    }
-    return ranks.groupBy("model").agg(
-        F.max("of").alias("n"),
-        *[F.bool_or((F.col("latency_ms") == F.col(name)) & near[f"{name}_near"]).alias(f"{name}_near") for name in at],
-        F.max("days").alias("days"),
-    )
+
+    def near(name, p):
+        low, high = (p - off) * F.col("of"), (p + off) * F.col("of")
+        return (F.col("latency_ms") == F.col(name)) & (F.col("below") <= high) & (F.col("below") + F.col("n") >= low)
+
+    return ranks.groupBy("model").agg(F.max("of").alias("n"), *[F.bool_or(near(name, p)).alias(f"{name}_near") for name, p in at.items()])
 
 
 @query(

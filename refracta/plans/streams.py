@@ -8,6 +8,7 @@ from refracta.plans.costs import ROLLUP_SQL
 from refracta.plans.fixtures import RUN_LOG, rounded
 from refracta.plans.leaderboards import BY_MODEL_SQL, TASK_SQL, TOTALS_SQL
 from refracta.plans.registry import query
+from refracta.plans.statistics import near_ranks
 from refracta.session import scratch_path
 from refracta.streaming import rollups as S
 
@@ -134,18 +135,31 @@ def _(spark, sf):
     return rounded(_table(spark, S.monitor_stream(event_stream(spark, sf)), "t4"))
 
 
-def _live_report(spark, sf):
-    """The log in three runs on one checkpoint, compacted after the first: the report of all."""
-    source, target, state = (scratch_path(spark, n) for n in ("log", "monitor", "monitor-state"))
+def _live(spark, sf, start, compact):
+    """The log in three runs on one checkpoint, compacted after the first: the folder of the parts."""
+    source, target, state = (scratch_path(spark, n) for n in ("log", "live", "live-state"))
     log = X.run_log(spark, sf)
     third = F.pmod(F.xxhash64(*X.ARRIVAL), F.lit(3))
     for k in range(3):
         log.filter(third == k).write.mode("append").parquet(source)
         stream = spark.readStream.schema(log.schema).parquet(source)
-        S.start_monitor(stream, target, state).awaitTermination()
+        start(stream, target, state).awaitTermination()
         if k == 0:
-            S.compact_monitor(spark, target)
-    return S.read_monitor(spark, target)
+            compact(spark, target)
+    return target
+
+
+def _live_report(spark, sf):
+    return S.read_monitor(spark, _live(spark, sf, S.start_monitor, S.compact_monitor))
+
+
+@query(
+    "t4_live_percentiles",
+    f"SELECT model, CAST(count(latency_ms) AS BIGINT) AS n, true AS p50_near, true AS p95_near, true AS p99_near FROM {RUN_LOG} GROUP BY model",
+)
+def _(spark, sf):
+    parts = _live(spark, sf, S.start_latencies, S.compact_latencies)
+    return near_ranks(X.run_log(spark, sf), S.read_latencies(spark, parts, ["model"]))
 
 
 @query("t4_live_totals", TOTALS_SQL.format(2))

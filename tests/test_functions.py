@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from refracta.functions import attributes, domains, extraction, metrics, responses, scoring
+from refracta.functions import attributes, domains, extraction, metrics, responses, scoring, sql
 from refracta.functions.text import common_prefix_length, edit_distance, strip
 
 JAVA = """public class Factorial {
@@ -392,3 +392,30 @@ def test_edit_distance_matches_brute_force(spark):
         pairs.append(("".join(rng.choices("ab", k=n)), "".join(rng.choices("cd", k=n + 9))))
     got = batch(spark, pairs, "a string, b string", edit_distance(F.col("a"), F.col("b")))
     assert [d for (d,) in got] == [plain(a, b) for a, b in pairs]
+
+
+def test_table_functions_match_the_columns(spark):
+    sql.register(spark)
+    cases = [
+        ("java", f"class A {{\n  public int f(int a) {{{BODY}}}\n  static void g() {{{BODY}}}\n}}"),
+        ("javascript", f"const b = (x) => {{{BODY}}}\nfunction a(x) {{{BODY} if (x) {{ y(); }} }}\nfunction c() {{{BODY}"),
+        ("cpp", f"int f(int a) {{{BODY}}}\nstd::string g(A &a) {{{BODY}}}" * 3),
+        ("cpp", "int f(int a) {" + BODY * 90 + "}"),
+        ("cpp", "int f() { }"), ("java", ""), ("java", None), ("python", "def f():\n    return 1\n"), (None, "int f() {"),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "id int, language string, code string")
+    got = spark.sql("SELECT id, seq, name, body FROM {df}, LATERAL file_functions(code, language)", df=df).collect()
+    want = []
+    for language in extraction.HEADERS:
+        found = F.posexplode(extraction.language_functions(F.col("code"), language))
+        rows = df.filter(F.col("language") == language).select("id", found.alias("seq", "f"))
+        want += [(r["id"], r["seq"], r["f"]["name"], r["f"]["code"]) for r in rows.collect()]
+    assert len(want) > 9 and [(r[0], r[2], r[3]) for r in sorted(map(tuple, got))] == [(w[0], w[2], w[3]) for w in sorted(want)]
+
+
+def test_link_table_function(spark):
+    sql.register(spark)
+    html = '<a href="/wiki/B">x</a><A class="c" href="/wiki/A"></a><a href="/wiki/B">y</a><a href="/wiki/X:Y"></a><a href="/wiki/">z</a>'
+    df = spark.createDataFrame([(1, html), (2, ""), (3, None)], "id int, html string")
+    got = spark.sql("SELECT id, position, link FROM {df}, LATERAL page_links(html, '/wiki/', 'https://s')", df=df).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, "https://s/wiki/B"), (1, 2, "https://s/wiki/A")]
