@@ -92,8 +92,13 @@ def exists_in(keys: DataFrame, facts: DataFrame, key: Sequence[str] = NATURAL_KE
 
 
 def cached_results(keys: DataFrame, facts: DataFrame, key: Sequence[str] = NATURAL_KEY) -> DataFrame:
-    """Stored results of the requested keys."""
-    return keys.select(*key).distinct().join(facts, list(key), "inner")
+    """Stored results of the requested keys, however often a key is requested.
+
+    A grid counts as small as the ids it is expanded from, so its size is no ground for a
+    broadcast: both sides are sorted on the key.
+    """
+    found = facts.join(keys.select(*key).hint("merge"), list(key), "left_semi")
+    return found.select(*key, *[c for c in facts.columns if c not in key])
 
 
 def attach_templates(cells: DataFrame, templates: DataFrame) -> DataFrame:

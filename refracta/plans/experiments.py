@@ -9,7 +9,7 @@ from refracta.operators import sampling as M
 from refracta.plans import fixtures as X
 from refracta.plans.fixtures import ARRIVAL, ARRIVAL_SQL, CORPUS, MODELS_SQL, RUN_LOG
 from refracta.plans.registry import query
-from refracta.session import scratch_path
+from refracta.session import scratch_path, spread
 from refracta.sources import catalogue as K
 from refracta.sources import writers as W
 
@@ -104,7 +104,7 @@ def _(spark, sf):
     f"SELECT {_KEY}, l_orderkey, l_linenumber, se_score FROM {RUN_LOG} SEMI JOIN {_GRID_SQL} g USING ({_KEY})",
 )
 def _(spark, sf):
-    keys = G.grid(X.corpus(spark, sf), _MODELS, TASKS, _STRATEGIES)
+    keys = G.grid(spread(X.corpus(spark, sf)), _MODELS, TASKS, _STRATEGIES)
     return G.cached_results(keys, X.run_log(spark, sf)).select(
         *NATURAL_KEY, "l_orderkey", "l_linenumber", "se_score"
     )
