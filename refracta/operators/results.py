@@ -28,12 +28,16 @@ def result_rows(
     that gives code counts. A cell without one keeps its last attempt as a failure, with an
     ``error_type`` and no code. Scores stay NULL until the result is scored. Replies outside
     of the grid give no row.
+
+    The grid and the functions are joined by sorting: the size they are planned with is that of
+    the table they are derived from, which says too little for a broadcast.
     """
     key = list(NATURAL_KEY)
     originals = functions.select(
         F.col("id").alias("function_id"), "language", F.col("cyclomatic_complexity").alias("__before")
-    )
-    tried = responses.filter(F.col("attempt") <= max_attempts).join(cells.select(key), key, "left_semi")
+    ).hint("merge")
+    wanted = cells.select(key).hint("merge")
+    tried = responses.filter(F.col("attempt") <= max_attempts).join(wanted, key, "left_semi")
     read = tried.join(originals, "function_id", "left").withColumn(
         "transformed_code", extract_code(F.col("content"), F.col("language"))
     )

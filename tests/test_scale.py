@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from refracta.constants import NATURAL_KEY, TASKS
 from refracta.operators import grid
+from refracta.operators.results import result_rows
+from refracta.sources import catalogue
 
 
 def physical_plan(df) -> str:
@@ -27,3 +29,22 @@ def test_cached_results_do_not_broadcast_the_grid(spark):
     assert found.columns == [*NATURAL_KEY, "n"]
     assert sorted(r["n"] for r in found.collect()) == [1, 2, 3]
     assert broadcasts(found) == 0
+
+
+def test_result_rows_do_not_broadcast_the_grid_or_the_functions(spark):
+    functions = spark.range(3).select(
+        F.concat(F.lit("f"), "id").alias("id"), F.lit("python").alias("language"), F.lit(2).alias("cyclomatic_complexity")
+    )
+    cells = grid.grid(functions, ["m0"], TASKS, ["zero_shot"])
+    responses = spark.range(4).select(
+        F.concat(F.lit("f"), "id").alias("function_id"), F.lit("m0").alias("model"), F.lit("refactor").alias("task"),
+        F.lit("zero_shot").alias("strategy"), F.lit(1).alias("attempt"), F.lit("```\nif x: y()\n```").alias("content"),
+        F.lit(None).cast("string").alias("error"), F.lit(5).alias("tokens_input"), F.lit(5).alias("tokens_output"),
+        F.lit(7).alias("latency_ms"), F.lit(None).cast("timestamp_ntz").alias("timestamp"),
+    )
+    rows = result_rows(cells, responses, functions, catalogue.models(spark))
+    assert [(r["function_id"], r["transformed_code"]) for r in rows.orderBy("function_id").collect()] == [
+        (f"f{i}", "if x: y()") for i in range(3)
+    ]
+    # only the catalogue, a table of literals
+    assert broadcasts(rows) <= 1
