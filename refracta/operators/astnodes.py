@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import ast
 import warnings
-from collections import Counter
+from collections.abc import Iterator, Sequence
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,14 +30,22 @@ _TEXTS, _NUMBERS = T.ArrayType(T.StringType()), T.ArrayType(T.IntegerType())
 # function or of a class is such a nested part too. ``class_at`` is the position of the
 # outermost class around a node, itself included. ``branch`` numbers the node's label with
 # those of its first child and next sibling, and how often they stood before; equal numbers
-# of two trees are equal branches.
+# of two trees are equal branches. ``kind`` numbers the label alone in the same way.
+# ``def_lineno`` and ``def_end_lineno`` go with ``def_name``.
 TREE_TYPE = T.StructType(
     [T.StructField("label", _TEXTS)]
     + [T.StructField(n, _NUMBERS) for n in ("parent", "block", "decisions", "lineno", "end_lineno")]
-    + [T.StructField("def_name", _TEXTS), T.StructField("class_at", _NUMBERS), T.StructField("branch", T.ArrayType(T.LongType()))]
+    + [T.StructField("def_name", _TEXTS), T.StructField("class_at", _NUMBERS), *[T.StructField(n, T.ArrayType(T.LongType())) for n in ("branch", "kind")]]
+    + [T.StructField(n, _NUMBERS) for n in ("def_lineno", "def_end_lineno")]
     + [T.StructField(n, T.BooleanType()) for n in ("parse_ok", "compile_ok")]
 )
-_NODE_FIELDS = TREE_TYPE.names[:6]
+NODE_FIELDS = TREE_TYPE.names[:6]
+# What each use of a tree reads; the rest needs neither be computed nor sent.
+COMPLEXITY_FIELDS = ("label", "block", "decisions", "class_at", "parse_ok")
+DISTANCE_FIELDS = ("branch", "kind", "parse_ok")
+FUNCTION_FIELDS = ("def_name", "def_lineno", "def_end_lineno")
+# Trees are sent on after so many nodes, some 20 MB of Python objects.
+_CHUNK_NODES = 1 << 16
 _REJECTED = (SyntaxError, ValueError, RecursionError, MemoryError)
 # Number of every node type, from 1; 0 stands for no node.
 _TYPES = {t: i for i, t in enumerate(sorted(n for n, v in vars(ast).items() if isinstance(v, type) and issubclass(v, ast.AST)), 1)}
@@ -70,32 +79,38 @@ def _compiles(code: str) -> bool:
     return True
 
 
-def _branches(labels: list[str], parents: list[int | None]) -> list[int]:
+def _numbered(values: list[int], width: int) -> list[int]:
+    """The values with the number of equal ones before them in the bits above ``width``."""
+    seen: dict[int, int] = {}
+    numbers = []
+    for value in values:
+        before = seen.get(value, 0)
+        numbers.append((before << width) | value)
+        seen[value] = before + 1
+    return numbers
+
+
+def _branches(kinds: list[int], parents: list[int | None]) -> list[int]:
     """Numbers of the nodes' branches; siblings stand side by side in breadth-first order."""
-    kinds = [_TYPES[x] for x in labels]
     first = [0] * len(kinds)
+    following = [0] * len(kinds)
     for at in range(len(kinds) - 1, 0, -1):
-        first[parents[at]] = kinds[at]
-    seen: Counter[int] = Counter()
-    numbers = []
-    for at, kind in enumerate(kinds):
-        last = at + 1 == len(kinds) or parents[at + 1] != parents[at]
-        branch = (kind << 20) | (first[at] << 10) | (0 if last else kinds[at + 1])
-        numbers.append((seen[branch] << 30) | branch)
-        seen[branch] += 1
-    return numbers
+        parent = parents[at]
+        following[at] = first[parent]
+        first[parent] = kinds[at]
+    return _numbered([(k << 20) | (f << 10) | n for k, f, n in zip(kinds, first, following, strict=True)], 30)
 
 
-def _walk(code: str | None) -> tuple:
-    """The tree of one text in the layout of ``TREE_TYPE``."""
-    labels, parents, blocks, decisions, starts, ends, names, classes, branches = ([] for _ in range(9))
-    columns = (labels, parents, blocks, decisions, starts, ends, names, classes, branches)
+def _walk(code: str | None, fields: Sequence[str] = TREE_TYPE.names) -> dict:
+    """The tree of one text: the fields of ``TREE_TYPE``, the costly ones only when wanted."""
+    tree_of = {n: [] for n in TREE_TYPE.names[:-2]} | {"parse_ok": None, "compile_ok": None}
+    labels, parents, blocks, decisions, starts, ends, names, classes = (tree_of[n] for n in TREE_TYPE.names[:8])
     if code is None:
-        return (*columns, None, None)
+        return tree_of
     try:
         tree = ast.parse(code)
     except _REJECTED:
-        return (*columns, False, False)
+        return tree_of | {"parse_ok": False, "compile_ok": False}
     queue = [(tree, None, None, None)]
     for position, (node, parent, block, owner) in enumerate(queue):
         kind = type(node)
@@ -107,6 +122,8 @@ def _walk(code: str | None) -> tuple:
             block = position if block is None else -1
             if kind is ast.FunctionDef:
                 names.append(node.name)
+                tree_of["def_lineno"].append(node.lineno)
+                tree_of["def_end_lineno"].append(node.end_lineno)
         labels.append(kind.__name__)
         parents.append(parent)
         blocks.append(block)
@@ -115,34 +132,72 @@ def _walk(code: str | None) -> tuple:
         decisions.append(count(node) if count else 0)
         starts.append(getattr(node, "lineno", None))
         ends.append(getattr(node, "end_lineno", None))
-        queue.extend((child, position, block, owner) for child in ast.iter_child_nodes(node))
-    branches.extend(_branches(labels, parents))
-    return (*columns, True, _compiles(code))
-
-
-@F.pandas_udf(TREE_TYPE)
-def _trees(codes: pd.Series) -> pd.DataFrame:
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        return pd.DataFrame([_walk(c) for c in codes], columns=TREE_TYPE.names, dtype=object)
-
-
-def with_tree(df: DataFrame, code: str = "code", out: str = "tree", only: Column | None = None) -> DataFrame:
+        # The children as ``ast.iter_child_nodes`` gives them.
+        for name in kind._fields:
+            child = getattr(node, name, None)
+            if isinstance(child, ast.AST):
+                queue.append((child, position, block, owner))
+            elif isinstance(child, list):
+                queue.extend((c, position, block, owner) for c in child if isinstance(c, ast.AST))
+    tree_of["parse_ok"] = True
+    if "branch" in fields or "kind" in fields:
+        kinds = [_TYPES[x] for x in labels]
+        tree_of["branch"], tree_of["kind"] = _branches(kinds, parents), _numbered(kinds, 10)
+    if "compile_ok" in fields:
+        tree_of["compile_ok"] = _compiles(code)
+    return tree_of
+
+
+def _chunks(codes: pd.Series, fields: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """The trees of a batch in parts of bounded size, however large the trees are."""
+    rows, nodes = [], 0
+    for code in codes:
+        tree = _walk(code, fields)
+        rows.append([tree[f] for f in fields])
+        nodes += len(tree["label"])
+        if nodes >= _CHUNK_NODES:
+            yield pd.DataFrame(rows, columns=list(fields), dtype=object)
+            rows, nodes = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=list(fields), dtype=object)
+
+
+@cache
+def _trees(fields: tuple[str, ...]):
+    @F.pandas_udf(T.StructType([TREE_TYPE[f] for f in fields]))
+    def trees(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            for codes in batches:
+                yield from _chunks(codes, fields)
+
+    return trees
+
+
+def syntax_tree(text: Column, fields: Sequence[str] = TREE_TYPE.names) -> Column:
+    """The given fields of a text's tree; NULL texts are not parsed and get no flags."""
+    return _trees(tuple(fields))(text)
+
+
+def with_tree(
+    df: DataFrame, code: str = "code", out: str = "tree", only: Column | None = None,
+    fields: Sequence[str] = TREE_TYPE.names,
+) -> DataFrame:
     """Add the syntax tree of ``code``; rows outside ``only`` are not parsed and get no flags."""
     text = F.col(code) if only is None else F.when(only, F.col(code))
-    return spread(df).withColumn(out, _trees(text))
+    return spread(df).withColumn(out, syntax_tree(text, fields))
 
 
 def ast_nodes(df: DataFrame, tree: str = "tree") -> DataFrame:
     """One row per node next to the row's other columns."""
     t = F.col(tree)
     rest = [c for c in df.columns if c != tree]
-    zipped = F.arrays_zip(*[t[f].alias(f) for f in _NODE_FIELDS])
+    zipped = F.arrays_zip(*[t[f].alias(f) for f in NODE_FIELDS])
     labelled = F.transform(
         zipped, lambda n: n.withField("parent_label", F.get(t["label"], n["parent"]))
     )
     return df.select(*rest, F.posexplode(labelled).alias("node", "n")).select(
-        *rest, "node", *[F.col("n")[f].alias(f) for f in (*_NODE_FIELDS, "parent_label")]
+        *rest, "node", *[F.col("n")[f].alias(f) for f in (*NODE_FIELDS, "parent_label")]
     )
 
 
@@ -197,7 +252,7 @@ def tree_complexity(tree: Column) -> Column:
 def with_complexity(df: DataFrame, code: str = "code", out: str = "cyclomatic_complexity") -> DataFrame:
     """Tree-based complexity for Python, keyword-based otherwise or when there is no tree."""
     return (
-        with_tree(df, code, "__tree", F.col("language") == "python")
+        with_tree(df, code, "__tree", F.col("language") == "python", COMPLEXITY_FIELDS)
         .withColumn(out, F.coalesce(tree_complexity(F.col("__tree")), keyword_complexity(F.col(code))))
         .drop("__tree")
     )
@@ -205,18 +260,14 @@ def with_complexity(df: DataFrame, code: str = "code", out: str = "cyclomatic_co
 
 def python_function_array(code: Column, tree: Column) -> Column:
     """Array of (name, code) for every plain ``def``, nested ones included, as whole lines."""
-    spans = F.filter(
-        F.arrays_zip(*[tree[f].alias(f) for f in ("label", "lineno", "end_lineno")]),
-        lambda s: s["label"] == "FunctionDef",
-    )
-    named = F.arrays_zip(spans.alias("span"), tree["def_name"].alias("name"))
+    named = F.arrays_zip(*[tree[f].alias(f) for f in FUNCTION_FIELDS])
 
     def cut(lines: Column) -> Column:
         def text(d: Column) -> Column:
-            first, last = d["span"]["lineno"], d["span"]["end_lineno"]
+            first, last = d["def_lineno"], d["def_end_lineno"]
             return F.array_join(F.slice(lines, first, last - first + 1), "\n")
 
-        return F.transform(named, lambda d: F.struct(d["name"].alias("name"), text(d).alias("code")))
+        return F.transform(named, lambda d: F.struct(d["def_name"].alias("name"), text(d).alias("code")))
 
     return F.filter(
         let(F.split(code, "\n"), cut), lambda f: F.length(f["code"]).between(*FUNCTION_CHARS)
@@ -238,19 +289,9 @@ def tree_distance_bound(before: Column, after: Column) -> Column:
     does a fifth of the branches that one tree has and the other lacks. The larger of the two
     counts. NULL when either text has no tree.
     """
-    a, b = before["label"], after["label"]
-
-    def occurrences(labels: Column, label: Column) -> Column:
-        return F.size(labels) - F.size(F.array_remove(labels, label))
-
-    def edits(surplus: Column) -> Column:
-        def total(sign: int) -> Column:
-            return F.aggregate(surplus, F.lit(0), lambda s, d: s + F.greatest(d * sign, F.lit(0)))
-
-        return F.greatest(total(1), total(-1))
-
-    bags = F.transform(F.array_union(a, b), lambda x: occurrences(a, x) - occurrences(b, x))
+    a, b = before["kind"], after["kind"]
+    edits = F.greatest(F.size(F.array_except(a, b)), F.size(F.array_except(b, a)))
     return F.when(
         before["parse_ok"] & after["parse_ok"],
-        F.greatest(let(bags, edits), F.ceil(branch_distance(before, after) / 5)) / F.greatest(F.size(a), F.size(b)).cast("double"),
+        F.greatest(edits, F.ceil(branch_distance(before, after) / 5)) / F.greatest(F.size(a), F.size(b)).cast("double"),
     )

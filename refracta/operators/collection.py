@@ -15,7 +15,9 @@ from refracta.functions.domains import (
 from refracta.functions.extraction import HEADERS, HEADLINE, language_blocks, language_functions
 from refracta.functions.metrics import with_metrics
 from refracta.functions.text import by_language
-from refracta.operators.astnodes import python_function_array, tree_complexity, with_tree
+from refracta.operators.astnodes import (
+    COMPLEXITY_FIELDS, FUNCTION_FIELDS, python_function_array, tree_complexity, with_tree,
+)
 
 
 def page_blocks(pages: DataFrame, heading: str = HEADLINE, tags=("pre", "code")) -> DataFrame:
@@ -35,7 +37,7 @@ def file_functions(files: DataFrame) -> DataFrame:
     branches["python"] = python_function_array(code, F.col("__tree"))
     found = by_language(language, branches, F.lit(None))
     return (
-        with_tree(files.select("path", "relative_path", "language", "code"), "code", "__tree", language == "python")
+        with_tree(files.select("path", "relative_path", "language", "code"), "code", "__tree", language == "python", FUNCTION_FIELDS)
         .select("path", "relative_path", "language", F.posexplode(found).alias("seq", "f"))
         .select("path", "relative_path", "language", "seq", "f.name", "f.code")
     )
@@ -43,7 +45,7 @@ def file_functions(files: DataFrame) -> DataFrame:
 
 def _measured(df: DataFrame) -> DataFrame:
     """Metrics, with tree complexity and the compile flag for Python."""
-    parsed = with_tree(df, "code", "__tree", F.col("language") == "python").select(
+    parsed = with_tree(df, "code", "__tree", F.col("language") == "python", (*COMPLEXITY_FIELDS, "compile_ok")).select(
         *df.columns,
         tree_complexity(F.col("__tree")).alias("__tree_cc"),
         F.col("__tree.compile_ok").alias("__compiles"),

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from refracta.constants import NATURAL_KEY
 from refracta.functions.metrics import halstead_volume, keyword_complexity
 from refracta.functions.scoring import delta_cc, effort, se_score, text_diversity
-from refracta.operators.astnodes import tree_complexity, tree_distance_bound, with_tree
+from refracta.operators.astnodes import (
+    COMPLEXITY_FIELDS, DISTANCE_FIELDS, syntax_tree, tree_complexity, tree_distance_bound,
+)
 from refracta.session import spread
 
 
@@ -41,6 +43,11 @@ def score(
         F.col("id").alias("function_id"), "language", "code",
         F.col("cyclomatic_complexity").alias("__cc_before"),
     )
+    if use_trees:
+        # A function is parsed once, not once per result. With its tree it is too wide for a
+        # broadcast, whatever size it is planned with.
+        own = syntax_tree(F.when(F.col("language") == "python", F.col("code")), DISTANCE_FIELDS)
+        originals = spread(originals).withColumn("__tree_a", own).hint("merge")
     components = {"delta_cc", "preservation", "diversity", "effort", "se_score"}
     bare = pending.select(*[c for c in pending.columns if c not in components])
     joined = bare.join(originals, "function_id", "left")
@@ -48,12 +55,15 @@ def score(
         staged = joined.withColumn("preservation", F.lit(1))
     else:
         staged = with_preservation(joined, results)
-    # Edit distances dominate from here on.
-    staged = spread(staged)
+    if not use_trees:
+        # Edit distances dominate from here on. Trees are left where their join put them.
+        staged = spread(staged)
     text_score = text_diversity(F.col("code"), F.col("transformed_code"))
     if use_trees:
         python = F.col("language") == "python"
-        staged = with_tree(with_tree(staged, "code", "__tree_a", python), "transformed_code", "__tree_b", python)
+        fields = dict.fromkeys([*DISTANCE_FIELDS, *COMPLEXITY_FIELDS])
+        result = syntax_tree(F.when(python, F.col("transformed_code")), list(fields))
+        staged = staged.withColumn("__tree_b", result)
         # Materialised as columns so that each array expression is evaluated once.
         staged = staged.withColumns(
             {

@@ -53,7 +53,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     python = X.corpus(spark, sf).filter(F.col("language") == "python")
-    return A.with_tree(python).select("id", A.tree_complexity(F.col("tree")).alias("cc"))
+    return A.with_tree(python, fields=A.COMPLEXITY_FIELDS).select("id", A.tree_complexity(F.col("tree")).alias("cc"))
 
 
 @query(
@@ -87,7 +87,7 @@ def _(spark, sf):
         F.lit("    class Inner:\n        b = 1 if a else 2\n"),
     )
     classes = spread(X.table(spark, sf, "part").select("p_partkey", code.alias("code")))
-    return A.with_tree(classes).select("p_partkey", A.tree_complexity(F.col("tree")).alias("cc"))
+    return A.with_tree(classes, fields=A.COMPLEXITY_FIELDS).select("p_partkey", A.tree_complexity(F.col("tree")).alias("cc"))
 
 
 @query(
@@ -177,7 +177,8 @@ def _(spark, sf):
         .otherwise(F.col("code"))
     )
     python = X.corpus(spark, sf).filter(F.col("language") == "python").withColumn("code", code)
-    return A.with_tree(python).select("id", "tree.parse_ok", "tree.compile_ok")
+    flags = A.with_tree(python, fields=("parse_ok", "compile_ok"))
+    return flags.select("id", "tree.parse_ok", "tree.compile_ok")
 
 
 @query(
@@ -227,8 +228,11 @@ def _(spark, sf):
     f"FROM {ATTEMPTS} a JOIN {CORPUS} c ON c.id = a.function_id WHERE c.language = 'python'",
 )
 def _(spark, sf):
-    python = _pairs(spark, sf).filter(F.col("language") == "python")
-    trees = A.with_tree(A.with_tree(python, "code", "ta"), "transformed_code", "tb")
+    # Every function is parsed once. With their trees they are too wide for a broadcast.
+    python = X.corpus(spark, sf).filter(F.col("language") == "python")
+    own = A.with_tree(python.select(F.col("id").alias("function_id"), "code"), "code", "ta", fields=A.DISTANCE_FIELDS)
+    pairs = X.attempts(spark, sf).join(own.drop("code").hint("merge"), "function_id")
+    trees = pairs.withColumn("tb", A.syntax_tree(F.col("transformed_code"), A.DISTANCE_FIELDS))
     bound = A.tree_distance_bound(F.col("ta"), F.col("tb"))
     return trees.select("o_orderkey", F.round(bound, 9).alias("bound"))
 
@@ -438,7 +442,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     python = X.corpus(spark, sf).filter(F.col("language") == "python").select("id", "code")
-    nodes = A.ast_nodes(A.with_tree(python).drop("code"))
+    nodes = A.ast_nodes(A.with_tree(python, fields=A.NODE_FIELDS).drop("code"))
     return nodes.groupBy("id").agg(
         F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("label") == "If").alias("ifs")
     )

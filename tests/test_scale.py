@@ -1,9 +1,12 @@
 """Plans and memory that must hold on tables far larger than the test files."""
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from refracta.constants import NATURAL_KEY, TASKS
-from refracta.operators import grid
+from refracta.operators import astnodes, grid, scoring
+from refracta.operators.collection import file_functions
 from refracta.operators.results import result_rows
 from refracta.sources import catalogue
 
@@ -48,3 +51,33 @@ def test_result_rows_do_not_broadcast_the_grid_or_the_functions(spark):
     ]
     # only the catalogue, a table of literals
     assert broadcasts(rows) <= 1
+
+
+def test_trees_are_sent_on_in_bounded_parts():
+    code = "def f(a):\n" + "    a = a + 1\n" * 5000
+    parts = list(astnodes._chunks(pd.Series([code, None, "x ="] * 6), astnodes.DISTANCE_FIELDS))
+    assert [len(p) for p in parts].count(0) == 0 and sum(len(p) for p in parts) == 18
+    one = len(parts[0]["kind"][0])
+    assert max(sum(len(k) for k in p["kind"]) for p in parts) < astnodes._CHUNK_NODES + one
+    assert len(parts) > 1
+    assert parts[0].columns.tolist() == list(astnodes.DISTANCE_FIELDS)
+
+
+def test_trees_of_large_files_keep_their_rows(spark):
+    files = spark.range(60).select(
+        F.col("id").cast("string").alias("path"), F.lit("p").alias("relative_path"), F.lit("python").alias("language"),
+        F.repeat(F.concat(F.lit("def f"), "id", F.lit("(a):\n"), F.repeat(F.lit("    a = a + 1 if a else 2\n"), 4), F.lit("\n")), 200).alias("code"),
+    )
+    found = file_functions(files).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("low"), F.max("name").alias("high"))
+    assert {(r["n"], r["low"], r["high"]) for r in found.collect()} == {(200, f"f{i}", f"f{i}") for i in range(60)}
+
+
+def test_functions_are_parsed_before_they_meet_their_results(spark):
+    functions = spark.createDataFrame([("f1", "python", "def f(a):\n    return a\n", 1)], "id string, language string, code string, cyclomatic_complexity int")
+    pending = spark.createDataFrame([("f1", i, "def f(a):\n    return a + a\n") for i in range(3)], "function_id string, n int, transformed_code string")
+    scored = scoring.score(pending, functions, use_trees=True)
+    assert [r["diversity"] for r in scored.select("diversity").collect()] == [pytest.approx(4 / 11)] * 3
+    plan = physical_plan(scored)
+    # the function's tree is computed below the join, and never broadcast
+    assert plan.index("SortMergeJoin") < plan.rindex("ArrowEvalPython") and plan.count("ArrowEvalPython") == 2
+    assert plan.index("ArrowEvalPython") < plan.index("SortMergeJoin") and broadcasts(scored) == 0
