@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from refracta.constants import NATURAL_KEY, TASKS
 from refracta.operators import astnodes, grid, scoring
 from refracta.operators.collection import file_functions
@@ -81,3 +82,13 @@ def test_functions_are_parsed_before_they_meet_their_results(spark):
     # the function's tree is computed below the join, and never broadcast
     assert plan.index("SortMergeJoin") < plan.rindex("ArrowEvalPython") and plan.count("ArrowEvalPython") == 2
     assert plan.index("ArrowEvalPython") < plan.index("SortMergeJoin") and broadcasts(scored) == 0
+
+
+def test_leaderboard_by_range_scores_as_logged(spark):
+    queries = entry.queries()
+    sf = "/root/testdata/sf0.001"
+    by_range, board = (
+        sorted(tuple(r) for r in queries[q](spark, sf).select("model", "task", "strategy", "mean_se", "median_se").collect())
+        for q in ("a1_leaderboard_by_range", "a1_leaderboard")
+    )
+    assert by_range == board
