@@ -74,10 +74,10 @@ _QUEUE_SQL = f"(SELECT * FROM {_GRID_SQL} g ANTI JOIN {RUN_LOG} r USING ({_KEY})
     f"SELECT model, task, strategy, CAST(count(DISTINCT function_id) AS BIGINT) AS functions FROM {_GRID_SQL} GROUP BY 1, 2, 3",
 )
 def _(spark, sf):
-    cells = G.grid(X.corpus(spark, sf), _MODELS, TASKS, _STRATEGIES)
-    return cells.groupBy("model", "task", "strategy").agg(
-        F.count_distinct("function_id").alias("functions")
-    )
+    # Ids are made distinct before they are expanded: the cells are then only counted.
+    ids = spread(X.corpus(spark, sf).select("id").distinct())
+    cells = G.grid(ids, _MODELS, TASKS, _STRATEGIES)
+    return cells.groupBy("model", "task", "strategy").agg(F.count("function_id").alias("functions"))
 
 
 @query("j4_pending_grid", f"SELECT {_KEY} FROM {_QUEUE_SQL}")

@@ -92,3 +92,9 @@ def test_leaderboard_by_range_scores_as_logged(spark):
         for q in ("a1_leaderboard_by_range", "a1_leaderboard")
     )
     assert by_range == board
+
+
+def test_the_expanded_grid_is_not_grouped_by_function(spark):
+    plan = physical_plan(entry.queries()["j3_experiment_grid"](spark, "/root/testdata/sf0.001"))
+    above = plan[: plan.index("Generate explode")]
+    assert not [x for x in above.splitlines() if "keys=" in x and "function_id" in x.split("functions=")[0]]
