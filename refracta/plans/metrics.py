@@ -19,7 +19,7 @@ NORM = X.sql_norm("code")
 
 @query("e1_normalize_code", f"SELECT id, {NORM} AS norm FROM {CORPUS}")
 def _(spark, sf):
-    return X.corpus(spark, sf).select("id", M.normalize_code(F.col("code")).alias("norm"))
+    return spread(X.corpus(spark, sf)).select("id", M.normalize_code(F.col("code")).alias("norm"))
 
 
 @query("e1_normalize_documents", f"SELECT doc_id, {X.sql_norm('text')} AS norm FROM documents")
@@ -31,7 +31,7 @@ def _(spark, sf):
 
 @query("e2_code_hash", f"SELECT id, sha256({NORM}) AS code_hash FROM {CORPUS}")
 def _(spark, sf):
-    return X.corpus(spark, sf).select("id", M.code_hash(F.col("code")).alias("code_hash"))
+    return spread(X.corpus(spark, sf)).select("id", M.code_hash(F.col("code")).alias("code_hash"))
 
 
 @query(
@@ -39,12 +39,12 @@ def _(spark, sf):
     f"SELECT id, {X.sql_loc('n')} AS lines_of_code FROM (SELECT id, {NORM} AS n FROM {CORPUS})",
 )
 def _(spark, sf):
-    return X.corpus(spark, sf).select("id", M.lines_of_code(F.col("code")).alias("lines_of_code"))
+    return spread(X.corpus(spark, sf)).select("id", M.lines_of_code(F.col("code")).alias("lines_of_code"))
 
 
 @query("e4_keyword_complexity", f"SELECT id, {X.sql_cc('code')} AS cc FROM {CORPUS}")
 def _(spark, sf):
-    return X.corpus(spark, sf).select("id", M.keyword_complexity(F.col("code")).alias("cc"))
+    return spread(X.corpus(spark, sf)).select("id", M.keyword_complexity(F.col("code")).alias("cc"))
 
 
 @query(
@@ -95,7 +95,7 @@ def _(spark, sf):
     f"SELECT id, {X.sql_volume('code')} AS volume FROM {CORPUS}",
 )
 def _(spark, sf):
-    return X.corpus(spark, sf).select("id", M.halstead_volume(F.col("code")).alias("volume"))
+    return spread(X.corpus(spark, sf)).select("id", M.halstead_volume(F.col("code")).alias("volume"))
 
 
 @query(
@@ -117,7 +117,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     tier = M.complexity_tier(M.keyword_complexity(F.col("code"))).alias("tier")
-    return X.corpus(spark, sf).groupBy(tier).agg(F.count(F.lit(1)).alias("n"))
+    return spread(X.corpus(spark, sf)).groupBy(tier).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -125,7 +125,7 @@ def _(spark, sf):
     f"SELECT id, code_hash, lines_of_code, cyclomatic_complexity, halstead_volume, complexity_tier FROM {FUNCTIONS}",
 )
 def _(spark, sf):
-    return M.with_metrics(X.corpus(spark, sf)).select(
+    return M.with_metrics(spread(X.corpus(spark, sf))).select(
         "id", "code_hash", "lines_of_code", "cyclomatic_complexity", "halstead_volume", "complexity_tier"
     )
 
@@ -244,7 +244,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     e = S.effort(M.halstead_volume(F.col("code")))
-    return X.corpus(spark, sf).select("id", F.round(e, 9).alias("effort"))
+    return spread(X.corpus(spark, sf)).select("id", F.round(e, 9).alias("effort"))
 
 
 @query(
@@ -321,7 +321,7 @@ def _(spark, sf):
     code = F.concat(
         F.lit("import z\nfrom a import b\n"), F.col("code"), F.lit("\nimport m"), F.col("p_size").cast("string")
     )
-    return X.corpus(spark, sf).select("id", M.sorted_import_hash(code).alias("h"))
+    return spread(X.corpus(spark, sf)).select("id", M.sorted_import_hash(code).alias("h"))
 
 
 # --- the scoring run --------------------------------------------------------------------------

@@ -98,3 +98,9 @@ def test_the_expanded_grid_is_not_grouped_by_function(spark):
     plan = physical_plan(entry.queries()["j3_experiment_grid"](spark, "/root/testdata/sf0.001"))
     above = plan[: plan.index("Generate explode")]
     assert not [x for x in above.splitlines() if "keys=" in x and "function_id" in x.split("functions=")[0]]
+
+
+@pytest.mark.parametrize("name", ["e1_normalize_code", "e2_code_hash", "e9_metrics_bundle"])
+def test_metrics_of_a_small_file_use_all_cores(spark, name):
+    df = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert "RoundRobinPartitioning" in physical_plan(df)
