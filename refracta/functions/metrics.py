@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from refracta.constants import BRANCH_SYMBOLS, BRANCH_WORDS, MEDIUM_MAX_CC, SIMPLE_MAX_CC
 from refracta.functions.text import WORD, WS, WS_NOT_NL, let, strip
+from refracta.session import settled
 
 _WORDS = "|".join(sorted(BRANCH_WORDS, key=len, reverse=True))
 _SYMBOLS = "|".join(re.escape(s) for s in BRANCH_SYMBOLS)
@@ -84,10 +85,10 @@ def with_metrics(df, code: str = "code", cc: Column | None = None):
 
     ``cc`` replaces the keyword complexity, e.g. with the syntax-tree count for
     Python rows. Each step is a separate projection so Catalyst keeps the expensive
-    intermediate instead of inlining it twice.
+    intermediate instead of inlining it twice, and filters on the metrics don't compute them anew.
     """
     text = F.col(code)
-    return (
+    return settled(
         df.withColumn("__norm", normalize_code(text))
         .withColumns(
             {

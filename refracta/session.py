@@ -90,18 +90,29 @@ def input_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, whose costly columns are computed here, once, whatever filters follow.
+
+    A filter would else move below the projection or shuffle that ``df`` ends in and compute
+    the columns that it names anew there. It stays above a condition on a column that is not
+    deterministic; this one always holds. Filters on cheap columns belong before.
+    """
+    return df.withColumn("__part", F.spark_partition_id()).filter("__part >= 0").drop("__part")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give heavy per-row work enough partitions when the input is too small to have them.
 
     A small file arrives as one split and would keep one core busy. An input that fills
     the cores by itself is left where it is: moving it would cost a shuffle for nothing.
+    Filters that follow stay behind the shuffle, since their columns may be the heavy work.
     """
     sc = df.sparkSession.sparkContext
     size = input_bytes(df)
     split = 16 * 1024 * 1024
     if size is None or size >= split * sc.defaultParallelism:
         return df
-    return df.repartition(sc.defaultParallelism)
+    return settled(df.repartition(sc.defaultParallelism))
 
 
 def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:

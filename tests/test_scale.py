@@ -104,3 +104,11 @@ def test_the_expanded_grid_is_not_grouped_by_function(spark):
 def test_metrics_of_a_small_file_use_all_cores(spark, name):
     df = entry.queries()[name](spark, "/root/testdata/sf0.001")
     assert "RoundRobinPartitioning" in physical_plan(df)
+
+
+@pytest.mark.parametrize("name", ["f3_functions_by_tier", "f11_complex_enough"])
+def test_filters_on_metrics_run_on_all_cores_and_compute_them_once(spark, name):
+    plan = physical_plan(entry.queries()[name](spark, "/root/testdata/sf0.001"))
+    below = plan[plan.index("RoundRobinPartitioning") :]
+    assert "regexp_extract_all" not in below
+    assert plan.count("regexp_extract_all") == 1
