@@ -17,10 +17,27 @@ def delta_cc(cc_before: Column, cc_after: Column) -> Column:
     return F.abs(cc_after - cc_before)
 
 
+def structure_count(code: Column) -> Column:
+    return F.regexp_count(code, F.lit(_STRUCTURE))
+
+
+def _structure_weight(s1: Column, s2: Column) -> Column:
+    return F.when(F.abs(s1 - s2) > F.greatest(s1, s2) * F.lit(0.2), 1.2).otherwise(1.0)
+
+
+def diversity_of_parts(share: Column, structure_before: Column, structure_after: Column) -> Column:
+    """``text_diversity`` from the share of edits between the bare texts and both structure counts.
+
+    For many pairs: a function's part is found once, and ``distance.edit_shares`` takes the
+    distances of a batch together.
+    """
+    weighted = share * _structure_weight(structure_before, structure_after)
+    return F.when(weighted > 1, 1.0).otherwise(weighted)
+
+
 def text_diversity(before: Column, after: Column) -> Column:
     """Edit distance over longer length, up-weighted when the structure moved, in 0..1."""
-    s1, s2 = F.regexp_count(before, F.lit(_STRUCTURE)), F.regexp_count(after, F.lit(_STRUCTURE))
-    weight = F.when(F.abs(s1 - s2) > F.greatest(s1, s2) * F.lit(0.2), 1.2).otherwise(1.0)
+    weight = _structure_weight(structure_count(before), structure_count(after))
 
     def score(t: Column) -> Column:
         longest = F.greatest(F.length(t["a"]), F.length(t["b"])).cast("double")

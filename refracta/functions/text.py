@@ -16,15 +16,17 @@ _WIDE_SPACES = (
 WS_NOT_NL = r"\t\x0B\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0" + _WIDE_SPACES
 WS = rf"[\n{WS_NOT_NL}]"
 WORD = r"[\p{L}\p{N}_]"
+# The characters of WS one by one, for what takes a set of characters.
+WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
-    """Remove whitespace at both ends. The look-behind keeps long inner runs linear."""
-    return F.regexp_replace(text, rf"\A{WS}++|{WS}(?<!{WS}{{2}}){WS}*+\z", "")
+    """Remove whitespace at both ends."""
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def without_whitespace(text: Column) -> Column:
-    return F.regexp_replace(text, rf"{WS}++", "")
+    return F.translate(text, WS_CHARS, "")
 
 
 def any_of(text: Column, markers) -> Column:

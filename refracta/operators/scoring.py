@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refracta.constants import NATURAL_KEY
+from refracta.functions.distance import edit_shares
 from refracta.functions.metrics import halstead_volume, keyword_complexity
-from refracta.functions.scoring import delta_cc, effort, se_score, text_diversity
+from refracta.functions.scoring import (
+    delta_cc, diversity_of_parts, effort, se_score, structure_count, text_diversity,
+)
+from refracta.functions.text import without_whitespace
 from refracta.operators.astnodes import (
     COMPLEXITY_FIELDS, DISTANCE_FIELDS, syntax_tree, tree_complexity, tree_distance_bound,
 )
@@ -30,6 +34,11 @@ def with_preservation(df: DataFrame, results: DataFrame, key=NATURAL_KEY) -> Dat
     )
 
 
+def with_text_parts(df: DataFrame, code: str, structure: str) -> DataFrame:
+    """``code`` without whitespace, with its count of structural characters: what diversity reads."""
+    return df.withColumns({structure: structure_count(F.col(code)), code: without_whitespace(F.col(code))})
+
+
 def score(
     pending: DataFrame, functions: DataFrame, results: DataFrame | None = None, use_trees: bool = False
 ) -> DataFrame:
@@ -39,56 +48,57 @@ def score(
     Rows without a function keep NULL scores and count as failed. ``use_trees`` takes
     Python diversity and complexity from syntax trees.
     """
-    originals = functions.select(
-        F.col("id").alias("function_id"), "language", "code",
-        F.col("cyclomatic_complexity").alias("__cc_before"),
+    originals = spread(
+        functions.select(
+            F.col("id").alias("function_id"), "language", "code", F.col("cyclomatic_complexity").alias("__cc_before")
+        )
     )
     if use_trees:
-        # A function is parsed once, not once per result. With its tree it is too wide for a
-        # broadcast, whatever size it is planned with.
+        # A function is parsed once, not once per result.
         own = syntax_tree(F.when(F.col("language") == "python", F.col("code")), DISTANCE_FIELDS)
-        originals = spread(originals).withColumn("__tree_a", own).hint("merge")
+        originals = originals.withColumn("__tree_a", own)
+    else:
+        originals = with_text_parts(originals, "code", "__structure_a")
     components = {"delta_cc", "preservation", "diversity", "effort", "se_score"}
     bare = pending.select(*[c for c in pending.columns if c not in components])
-    joined = bare.join(originals, "function_id", "left")
-    if results is None:
-        staged = joined.withColumn("preservation", F.lit(1))
-    else:
-        staged = with_preservation(joined, results)
-    if not use_trees:
-        # Edit distances dominate from here on. Trees are left where their join put them.
-        staged = spread(staged)
-    text_score = text_diversity(F.col("code"), F.col("transformed_code"))
+    # With their texts and trees functions are too wide for a broadcast, whatever size it is planned with.
+    joined = bare.join(originals.hint("merge"), "function_id", "left")
+    result_text = F.col("transformed_code")
     if use_trees:
         python = F.col("language") == "python"
         fields = dict.fromkeys([*DISTANCE_FIELDS, *COMPLEXITY_FIELDS])
-        result = syntax_tree(F.when(python, F.col("transformed_code")), list(fields))
-        staged = staged.withColumn("__tree_b", result)
+        staged = joined.withColumn("__tree_b", syntax_tree(F.when(python, result_text), list(fields)))
         # Materialised as columns so that each array expression is evaluated once.
         staged = staged.withColumns(
             {
                 "__bound": tree_distance_bound(F.col("__tree_a"), F.col("__tree_b")),
-                "__cc_after": F.coalesce(
-                    tree_complexity(F.col("__tree_b")), keyword_complexity(F.col("transformed_code"))
-                ),
+                "__cc_after": F.coalesce(tree_complexity(F.col("__tree_b")), keyword_complexity(result_text)),
             }
         )
-        text_score = F.coalesce("__bound", text_score)
+        diversity = F.coalesce("__bound", text_diversity(F.col("code"), result_text))
     else:
-        staged = staged.withColumn("__cc_after", keyword_complexity(F.col("transformed_code")))
+        share = edit_shares(F.col("code"), without_whitespace(result_text))
+        diversity = diversity_of_parts(share, F.col("__structure_a"), structure_count(result_text))
+        staged = joined.withColumn("__cc_after", keyword_complexity(result_text))
+    staged = staged.withColumns(
+        {
+            "delta_cc": delta_cc(F.col("__cc_before"), F.col("__cc_after")).cast("double"),
+            "diversity": diversity,
+            "effort": effort(halstead_volume(result_text)),
+            "__found": F.col("code").isNotNull(),
+        }
+    )
+    # Outcomes come last: without the texts, rows are narrow when they are shuffled again.
+    if results is None:
+        staged = staged.withColumn("preservation", F.lit(1))
+    else:
+        staged = with_preservation(staged, results)
     return (
-        staged.withColumns(
-            {
-                "delta_cc": delta_cc(F.col("__cc_before"), F.col("__cc_after")).cast("double"),
-                "diversity": text_score,
-                "effort": effort(halstead_volume(F.col("transformed_code"))),
-            }
-        )
-        .withColumn(
+        staged.withColumn(
             "se_score",
             se_score(F.col("delta_cc"), F.col("preservation"), F.col("diversity"), F.col("effort")),
         )
-        .withColumn("preservation", F.when(F.col("code").isNotNull(), F.col("preservation")))
+        .withColumn("preservation", F.when(F.col("__found"), F.col("preservation")))
         .select(
             *bare.columns, "language", "delta_cc", "preservation", "diversity", "effort", "se_score"
         )

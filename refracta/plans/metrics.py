@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from refracta.functions import metrics as M
 from refracta.functions import scoring as S
+from refracta.functions.distance import edit_shares
 from refracta.functions.domains import domain_from_path, domain_from_task, language_from_alias, suite_file_name
+from refracta.functions.text import without_whitespace
 from refracta.operators import astnodes as A
 from refracta.operators import quality as Q
 from refracta.operators import scoring as SC
@@ -217,8 +219,14 @@ def _diversity_sql(a: str, b: str) -> str:
     f"FROM {ATTEMPTS} a JOIN {CORPUS} c ON c.id = a.function_id",
 )
 def _(spark, sf):
-    diversity = S.text_diversity(F.col("code"), F.col("transformed_code"))
-    return _pairs(spark, sf).select("o_orderkey", F.round(diversity, 9).alias("diversity"))
+    # A function's part is found once; with their texts functions are too wide for a broadcast.
+    own = spread(X.corpus(spark, sf).select(F.col("id").alias("function_id"), "code"))
+    own = SC.with_text_parts(own, "code", "structure")
+    pairs = X.attempts(spark, sf).join(own.hint("merge"), "function_id")
+    result = F.col("transformed_code")
+    share = edit_shares(F.col("code"), without_whitespace(result))
+    diversity = S.diversity_of_parts(share, F.col("structure"), S.structure_count(result))
+    return pairs.select("o_orderkey", F.round(diversity, 9).alias("diversity"))
 
 
 @query(

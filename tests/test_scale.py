@@ -1,11 +1,14 @@
 """Plans and memory that must hold on tables far larger than the test files."""
 
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from refracta.constants import NATURAL_KEY, TASKS
+from refracta.functions import distance, text
 from refracta.operators import astnodes, grid, scoring
 from refracta.operators.collection import file_functions
 from refracta.operators.results import result_rows
@@ -112,3 +115,62 @@ def test_filters_on_metrics_run_on_all_cores_and_compute_them_once(spark, name):
     below = plan[plan.index("RoundRobinPartitioning") :]
     assert "regexp_extract_all" not in below
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_distances_of_many_pairs_are_exact_in_blocks_and_alone(monkeypatch):
+    rng = random.Random(3)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    pairs = [("", ""), ("a", ""), ("kitten", "sitting")]
+    for n in (1, 5, 63, 64, 65, 128, 130, 200):
+        for _ in range(12):
+            a = rng.choices("ab\u00e9\u4e2d\U0001f600", k=n)
+            b = [rng.choice("abx") if rng.random() < 0.2 else c for c in a if rng.random() < 0.9]
+            pairs.append(("".join(a), "".join(rng.choice((b, rng.choices("abc", k=rng.randrange(200)))))))
+    want = [plain(a, b) for a, b in pairs]
+    sides = [list(side) for side in zip(*pairs, strict=True)]
+    for per_word in (0, 8, 10**9):
+        monkeypatch.setattr(distance, "_PAIRS_PER_WORD", per_word)
+        assert distance.distances(*sides).tolist() == want
+    for limit in ("_BLOCK_PAIRS", "_BLOCK_CHARS", "_BLOCK_WORDS"):
+        with monkeypatch.context() as m:
+            m.setattr(distance, "_PAIRS_PER_WORD", 0)
+            m.setattr(distance, limit, 300)
+            assert distance.distances(*sides).tolist() == want
+
+
+def test_shares_of_missing_texts_are_null(spark):
+    rows = [("abc", "abd"), (None, "a"), ("a", None), ("", ""), ("", "ab")]
+    df = spark.createDataFrame(rows, "a string, b string").coalesce(1)
+    got = [r[0] for r in df.select(distance.edit_shares("a", "b")).collect()]
+    assert got == [pytest.approx(1 / 3), None, None, 0.0, 1.0]
+
+
+@pytest.mark.parametrize("name", ["e24_text_diversity", "j1_score_transformations", "a27_score_report"])
+def test_distances_are_taken_in_batches_and_functions_read_once(spark, name):
+    plan = physical_plan(entry.queries()[name](spark, "/root/testdata/sf0.001"))
+    assert "levenshtein" not in plan and plan.count("ArrowEvalPython") == 1
+    # a function's whitespace goes before it meets its results
+    join = plan[plan.index("ArrowEvalPython") :]
+    assert join.index("SortMergeJoin") < join.rindex("translate(")
+
+
+def test_functions_are_measured_before_they_meet_their_results(spark):
+    plan = physical_plan(entry.queries()["e38_intensity_conformance"](spark, "/root/testdata/sf0.001"))
+    # line counts and complexity are no part of the join's output or of what stands above it
+    assert "regexp" not in plan[: plan.index("Join [function_id")]
+
+
+def test_whitespace_characters_are_those_of_the_pattern(spark):
+    df = spark.range(0x20000).filter("id NOT BETWEEN 55296 AND 57343").select(
+        F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c")
+    )
+    differ = F.rlike("c", F.lit(rf"\A{text.WS}\z")) != F.contains(F.lit(text.WS_CHARS), F.col("c"))
+    assert [r["c"] for r in df.filter(differ & (F.col("c") != "")).collect()] == []
