@@ -308,15 +308,22 @@ _RULES_SQL = """(VALUES ('obfuscate','light',0.8::DOUBLE,1.2::DOUBLE,0.9::DOUBLE
     FROM p JOIN {_RULES_SQL} USING (task, intensity)""",
 )
 def _(spark, sf):
-    pairs = _pairs(spark, sf).select(
+    # A function is measured once, not once per result, and only numbers meet in the join.
+    code, result = F.col("code"), F.col("transformed_code")
+    before = spread(X.corpus(spark, sf)).select(
+        F.col("id").alias("function_id"),
+        M.keyword_complexity(code).alias("cc_before"),
+        M.lines_of_code(code).alias("loc_before"),
+    )
+    after = spread(X.attempts(spark, sf)).select(
+        "function_id",
         "o_orderkey",
         "task",
         X.pick((F.col("o_orderkey") % 3).cast("int"), ("light", "medium", "heavy")).alias("intensity"),
-        M.keyword_complexity(F.col("code")).alias("cc_before"),
-        M.keyword_complexity(F.col("transformed_code")).alias("cc_after"),
-        M.lines_of_code(F.col("code")).alias("loc_before"),
-        M.lines_of_code(F.col("transformed_code")).alias("loc_after"),
+        M.keyword_complexity(result).alias("cc_after"),
+        M.lines_of_code(result).alias("loc_after"),
     )
+    pairs = after.join(before, "function_id")
     return Q.intensity_conformance(pairs).select("o_orderkey", "loc_ok", "cc_ok")
 
 
