@@ -369,10 +369,9 @@ _STATUS_SQL = f"""(SELECT *, CASE WHEN no % 50 = 49 THEN 'error' WHEN code_hash
 
 
 def _flagged(spark, sf):
-    f = X.functions(spark, sf)
     stored = (F.col("no") % 3 == 0) & (F.col("p_size") < 10)
-    existing = f.filter(stored)
-    new = f.filter(~stored).withColumn(
+    existing = X.functions(spark, sf, stored)
+    new = X.functions(spark, sf, ~stored).withColumn(
         "lines_of_code", F.when(F.col("no") % 50 == 49, 0).otherwise(F.col("lines_of_code"))
     )
     return C.flag_insert(new, existing, "no")

@@ -89,9 +89,10 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def functions(spark: SparkSession, sf: str) -> DataFrame:
-    """The corpus with its metrics: the ``functions`` table."""
-    return with_metrics(spread(corpus(spark, sf))).withColumn("domain", domain_from_task(F.col("task_name")))
+def functions(spark: SparkSession, sf: str, only: Column | None = None) -> DataFrame:
+    """The corpus with its metrics: the ``functions`` table, or its rows that ``only`` picks."""
+    rows = corpus(spark, sf) if only is None else corpus(spark, sf).filter(only)
+    return with_metrics(spread(rows)).withColumn("domain", domain_from_task(F.col("task_name")))
 
 
 def run_log(spark: SparkSession, sf: str) -> DataFrame:

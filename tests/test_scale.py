@@ -174,3 +174,8 @@ def test_whitespace_characters_are_those_of_the_pattern(spark):
     )
     differ = F.rlike("c", F.lit(rf"\A{text.WS}\z")) != F.contains(F.lit(text.WS_CHARS), F.col("c"))
     assert [r["c"] for r in df.filter(differ & (F.col("c") != "")).collect()] == []
+
+
+def test_a_load_hashes_its_rows_once(spark):
+    plan = physical_plan(entry.queries()["s11_insert_flags"](spark, "/root/testdata/sf0.001"))
+    assert "sha2" not in plan and "regexp" not in plan
