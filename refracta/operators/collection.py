@@ -13,7 +13,7 @@ from refracta.functions.domains import (
     task_name_from_url,
 )
 from refracta.functions.extraction import HEADERS, HEADLINE, language_blocks, language_functions
-from refracta.functions.metrics import with_metrics
+from refracta.functions.metrics import keyword_complexity, with_metrics
 from refracta.functions.text import by_language
 from refracta.operators.astnodes import (
     COMPLEXITY_FIELDS, FUNCTION_FIELDS, python_function_array, tree_complexity, with_tree,
@@ -43,23 +43,23 @@ def file_functions(files: DataFrame) -> DataFrame:
     )
 
 
-def _measured(df: DataFrame) -> DataFrame:
-    """Metrics, with tree complexity and the compile flag for Python."""
-    parsed = with_tree(df, "code", "__tree", F.col("language") == "python", (*COMPLEXITY_FIELDS, "compile_ok")).select(
+def _measured(df: DataFrame, compiles: bool = False) -> DataFrame:
+    """Metrics, with tree complexity and, if wanted, the compile flag for Python."""
+    fields = (*COMPLEXITY_FIELDS, "compile_ok") if compiles else COMPLEXITY_FIELDS
+    parsed = with_tree(df, "code", "__tree", F.col("language") == "python", fields).select(
         *df.columns,
         tree_complexity(F.col("__tree")).alias("__tree_cc"),
-        F.col("__tree.compile_ok").alias("__compiles"),
+        *([F.col("__tree.compile_ok").alias("__compiles")] if compiles else []),
     )
-    out = with_metrics(parsed)
-    return out.withColumn(
-        "cyclomatic_complexity", F.coalesce("__tree_cc", "cyclomatic_complexity")
-    ).drop("__tree_cc", "complexity_tier")
+    # Keywords are counted only where there is no tree, and not again in filters on the result.
+    cc = F.coalesce("__tree_cc", keyword_complexity(F.col("code")))
+    return with_metrics(parsed, cc=cc).drop("__tree_cc", "complexity_tier")
 
 
 def from_pages(blocks: DataFrame) -> DataFrame:
     """Function candidates from page listings, with ``plausible`` per row."""
     return (
-        _measured(blocks)
+        _measured(blocks, compiles=True)
         .withColumn("plausible", plausible_code(F.col("code"), F.col("language"), F.col("__compiles")))
         .withColumns(
             {"domain": domain_from_task(F.col("task_name")), "source": F.lit(SOURCE_PAGES)}
@@ -80,5 +80,5 @@ def from_files(functions: DataFrame) -> DataFrame:
                 "file_path": F.col("path"),
             }
         )
-        .drop("__compiles", "path")
+        .drop("path")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from refracta.constants import NATURAL_KEY, TASKS
 from refracta.functions import distance, text
-from refracta.operators import astnodes, grid, scoring
+from refracta.operators import astnodes, collection, grid, scoring
 from refracta.operators.collection import file_functions
 from refracta.operators.results import result_rows
 from refracta.sources import catalogue
@@ -179,3 +179,11 @@ def test_whitespace_characters_are_those_of_the_pattern(spark):
 def test_a_load_hashes_its_rows_once(spark):
     plan = physical_plan(entry.queries()["s11_insert_flags"](spark, "/root/testdata/sf0.001"))
     assert "sha2" not in plan and "regexp" not in plan
+
+
+def test_rows_from_files_count_keywords_once_and_compile_nothing(spark, monkeypatch):
+    fields = []
+    monkeypatch.setattr(collection, "with_tree", lambda df, *a: fields.append(a[-1]) or astnodes.with_tree(df, *a))
+    plan = physical_plan(entry.queries()["x2_function_rows_from_files"](spark, "/root/testdata/sf0.001"))
+    assert ["compile_ok" in f for f in fields] == [False, False]
+    assert plan.count("switch|while") == 1
