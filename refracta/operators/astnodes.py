@@ -1,23 +1,27 @@
 """Python syntax trees.
 
-The only place where Python code runs per row: one Arrow-batched function walks a text
-and returns its nodes as parallel arrays. Everything computed from the nodes is a
-built-in array expression on the same row, so nothing is shuffled or joined back.
+One Arrow-batched function walks a text and returns its nodes as parallel arrays. Everything
+computed from the nodes is a built-in array expression on the same row, so nothing is shuffled
+or joined back. Many pairs of texts are compared without their nodes leaving Python: a tree is
+then a sketch, its labels and branches with their counts.
 """
 
 from __future__ import annotations
 
 import ast
 import warnings
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from refracta.constants import FUNCTION_CHARS
+from refracta.functions.distance import shares
 from refracta.functions.metrics import keyword_complexity
 from refracta.functions.text import let
 from refracta.session import spread
@@ -47,8 +51,24 @@ FUNCTION_FIELDS = ("def_name", "def_lineno", "def_end_lineno")
 # Trees are sent on after so many nodes, some 20 MB of Python objects.
 _CHUNK_NODES = 1 << 16
 _REJECTED = (SyntaxError, ValueError, RecursionError, MemoryError)
-# Number of every node type, from 1; 0 stands for no node.
-_TYPES = {t: i for i, t in enumerate(sorted(n for n, v in vars(ast).items() if isinstance(v, type) and issubclass(v, ast.AST)), 1)}
+# Old types that no tree holds; the module lists them only once somebody has asked for one.
+_OLD_TYPES = {"Num", "Str", "Bytes", "NameConstant", "Ellipsis"}
+# Number of every node type, from 1, the same in all workers; 0 stands for no node.
+_TYPES = {
+    t: i
+    for i, t in enumerate(
+        sorted(n for n, v in vars(ast).items() if isinstance(v, type) and issubclass(v, ast.AST) and n not in _OLD_TYPES), 1
+    )
+}
+_NUMBERS_OF = {getattr(ast, t): i for t, i in _TYPES.items()}
+# Types without child nodes, and the fields of the others that may hold nodes.
+_LEAVES = {t for t in _NUMBERS_OF if not t._fields} | {ast.Constant}
+_CHILD_FIELDS = {
+    t: [f for f in t._fields if "ast." in repr(getattr(t, "_field_types", {}).get(f, "ast."))] for t in _NUMBERS_OF
+}
+# A sketch is an array of counts and what they count: numbered labels, which stay below
+# 2 ** 10, and branches, which do not, each with its count from this bit on.
+_COUNT_BIT = 30
 
 
 def _catch_all(case: ast.match_case) -> bool:
@@ -162,6 +182,143 @@ def _chunks(codes: pd.Series, fields: Sequence[str]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=list(fields), dtype=object)
 
 
+def _sketch(code: str) -> tuple[Counter[int], int] | None:
+    """Counted labels and branches of a text's tree, and its complexity; None without a tree.
+
+    The same numbers as ``branch`` and ``kind`` of ``_walk`` hold and ``tree_complexity`` finds.
+    """
+    try:
+        tree = ast.parse(code)
+    except _REJECTED:
+        return None
+    branches = []
+    add, numbers, leaves, fields_of, decisions_of = branches.append, _NUMBERS_OF, _LEAVES, _CHILD_FIELDS, _DECISIONS
+    # Blocks by their place in ``totals``: 0 for code outside of blocks and 1 for nested ones, which
+    # do not count. ``methods`` has the blocks of the functions in each class.
+    totals, methods = [0, 0], {}
+    queue = [(tree, 0, 0)]
+    push = queue.append
+    for node, following, block in queue:
+        kind = type(node)
+        if kind in decisions_of:
+            totals[block] += decisions_of[kind](node)
+        elif kind is ast.FunctionDef or kind is ast.AsyncFunctionDef or kind is ast.ClassDef:
+            if block and (block not in methods or kind is ast.ClassDef):
+                block = 1
+            else:
+                if block:
+                    methods[block].append(len(totals))
+                block = len(totals)
+                totals.append(1)
+                if kind is ast.ClassDef:
+                    methods[block] = []
+        children = []
+        for name in fields_of[kind]:
+            child = getattr(node, name, None)
+            if type(child) is list:
+                children += child
+            elif child is not None:
+                children.append(child)
+        after = 0
+        for child in reversed(children):
+            number = numbers.get(type(child))
+            if number is None:  # names and gaps in lists
+                continue
+            if type(child) in leaves:
+                add(number << 20 | after)
+            elif type(child) is ast.Name:
+                context = numbers[type(child.ctx)]
+                add(number << 20 | context << 10 | after)
+                add(context << 20)
+            else:
+                push((child, after, block))
+            after = number
+        add(numbers[kind] << 20 | after << 10 | following)
+    counts = Counter(branches)
+    labels: Counter[int] = Counter()
+    for branch, n in counts.items():
+        labels[branch >> 20] += n
+    counts.update(labels)
+    complexity = 1 if len(totals) == 2 else max(
+        total if not methods.get(at) else _shared(total + sum(totals[m] for m in methods[at]), len(methods[at]))
+        for at, total in enumerate(totals[2:], 2)
+    )
+    return counts, complexity
+
+
+def _shared(total: int, methods: int) -> int:
+    """Complexity of a class with methods from its total."""
+    return total // methods + (methods > 1)
+
+
+def _edit_bound(before: Sequence[int], after: Counter[int]) -> float:
+    """``tree_distance_bound`` of two sketches."""
+    mask = (1 << _COUNT_BIT) - 1
+    size, shared, labels = 0, 0, 0
+    for entry in before:
+        value, n = entry & mask, entry >> _COUNT_BIT
+        common = min(n, after.get(value, 0))
+        if value < 1 << 10:
+            size += n
+            labels += common
+        else:
+            shared += common
+    other = after.total() // 2
+    edits = max(size, other) - labels
+    return max(edits, -(-(size + other - 2 * shared) // 5)) / max(size, other)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def tree_sketch(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A text's tree for ``pair_parts``, as counted labels and branches; NULL without a tree."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        for codes in batches:
+            rows, entries = [], 0
+            for code in codes:
+                found = None if code is None else _sketch(code)
+                rows.append(found and np.array([n << _COUNT_BIT | v for v, n in found[0].items()], np.int64))
+                entries += 0 if found is None else len(found[0])
+                if entries >= _CHUNK_NODES:
+                    yield pd.Series(rows, dtype=object)
+                    rows, entries = [], 0
+            if rows:
+                yield pd.Series(rows, dtype=object)
+
+
+_PAIR_TYPE = T.StructType([T.StructField("bound", T.DoubleType()), T.StructField("complexity", T.IntegerType()), T.StructField("share", T.DoubleType())])
+
+
+@F.pandas_udf(_PAIR_TYPE)
+def pair_parts(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    """What scores read of a function and its result, from the function's ``tree_sketch``, its text
+    without whitespace, the result's text and whether that is Python.
+
+    ``bound`` is ``tree_distance_bound`` and ``complexity`` is ``tree_complexity`` of the result, NULL
+    where the trees are missing. ``share`` is ``edit_shares`` of the texts without whitespace, where
+    there is no bound. The result's tree is dropped as soon as it is compared.
+    """
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        for sketches, owns, results, parsed in batches:
+            n = len(results)
+            bounds, complexities = np.full(n, np.nan), np.full(n, np.nan)
+            texts = []
+            for i, (sketch, result, python) in enumerate(zip(sketches, results, parsed, strict=True)):
+                found = _sketch(result) if python and result is not None else None
+                if found is not None:
+                    complexities[i] = found[1]
+                    if sketch is not None:
+                        bounds[i] = _edit_bound(sketch.tolist(), found[0])
+                        continue
+                if result is not None:
+                    texts.append(i)
+            shared = np.full(n, np.nan)
+            # ``str.split`` parts a text at the characters that ``without_whitespace`` removes.
+            shared[texts] = shares([owns[i] for i in texts], ["".join(results[i].split()) for i in texts])
+            yield pd.DataFrame({"bound": bounds, "complexity": pd.array(complexities, "Int32"), "share": shared})
+
+
 @cache
 def _trees(fields: tuple[str, ...]):
     @F.pandas_udf(T.StructType([TREE_TYPE[f] for f in fields]))

@@ -9,12 +9,10 @@ from refracta.constants import NATURAL_KEY
 from refracta.functions.distance import edit_shares
 from refracta.functions.metrics import halstead_volume, keyword_complexity
 from refracta.functions.scoring import (
-    delta_cc, diversity_of_parts, effort, se_score, structure_count, text_diversity,
+    delta_cc, diversity_of_parts, effort, se_score, structure_count,
 )
 from refracta.functions.text import without_whitespace
-from refracta.operators.astnodes import (
-    COMPLEXITY_FIELDS, DISTANCE_FIELDS, syntax_tree, tree_complexity, tree_distance_bound,
-)
+from refracta.operators.astnodes import pair_parts, tree_sketch
 from refracta.session import spread
 
 
@@ -55,10 +53,9 @@ def score(
     )
     if use_trees:
         # A function is parsed once, not once per result.
-        own = syntax_tree(F.when(F.col("language") == "python", F.col("code")), DISTANCE_FIELDS)
-        originals = originals.withColumn("__tree_a", own)
-    else:
-        originals = with_text_parts(originals, "code", "__structure_a")
+        own = tree_sketch(F.when(F.col("language") == "python", F.col("code")))
+        originals = originals.withColumn("__sketch", own)
+    originals = with_text_parts(originals, "code", "__structure_a")
     components = {"delta_cc", "preservation", "diversity", "effort", "se_score"}
     bare = pending.select(*[c for c in pending.columns if c not in components])
     # With their texts and trees functions are too wide for a broadcast, whatever size it is planned with.
@@ -66,24 +63,19 @@ def score(
     result_text = F.col("transformed_code")
     if use_trees:
         python = F.col("language") == "python"
-        fields = dict.fromkeys([*DISTANCE_FIELDS, *COMPLEXITY_FIELDS])
-        staged = joined.withColumn("__tree_b", syntax_tree(F.when(python, result_text), list(fields)))
-        # Materialised as columns so that each array expression is evaluated once.
-        staged = staged.withColumns(
-            {
-                "__bound": tree_distance_bound(F.col("__tree_a"), F.col("__tree_b")),
-                "__cc_after": F.coalesce(tree_complexity(F.col("__tree_b")), keyword_complexity(result_text)),
-            }
-        )
-        diversity = F.coalesce("__bound", text_diversity(F.col("code"), result_text))
+        parts = pair_parts(F.col("__sketch"), F.col("code"), result_text, python)
+        staged = joined.withColumn("__parts", parts)
+        bound, share = F.col("__parts.bound"), F.col("__parts.share")
+        cc_after = F.coalesce(F.col("__parts.complexity"), keyword_complexity(result_text))
     else:
-        share = edit_shares(F.col("code"), without_whitespace(result_text))
-        diversity = diversity_of_parts(share, F.col("__structure_a"), structure_count(result_text))
-        staged = joined.withColumn("__cc_after", keyword_complexity(result_text))
+        staged = joined
+        bound, share = F.lit(None).cast("double"), edit_shares(F.col("code"), without_whitespace(result_text))
+        cc_after = keyword_complexity(result_text)
+    by_text = diversity_of_parts(share, F.col("__structure_a"), structure_count(result_text))
     staged = staged.withColumns(
         {
-            "delta_cc": delta_cc(F.col("__cc_before"), F.col("__cc_after")).cast("double"),
-            "diversity": diversity,
+            "delta_cc": delta_cc(F.col("__cc_before"), cc_after).cast("double"),
+            "diversity": F.coalesce(bound, by_text),
             "effort": effort(halstead_volume(result_text)),
             "__found": F.col("code").isNotNull(),
         }

@@ -1,6 +1,9 @@
 """Plans and memory that must hold on tables far larger than the test files."""
 
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -87,6 +90,59 @@ def test_functions_are_parsed_before_they_meet_their_results(spark):
     assert plan.index("ArrowEvalPython") < plan.index("SortMergeJoin") and broadcasts(scored) == 0
 
 
+def test_scores_with_trees_send_no_nodes_and_fill_no_table_per_pair(spark):
+    functions = spark.createDataFrame([("f1", "python", "def f(a):\n    return a\n", 1)], "id string, language string, code string, cyclomatic_complexity int")
+    pending = spark.createDataFrame([("f1", "def f(a):\n    return a + a\n")], "function_id string, transformed_code string")
+    plan = physical_plan(scoring.score(pending, functions, use_trees=True))
+    assert not [x for x in ("levenshtein", "array_except", "label", "decisions") if x in plan]
+
+
+def test_pairs_measured_together_equal_the_trees_and_texts(spark):
+    rng = random.Random(11)
+
+    def block(depth, indent):
+        pad = "    " * indent
+        if depth == 0 or rng.random() < 0.2:
+            return pad + rng.choice(["a = b", "f(x, *y, k=1)", "return_ = {1: a, **b}", "global g", "x: int = [i for i in y if i if a]", "assert a or b and c"]) + "\n"
+        inner = "".join(block(depth - 1, indent + 1) for _ in range(rng.randrange(1, 4)))
+        heads = [
+            "if a:", "while b:", "for i, j in c:", "def f(a, *b, c=(d if e else 1)):", "async def g():", "class C(D):", "with a as b:",
+            "class E:", "def h(x):", "try:", "match x:",
+        ]
+        head = rng.choice(heads)
+        if head == "match x:":
+            return f"{pad}match x:\n{pad}    case 1 | 2 if y:\n" + inner.replace(pad + "    ", pad + "        ") + f"{pad}    case _:\n{pad}        pass\n"
+        return f"{pad}{head}\n{inner}" + (f"{pad}except (A, B):\n{pad}    pass\n{pad}else:\n{pad}    z = 1\n" if head == "try:" else "")
+
+    texts = ["".join(block(4, 0) for _ in range(rng.randrange(1, 4))) for _ in range(120)]
+    texts += ["", "x =", "def f(:", None, "a" + " + a" * 300, "x\0", "if a: [{;]}", "\u3000if\u2028 b;\x1f\x85 {;}"]
+    pairs = [(rng.choice(texts), t, rng.choice(["python", "python", "java", None])) for t in texts for _ in range(3)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string, language string").repartition(3)
+    python = F.col("language") == "python"
+    bare = text.without_whitespace(F.col("a"))
+    got = df.withColumn("own", astnodes.tree_sketch(F.when(python, F.col("a")))).select(
+        "i", astnodes.pair_parts(F.col("own"), bare, F.col("b"), python).alias("p")
+    ).select("i", "p.*")
+    trees = astnodes.with_tree(astnodes.with_tree(df, "a", "ta", python), "b", "tb", python)
+    bound = astnodes.tree_distance_bound(F.col("ta"), F.col("tb"))
+    want = trees.select("i", bound.alias("bound"), astnodes.tree_complexity(F.col("tb")).alias("complexity"), bare.alias("a"), text.without_whitespace(F.col("b")).alias("b"))
+    want = want.select("i", "bound", "complexity", F.when(F.col("bound").isNull(), distance.edit_shares(F.col("a"), F.col("b"))).alias("share"))
+    got, want = (sorted(tuple(r) for r in x.collect()) for x in (got, want))
+    assert got == want
+    assert len({r[2] for r in want}) > 5 and sum(r[1] is not None and r[1] > 0 for r in want) > 100
+
+
+def test_whitespace_is_what_texts_are_split_at():
+    assert set(text.WS_CHARS) == {chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace()}
+
+
+def test_node_numbers_do_not_depend_on_what_was_asked_of_the_module():
+    show = "from refracta.operators import astnodes; print(sorted(astnodes._TYPES.items()))"
+    ask = "import ast, warnings; warnings.simplefilter('ignore'); [getattr(ast, n, None) for n in ('Num', 'Str', 'Bytes', 'NameConstant', 'Ellipsis')]; "
+    plain, asked = (subprocess.run([sys.executable, "-c", c], cwd=Path(entry.__file__).parent, capture_output=True, text=True, check=True).stdout for c in (show, ask + show))
+    assert plain == asked
+
+
 def test_leaderboard_by_range_scores_as_logged(spark):
     queries = entry.queries()
     sf = "/root/testdata/sf0.001"
