@@ -81,33 +81,36 @@ def _block_distances(patterns: Sequence[str], texts: Sequence[str]) -> np.ndarra
     short, long = (np.array([len(t) for t in side]) for side in (patterns, texts))
     words = -(-int(short.max()) // 64)
     points, others = _code_points(patterns), _code_points(texts)
-    # Characters of the patterns are numbered from 1; all others match nothing.
-    numbers = np.zeros(int(max(points.max(), others.max())) + 1, np.int32)
+    # Characters of the patterns are numbered from 1; all others match nothing. A place in a word's
+    # match bits is the number of the character times the pairs, plus the pair.
+    numbers = np.zeros(int(max(points.max(), others.max())) + 1, np.int64)
     numbers[points] = 1
     alphabet = int(numbers.sum()) + 1
-    numbers[numbers == 1] = np.arange(1, alphabet)
+    numbers[numbers == 1] = np.arange(n, alphabet * n, n)
     owner, at = _places(short)
-    match = np.zeros((words, alphabet * n), np.uint64)
-    np.add.at(match, (at >> 6, numbers[points] * n + owner), np.uint64(1) << (at & 63).astype(np.uint64))
+    match = np.zeros(words * alphabet * n, np.uint64)
+    # Flat places: only for those does ``at`` have a fast path.
+    np.add.at(match, (at >> 6) * (alphabet * n) + numbers[points] + owner, np.uint64(1) << (at & 63).astype(np.uint64))
+    match = match.reshape(words, alphabet * n)
     owner, at = _places(long)
-    steps = np.zeros((int(long[0]), n), np.int64)
-    steps[at, owner] = numbers[others]
-    steps *= n
-    steps += np.arange(n)
+    # Steps behind the end of a text stay empty; they are never taken.
+    steps = np.empty(int(long[0]) * n, np.int64)
+    steps[at * n + owner] = numbers[others] + owner
+    steps = steps.reshape(-1, n)
     # Pairs still running at each step: a leading part, as the longest texts come first.
     running = n - np.searchsorted(long[::-1], np.arange(len(steps)), side="right")
     more, less = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
     one, last = np.uint64(1), np.uint64(63)
-    buffers = np.empty((8, n), np.uint64)
+    buffers = np.empty((9, n), np.uint64)
     for step, k in zip(steps, running, strict=True):
-        equal, down, across, up, low, spare, up_in, low_in = buffers[:, :k]
+        equal, down, across, up, low, up_in, low_in, up_out, low_out = buffers[:, :k]
         place = step[:k]
-        up_in[:], low_in[:] = 1, 0
         for w in range(words):
             p, m = more[w, :k], less[w, :k]
             np.take(match[w], place, out=equal, mode="clip")
             np.bitwise_or(equal, m, out=down)
-            np.bitwise_or(equal, low_in, out=equal)
+            if w:
+                np.bitwise_or(equal, low_in, out=equal)
             np.bitwise_and(equal, p, out=across)
             np.add(across, p, out=across)
             np.bitwise_xor(across, p, out=across)
@@ -116,14 +119,15 @@ def _block_distances(patterns: Sequence[str], texts: Sequence[str]) -> np.ndarra
             np.invert(up, out=up)
             np.bitwise_or(up, m, out=up)
             np.bitwise_and(p, across, out=low)
-            np.right_shift(up, last, out=spare)
+            if w < words - 1:  # what the next word takes over
+                np.right_shift(up, last, out=up_out)
+                np.right_shift(low, last, out=low_out)
             np.left_shift(up, one, out=up)
-            np.bitwise_or(up, up_in, out=up)
-            up_in[:] = spare
-            np.right_shift(low, last, out=spare)
+            np.bitwise_or(up, up_in if w else one, out=up)
             np.left_shift(low, one, out=low)
-            np.bitwise_or(low, low_in, out=low)
-            low_in[:] = spare
+            if w:
+                np.bitwise_or(low, low_in, out=low)
+            up_in, low_in, up_out, low_out = up_out, low_out, up_in, low_in
             np.bitwise_and(up, down, out=m)
             np.bitwise_or(up, down, out=up)
             np.invert(up, out=up)

@@ -62,7 +62,7 @@ _TYPES = {
 }
 _NUMBERS_OF = {getattr(ast, t): i for t, i in _TYPES.items()}
 # Types without child nodes, and the fields of the others that may hold nodes.
-_LEAVES = {t for t in _NUMBERS_OF if not t._fields} | {ast.Constant}
+_LEAVES = {t: n for t, n in _NUMBERS_OF.items() if not t._fields or t is ast.Constant}
 _CHILD_FIELDS = {
     t: [f for f in t._fields if "ast." in repr(getattr(t, "_field_types", {}).get(f, "ast."))] for t in _NUMBERS_OF
 }
@@ -90,6 +90,9 @@ _DECISIONS = {
     ast.Match: lambda n: sum(not _catch_all(case) for case in n.cases),
 }
 
+# Nodes that count towards complexity or open a block.
+_MARKED = {*_DECISIONS, ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef}
+
 
 def _compiles(code: str) -> bool:
     try:
@@ -192,7 +195,7 @@ def _sketch(code: str) -> tuple[Counter[int], int] | None:
     except _REJECTED:
         return None
     branches = []
-    add, numbers, leaves, fields_of, decisions_of = branches.append, _NUMBERS_OF, _LEAVES, _CHILD_FIELDS, _DECISIONS
+    add, numbers, leaves, fields_of, marked = branches.append, _NUMBERS_OF, _LEAVES, _CHILD_FIELDS, _MARKED
     # Blocks by their place in ``totals``: 0 for code outside of blocks and 1 for nested ones, which
     # do not count. ``methods`` has the blocks of the functions in each class.
     totals, methods = [0, 0], {}
@@ -200,10 +203,10 @@ def _sketch(code: str) -> tuple[Counter[int], int] | None:
     push = queue.append
     for node, following, block in queue:
         kind = type(node)
-        if kind in decisions_of:
-            totals[block] += decisions_of[kind](node)
-        elif kind is ast.FunctionDef or kind is ast.AsyncFunctionDef or kind is ast.ClassDef:
-            if block and (block not in methods or kind is ast.ClassDef):
+        if kind in marked:
+            if kind in _DECISIONS:
+                totals[block] += _DECISIONS[kind](node)
+            elif block and (block not in methods or kind is ast.ClassDef):
                 block = 1
             else:
                 if block:
@@ -221,24 +224,27 @@ def _sketch(code: str) -> tuple[Counter[int], int] | None:
                 children.append(child)
         after = 0
         for child in reversed(children):
-            number = numbers.get(type(child))
-            if number is None:  # names and gaps in lists
-                continue
-            if type(child) in leaves:
+            kind_of = type(child)
+            if kind_of in leaves:
+                number = leaves[kind_of]
                 add(number << 20 | after)
-            elif type(child) is ast.Name:
-                context = numbers[type(child.ctx)]
+            elif kind_of is ast.Name:  # the most frequent type, with a single leaf below
+                number, context = numbers[kind_of], numbers[type(child.ctx)]
                 add(number << 20 | context << 10 | after)
                 add(context << 20)
-            else:
+            elif kind_of in numbers:
+                number = numbers[kind_of]
                 push((child, after, block))
+            else:  # names and gaps in lists
+                continue
             after = number
         add(numbers[kind] << 20 | after << 10 | following)
     counts = Counter(branches)
-    labels: Counter[int] = Counter()
+    labels: dict[int, int] = {}
     for branch, n in counts.items():
-        labels[branch >> 20] += n
-    counts.update(labels)
+        label = branch >> 20
+        labels[label] = labels.get(label, 0) + n
+    dict.update(counts, labels)
     complexity = 1 if len(totals) == 2 else max(
         total if not methods.get(at) else _shared(total + sum(totals[m] for m in methods[at]), len(methods[at]))
         for at, total in enumerate(totals[2:], 2)
@@ -300,7 +306,8 @@ def pair_parts(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFram
     """
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        for sketches, owns, results, parsed in batches:
+        for batch in batches:
+            sketches, owns, results, parsed = (column.tolist() for column in batch)
             n = len(results)
             bounds, complexities = np.full(n, np.nan), np.full(n, np.nan)
             texts = []

@@ -71,7 +71,9 @@ def score(
         staged = joined
         bound, share = F.lit(None).cast("double"), edit_shares(F.col("code"), without_whitespace(result_text))
         cc_after = keyword_complexity(result_text)
-    by_text = diversity_of_parts(share, F.col("__structure_a"), structure_count(result_text))
+    # A column of its own: below, it is used several times on a branch, and would be counted anew each time.
+    staged = staged.withColumn("__structure_b", F.when(bound.isNull(), structure_count(result_text)))
+    by_text = diversity_of_parts(share, F.col("__structure_a"), F.col("__structure_b"))
     staged = staged.withColumns(
         {
             "delta_cc": delta_cc(F.col("__cc_before"), cc_after).cast("double"),
